@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, chat
+from tideline.llm import bpe, chat, neardup
 
 #: Folder of public tokenizer files.
 TOKENIZERS = "/opt/tokenizers"
@@ -40,10 +40,15 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.assemble(turns.unionByName(probe), BYTE_RANKS, PATTERN), BYTE_RANKS, PATTERN)
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.cluster(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_bpe": op7_bpe,
         "op8_chat": op8_chat,
+        "op9_neardup": op9_neardup,
     }
 
 
