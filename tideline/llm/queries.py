@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, chat, neardup
+from tideline.llm import bpe, chat, lm, neardup
+from tideline.llm import text as tx
 
 #: Folder of public tokenizer files.
 TOKENIZERS = "/opt/tokenizers"
@@ -22,6 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(tx.remainder(F.col("doc_id"), 7) == 2, F.lit(False))
+    model, counts = lm.train(docs.where("doc_id is not null").where(~held_out))
+    return lm.score(docs, model, counts, held_out)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -46,6 +54,7 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_lm": op5_lm,
         "op7_bpe": op7_bpe,
         "op8_chat": op8_chat,
         "op9_neardup": op9_neardup,
