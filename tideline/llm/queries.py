@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import balltree, bpe, chat, lm, neardup
+from tideline.llm import balltree, bpe, chat, langid, lm, neardup, quality, toxicity
 from tideline.llm import text as tx
 
 #: Folder of public tokenizer files.
@@ -23,10 +23,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs.select(*quality.columns(docs)), quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", *quality.SCORES, "predicted")
+
+
 def op2_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(tx.remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    return toxicity.score(docs, toxicity.train(docs.where(~held_out), table(spark, sf_dir, "labels")), held_out)
+
+
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(tx.remainder(F.col("doc_id"), 7) == 2, F.lit(False))
@@ -34,6 +46,12 @@ def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, model, counts, held_out)
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(tx.remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    return langid.identify(docs, langid.train(docs.where(~held_out)), held_out)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -58,8 +76,11 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op2_balltree": op2_balltree,
+        "op4_toxicity": op4_toxicity,
         "op5_lm": op5_lm,
+        "op6_langid": op6_langid,
         "op7_bpe": op7_bpe,
         "op8_chat": op8_chat,
         "op9_neardup": op9_neardup,

@@ -75,11 +75,10 @@ def remainder(doc_id: Column, n: int) -> Column:
 def thin(df: DataFrame, by: list[str], key: str, rows: int, seed: int = 7) -> DataFrame:
     """About `rows` rows of each group in expectation, or all of a smaller group: a row is taken by the hash of its key,
     so the choice is the same on every run and needs no sort. `by` columns must have few values."""
-    total = df.groupBy(*by).agg(F.count("*").alias("_n"))
+    total = df.groupBy(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)]).agg(F.count("*").alias("_n"))
     share = F.least(F.lit(1.0), F.lit(float(rows)) / F.col("_n"))
     spot = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    on = [df[c].eqNullSafe(total[c]) for c in by]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return df.join(F.broadcast(total), cond).where(spot < share).select(*[df[c] for c in df.columns])
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    return df.join(F.broadcast(total), same).where(spot < share).select(*df.columns)
