@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import balltree, bpe, chat, langid, lm, neardup, quality, toxicity
+from tideline.llm import balltree, bpe, chat, langid, linededup, lm, neardup, quality, toxicity
 from tideline.llm import text as tx
 
 #: Folder of public tokenizer files.
@@ -56,6 +56,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedupe(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed")
+
+
 PROBE = r"\### Assistant: </turn> ok"
 
 
@@ -84,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_bpe": op7_bpe,
         "op8_chat": op8_chat,
         "op9_neardup": op9_neardup,
+        "op10_linededup": op10_linededup,
     }
 
 
