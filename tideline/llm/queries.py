@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import balltree, bpe, chat, langid, linededup, lm, neardup, quality, toxicity
+from tideline.llm import balltree, bpe, chat, decontam, langid, linededup, lm, neardup, quality, toxicity
 from tideline.llm import text as tx
 
 #: Folder of public tokenizer files.
@@ -33,6 +33,11 @@ def op2_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n", "similarity")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(tx.remainder(F.col("doc_id"), 5) == 0, F.lit(False))
@@ -82,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_balltree": op2_balltree,
+        "op3_decontam": op3_decontam,
         "op4_toxicity": op4_toxicity,
         "op5_lm": op5_lm,
         "op6_langid": op6_langid,
@@ -109,5 +115,41 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+OP3_SQL = """
+WITH d AS (
+  SELECT DISTINCT doc_id, text, [w FOR w IN string_split_regex(lower(text), '[^\\p{L}\\p{N}]+') IF w <> ''] AS ws
+  FROM documents WHERE text IS NOT NULL
+), b AS (
+  SELECT DISTINCT item_id, [w FOR w IN string_split_regex(lower(text), '[^\\p{L}\\p{N}]+') IF w <> ''] AS ws
+  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
+), bs AS (
+  SELECT item_id, ws, len(ws) AS n, least(len(ws), 5) AS k FROM b WHERE len(ws) > 0
+), bp AS (
+  SELECT item_id, n, k, i, array_to_string(ws[i + 1 : i + k], ' ') AS s FROM bs, range(0, n - k + 1) AS r(i)
+), dp AS (
+  SELECT doc_id, text, ks.k, i, len(ws) AS words, array_to_string(ws[i + 1 : i + ks.k], ' ') AS s
+  FROM d, (SELECT DISTINCT k FROM bs) AS ks, range(0, len(ws) - ks.k + 1) AS r(i)
+), win AS (
+  SELECT DISTINCT doc_id, text, item_id, n, dp.k, least(greatest(dp.i - bp.i, 0), words - n) AS start
+  FROM dp JOIN bp ON dp.s = bp.s AND dp.k = bp.k WHERE words >= n
+), a AS (
+  SELECT win.doc_id, win.text, win.item_id, win.start, win.n, dp.s, count(*) AS a
+  FROM win JOIN dp ON win.doc_id IS NOT DISTINCT FROM dp.doc_id AND win.text = dp.text AND win.k = dp.k
+    AND dp.i BETWEEN win.start AND win.start + win.n - win.k
+  GROUP BY ALL
+), bc AS (
+  SELECT item_id, s, count(*) AS b FROM bp GROUP BY ALL
+), shared AS (
+  SELECT doc_id, text, a.item_id, start, n, sum(least(a, b)) AS common
+  FROM a JOIN bc ON a.item_id = bc.item_id AND a.s = bc.s GROUP BY ALL
+), alike AS (
+  SELECT doc_id, text, item_id, start, n, common / (2 * (n - least(n, 5) + 1) - common) AS similarity FROM shared
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, text, item_id ORDER BY similarity DESC, start) AS r FROM alike WHERE similarity >= 0.8
+)
+SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, CAST(n AS INTEGER) AS n, CAST(similarity AS DOUBLE) AS similarity FROM best WHERE r = 1
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op2_balltree": OP2_SQL}
+    return {"op2_balltree": OP2_SQL, "op3_decontam": OP3_SQL}
