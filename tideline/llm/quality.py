@@ -22,7 +22,7 @@ from tideline.llm import text as tx
 
 BUCKETS = 1 << 16
 #: Labelled rows of each class and rows of the unlabelled pool (in expectation), and the code points of their texts at most.
-ROWS_PER_CLASS, POOL, TRAIN_CHARS = 1500, 3000, 30_000
+ROWS_PER_CLASS, POOL, TRAIN_CHARS = 1200, 1500, 30_000
 ROUNDS, ADDED = 4, 100
 #: Documents of a lower score are rejected.
 THRESHOLD = 0.5
@@ -50,8 +50,8 @@ def metadata(batch: pa.RecordBatch, w: tx.Words) -> np.ndarray:
     share = [(n - size(s)) / n for s in (r"\p{Lu}", r"\p{Ll}", r"\p{N}", r"[#$%&*<>|{}=_/\\]", r"[!?]", r"[.,;:]")]
     lines = pc.count_substring(texts, "\n").to_numpy(zero_copy_only=False) + 1.0
     words = np.maximum(w.counts, 1).astype(float)
-    pair = np.unique(np.stack([w.rows(), w.codes]), axis=1) if len(w.codes) else np.zeros((2, 0), np.int64)
-    distinct = np.bincount(pair[0], minlength=len(n))
+    pair = np.unique(w.rows() * len(w.vocab) + w.codes) // max(len(w.vocab), 1)
+    distinct = np.bincount(pair, minlength=len(n))
     repeated = []
     for t in texts.to_pylist():
         own = t.split("\n")
