@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.plans import aggregation
+from tideline.plans import aggregation, causal, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [aggregation]
+MODULES = [aggregation, quality, causal]
 
 
 def queries() -> dict[str, Query]:
