@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.plans import aggregation, causal, quality
+from tideline.plans import aggregation, causal, posterior, quality, states, text
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [aggregation, quality, causal]
+MODULES = [aggregation, quality, text, causal, states, posterior]
 
 
 def queries() -> dict[str, Query]:
