@@ -13,6 +13,8 @@ from tideline.sources.adapters import EVENT_TYPES, OBS_SQL, SHIP_SQL, observatio
 
 #: Decimal places kept. Means of values with two places end in a 5 at the seventh place too often to round them there.
 PLACES, MEAN_PLACES = 6, 9
+#: Added on both sides before rounding to PLACES: variances of values with two places lie on exact halves too often.
+NUDGE = 1.37e-7
 
 PARSED = "p AS (SELECT indicator, TRY_CAST(value AS DOUBLE) AS v, TRY_CAST(timestamp AS TIMESTAMP) AS ts, ingest_seq AS seq FROM obs WHERE TRY_CAST(value AS DOUBLE) IS NOT NULL AND TRY_CAST(timestamp AS TIMESTAMP) IS NOT NULL)"
 
@@ -46,8 +48,12 @@ def places(name: str) -> int:
     return MEAN_PLACES if name == "mean" else PLACES
 
 
+def nudge(name: str) -> float:
+    return 0.0 if name == "mean" else NUDGE
+
+
 def tidy(df: DataFrame, name: str = "mean") -> DataFrame:
-    return df.withColumn("value", F.round("value", places(name)))
+    return df.withColumn("value", F.round(F.col("value") + nudge(name), places(name)))
 
 
 def _agg(name: str):
@@ -59,7 +65,7 @@ def _agg(name: str):
 
 
 def _agg_sql(name: str, grain: str = "day", source: str = OBS_SQL) -> str:
-    return f"WITH {source}, {PARSED}, {windows(grain)} SELECT indicator, time_bucket, round(({AGG_SQL[name]})::DOUBLE, {places(name)}) AS value FROM w GROUP BY indicator, time_bucket"
+    return f"WITH {source}, {PARSED}, {windows(grain)} SELECT indicator, time_bucket, round(({AGG_SQL[name]})::DOUBLE + {nudge(name)}, {places(name)}) AS value FROM w GROUP BY indicator, time_bucket"
 
 
 SHIPPED = ["qty_A", "qty_N", "qty_R", "disc_A", "disc_N", "disc_R"]
@@ -91,10 +97,10 @@ def _mixed_sql() -> str:
     parts = []
     for i, grain, name in MIXED:
         if grain == "finest":
-            parts.append(f"SELECT DISTINCT indicator, 'finest' AS granularity, ts AS time_bucket, round(v, {PLACES}) AS value FROM p WHERE indicator = '{i}'")
+            parts.append(f"SELECT DISTINCT indicator, 'finest' AS granularity, ts AS time_bucket, round(v + {NUDGE}, {PLACES}) AS value FROM p WHERE indicator = '{i}'")
         else:
             w = windows(ob.TRUNC[grain])
-            parts.append(f"SELECT indicator, '{grain}', time_bucket, round(({AGG_SQL[name]})::DOUBLE, {PLACES}) FROM (WITH {w} SELECT * FROM w WHERE indicator = '{i}') GROUP BY indicator, time_bucket")
+            parts.append(f"SELECT indicator, '{grain}', time_bucket, round(({AGG_SQL[name]})::DOUBLE + {NUDGE}, {PLACES}) FROM (WITH {w} SELECT * FROM w WHERE indicator = '{i}') GROUP BY indicator, time_bucket")
     return f"WITH {OBS_SQL}, {PARSED} " + " UNION ALL ".join(reversed(parts))
 
 
