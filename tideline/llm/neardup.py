@@ -11,7 +11,7 @@ spanning forest of its links, never all pairs.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -306,7 +306,11 @@ def cluster(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed:
     classes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("low")))
     n, both = bit_moments(classes)
     found = links(classes, plan(n, both, radius), radius, bucket)
-    roots = graph.components(found)
+    return labelled(own, classes, graph.components(found))
+
+
+def labelled(own: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, fingerprint and component_id of own's rows, from the classes' smallest doc_ids and the roots of linked ones."""
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     labels = rooted.join(lowest, "root").select("fp", "component_id")
@@ -314,10 +318,12 @@ def cluster(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed:
     return own.join(labels, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
+def keep_one(docs: DataFrame, clusters: Callable[..., DataFrame] = cluster, mark: Callable[[DataFrame], DataFrame] = fingerprints, **how) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest doc_id stays, with all its columns. Of
-    rows that share that doc_id one stays; a component without any doc_id keeps one row of each fingerprint."""
-    found = cut(cluster(docs, **how))
+    rows that share that doc_id one stays; a component without any doc_id keeps one row of each fingerprint.
+
+    clusters and mark give components and fingerprints: those of this module, or of `similar`."""
+    found = cut(clusters(docs, **how))
     ids = found.groupBy("doc_id").agg(F.count("*").alias("_n"), F.max(F.col("doc_id") == F.col("component_id")).alias("_first"))
     once = docs.join(ids.where("_n = 1 and _first").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     odd = found.join(ids.where("_n > 1").select("doc_id"), "doc_id", "left_semi").unionByName(found.where("doc_id is null"))
@@ -325,7 +331,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
         return once
     repeated = docs.join(ids.where("_n > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     rest = repeated.unionByName(docs.where("doc_id is null")).withColumn("_h", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit("")))).dropDuplicates(["_h"])
-    marks = fingerprints(rest.select(F.col("_h").alias("doc_id"), "text")).select(F.col("doc_id").alias("_h"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
+    marks = mark(rest.select(F.col("_h").alias("doc_id"), "text")).select(F.col("doc_id").alias("_h"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
     own = rest.select("_h", F.col("doc_id").alias("_id")).join(marks, "_h")
     heads = odd.where("component_id is null or doc_id = component_id").distinct()
     heads = heads.select(F.col("doc_id").alias("_head"), F.col("fingerprint").alias("_fp"), F.coalesce(F.col("component_id").cast("string"), "fingerprint").alias("_group"))
