@@ -103,3 +103,53 @@ def test_clean_documents_stay(spark):
     rows = [(i, f"unique line {i}\nAll rights reserved.\nanother {i * 7}", "x", 0) for i in range(20)]
     got = linededup.dedupe(spark.createDataFrame(rows, "doc_id bigint, text string, hash string, x int"))
     assert got.where(F.col("lines_removed") > 0).count() == 0
+
+
+def stretches(rows):
+    """Lines of each text that lie in several lines of over 50 words that an earlier text has too: no chunks, no hashes."""
+    out = defaultdict(set)
+    lines = {d: t.split("\n") for d, t in rows}
+    for d, own in lines.items():
+        for other in (x for k, x in lines.items() if k < d):
+            for i in range(len(own)):
+                for j in range(len(other)):
+                    n = 0
+                    while i + n < len(own) and j + n < len(other) and own[i + n] == other[j + n]:
+                        n += 1
+                    while n and not own[i + n - 1].split():
+                        n -= 1
+                    if n > 1 and own[i].split() and sum(len(x.split()) for x in own[i : i + n]) > 50:
+                        out[d].update(range(i, i + n))
+    return out
+
+
+def test_passages_found_without_chunks_go_whole(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    line = lambda n: " ".join(word() for _ in range(n))
+    shapes = [[33, 34], [49, 25, 14, 2], [4, 47], [26, 26], [30, 0, 30], [20, 25, 30], [9] * 6, [6] * 9, [5] * 12, [1] * 60] * 6
+    passages = [[line(n) for n in shape] for shape in shapes]
+    rows = [(0, "\n".join([passages[2][0], line(9), passages[22][0]]))]
+    for copy in range(3):
+        for p in passages:
+            body = [line(9) for _ in range(4)]
+            at = r.randint(0, 4)
+            body[at:at] = p if copy < 2 else p + r.choice(passages)[:3]
+            rows.append((len(rows), "\n".join(body)))
+    want = stretches(rows)
+    got = {g.doc_id: g.text.split("\n") for g in linededup.dedupe(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for d, t in rows:
+        kept = [x for i, x in enumerate(t.split("\n")) if i not in want[d]]
+        assert got[d] == kept or sum(map(len, got[d])) < sum(map(len, kept)), d
+    assert {x for x in "\n".join(t for _, t in rows).split("\n") if x} == {x for own in got.values() for x in own if x}
+
+
+def test_every_line_of_a_long_passage_lies_in_a_span_of_it():
+    r = random.Random(12)
+    for _ in range(300):
+        words = [r.choice([0, 1, 3, 9, 20, 49, 60]) for _ in range(r.randint(2, 30))]
+        found = linededup.spans(words)
+        i, j = sorted(r.sample(range(len(words)), 2))
+        if words[i] and words[j] and sum(words[i : j + 1]) > 50:
+            covered = {x for a, b in found if i <= a and b <= j for x in range(a, b + 1)}
+            assert covered >= {x for x in range(i, j + 1) if 0 < words[x] <= 50}

@@ -2,8 +2,9 @@
 
 A text's lines are cut into chunks where a rolling hash over line hashes says so, so that a passage is cut alike wherever
 it stands. Within a chunk every run of lines is looked at, since a passage may begin or end inside one: runs of at least
-two lines, and single lines of many words. A passage's first or last lines that fall into other chunks are joined to it if
-they too come first in the same place. Runs that occur more than once over all documents are compared byte by byte;
+two lines, and single lines of many words. Passages of over PASSAGE_WORDS words are found wherever chunks end: each line
+begins a shortest run of so many words and ends one, and these cover every such passage whole. A shorter passage's first or
+last lines that fall into other chunks are joined to it if they too come first in the same place. Runs that occur more than once over all documents are compared byte by byte;
 each stays where it comes first (by doc_id, then position) and goes from everywhere else.
 """
 
@@ -24,6 +25,8 @@ from tideline.llm.spark_io import cut
 DIVISOR, LONGEST, WINDOW = 3, 8, 1
 #: Words that a run must have to be removed by itself: one line alone, and several lines together.
 LINE_WORDS, RUN_WORDS = 50, 20
+#: Several lines with more words than these together are removed whatever chunks they lie in.
+PASSAGE_WORDS = 50
 
 RUNS = "hash bigint, doc_id bigint, text_hash bigint, start int, lines int, strong boolean"
 
@@ -43,23 +46,38 @@ def ends(hashes: list[int], divisor: int = DIVISOR, longest: int = LONGEST, wind
     return out
 
 
+def spans(words: list[int], passage_words: int = PASSAGE_WORDS) -> set[tuple[int, int]]:
+    """(first, last) of each shortest run of lines with over `passage_words` words from a line on and up to a line.
+
+    A passage of more words begins with one and ends with one. Each of its lines either begins one that ends in the
+    passage or lies in the one that the passage ends with."""
+    full = [i for i, w in enumerate(words) if w]
+    total = np.cumsum([0, *[words[i] for i in full]])
+    last = np.searchsorted(total, total[:-1] + passage_words, side="right") - 1
+    first = np.searchsorted(total, total[1:] - passage_words, side="left") - 1
+    out = {(i, full[j]) for i, j in zip(full, last.tolist()) if j < len(full)}
+    return {(i, j) for i, j in out | {(full[i], j) for i, j in zip(first.tolist(), full) if i >= 0} if i < j}
+
+
 def runs(content: str, divisor: int = DIVISOR, longest: int = LONGEST, window: int = WINDOW, line_words: int = LINE_WORDS, run_words: int = RUN_WORDS) -> list[tuple[int, int, int, bool]]:
-    """(hash, first line, lines, strong) of every line and every run of lines within a chunk; strong: enough words."""
+    """(hash, first line, lines, strong) of every line, every run of lines within a chunk and every run of `spans`;
+    strong: enough words."""
     lines = content.encode("utf-8").split(b"\n")
     hashes = [xxhash.xxh64_intdigest(x) for x in lines]
+    raw = np.array(hashes, "<u8").tobytes()
     words = [len(x.split()) for x in lines]
-    out, a = [], 0
+    out, a, long = [], 0, spans(words)
     for b in ends(hashes, divisor, longest, window):
         for i in range(a, b):
-            state, total = 0, 0
+            total = 0
             for j in range(i, b):
                 total += words[j]
-                state = xxhash.xxh64_intdigest(hashes[j].to_bytes(8, "little"), state)
                 strong = total >= (line_words if i == j else run_words)
                 if words[i] and words[j] and (strong or i == j):
-                    out.append((state, i, j - i + 1, strong))
+                    out.append((xxhash.xxh64_intdigest(raw[8 * i : 8 * j + 8]), i, j - i + 1, strong))
+                    long.discard((i, j))
         a = b
-    return out
+    return out + [(xxhash.xxh64_intdigest(raw[8 * i : 8 * j + 8]), i, j - i + 1, True) for i, j in sorted(long)]
 
 
 def text_hash(column: Column) -> Column:
