@@ -92,3 +92,22 @@ def test_empty_tables(spark):
     assert decontam.matches(docs.where("false"), bench).count() == 0
     assert decontam.clean(docs, bench.where("false")).count() == 1
     assert decontam.clean(docs, bench).count() == 0
+
+
+def test_documents_shorter_than_an_item_are_compared_whole(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([60, 40, 12, 5, 3])]
+    rows = [(10 * i + j, " ".join(ws[a : len(ws) - b]), t) for i, t in items for ws in [t.split()] for j, (a, b) in enumerate([(0, 0), (0, 1), (0, 3), (3, 0), (1, 1), (0, len(ws) // 2)])]
+
+    def alike(text, item):
+        k = min(5, len(item.split()))
+        a, b = grams(text.split(), k), grams(item.split(), k)
+        return sum((a & b).values()) / sum((a | b).values())
+
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id bigint, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = {d: round(alike(t, item), 9) for d, t, item in rows if alike(t, item) >= 0.8}
+    assert 2 in want and 5 not in want
+    assert {g.doc_id: round(g.similarity, 9) for g in decontam.matches(docs, bench, short=True).collect()} == want
+    assert {k.doc_id for k in decontam.clean(docs, bench).collect()} == {d for d, *_ in rows} - set(want)

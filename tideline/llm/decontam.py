@@ -76,10 +76,11 @@ def multi_index(items: DataFrame) -> DataFrame:
     return own.withColumn("x", blocks).withColumn("change", F.explode(changes)).select("item_id", "item_words", "item_fp", "n", "k", F.col("x.block").alias("block"), F.col("x.own").bitwiseXOR(F.col("change")).alias("value"))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, short: bool = False) -> DataFrame:
     """doc_id, text_hash, item_id, start, n, similarity: for each document and item the most similar window (the first of
     several), where the similarity is at least `similarity`. Documents with null ids take part under a null doc_id; null
-    and empty texts match nothing; rows that repeat give one row."""
+    and empty texts match nothing; rows that repeat give one row. short: a document of fewer words than the item, but of
+    one shingle at least, is one window as a whole."""
     items = cut(items_of(benchmark))
     sizes = sorted(r.k for r in items.select("k").distinct().collect())  # 1 to SHINGLE
     key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")]
@@ -88,8 +89,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     hits = None
     for k in sizes:
         rows = worded.select("doc_key", "text_hash", F.size("ws").alias("words"), F.posexplode(shingle_hashes(F.col("ws"), k)).alias("pos", "hash"))
-        met = rows.join(anchors.where(F.col("k") == k), "hash").where("words >= n")
-        found = met.select("doc_key", "text_hash", "n", "k", F.least(F.greatest(F.col("pos") - F.col("offset"), F.lit(0)), F.col("words") - F.col("n")).alias("start"))
+        met = rows.join(anchors.where(F.col("k") == k), "hash")
+        met = met if short else met.where("words >= n")
+        latest = F.greatest(F.col("words") - F.col("n"), F.lit(0))
+        found = met.select("doc_key", "text_hash", "n", "k", F.least(F.greatest(F.col("pos") - F.col("offset"), F.lit(0)), latest).alias("start"))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, text_hash bigint, item_id bigint, start int, n int, similarity double")
@@ -121,8 +124,8 @@ def _shingles(column: str) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(column) - F.col("k")), lambda i: F.array_join(F.slice(column, i + 1, F.col("k")), " "))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents that match no item, with their columns."""
-    found = matches(docs, benchmark, similarity).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_d"), F.col("text_hash").alias("_t")).distinct()
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, short: bool = True) -> DataFrame:
+    """The documents that match no item, with their columns; a document shorter than an item is compared as a whole."""
+    found = matches(docs, benchmark, similarity, short).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_d"), F.col("text_hash").alias("_t")).distinct()
     same = (F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)) == F.col("_d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_t"))
     return docs.join(found, same, "left_anti")
