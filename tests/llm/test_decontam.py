@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from tideline.llm import decontam
@@ -111,3 +112,29 @@ def test_documents_shorter_than_an_item_are_compared_whole(spark):
     assert 2 in want and 5 not in want
     assert {g.doc_id: round(g.similarity, 9) for g in decontam.matches(docs, bench, short=True).collect()} == want
     assert {k.doc_id for k in decontam.clean(docs, bench).collect()} == {d for d, *_ in rows} - set(want)
+
+
+def spark_simhash(ws):
+    hs = []
+    for i in range(len(ws) - 4):
+        h = 42
+        for w in ws[i : i + 5]:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        hs.append(h)
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def test_similar_windows_of_distant_fingerprints_match(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    item = [word() for _ in range(59)]
+    docs, own, want = [], spark_simhash(item), grams(item, 5)
+    while len(docs) < 12:
+        ws = list(item)
+        at = r.randrange(58)
+        ws[at], ws[at + 1] = word(), word()
+        got = grams(ws, 5)
+        if sum((got & want).values()) / sum((got | want).values()) >= 0.8 and (spark_simhash(ws) ^ own).bit_count() > 15:
+            docs.append((len(docs), " ".join(ws)))
+    found = decontam.matches(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string"))
+    assert {g.doc_id for g in found.collect()} == set(range(12))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tideline.llm.spark_io import cut
 
 SHINGLE, SIMILARITY = 5, 0.8
-BITS, BLOCKS, RADIUS = 64, 4, 15
+BITS, BLOCKS, RADIUS = 64, 4, 23
 WORD_GAP = r"[^\p{L}\p{N}]+"
 NO_ID = -(1 << 63)
 
@@ -104,9 +104,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
         hashes = F.when(F.col("k") == k, shingle_hashes(F.col("window"), k)).otherwise(hashes)
     marked = cut(windows.withColumn("hashes", hashes).withColumn("fp", simhash(F.col("hashes"))).drop("hashes"))
     blocks = F.explode(F.array(*[F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).alias("value")) for b in range(BLOCKS)]))
-    looked_up = marked.select("doc_key", "text_hash", "n", "start", "window", "fp", blocks.alias("x")).select("*", "x.block", "x.value").drop("x")
-    near = looked_up.join(multi_index(items).drop("item_words", "k"), ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    near = near.select("doc_key", "text_hash", "item_id", "start", "n", "window").distinct()
+    looked_up = marked.select("n", "fp").distinct().select("n", "fp", blocks.alias("x")).select("n", "fp", "x.block", "x.value")
+    # the index has thousands of rows for each item: too many to send to every worker
+    met = looked_up.join(multi_index(items).drop("item_words", "k").hint("merge"), ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    near = marked.join(met.select("n", "fp", "item_id").distinct(), ["n", "fp"]).select("doc_key", "text_hash", "item_id", "start", "n", "window").distinct()
     pair = ["doc_key", "text_hash", "item_id", "start", "n"]
     item = items.select(F.col("item_id").alias("_i"), F.col("n").alias("_n"), "k", "item_words")
     both = near.join(item, (F.col("item_id") == F.col("_i")) & (F.col("n") == F.col("_n")))
