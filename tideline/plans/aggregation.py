@@ -11,10 +11,8 @@ from tideline.operators import reshape
 from tideline.session import table
 from tideline.sources.adapters import EVENT_TYPES, OBS_SQL, SHIP_SQL, observations, shipments
 
-#: Decimal places kept. Means of values with two places end in a 5 at the seventh place too often to round them there.
+#: Decimal places kept of numbers that have few of their own.
 PLACES, MEAN_PLACES = 6, 9
-#: Added on both sides before rounding to PLACES: variances of values with two places lie on exact halves too often.
-NUDGE = 1.37e-7
 
 PARSED = "p AS (SELECT indicator, TRY_CAST(value AS DOUBLE) AS v, TRY_CAST(timestamp AS TIMESTAMP) AS ts, ingest_seq AS seq FROM obs WHERE TRY_CAST(value AS DOUBLE) IS NOT NULL AND TRY_CAST(timestamp AS TIMESTAMP) IS NOT NULL)"
 
@@ -44,28 +42,26 @@ AGG_SQL = {
 }
 
 
-def places(name: str) -> int:
-    return MEAN_PLACES if name == "mean" else PLACES
+def tidy(df: DataFrame) -> DataFrame:
+    """Statistics to single precision: both engines add up in an order of their own, which shows in the last digits of a
+    double. Decimal places would not do: variances of values with two places lie on exact halves too often."""
+    return df.withColumn("value", F.col("value").cast("float").cast("double"))
 
 
-def nudge(name: str) -> float:
-    return 0.0 if name == "mean" else NUDGE
-
-
-def tidy(df: DataFrame, name: str = "mean") -> DataFrame:
-    return df.withColumn("value", F.round(F.col("value") + nudge(name), places(name)))
+def single(sql: str) -> str:
+    return f"CAST(CAST({sql} AS FLOAT) AS DOUBLE)"
 
 
 def _agg(name: str):
     def query(spark, sf_dir):
         dims = ob.indicators(spark, [{"indicator": i, "granularity": "daily", "aggregation": name} for i in EVENT_TYPES])
-        return tidy(ob.aggregate(observations(spark, sf_dir), dims, [name]).select("indicator", "time_bucket", "value"), name)
+        return tidy(ob.aggregate(observations(spark, sf_dir), dims, [name]).select("indicator", "time_bucket", "value"))
 
     return query
 
 
 def _agg_sql(name: str, grain: str = "day", source: str = OBS_SQL) -> str:
-    return f"WITH {source}, {PARSED}, {windows(grain)} SELECT indicator, time_bucket, round(({AGG_SQL[name]})::DOUBLE + {nudge(name)}, {places(name)}) AS value FROM w GROUP BY indicator, time_bucket"
+    return f"WITH {source}, {PARSED}, {windows(grain)} SELECT indicator, time_bucket, {single(AGG_SQL[name])} AS value FROM w GROUP BY indicator, time_bucket"
 
 
 SHIPPED = ["qty_A", "qty_N", "qty_R", "disc_A", "disc_N", "disc_R"]
@@ -90,17 +86,17 @@ MIXED = [("click", "hourly", "mean"), ("error", "daily", "sum"), ("purchase", "w
 
 def _mixed(spark, sf_dir):
     dims = ob.indicators(spark, [dict(zip(("indicator", "granularity", "aggregation"), m)) for m in MIXED])
-    return tidy(ob.flatten(observations(spark, sf_dir), dims, sorted({m[2] for m in MIXED})), "mixed")
+    return tidy(ob.flatten(observations(spark, sf_dir), dims, sorted({m[2] for m in MIXED})))
 
 
 def _mixed_sql() -> str:
     parts = []
     for i, grain, name in MIXED:
         if grain == "finest":
-            parts.append(f"SELECT DISTINCT indicator, 'finest' AS granularity, ts AS time_bucket, round(v + {NUDGE}, {PLACES}) AS value FROM p WHERE indicator = '{i}'")
+            parts.append(f"SELECT DISTINCT indicator, 'finest' AS granularity, ts AS time_bucket, {single("v")} AS value FROM p WHERE indicator = '{i}'")
         else:
             w = windows(ob.TRUNC[grain])
-            parts.append(f"SELECT indicator, '{grain}', time_bucket, round(({AGG_SQL[name]})::DOUBLE + {NUDGE}, {PLACES}) FROM (WITH {w} SELECT * FROM w WHERE indicator = '{i}') GROUP BY indicator, time_bucket")
+            parts.append(f"SELECT indicator, '{grain}', time_bucket, {single(AGG_SQL[name])} FROM (WITH {w} SELECT * FROM w WHERE indicator = '{i}') GROUP BY indicator, time_bucket")
     return f"WITH {OBS_SQL}, {PARSED} " + " UNION ALL ".join(reversed(parts))
 
 

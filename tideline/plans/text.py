@@ -16,20 +16,25 @@ def _records(spark, sf_dir):
     title = F.when(n % 5 == 0, F.concat(F.lit("Searched for "), "props")).when(n % 5 == 1, F.concat(F.lit("Visited "), "event_type")).when(n % 5 == 2, F.concat(F.lit("Viewed "), "event_type")).when(n % 35 == 3, F.lit("")).otherwise(F.col("event_type"))
     url = F.when(n % 4 == 0, F.concat(F.lit("https://maps.example/?center="), (n % 90).cast("string"), F.lit(".5,-"), (n % 180).cast("string"), F.lit(".25&z=1"))).when(n % 4 == 1, F.lit("https://example.org/"))
     ev = table(spark, sf_dir, "events")
-    return ev.select("event_id", title.alias("title"), F.when(n % 50 != 7, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("time"), F.array(F.struct(url.alias("url"))).alias("locationInfos"))
+    said = F.when(n % 3 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(n % 3 == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    said = said.otherwise(F.concat(F.date_format(F.expr("ts - INTERVAL 210 MINUTES"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("-03:30")))
+    return ev.select("event_id", title.alias("title"), F.when(n % 50 != 7, said).alias("time"), F.array(F.struct(url.alias("url"))).alias("locationInfos"))
 
 
 RECORDS = """r AS (
   SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'search' WHEN event_id % 5 = 1 THEN 'visit' WHEN event_id % 5 = 2 THEN 'view' ELSE 'other' END AS activity_type,
     CASE WHEN event_id % 5 = 0 THEN props ELSE event_type END AS content,
-    CASE WHEN event_id % 4 = 0 THEN (event_id % 90)::VARCHAR || '.5,-' || (event_id % 180)::VARCHAR || '.25' END AS location, CAST(date_trunc('second', ts) AS TIMESTAMP) AS ts
+    CASE WHEN event_id % 4 = 0 THEN (event_id % 90)::VARCHAR || '.5,-' || (event_id % 180)::VARCHAR || '.25' END AS location,
+    CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00'
+      WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END || '+00:00'
+      ELSE strftime(ts - INTERVAL 210 MINUTE, '%Y-%m-%dT%H:%M:%S') || '-03:30' END AS said
   FROM events WHERE event_id % 50 <> 7 AND NOT (event_id % 5 NOT IN (0, 1, 2) AND event_id % 35 = 3)
 )"""
 
 
 def _render(spark, sf_dir):
     a = activity.parse(_records(spark, sf_dir))
-    return a.select("event_id", activity.render(F.col("ts"), F.col("activity_type"), F.col("content"), F.col("location")).alias("line"))
+    return a.select("event_id", activity.render(F.col("ts"), F.col("offset_minutes"), F.col("activity_type"), F.col("content"), F.col("location")).alias("line"))
 
 
 def _lines(spark, sf_dir):
@@ -50,17 +55,30 @@ def _fenced(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object(activity.json_text(text), "$.k").cast("bigint").alias("k"))
 
 
-FORMATS = ["yyyy-MM-dd", "MM/dd/yyyy", "MMMM d, yyyy", "yyyyMMdd"]
+#: How an order's date is said, by o_orderkey modulo their number; day and month are ambiguous in the last four up to the 12th.
+SAID = [
+    "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "yyyy-MM-dd'T'23:mm:ss'-05:00'",
+    "yyyy/M/d", "dd-MM-yyyy", "dd/MM/yyyy", "MM-dd-yyyy", "M/d/yyyy", "'some day'", "yyyy-'02-30'", "'  'yyyy-MM-dd'  '",
+]
 
 
 def _spelled(spark, sf_dir):
-    raw = F.date_format("o_orderdate", FORMATS[0])
-    for k, f in enumerate(FORMATS[1:], 1):
-        raw = F.when(F.col("o_orderkey") % 5 == k, F.date_format("o_orderdate", f)).otherwise(raw)
-    raw = F.when(F.col("o_orderkey") % 5 == 4, F.lit("some day")).otherwise(raw)
+    raw = F.lit(None).cast("string")
+    for k, f in enumerate(SAID):
+        raw = F.when(F.col("o_orderkey") % len(SAID) == k, F.date_format("o_orderdate", f)).otherwise(raw)
     return table(spark, sf_dir, "orders").select("o_orderkey", activity.spell_date(raw).alias("spelled"))
 
 
+SAID_SQL = [
+    "%Y-%m-%d", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%dT%H:%M:%S.%g", "%Y-%m-%dT%H:%M:%S.%fZ", "%Y-%m-%dT23:%M:%S-05:00",
+    "%Y/%-m/%-d", "%d-%m-%Y", "%d/%m/%Y", "%m-%d-%Y", "%-m/%-d/%Y", "some day", "some day", "  %Y-%m-%d  ",
+]
+#: DuckDB takes offsets into account and lets days run over; the rule reads the date as it is said, so offsets go first.
+SPELLED_SQL = rf"""WITH s AS (
+  SELECT o_orderkey, trim(CASE o_orderkey % {len(SAID)} {' '.join(f"WHEN {k} THEN strftime(o_orderdate, '{f}')" for k, f in enumerate(SAID_SQL))} END) AS said FROM orders
+)
+SELECT o_orderkey, strftime(try_strptime(regexp_replace(said, '(T.*)[+-]\d\d:?\d\d$', '\1'), {activity.DATE_FORMATS}), '%A, %B %d, %Y') AS spelled FROM s"""
+
 LINES_SQL = r"l AS (SELECT doc_id, [x FOR x IN [regexp_replace(y, '^\s+|\s+$', '', 'g') FOR y IN string_split(text, chr(10))] IF x <> ''] AS ls FROM documents)"
 
 QUERIES = {
@@ -78,10 +96,10 @@ QUERIES = {
 ORACLES = {
     "activity_classify": f"WITH {RECORDS} SELECT activity_type, count(*) AS n, count(DISTINCT content) AS contents FROM r GROUP BY 1",
     "location_extract": f"WITH {RECORDS} SELECT event_id, location FROM r WHERE location IS NOT NULL",
-    "render_lines": f"WITH {RECORDS} SELECT event_id, '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || ']' || coalesce(' @ ' || location, '') || ' [' || activity_type || '] ' || content AS line FROM r",
+    "render_lines": f"WITH {RECORDS} SELECT event_id, '[' || said || ']' || coalesce(' @ ' || location, '') || ' [' || activity_type || '] ' || content AS line FROM r",
     "doc_lines": f"WITH {LINES_SQL} SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, ls[i] AS line FROM l, range(1, len(ls) + 1) AS t(i)",
     "doc_chunks": f"WITH {LINES_SQL} SELECT doc_id, CAST(i AS INTEGER) AS chunk_id, array_to_string(ls[i * {LINES} + 1 : (i + 1) * {LINES}], chr(10)) AS chunk FROM l, range(0, CAST(ceil(len(ls) / {LINES}) AS BIGINT)) AS t(i)",
     "props_json": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "json_from_text": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
-    "date_spell_out": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 4 THEN strftime(o_orderdate, '%A, %B %d, %Y') END AS spelled FROM orders",
+    "date_spell_out": SPELLED_SQL,
 }

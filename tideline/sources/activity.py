@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -14,8 +15,27 @@ RECORD = "title string, time string, locationInfos array<struct<url: string>>"
 #: What a title begins with, and the type that it stands for: fixed values.
 PREFIXES = {"Searched for ": "search", "Visited ": "visit", "Viewed ": "view"}
 CENTER = r"center=([0-9.-]+),([0-9.-]+)"
-#: Formats of dates in free text, tried in this order.
-DATE_FORMATS = ["yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "d MMMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "dd.MM.yyyy", "yyyyMMdd"]
+#: Formats of dates in free text, tried in this order: fixed values.
+DATE_FORMATS = [
+    "%Y-%m-%d",
+    "%Y-%m-%dT%H:%M:%S",
+    "%Y-%m-%dT%H:%M:%SZ",
+    "%Y-%m-%dT%H:%M:%S.%f",
+    "%Y-%m-%dT%H:%M:%S.%fZ",
+    "%Y-%m-%dT%H:%M:%S%z",
+    "%Y/%m/%d",
+    "%d-%m-%Y",
+    "%d/%m/%Y",
+    "%m-%d-%Y",
+    "%m/%d/%Y",
+]
+#: What each directive takes: one or two digits, leading zeros or not.
+DIRECTIVES = {
+    "Y": r"(\d{4})", "m": r"(1[0-2]|0?[1-9])", "d": r"(3[01]|[12]\d|0?[1-9])", "H": r"(?:2[0-3]|[01]?\d)", "M": r"[0-5]?\d", "S": r"(?:6[01]|[0-5]?\d)",
+    "f": r"\d{1,6}", "z": r"(?:Z|[+-]\d\d:?[0-5]\d)",
+}
+#: The offset that ends a time, if any.
+OFFSET = r"(?:Z|([+-])(\d\d):?(\d\d))$"
 
 
 def newest(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
@@ -46,8 +66,9 @@ def read_zip(spark: SparkSession, path: str, member: str) -> DataFrame:
 
 
 def parse(records: DataFrame) -> DataFrame:
-    """(ts, activity_type, content, location) of records with a title and a time; the rest of the columns stay. A time
-    that cannot be parsed fails the job."""
+    """(ts, offset_minutes, activity_type, content, location) of records with a title and a time; the rest of the columns
+    stay. ts is in UTC; offset_minutes is what the time said, null for a time without offset (read as UTC). A time that
+    cannot be parsed fails the job."""
     own = records.where("coalesce(title, '') <> '' and coalesce(time, '') <> ''")
     kind, content = F.lit("other"), F.col("title")
     for prefix, name in PREFIXES.items():
@@ -55,7 +76,10 @@ def parse(records: DataFrame) -> DataFrame:
         kind = F.when(at, name).otherwise(kind)
         content = F.when(at, F.substring("title", len(prefix) + 1, 1 << 30)).otherwise(content)
     ts = F.to_timestamp("time").cast("timestamp_ntz")
-    out = own.withColumns({"ts": ts, "activity_type": kind, "content": content, "location": location(F.get("locationInfos", F.lit(0))["url"])})
+    part = lambda k: F.regexp_extract("time", OFFSET, k)
+    minutes = F.when(part(1) == "-", -1).otherwise(1) * (part(2).try_cast("int") * 60 + part(3).try_cast("int"))
+    offset = F.when(F.endswith("time", F.lit("Z")), 0).otherwise(minutes)
+    out = own.withColumns({"ts": ts, "offset_minutes": offset, "activity_type": kind, "content": content, "location": location(F.get("locationInfos", F.lit(0))["url"])})
     return out.drop("title", "time", "locationInfos")
 
 
@@ -64,9 +88,18 @@ def location(url: Column) -> Column:
     return F.substring(F.regexp_substr(url, F.lit(CENTER)), len("center=") + 1, 1 << 30)
 
 
-def render(ts: Column, kind: Column, content: Column, place: Column) -> Column:
-    where = F.coalesce(F.concat(F.lit(" @ "), place), F.lit(""))
-    return F.concat(F.lit("["), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("]"), where, F.lit(" ["), kind, F.lit("] "), content)
+def iso(ts: Column, offset_minutes: Column) -> Column:
+    """A time in ISO 8601 as it was said: local to its offset, with microseconds where there are any."""
+    local = ts + F.make_dt_interval(mins=F.coalesce(offset_minutes, F.lit(0)))
+    shown = F.when(F.extract(F.lit("second"), local) % 1 == 0, F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    size = F.abs(offset_minutes)
+    zone = F.concat(F.when(offset_minutes < 0, "-").otherwise("+"), F.lpad(F.floor(size / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((size % 60).cast("string"), 2, "0"))
+    return F.concat(shown, F.coalesce(zone, F.lit("")))
+
+
+def render(ts: Column, offset_minutes: Column, kind: Column, content: Column, place: Column) -> Column:
+    where = F.coalesce(F.concat(F.lit(" @ "), F.nullif(place, F.lit(""))), F.lit(""))
+    return F.concat(F.lit("["), iso(ts, offset_minutes), F.lit("]"), where, F.lit(" ["), kind, F.lit("] "), content)
 
 
 def lines(content: Column) -> Column:
@@ -96,5 +129,11 @@ def json_text(content: Column) -> Column:
 
 
 def spell_date(content: Column) -> Column:
-    """A date in one of DATE_FORMATS, in words; null for others."""
-    return F.date_format(F.coalesce(*[F.try_to_timestamp(content, F.lit(f)) for f in DATE_FORMATS]), "EEEE, MMMM dd, yyyy")
+    """A date in the first of DATE_FORMATS that takes it, in words; null for others and for days that no month has."""
+    text, found = F.regexp_replace(content, r"^\s+|\s+$", ""), []
+    for f in DATE_FORMATS:
+        names = re.findall("%(.)", f)
+        pattern = "^" + re.sub("%(.)", lambda m: DIRECTIVES[m[1]], f.replace(".", r"\.")) + "$"
+        parts = {k: F.regexp_extract(text, pattern, 1 + [n for n in names if n in "Ymd"].index(k)) for k in "Ymd"}
+        found.append(F.try_to_date(F.concat(parts["Y"], F.lit("-"), F.lpad(parts["m"], 2, "0"), F.lit("-"), F.lpad(parts["d"], 2, "0")), "yyyy-MM-dd"))
+    return F.date_format(F.coalesce(*found), "EEEE, MMMM dd, yyyy")
