@@ -1,5 +1,6 @@
 import hashlib
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -28,6 +29,27 @@ def test_ids_match_library_on_random_strings(library):
             assert encoder.decode(got) == library.decode(want.ids, skip_special_tokens=False)
 
 
+def test_ids_match_library_for_every_kind_of_character(library):
+    """Every code point of the first four planes and the variation selectors, and every 16th of the empty planes, between
+    two letters; then pairs of combining marks after a letter."""
+    encoder = bpe.Encoder(WORD_BPE)
+    points = [c for c in [*range(0x32000), *range(0xE0000, 0xE0200), *range(0x32000, 0x110000, 16)] if not 0xD800 <= c <= 0xDFFF]
+    marks = [chr(c) for c in points if unicodedata.category(chr(c))[0] == "M"]
+    texts = [f"a{chr(c)}b" for c in points] + [f"e{x}{y}" for i, x in enumerate(marks) for y in marks[i % 97 :: 97]]
+    for a in range(0, len(texts), 20_000):
+        some = texts[a : a + 20_000]
+        for t, want in zip(some, library.encode_batch(some, add_special_tokens=False)):
+            assert encoder.encode(t).tolist() == want.ids, t.encode("unicode_escape")
+
+
+def test_runs_met_again_after_the_cache_is_full(library, monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_WORD_CACHE", 3)
+    encoder = bpe.Encoder(WORD_BPE)
+    for t in ["one two three four five", "five one one six", "two seven"] * 3:
+        assert encoder.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
+        assert len(encoder.known) <= 3 and len(encoder.earlier) <= 3
+
+
 def test_documents_keep_their_columns_and_repeated_rows(spark, library):
     rows = [(i, t, "x", 5) for i, t in enumerate(ODD)] + [(None, "again", None, 1), (3, ODD[3], "x", 5)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, n_tokens int").repartition(3)

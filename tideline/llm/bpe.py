@@ -4,33 +4,30 @@ Every prefix of a word has exactly one token that can end its encoding. `Encoder
 with suffix links over all tokens names the tokens that end at a position, and a token is taken if it may follow the
 stored last token of the prefix before it. Following the stored tokens back from the end gives the ids. Whether two
 tokens may stand side by side depends on the merge table alone and is kept for later words.
+
+Normal forms, lower case and the split into words are taken from the tokenizer file by the library that defines them, so
+that both know the same version of Unicode; merging is done here.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from tideline.llm import text as tx
 
 #: An end-of-word symbol is its byte's character moved up by this much.
 END = 0x2000
-MAX_WORD_CACHE, MAX_PAIR_CACHE = 400_000, 1_000_000
-
-
-def byte_chars() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = iter(range(0x100, 0x200))
-    return [chr(b) if b in set(printable) else chr(next(other)) for b in range(256)]
+MAX_WORD_CACHE, MAX_PAIR_CACHE = 200_000, 1_000_000
 
 
 class Encoder:
@@ -44,11 +41,10 @@ class Encoder:
         self.names = {i: t for t, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names |= {i: t for t, i in self.special.items()}
-        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        # the file's \s is Unicode white space without the separators U+001C to U+001F
-        self.word = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        # the file's normaliser and splitter without its vocabulary
+        steps = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}))
+        self.normal, self.split = steps.normalizer, steps.pre_tokenizer
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.chars = byte_chars()
         inner = {t: (t[: -len(suffix) - 1] + chr(ord(t[-len(suffix) - 1]) + END) if t.endswith(suffix) and len(t) > len(suffix) else t) for t in model["vocab"]}
         self.matches = ahocorasick.Automaton()
         for t, i in model["vocab"].items():
@@ -63,6 +59,7 @@ class Encoder:
             self.parts[vocab[a + b]] = (r, vocab[a], vocab[b])
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, tuple[np.ndarray, bytes]] = {}
+        self.earlier: dict[str, tuple[np.ndarray, bytes]] = {}
 
     def spine(self, token: int, side: int) -> list[tuple[int, int, float]]:
         """The pieces of a token at its right (2) or left (1) edge: (piece, rank that makes it, rank that uses it up)."""
@@ -129,14 +126,16 @@ class Encoder:
         """Ids of a run without ASCII white space, and its tokens' texts joined by blanks."""
         if (known := self.known.get(run)) is None:
             if len(self.known) >= MAX_WORD_CACHE:
-                self.known.clear()
+                self.known, self.earlier = {}, self.known  # runs that are met again move over
+            if (known := self.earlier.get(run)) is not None:
+                self.known[run] = known
+                return known
             ids: list[int] = []
             for k, part in enumerate(self.cut.split(run) if self.cut else [run]):
                 if k % 2:
                     ids.append(self.special[part])
                     continue
-                for w in self.word.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()):
-                    s = "".join([self.chars[b] for b in w.encode("utf-8")])
+                for s, _ in self.split.pre_tokenize_str(self.normal.normalize_str(part)):
                     ids += self.encode_word(s[:-1] + chr(ord(s[-1]) + END))
             known = np.array(ids, np.uint32), self.decode(ids).encode("utf-8")
             self.known[run] = known
@@ -151,6 +150,12 @@ class Encoder:
         return " ".join([self.names[int(i)] for i in ids])
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a worker process, which keeps what it has learnt from one task to the next."""
+    return Encoder(path)
+
+
 def concat(parts: list[np.ndarray], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """parts[c] for each c in codes, one after another, and the length of each."""
     size = np.array([len(p) for p in parts], np.int64)
@@ -164,13 +169,13 @@ def concat(parts: list[np.ndarray], codes: np.ndarray) -> tuple[np.ndarray, np.n
 def encode(docs: DataFrame, path: str, column: str = "text", ids: bool = True, digests: bool = False) -> DataFrame:
     """docs with `token_ids` (ids=True), `n_tokens`, and with digests=True `ids_sha256` and `decoded_sha256`; columns of
     these names in docs are replaced. A null or empty text has no tokens. Rows stay where they are: nothing is shuffled,
-    and each task keeps at most MAX_WORD_CACHE words and a few MB of text."""
+    and each worker keeps at most twice MAX_WORD_CACHE words and a few MB of text."""
     new = [*(["token_ids array<int>"] * ids), "n_tokens bigint", *(["ids_sha256 string", "decoded_sha256 string"] * digests)]
     docs = docs.drop(*[x.split()[0] for x in new])
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for whole in batches:
             for batch in tx.pieces(whole, column):
                 w = tx.words(batch.column(column), lower=False)
@@ -198,7 +203,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields] + ["decoded string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             texts = [None if x is None else encoder.decode(x) for x in batch.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import balltree, bpe, chat, decontam, langid, linededup, lm, neardup, quality, toxicity
 from tideline.llm import text as tx
 
-#: Folder of public tokenizer files.
-TOKENIZERS = "/opt/tokenizers"
 #: The pattern that splits text before the merges of the rank files: a fixed value of those files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-WORD_BPE = os.path.join(TOKENIZERS, "word_bpe_49k.json")
-BYTE_RANKS = os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
