@@ -40,25 +40,89 @@ def test_word_splitting_matches_bytes_split():
         assert [vocab[c].encode() for c in w.codes[w.offsets[i] : w.offsets[i + 1]]] == words(t)
 
 
+ROWS = [(i, f"the w{i % 7} of The w{i % 5}\nand w{i}", "x", i) for i in range(60)]
+ROWS += [(60, None, "x", 1), (61, "", "x", 1), (None, "the the", "y", 1), (5, ROWS[5][1], "x", 5), (62, "z " * 20000, "x", 1)]
+
+
+def held(d):
+    return d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("lm")
+    spark.createDataFrame(ROWS, "doc_id bigint, text string, lang string, times int").repartition(3).write.parquet(str(path / "documents.parquet"))
+    return str(path)
+
+
 @pytest.mark.parametrize("frequent", [1 << 18, 3])
-def test_base_score_matches_brute_force(spark, tmp_path, frequent, monkeypatch):
-    rows = [(i, f"the w{i % 7} of The w{i % 5}\nand w{i}", "x", i) for i in range(60)]
-    rows += [(60, None, "x", 1), (61, "", "x", 1), (None, "the the", "y", 1), (5, rows[5][1], "x", 5), (62, "z " * 20000, "x", 1)]
-    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, times int").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
-    monkeypatch.setattr(lm.score, "__defaults__", (frequent,))
-    got = op5_lm(spark, str(tmp_path)).toPandas()
-    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+def test_base_score_matches_brute_force(spark, stored, frequent, monkeypatch):
+    monkeypatch.setattr(lm.probe, "__defaults__", (frequent,))
+    got = op5_lm(spark, stored).toPandas()
     c = Counter()
-    for d, t, *_ in rows:
+    for d, t, *_ in ROWS:
         if d is not None and not held(d):
             c.update([*words(t), None])
     n, v = sum(c.values()), len(c)
-    want = sorted((str(d), held(d), len(words(t)) + 1, sum(c[x] > 0 for x in [*words(t), None]), n, round(sum(log10((c[x] + 1) / (n + v + 1)) for x in [*words(t), None]), 6)) for d, t, *_ in rows)
+    want = sorted((str(d), held(d), len(words(t)) + 1, sum(c[x] > 0 for x in [*words(t), None]), n, round(sum(log10((c[x] + 1) / (n + v + 1)) for x in [*words(t), None]), 6)) for d, t, *_ in ROWS)
     have = sorted((str(None if pd.isna(r.doc_id) else int(r.doc_id)), bool(r.held_out), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got.itertuples())
     assert have == want
     assert (got.score <= 0).all() and np.isfinite(got.score).all()
 
 
+def middle(c):
+    j = c.bit_length() - 1
+    return (2**j + 2 ** (j + 1) - 1) / 2 if c else 0.0
+
+
+def by_hand(rows):
+    """(doc_id, score) of every row: exact counts at the middles of their levels, one weight for each level of the word
+    before, 25 rounds of expectation-maximisation over the tokens of the training rows one after another."""
+    tokens = [[*words(t), None] for _, t, *_ in rows]
+    learnt = [k for k, (d, *_) in enumerate(rows) if d is not None and not held(d)]
+    single, pair = Counter(), Counter()
+    for k in learnt:
+        single.update(tokens[k])
+        pair.update(zip([None, *tokens[k]], tokens[k]))
+    m, v = sum(middle(c) for c in single.values()), len(single)
+
+    def counts(before, own):
+        a, b, c = middle(single[before]), middle(single[own]), middle(pair[before, own])
+        return a, b, min(a, b, c)
+
+    weight = {}
+    for _ in range(25):
+        share, size = Counter(), Counter()
+        for k in learnt:
+            for before, own in zip([None, *tokens[k]], tokens[k]):
+                a, b, c = counts(before, own)
+                x = weight.get(a, 0.5) * max(c - 1, 0) / max(a - 1, 1)
+                y = (1 - weight.get(a, 0.5)) * max(b, 1) / (m + v + 1)
+                share[a] += x / (x + y)
+                size[a] += 1
+        weight = {a: min(max((share[a] + 1) / (size[a] + 4), 0.02), 0.98) for a in size}
+    out = []
+    for (d, *_), own in zip(rows, tokens):
+        total = 0.0
+        for before, now in zip([None, *own], own):
+            a, b, c = counts(before, now)
+            w = weight.get(a, 0.25) if a else 0.0
+            total += log10(w * c / max(a, 1) + (1 - w) * (b + 1) / (m + v + 1))
+        out.append((str(d), round(total, 4)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("max_bytes", [1 << 22, 1 << 9])
+def test_score_matches_brute_force_whether_or_not_the_filter_takes_all(spark, stored, max_bytes, monkeypatch):
+    """With 64 bits an entry the filter hardly errs. The small one leaves bigrams to the join."""
+    monkeypatch.setattr(lm.count, "__defaults__", (max_bytes, 64, 0))
+    docs = spark.read.parquet(f"{stored}/documents.parquet")
+    model, counts = lm.count(docs.where("doc_id is not null").where(~docs.doc_id.isin([d for d, *_ in ROWS if held(d)])))
+    assert (model.rare is None) == (max_bytes > 1 << 20) and (model.rare is None or model.rare.count() > 20)
+    got = op5_lm(spark, stored).toPandas()
+    assert sorted((str(None if pd.isna(r.doc_id) else int(r.doc_id)), round(r.score, 4)) for r in got.itertuples()) == by_hand(ROWS)
+
+
 def test_held_out_score_beats_base(spark):
     got = op5_lm(spark, "/root/testdata/sf0.001").toPandas()
     held = got[got.held_out]

@@ -2,7 +2,7 @@
 
 A key with count c is in at levels 1 to 1 + floor(log2 c); its count is read by probing level after level until one is
 missing. The bits lie in SEGMENTS equal segments chosen by a key's top bits, so that segments can be filled by separate
-tasks and their union is the filter. Size is a parameter, never a result of the data.
+tasks and their union is the filter.
 """
 
 from __future__ import annotations
@@ -89,12 +89,11 @@ def packed(keys: np.ndarray, counts: np.ndarray, bucket_bits: int) -> pa.RecordB
     bucket = (keys >> np.uint64(64 - bucket_bits)).astype(np.int64)
     new = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(keys) else np.zeros(0, np.int64)
     ends = np.append(new[1:], len(keys))[: len(new)]
-    counts = np.minimum(counts, 0xFFFFFFFF)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(bucket[new].astype(np.int32)),
-            pa.array([keys[a:b].astype("<u8").tobytes() for a, b in zip(new, ends)], pa.binary()),
-            pa.array([counts[a:b].astype("<u4").tobytes() for a, b in zip(new, ends)], pa.binary()),
+            pa.array([planes(keys[a:b].astype("<u8")) for a, b in zip(new, ends)], pa.binary()),
+            pa.array([planes(counts[a:b].astype("<u8")) for a, b in zip(new, ends)], pa.binary()),
         ],
         names=["bucket", "keys", "counts"],
     )
@@ -103,6 +102,53 @@ def packed(keys: np.ndarray, counts: np.ndarray, bucket_bits: int) -> pa.RecordB
 PACKED = "bucket int, keys binary, counts binary"
 
 
+def planes(x: np.ndarray) -> bytes:
+    """64-bit numbers as their first bytes, then their second ones, and so on: sorted keys and small counts then hold
+    long runs, which Spark's own compression of shuffled blocks takes out."""
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each bucket of sorted PACKED rows with its keys and their summed counts."""
+    now, held = None, []
+    for batch in batches:
+        for bucket, k, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if bucket != now:
+                if held:
+                    yield now, *_joined(held)
+                now, held = bucket, []
+            held.append((from_planes(k), from_planes(c).astype(np.int64)))
+            if len(held) >= 64:
+                held = [_joined(held)]
+    if held:
+        yield now, *_joined(held)
+
+
+def _joined(held: list) -> tuple[np.ndarray, np.ndarray]:
+    return merged(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+
+
+def dealt(parts: DataFrame) -> DataFrame:
+    return parts.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def below(parts: DataFrame, least: int) -> DataFrame:
+    """(key, level) of the keys that `build` leaves out, one row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, keys, counts in buckets(batches):
+            for a in range(0, len(keys), 1 << 18):
+                few = counts[a : a + (1 << 18)] < least
+                k, c = keys[a : a + (1 << 18)][few], counts[a : a + (1 << 18)][few]
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(levels(c).astype(np.int32))], names=["key", "level"])
+
+    return dealt(parts).mapInArrow(run, "key bigint, level int")
+
+
 def build(parts: DataFrame, bucket_bits: int, size: int, least: int) -> np.ndarray:
     """The filter of `size` bytes over PACKED rows, with the keys whose summed counts reach `least`.
 
@@ -112,8 +158,7 @@ def build(parts: DataFrame, bucket_bits: int, size: int, least: int) -> np.ndarr
     shift = bucket_bits - 8
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(bucket: int, held: list) -> pa.RecordBatch:
-            keys, counts = merged(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+        for bucket, keys, counts in buckets(batches):
             keys, counts = keys[counts >= least], counts[counts >= least]
             bits = np.zeros(segment_bytes * 8, bool)
             top = levels(counts)
@@ -121,20 +166,7 @@ def build(parts: DataFrame, bucket_bits: int, size: int, least: int) -> np.ndarr
                 for spot in spots(keys[top >= j], j, segment_bytes * 8):
                     bits[spot] = True
             raw = np.packbits(bits, bitorder="little").tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([bucket >> shift], pa.int32()), pa.array([raw], pa.binary())], names=["segment", "bits"])
-
-        now, held = None, []
-        for batch in batches:
-            for bucket, k, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if bucket != now:
-                    if held:
-                        yield done(now, held)
-                    now, held = bucket, []
-                held.append((np.frombuffer(k, "<u8"), np.frombuffer(c, "<u4").astype(np.int64)))
-                if len(held) >= 64:
-                    held = [merged(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))]
-        if held:
-            yield done(now, held)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket >> shift], pa.int32()), pa.array([raw], pa.binary())], names=["segment", "bits"])
 
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, bits = None, None
@@ -149,7 +181,7 @@ def build(parts: DataFrame, bucket_bits: int, size: int, least: int) -> np.ndarr
         if now is not None:
             yield row()
 
-    filled = parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(fill, "segment int, bits binary")
+    filled = dealt(parts).mapInArrow(fill, "segment int, bits binary")
     if shift:
         filled = filled.repartition("segment").sortWithinPartitions("segment").mapInArrow(union, "segment int, bits binary")
     raw = np.zeros(segment_bytes * SEGMENTS, np.uint8)

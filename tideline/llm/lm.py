@@ -1,11 +1,15 @@
 """Scoring with a bigram model whose counts lie in a log-frequency Bloom filter.
 
 The counts of all training words and bigrams are added up over the cluster and put, on a logarithmic scale, into one
-filter of bounded size that every worker gets. A token's probability mixes the bigram's relative frequency with the
-word's own; the weight depends on how often the word before was seen and is fitted by leave-one-out on a bounded sample.
+filter that every worker gets. A token's probability mixes the bigram's relative frequency with the word's own; the
+weight depends on how often the word before was seen and is fitted by leave-one-out over all training tokens.
 
-If a filter of `max_bytes` cannot take all bigrams at `bits_per_entry`, those below the least count that fits are left
-out. That count follows from a sample of bigrams by hash, at any size of input by the same rule.
+A token's probability depends on three levels only: of the word before, of the word and of both together. One pass probes
+the filter and leaves for every text how often each combination of levels (a cell) occurs. The cells of the training
+texts give the weights, and each text's own cells give its score.
+
+The filter grows with the corpus. Where its bigrams would take more than `max_bytes`, it holds those from the least count
+on that fits (from a sample of bigrams by hash), and the rarer ones are looked up by a join: none is left out.
 """
 
 from __future__ import annotations
@@ -31,10 +35,11 @@ MAX_BYTES = 112 << 20
 BITS_PER_ENTRY = 7
 #: Words whose exact counts every worker holds; the counts of all others are joined.
 FREQUENT = 1 << 18
-FLUSH = 3_000_000
-#: Documents, and code points of each, that mixture weights are fitted on.
-FIT_DOCS, FIT_CHARS = 300, 20_000
-CLASSES = 48
+FLUSH = 2_000_000
+#: Levels of a count: a cell's number is (level of the word before * CLASSES + level of the word) * CLASSES + level of both.
+CLASSES = 64
+#: Bits of a packed cell that hold its number; the rest hold how often it occurs, over several entries if need be.
+CELL_BITS = 18
 
 
 def word_hashes(vocab: pa.Array) -> np.ndarray:
@@ -59,8 +64,8 @@ def pair_keys(before: np.ndarray, now: np.ndarray) -> np.ndarray:
         return bloom.mix(bloom.mix(before) * np.uint64(3) + now)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c): c of each word, of the end (an empty word), and of the bigrams whose key ends in SAMPLE_BITS zeros (a
+def word_counts(docs: DataFrame, sample_bits: int = SAMPLE_BITS) -> DataFrame:
+    """(word, c): c of each word, of the end (an empty word), and of the bigrams whose key ends in sample_bits zeros (a
     blank and eight bytes). Counted within each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +82,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 total[b""] = total.get(b"", 0) + batch.num_rows
                 now, before, _ = token_hashes(w)
                 keys = pair_keys(before, now)
-                for k in keys[keys & np.uint64((1 << SAMPLE_BITS) - 1) == 0].tolist():
+                for k in keys[keys & np.uint64((1 << sample_bits) - 1) == 0].tolist():
                     x = b" " + k.to_bytes(8, "little")
                     total[x] = total.get(x, 0) + 1
                 if len(total) > FLUSH // 6:
@@ -120,47 +125,41 @@ def word_parts(counts: DataFrame, bucket_bits: int) -> DataFrame:
 
 
 class Model:
-    """Probabilities from a filter; n, v: training tokens and distinct ones; mass: the words' counts in the filter."""
-
-    def __init__(self, raw: np.ndarray, n: int, v: int, mass: float, weights: np.ndarray):
-        self.filter, self.n, self.v, self.mass, self.weights = bloom.Filter(raw), n, v, mass, weights
-
-    def counts(self, w: tx.Words) -> tuple[np.ndarray, ...]:
-        """Per token the counts of itself, of the token before and of both; and where texts begin."""
-        now, before, offsets = token_hashes(w)
-        own = self.filter.count(bloom.mix(np.append(word_hashes(w.vocab), STOP) ^ UNIGRAM))
-        alone = np.full(len(now), own[-1])
-        if len(w.codes):
-            alone[np.arange(len(w.codes)) + w.rows()] = own[w.codes]
-        context = np.empty_like(alone)
-        context[1:] = alone[:-1]
-        context[offsets[:-1]] = own[-1]  # a text begins as often as one ends
-        both = np.where(context > 0, self.filter.count(pair_keys(before, now)), 0)
-        return alone, context, np.minimum(both, np.minimum(context, alone)), offsets
-
-    def scores(self, w: tx.Words) -> np.ndarray:
-        alone, context, both, offsets = self.counts(w)
-        weight = self.weights[bloom.levels(context)] * (context > 0)
-        p = weight * both / np.maximum(context, 1) + (1 - weight) * (alone + 1) / (self.mass + self.v + 1)
-        return tx.sums(np.log10(p), offsets)
-
-    def fit(self, w: tx.Words, rounds: int = 25) -> None:
-        """Weights by expectation-maximisation, each token's own occurrence taken out of the counts."""
-        alone, context, both, _ = self.counts(w)
-        seen = context > 0
-        pair = np.maximum(both - 1, 0)[seen] / np.maximum(context[seen] - 1, 1)
-        single = np.maximum(alone, 1)[seen] / (self.mass + self.v + 1)
-        k = bloom.levels(context[seen])
-        size = np.bincount(k, minlength=CLASSES)
+    """n, v: training tokens and distinct ones; mass: the words' counts as the filter gives them back; least: the count
+    from which on bigrams are in the filter; rare: (key, level) of the other bigrams, or None."""
+
+    def __init__(self, raw: np.ndarray, n: int, v: int, mass: float, least: int = 1, rare: DataFrame | None = None):
+        self.raw, self.n, self.v, self.mass, self.least, self.rare = raw, n, v, mass, least, rare
+        self.weights = np.full(CLASSES, 0.5)
+
+    def singles(self) -> np.ndarray:
+        """Probability of a word of each level by its own count."""
+        return (bloom.MIDDLE + 1) / (self.mass + self.v + 1)
+
+    def log_probabilities(self) -> np.ndarray:
+        """log10 of a token's probability in each cell."""
+        before, own, both = np.meshgrid(*[bloom.MIDDLE] * 3, indexing="ij")
+        weight = np.where(before > 0, self.weights[:, None, None], 0.0)
+        return np.log10(weight * both / np.maximum(before, 1) + (1 - weight) * self.singles()[None, :, None]).ravel()
+
+    def fit(self, cells: np.ndarray, counts: np.ndarray, rounds: int = 25) -> None:
+        """Weights by expectation-maximisation over all tokens of the cells, each token's own occurrence taken out."""
+        before, own, both = cells // CLASSES**2, cells // CLASSES % CLASSES, cells % CLASSES
+        seen = before > 0
+        before, own, both, counts = before[seen], own[seen], both[seen], counts[seen]
+        pair = np.maximum(bloom.MIDDLE[both] - 1, 0) / np.maximum(bloom.MIDDLE[before] - 1, 1)
+        single = np.maximum(bloom.MIDDLE[own], 1) / (self.mass + self.v + 1)
+        size = np.bincount(before, counts, CLASSES)
         for _ in range(rounds):
-            part = self.weights[k] * pair
-            share = np.bincount(k, part / (part + (1 - self.weights[k]) * single), CLASSES)
+            part = self.weights[before] * pair
+            share = np.bincount(before, counts * part / (part + (1 - self.weights[before]) * single), CLASSES)
             self.weights = np.clip((share + 1) / (size + 4), 0.02, 0.98)
 
 
-def train(docs: DataFrame, max_bytes: int = MAX_BYTES, bits_per_entry: int = BITS_PER_ENTRY) -> tuple[Model, DataFrame]:
-    """The model of docs' texts and their exact word counts (word, c)."""
-    all_counts = cut(word_counts(docs))
+def count(docs: DataFrame, max_bytes: int = MAX_BYTES, bits_per_entry: int = BITS_PER_ENTRY, sample_bits: int = SAMPLE_BITS) -> tuple[Model, DataFrame]:
+    """The model of docs' texts, weights not fitted yet, and their exact word counts (word, c). Null and empty texts hold
+    the end token only, repeated rows count again, and an empty table gives an empty model."""
+    all_counts = cut(word_counts(docs, sample_bits))
     is_word = F.substring("word", 1, 1) != F.lit(b" ")
     counts = all_counts.where(is_word)
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -169,85 +168,163 @@ def train(docs: DataFrame, max_bytes: int = MAX_BYTES, bits_per_entry: int = BIT
     # words' counts as the filter gives them back sum to `mass`, so that word probabilities sum to one
     words_in, mass = counts.agg(F.coalesce(F.sum(top + 1), F.lit(0)), F.coalesce(F.sum((3 * F.pow(F.lit(2.0), top) - 1) / 2), F.lit(0.0))).first()
     room, j = 8 * max_bytes / bits_per_entry, 0
-    needed = lambda j: words_in + (1 << SAMPLE_BITS) * sum((k + 1) * c for k, c in sampled.items() if k >= j)
-    while j < 62 and needed(j) > room:
+    pairs_in = lambda j: (1 << sample_bits) * sum((k + 1) * c for k, c in sampled.items() if k >= j)
+    while pairs_in(j) > room:
         j += 1
     unit = 8 * bloom.SEGMENTS
-    size = min(max_bytes, max(1 << 16, int(needed(j) * bits_per_entry / 8))) // unit * unit
+    size = max(1 << 16, int((words_in + pairs_in(j)) * bits_per_entry / 8)) // unit * unit
     bucket_bits = max(8, int(np.ceil(np.log2(max(n, 1) / (1 << 19)))))
     parts = bigram_parts(docs, bucket_bits)
     raw = bloom.build(parts, bucket_bits, size, 1 << j)
     raw |= bloom.build(word_parts(counts, bucket_bits), bucket_bits, size, 1)
-    model = Model(raw, n, v, mass, np.full(CLASSES, 0.5))
-    sample = docs.where(F.length("text") <= FIT_CHARS).orderBy(F.xxhash64("doc_id", F.lit(5))).limit(FIT_DOCS).select("text").toArrow()
-    if sample.num_rows:
-        model.fit(tx.words(sample.column("text").combine_chunks()))
-    return model, counts
+    return Model(raw, n, v, mass, 1 << j, cut(bloom.below(parts, 1 << j)) if j else None), counts
+
+
+PROBED = "id bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, cells binary, rare array<binary>, times array<bigint>, open array<bigint>, open_cells array<int>"
+
+
+def grouped(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values of each row, how often each occurs, and where the rows' runs begin."""
+    unit = int(value.max(initial=0)) + 1
+    both, times = np.unique(row * unit + value, return_counts=True)
+    return both % unit, times, np.searchsorted(both, np.arange(rows + 1) * unit)
+
+
+def packed_cells(row: np.ndarray, cell: np.ndarray, rows: int) -> list[bytes]:
+    value, times, starts = grouped(row, cell, rows)
+    most = (1 << (32 - CELL_BITS)) - 1
+    copies = -(-times // most)
+    value, left = np.repeat(value, copies), np.repeat(times, copies)
+    at = np.arange(len(value)) - np.repeat(np.cumsum(copies) - copies, copies)
+    entry = (value | np.minimum(left - at * most, most) << CELL_BITS).astype("<u4")
+    starts = np.append(0, np.cumsum(copies))[starts]
+    return [entry[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, held_out: Column, frequent: int = FREQUENT) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+def unpacked(cells: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers and counts of all rows' cells one after another, and where the rows' runs begin."""
+    cells = cells.combine_chunks() if isinstance(cells, pa.ChunkedArray) else cells
+    sizes = np.array([len(x) // 4 for x in cells.to_pylist()], np.int64)
+    entry = np.frombuffer(b"".join(cells.to_pylist()), "<u4").astype(np.int64)
+    return entry & ((1 << CELL_BITS) - 1), entry >> CELL_BITS, np.append(0, np.cumsum(sizes))
 
-    Exact counts of the at most `frequent` most common words go with the tasks; a document's other words are joined with
-    their counts, one row for each word and document. Null and empty texts hold the end token only."""
+
+def probe(docs: DataFrame, model: Model, counts: DataFrame, held_out: Column, frequent: int = FREQUENT) -> DataFrame:
+    """PROBED rows, one for each row of docs, written to the checkpoint folder: the one pass over texts and filter.
+
+    Exact counts of the at most `frequent` most common words go with the tasks and are in n_known and base; the others
+    are named in rare. open holds the keys of bigrams that the filter may lack, one for each token, open_cells the
+    tokens' cells without the last level; such tokens are not in cells."""
     spark = docs.sparkSession
     powers = counts.groupBy(F.floor(F.log2("c")).cast("int").alias("j")).agg(F.count("*").alias("k")).collect()
-    least = next((1 << j for j in range(63) if sum(r.k for r in powers if r.j >= j) <= frequent), 1 << 62)
-    held = counts.where((F.col("c") >= least) | (F.length("word") == 0)).toArrow()
+    floor = next((1 << j for j in range(63) if sum(r.k for r in powers if r.j >= j) <= frequent), 1 << 62)
+    held = counts.where((F.col("c") >= floor) | (F.length("word") == 0)).toArrow()
     common = spark.sparkContext.broadcast(dict(zip(held.column("word").to_pylist(), held.column("c").to_pylist())))
-    raw, n, v, mass, weights = spark.sparkContext.broadcast(model.filter.raw), model.n, model.v, model.mass, model.weights
-    unit = float(np.log10(n + v + 1))
+    raw, unit, least = spark.sparkContext.broadcast(model.raw), float(np.log10(model.n + model.v + 1)), model.least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, top = Model(raw.value, n, v, mass, weights), common.value
+        kept, top = bloom.Filter(raw.value), common.value
         row = TaskContext.get().partitionId() << 40
         for whole in batches:
-            for batch in tx.pieces(whole):
+            for batch in tx.pieces(whole, limit=tx.PIECE_BYTES // 2):
                 w = tx.words(batch.column("text"))
-                vocab = w.vocab.cast(pa.binary()).to_pylist()
-                c = np.array([top.get(x, -1) for x in vocab] or [0], np.int64)
+                vocab, rows = w.vocab.cast(pa.binary()), batch.num_rows
+                now, before, offsets = token_hashes(w)
+                of = np.repeat(np.arange(rows), np.diff(offsets))
+                words_level = kept.level(bloom.mix(np.append(word_hashes(w.vocab), STOP) ^ UNIGRAM))
+                own = np.full(len(now), words_level[-1])
+                if len(w.codes):
+                    own[np.arange(len(w.codes)) + w.rows()] = words_level[w.codes]
+                context = np.empty_like(own)
+                context[1:] = own[:-1]
+                context[offsets[:-1]] = words_level[-1]  # a text begins as often as one ends
+                key = pair_keys(before, now)
+                both = np.zeros_like(own)
+                both[context > 0] = kept.level(key[context > 0])
+                both = np.minimum(both, np.minimum(context, own))
+                cell = (context * CLASSES + own) * CLASSES + both
+                is_open = (both == 0) & (context > 0) & (own > 0) if least > 1 else np.zeros(len(key), bool)
+                open_starts = np.append(0, np.cumsum(is_open))[offsets].astype(np.int32)
+
+                c = np.array([top.get(x, -1) for x in vocab.to_pylist()] or [0], np.int64)
                 per = c[w.codes] if len(w.codes) else np.zeros(0, np.int64)
                 end = top.get(b"", 0)
                 base = tx.sums(np.log10(np.maximum(per, 0) + 1), w.offsets) + np.log10(end + 1) - unit * (w.counts + 1)
                 known = tx.sums((per > 0).astype(float), w.offsets).astype(np.int64) + (end > 0)
-                ids = row + np.arange(batch.num_rows)
+                word, times, starts = grouped(w.rows()[per < 0], w.codes[per < 0], rows)
+                starts = pa.array(starts.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids), pa.array([b" " + int(i).to_bytes(8, "little") for i in ids], pa.binary()), pa.nulls(len(ids), pa.int64()),
-                        batch.column("doc_id"), batch.column("held_out"), pa.array(w.counts + 1), pa.array(known), pa.array(base), pa.array(own.scores(w)),
+                        pa.array(row + np.arange(rows)), batch.column("doc_id"), batch.column("held_out"), pa.array(w.counts + 1), pa.array(known), pa.array(base),
+                        pa.array(packed_cells(of[~is_open], cell[~is_open], rows), pa.binary()),
+                        pa.ListArray.from_arrays(starts, vocab.take(pa.array(word))), pa.ListArray.from_arrays(starts, pa.array(times)),
+                        pa.ListArray.from_arrays(pa.array(open_starts), pa.array(key[is_open].view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(open_starts), pa.array(cell[is_open].astype(np.int32))),
                     ],
-                    names=NAMES,
+                    names=[x.split()[0] for x in PROBED.split(", ")],
                 )
-                rare = np.flatnonzero(per < 0)
-                pair, times = np.unique(w.rows()[rare] * max(len(vocab), 1) + w.codes[rare], return_counts=True)
-                for a in range(0, len(pair), 200_000):
-                    some, k = pair[a : a + 200_000], len(pair[a : a + 200_000])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(row + some // len(vocab)), w.vocab.cast(pa.binary()).take(pa.array(some % len(vocab))), pa.array(times[a : a + 200_000]),
-                            *[pa.nulls(k, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())],
-                        ],
-                        names=NAMES,
-                    )
-                row += batch.num_rows
+                row += rows
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out.alias("held_out"), "text")
-    rows = own.mapInArrow(run, "id bigint, word binary, times bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double")
-    rest = counts.where(F.col("c") < least)
-    joined = rows.join(rest, "word", "left")
-    return (
-        joined.groupBy("id")
-        .agg(
-            F.max("doc_id").alias("doc_id"),
-            F.max("held_out").alias("held_out"),
-            F.max("n_tokens").alias("n_tokens"),
-            (F.max("n_known") + F.coalesce(F.sum(F.when(F.col("c") > 0, F.col("times"))), F.lit(0))).alias("n_known"),
-            F.lit(int(n)).cast("bigint").alias("train_tokens"),
-            (F.max("base") + F.coalesce(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)), F.lit(0.0))).alias("base_score"),
-            F.max("score").alias("score"),
-        )
-        .drop("id")
-    )
-
-
-NAMES = ["id", "word", "times", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
+    return cut(own.mapInArrow(run, PROBED))
+
+
+def closed(probed: DataFrame, model: Model) -> DataFrame | None:
+    """(id, held_out, doc_id, cell) of each open token, its bigram looked up; None if there are none by design."""
+    if model.rare is None:
+        return None
+    tokens = probed.select("id", "held_out", "doc_id", F.explode(F.arrays_zip("open", "open_cells")).alias("x")).select("id", "held_out", "doc_id", F.col("x.open").alias("key"), F.col("x.open_cells").alias("cell"))
+    own, before = (F.col("cell") / CLASSES).cast("int") % CLASSES, (F.col("cell") / CLASSES**2).cast("int")
+    found = F.least(F.coalesce("level", F.lit(0)), own, before)
+    return tokens.join(model.rare, "key", "left").select("id", "held_out", "doc_id", (F.col("cell") + found).alias("cell"))
+
+
+def fit(model: Model, probed: DataFrame) -> Model:
+    """The model with weights from all texts that are not held out and have a doc_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES**3, np.int64)
+        for batch in batches:
+            cell, times, _ = unpacked(batch.column("cells"))
+            total += np.bincount(cell, times, CLASSES**3).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+
+    learnt = "not held_out and doc_id is not null"
+    cells, rest = probed.where(learnt).select("cells").mapInArrow(run, "cell int, n bigint"), closed(probed.where(learnt), model)
+    if rest is not None:
+        cells = cells.unionByName(rest.groupBy("cell").agg(F.count("*").alias("n")))
+    table = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    model.fit(table.column("cell").to_numpy().astype(np.int64), table.column("n").to_numpy().astype(np.float64))
+    return model
+
+
+def score(probed: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """One row per probed row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. A text's rare words
+    are joined with their counts, one row for each word and document."""
+    sent = probed.sparkSession.sparkContext.broadcast(model.log_probabilities())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, times, starts = unpacked(batch.column("cells"))
+            yield batch.drop_columns(["cells"]).append_column("score", pa.array(tx.sums(sent.value[cell] * times, starts)))
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sent.value[batch.column("cell").to_numpy()])], names=["id", "more"])
+
+    rows = probed.drop("rare", "times", "open", "open_cells").mapInArrow(run, "id bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double")
+    words = probed.select("id", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("id", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    more = words.join(counts, "word").groupBy("id").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("weight"), F.lit(0.0).alias("more"))
+    rest = closed(probed, model)
+    if rest is not None:
+        pairs = rest.select("id", "cell").mapInArrow(single, "id bigint, more double").groupBy("id").agg(F.sum("more").alias("more"))
+        more = more.unionByName(pairs.select("id", F.lit(0).cast("bigint").alias("known"), F.lit(0.0).alias("weight"), "more"))
+        more = more.groupBy("id").agg(F.sum("known").alias("known"), F.sum("weight").alias("weight"), F.sum("more").alias("more"))
+    return rows.join(more, "id", "left").select(
+        "doc_id", "held_out", "n_tokens",
+        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        F.lit(int(model.n)).cast("bigint").alias("train_tokens"),
+        (F.col("base") + F.coalesce("weight", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
+    )

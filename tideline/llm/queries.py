@@ -45,8 +45,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(tx.remainder(F.col("doc_id"), 7) == 2, F.lit(False))
-    model, counts = lm.train(docs.where("doc_id is not null").where(~held_out))
-    return lm.score(docs, model, counts, held_out)
+    model, counts = lm.count(docs.where("doc_id is not null").where(~held_out))
+    probed = lm.probe(docs, model, counts, held_out)
+    return lm.score(probed, lm.fit(model, probed), counts)
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
