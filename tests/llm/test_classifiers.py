@@ -36,13 +36,91 @@ def test_quality_is_learnt_and_every_row_scored(spark, tmp_path):
     assert kept.count() == (quality.score(spark.read.parquet(str(tmp_path / "documents.parquet")), model).toPandas().predicted == 1).sum()
 
 
-def test_quality_views_learn_from_each_other():
+def made_up(n=120, known=12):
+    """Texts of two kinds with a telling source, the first few of them labelled: docs, labels and every row's kind."""
     r = random.Random(1)
-    texts = [" ".join(r.choice(["good", "fine", "well"] if k % 2 else ["BAD!!", "x%%", "y##"]) for _ in range(30)) for k in range(120)]
-    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(120)), "text": texts, "source": ["a"] * 120})
-    y = np.array([k % 2 if k < 12 else -1 for k in range(120)])
-    scores = quality.co_train(batch, y).scores(batch)
-    assert ((scores[0] > 0.5) == np.arange(120) % 2).mean() > 0.97
+    docs = [(k, " ".join(r.choice(["good", "fine", "well"] if k % 2 else ["BAD!!", "x%%", "y##"]) for _ in range(30)), "ab"[k % 2]) for k in range(n)]
+    return docs, [(k, k % 2, 0) for k in range(known)], np.arange(n) % 2
+
+
+def test_quality_views_learn_from_each_other(spark):
+    docs, labels, kind = made_up()
+    docs = spark.createDataFrame([*docs, (3, docs[3][1], "b"), (None, docs[5][1], None), (7, "another text", "b")], "doc_id bigint, text string, source string")
+    model = quality.train(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), added=10)
+    rows = quality.score(docs.where("doc_id is not null and text <> 'another text'").dropDuplicates(["doc_id"]), model).orderBy("doc_id").toPandas()
+    assert (rows.predicted == kind).mean() > 0.97
+
+
+def test_quality_pool_is_every_row_without_a_label(spark):
+    """What is picked is what sorting all rows by hand gives, in the first round and in the second."""
+    docs, labels, _ = made_up(90)
+    docs += [(500, docs[50][1], "a"), (None, "no id", "b"), (501, None, None)]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string, source string").repartition(3)
+    seen = quality.features(docs)
+    known = spark.createDataFrame([(k, y) for k, y, _ in labels], "doc_id bigint, _y int")
+    everything = seen.where("doc_id is not null").orderBy("doc_id").toArrow()
+    rows, ids, hashes = quality.Rows.of(everything), everything.column("doc_id").to_pylist(), everything.column("text_hash").to_pylist()
+    some = rows.take(np.arange(12))
+    content, page = quality.Content.fit(some, np.arange(12) % 2), quality.Page.fit(some, np.arange(12) % 2)
+    assert page.logits(rows).shape == (len(ids),)
+    pick, used = quality.picker(seen, known), set()
+    for _ in range(2):
+        free = [i for i in range(len(ids)) if ids[i] > 11 and hashes[i] not in used and hashes[i] not in [hashes[j] for j in range(i) if ids[j] > 11]]
+        want = {}
+        for teacher, view in enumerate((content, page)):
+            v = view.logits(rows)
+            want[1 - teacher, 0] = sorted((i for i in free if v[i] < 0), key=lambda i: (v[i], hashes[i]))[:4]
+            want[1 - teacher, 1] = sorted((i for i in free if v[i] > 0), key=lambda i: (-v[i], hashes[i]))[:7]
+        got = {(learner, label): x for learner, label, x in pick(content, page, 4, 7)}
+        used |= {hashes[i] for own in want.values() for i in own}
+        for k, own in want.items():
+            assert np.allclose(got[k].page, rows.take(np.array(own, int)).page) and got[k].cells.tolist() == rows.take(np.array(own, int)).cells.tolist()
+
+
+def test_quality_content_learns_as_a_dense_model_does():
+    r = np.random.default_rng(1)
+    texts = [" ".join(r.choice(["a", "B", "c9", "d.", "e"], 1 + k % 9)) for k in range(50)] + ["", None]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    x, y = quality.Rows.read(batch), (np.arange(52) % 3 == 0).astype(float)
+    dense = np.zeros((52, quality.BUCKETS))
+    for i, t in enumerate(texts):
+        for word in (t or "").split():
+            for b in quality.word_features(pa.array([word]))[0]:
+                dense[i, b] += 1 / len(t.split())
+    w, bias, past, bias_past = np.zeros(quality.BUCKETS), 0.0, np.full(quality.BUCKETS, 1e-8), 1e-8
+    shuffle = np.random.default_rng(1)
+    for _ in range(2):
+        order = shuffle.permutation(52)
+        for a in range(0, 52, 32):
+            own = order[a : a + 32]
+            err = (1 / (1 + np.exp(-(dense[own] @ w + bias))) - y[own]) / len(own)
+            grad = dense[own].T @ err
+            past += grad**2
+            w -= 0.2 * grad / np.sqrt(past)
+            bias_past += err.sum() ** 2
+            bias -= 0.05 * err.sum() / np.sqrt(bias_past)
+    model = quality.Content.fit(x, y, epochs=2)
+    assert np.allclose(model.logits(x), dense @ w + bias)
+
+
+def test_quality_layout_matches_counting_characters():
+    texts = ["Ab1 c\n\nAb1 c\n!!", "", None, "É é \u00a0 9%", " \n "]
+    got = quality.Rows.read(pa.RecordBatch.from_pydict({"text": texts, "lang": ["x"] * 5})).page
+    for t, row in zip(texts, got):
+        t = t or ""
+        n, ws, ls = max(len(t), 1), t.split(), t.split("\n")
+        kinds = [sum(c.isupper() for c in t), sum(c.islower() for c in t), sum(c.isnumeric() for c in t), sum(c in "#$%&*<>|{}=_/\\" for c in t), sum(c in "!?" for c in t), sum(c in ".,;:" for c in t)]
+        ws = [w for w in t.encode().split()]
+        want = [np.log(n), np.log(len(ls)), np.log(max(len(ws), 1)), n / max(len(ws), 1) / 10, max(len(ws), 1) / len(ls) / 50, len(set(ws)) / max(len(ws), 1), 1 - len(set(ls)) / len(ls), not ws, *[k / n for k in kinds]]
+        assert np.allclose(row[: quality.LAYOUT], want, atol=1e-6)
+
+
+def test_combined_quality_counts_the_prior_once():
+    """Two views that know nothing give the labels' own share."""
+    rows = quality.Rows.read(pa.RecordBatch.from_pydict({"text": ["same"] * 400}))
+    y = np.random.default_rng(2).integers(0, 2, 400)
+    model = quality.co_train(rows, y, (100, 900), lambda *_: [])
+    assert all(abs(s - 0.9) < 0.01 for s in [x[0] for x in model.scores(rows)])
 
 
 def test_toxicity_held_out(spark, tmp_path):

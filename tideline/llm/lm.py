@@ -183,32 +183,6 @@ def count(docs: DataFrame, max_bytes: int = MAX_BYTES, bits_per_entry: int = BIT
 PROBED = "id bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, cells binary, rare array<binary>, times array<bigint>, open array<bigint>, open_cells array<int>"
 
 
-def grouped(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values of each row, how often each occurs, and where the rows' runs begin."""
-    unit = int(value.max(initial=0)) + 1
-    both, times = np.unique(row * unit + value, return_counts=True)
-    return both % unit, times, np.searchsorted(both, np.arange(rows + 1) * unit)
-
-
-def packed_cells(row: np.ndarray, cell: np.ndarray, rows: int) -> list[bytes]:
-    value, times, starts = grouped(row, cell, rows)
-    most = (1 << (32 - CELL_BITS)) - 1
-    copies = -(-times // most)
-    value, left = np.repeat(value, copies), np.repeat(times, copies)
-    at = np.arange(len(value)) - np.repeat(np.cumsum(copies) - copies, copies)
-    entry = (value | np.minimum(left - at * most, most) << CELL_BITS).astype("<u4")
-    starts = np.append(0, np.cumsum(copies))[starts]
-    return [entry[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
-
-
-def unpacked(cells: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers and counts of all rows' cells one after another, and where the rows' runs begin."""
-    cells = cells.combine_chunks() if isinstance(cells, pa.ChunkedArray) else cells
-    sizes = np.array([len(x) // 4 for x in cells.to_pylist()], np.int64)
-    entry = np.frombuffer(b"".join(cells.to_pylist()), "<u4").astype(np.int64)
-    return entry & ((1 << CELL_BITS) - 1), entry >> CELL_BITS, np.append(0, np.cumsum(sizes))
-
-
 def probe(docs: DataFrame, model: Model, counts: DataFrame, held_out: Column, frequent: int = FREQUENT) -> DataFrame:
     """PROBED rows, one for each row of docs, written to the checkpoint folder: the one pass over texts and filter.
 
@@ -251,12 +225,12 @@ def probe(docs: DataFrame, model: Model, counts: DataFrame, held_out: Column, fr
                 end = top.get(b"", 0)
                 base = tx.sums(np.log10(np.maximum(per, 0) + 1), w.offsets) + np.log10(end + 1) - unit * (w.counts + 1)
                 known = tx.sums((per > 0).astype(float), w.offsets).astype(np.int64) + (end > 0)
-                word, times, starts = grouped(w.rows()[per < 0], w.codes[per < 0], rows)
+                word, times, starts = tx.grouped(w.rows()[per < 0], w.codes[per < 0], rows)
                 starts = pa.array(starts.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row + np.arange(rows)), batch.column("doc_id"), batch.column("held_out"), pa.array(w.counts + 1), pa.array(known), pa.array(base),
-                        pa.array(packed_cells(of[~is_open], cell[~is_open], rows), pa.binary()),
+                        pa.array(tx.packed(*tx.grouped(of[~is_open], cell[~is_open], rows), CELL_BITS), pa.binary()),
                         pa.ListArray.from_arrays(starts, vocab.take(pa.array(word))), pa.ListArray.from_arrays(starts, pa.array(times)),
                         pa.ListArray.from_arrays(pa.array(open_starts), pa.array(key[is_open].view(np.int64))),
                         pa.ListArray.from_arrays(pa.array(open_starts), pa.array(cell[is_open].astype(np.int32))),
@@ -285,7 +259,7 @@ def fit(model: Model, probed: DataFrame) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES**3, np.int64)
         for batch in batches:
-            cell, times, _ = unpacked(batch.column("cells"))
+            cell, times, _ = tx.unpacked(batch.column("cells"), CELL_BITS)
             total += np.bincount(cell, times, CLASSES**3).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
@@ -306,7 +280,7 @@ def score(probed: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell, times, starts = unpacked(batch.column("cells"))
+            cell, times, starts = tx.unpacked(batch.column("cells"), CELL_BITS)
             yield batch.drop_columns(["cells"]).append_column("score", pa.array(tx.sums(sent.value[cell] * times, starts)))
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,9 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    scored = quality.score(docs.select(*quality.columns(docs)), quality.train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", *quality.SCORES, "predicted")
+    seen = quality.features(table(spark, sf_dir, "documents"))
+    return quality.score_features(seen, quality.learn(seen, table(spark, sf_dir, "labels"))).select("doc_id", *quality.SCORES, "predicted")
 
 
 def op2_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,6 +67,32 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def grouped(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values (whole numbers from 0 on) of each row, how often each occurs, and where the rows' runs begin."""
+    unit = int(value.max(initial=0)) + 1
+    both, times = np.unique(row * unit + value, return_counts=True)
+    return both % unit, times, np.searchsorted(both, np.arange(rows + 1) * unit)
+
+
+def packed(value: np.ndarray, times: np.ndarray, starts: np.ndarray, bits: int) -> list[bytes]:
+    """Rows of `grouped` values as 32-bit entries: a value in the lower `bits`, and how often it occurs in the others (over
+    several entries if need be)."""
+    most = (1 << (32 - bits)) - 1
+    copies = -(-times // most)
+    value, left = np.repeat(value, copies), np.repeat(times, copies)
+    at = np.arange(len(value)) - np.repeat(np.cumsum(copies) - copies, copies)
+    entry = (value | np.minimum(left - at * most, most) << bits).astype("<u4")
+    starts = np.append(0, np.cumsum(copies))[starts]
+    return [entry[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+
+
+def unpacked(rows: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values and times of `packed` rows one after another, and where the rows' runs begin."""
+    raw = rows.to_pylist()
+    entry = np.frombuffer(b"".join(raw), "<u4").astype(np.int64)
+    return entry & ((1 << bits) - 1), entry >> bits, np.append(0, np.cumsum(np.array([len(x) // 4 for x in raw], np.int64)))
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string")) % n
