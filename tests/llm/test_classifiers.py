@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -136,7 +137,7 @@ def test_toxicity_pooling_matches_direct_convolution():
     r = np.random.default_rng(2)
     texts = ["a b c d", "", None, "b", "c a c a b " * 20]
     w = tx.words(pa.array(texts))
-    net = toxicity.Network.fresh(3)
+    net = toxicity.Network.fresh(langid.Model([], np.zeros((0, 0))), 3)
     vectors = np.concatenate([r.normal(size=(len(w.vocab), toxicity.DIM)), np.zeros((1, toxicity.DIM))])
     codes, offsets = toxicity.padded(w.codes, w.offsets)
     got = net.responses(vectors, codes, offsets)
@@ -149,6 +150,145 @@ def test_toxicity_pooling_matches_direct_convolution():
             at += toxicity.FILTERS
 
 
+def sample_of(texts, labels, language=None):
+    w = tx.words(pa.array(texts))
+    spell, spells, codes = toxicity.features(w.vocab), [], []
+    for a, b in zip(w.offsets[:-1], w.offsets[1:]):
+        distinct, back = np.unique(w.codes[a:b], return_inverse=True)
+        spells.append(spell[distinct].astype("<i4").tobytes())
+        codes.append(back.astype("<i4").tobytes())
+    return toxicity.Sample.of(pa.table({"spell": pa.array(spells, pa.binary()), "codes": pa.array(codes, pa.binary()), "y": labels, "language": [0] * len(texts) if language is None else language}))
+
+
+NOBODY = langid.Model([], np.zeros((0, 0)))
+
+
+def test_toxicity_gradients_match_differences():
+    r = np.random.default_rng(4)
+    own = sample_of([" ".join(r.choice(list("abcdef"), 1 + k)) for k in range(8)] + [""], [k % 2 for k in range(9)])
+    net = toxicity.Network.fresh(NOBODY, 5)
+    net.embed[:] = r.normal(0, 0.5, net.embed.shape)
+    net.bias = [r.normal(0, 0.3, b.shape) for b in net.bias]  # away from the kink at zero
+    codes, offsets = toxicity.padded(own.codes, own.offsets)
+    spelled = np.concatenate([own.spell, np.full((1, own.spell.shape[1]), -1)])
+    of_filters, of_bias, of_out, of_out_bias, (cells, move) = toxicity.gradients(net, spelled, codes, offsets[:-1], np.diff(offsets), own.labels)
+
+    def loss():
+        z = net.logits(own.spell, own.codes, own.offsets)
+        return float(np.mean(np.log1p(np.exp(z)) - own.labels * z))
+
+    def slope(array, at, step=1e-6):
+        array[at] += step
+        up = loss()
+        array[at] -= 2 * step
+        down = loss()
+        array[at] += step
+        return (up - down) / (2 * step)
+
+    pairs = [(net.filters[1], (1, 3, 2), of_filters[1][1, 3, 2]), (net.filters[2], (2, 0, 5), of_filters[2][2, 0, 5]), (net.bias[0], (4,), of_bias[0][4]), (net.out, (7,), of_out[7])]
+    pairs += [(net.embed, (cells[k], d), move[k, d]) for k in range(0, len(cells), 5) for d in (0, 6)]
+    for array, at, want in pairs:
+        assert abs(slope(array, at) - want) < 1e-6
+    before = loss()
+    net.out_bias += 1e-6
+    assert abs((loss() - before) / 1e-6 - of_out_bias) < 1e-5
+
+
+def test_toxicity_convolution_tells_order_where_words_do_not():
+    """Both classes have the same words; only which of two stands first differs."""
+    r = random.Random(3)
+    texts, labels = [], []
+    for k in range(600):
+        own = [r.choice(["one", "two", "three", "four"]) for _ in range(12)]
+        pair = ["red", "blue"] if k % 2 else ["blue", "red"]
+        at = r.randint(0, 12)
+        texts.append(" ".join(own[:at] + pair + own[at:]))
+        labels.append(k % 2)
+    net = toxicity.fit(sample_of(texts[:400], labels[:400]), NOBODY)
+    rest = sample_of(texts[400:], labels[400:])
+    assert ((rest.logits(net) > 0) == rest.labels).mean() > 0.95
+    net.filters[1:] = [np.zeros_like(f) for f in net.filters[1:]]
+    assert ((rest.logits(net) > 0) == rest.labels).mean() < 0.7
+
+
+def test_toxicity_thresholds_match_trying_all():
+    r = np.random.default_rng(7)
+    for _ in range(200):
+        x, y = r.integers(0, 6, 9) / 2.0, r.integers(0, 2, 9)
+        cost = lambda t: (y[x < t].sum() / max(y.sum(), 1)) + 2 * ((1 - y)[x >= t].sum() / max((1 - y).sum(), 1))
+        assert cost(toxicity.threshold(x, y)) <= min(cost(t) for t in np.arange(-0.75, 4, 0.25)) + 1e-9
+    own = sample_of(["a"] * 80, [k % 2 for k in range(80)], [0] * 40 + [1] * 40)
+    net = toxicity.Network.fresh(langid.Model(["x", "y"], np.zeros((0, 2))))
+    own.logits = lambda _: np.concatenate([own.labels[:40] + 0.0, own.labels[40:] + 5.0])
+    toxicity.calibrate(net, own)
+    assert net.shift[:2].tolist() == [0.5, 5.5]
+
+
+def by_hand(docs, text):
+    """Language and shares of a text: counts of n-grams of lower-cased words, expectation-maximisation over its words for
+    each set of the languages with the largest shares, the set by penalised likelihood."""
+
+    def grams(word):
+        raw = b" " + word.encode() + b" "
+        for n in langid.ORDERS:
+            for i in range(len(raw) - n + 1):
+                h = n
+                for c in raw[i : i + n]:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ c
+                yield (h * 0x9E3779B1 & 0xFFFFFFFF) >> 17
+
+    def lettered(t):
+        return [w.decode() for w in t.lower().encode().split() if any(c.isalpha() for c in w.decode())]
+
+    names = sorted({lang for _, lang in docs if lang})
+    counts = {n: Counter(g for t, lang in docs if lang == n and t for w in lettered(t) for g in grams(w)) for n in names}
+    total = {n: sum(counts[n].values()) + langid.SMOOTH * langid.BUCKETS for n in names}
+    ws = lettered(text)
+    logs = np.array([[langid.TEMPER * sum(np.log((counts[n][g] + langid.SMOOTH) / total[n]) for g in grams(w)) for n in names] for w in ws])
+    p = np.exp(np.maximum(logs - logs.max(axis=1, keepdims=True), -60))
+
+    def em(allowed):
+        share = np.array([1.0 / len(allowed) if k in allowed else 0.0 for k in range(len(names))])
+        for _ in range(langid.ROUNDS):
+            part = p * share
+            share = (part / part.sum(axis=1, keepdims=True)).mean(axis=0)
+        return share, np.log((p * share).sum(axis=1)).sum()
+
+    alone = np.log(p).sum(axis=0)
+    best, value = np.eye(len(names))[alone.argmax()], alone.max()
+    order = sorted(range(len(names)), key=lambda k: -em(range(len(names)))[0][k])
+    cost = langid.PENALTY * 0.5 * np.log(max(len(ws), 2))
+    for size in range(2, len(names) + 1):
+        share, fit = em(order[:size])
+        if fit - (size - 1) * cost > value:
+            best, value = share, fit - (size - 1) * cost
+    return {n: s for n, s in zip(names, best) if s > 0}
+
+
+def test_languages_match_brute_force(spark):
+    words = {"de": "der die und nicht über straße".split(), "en": "the of and with street over".split(), "fr": "les et dans rue été avec".split()}
+    r = random.Random(5)
+    say = lambda lang, n: " ".join(r.choice(words[lang]) for _ in range(n))
+    docs = [(say(lang, 30), lang) for lang in words for _ in range(4)] + [(None, "de"), ("the", None), ("", "fr")]
+    texts = [say("de", 40) + " " + say("en", 25), say("fr", 9), say("en", 3) + " 12 " + say("fr", 60), "Zug", " ".join(say(lang, 20) for lang in words), "12 !!", None]
+    model = langid.train(spark.createDataFrame(docs, "text string, lang string"))
+    got = langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model, F.lit(True)).orderBy("doc_id").collect()
+    for row, t in zip(got[:5], texts):
+        want = by_hand(docs, t)
+        assert row.lang_pred == max(want, key=want.get) and set(row.languages) == set(want)
+        assert all(abs(want[n] - s) < 1e-9 for n, s in zip(row.languages, row.shares))
+    assert [r.lang_pred for r in got[5:]] == ["und", "und"]
+
+
+def test_no_mixture_exceeds_the_bound():
+    r = np.random.default_rng(6)
+    for _ in range(50):
+        p = np.exp(-r.exponential(2, (12, 3)))
+        _, _, bound = langid.mixture(p, np.array([0, 12]), np.ones((1, 3)), rounds=2)
+        for share in r.dirichlet([0.5] * 3, 200):
+            assert np.log(p @ share).sum() <= bound[0] + 1e-9
+
+
 def test_languages_held_out(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     got = op6_langid(spark, SMALL).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()

@@ -18,8 +18,6 @@ from tideline.llm import text as tx
 
 BUCKETS = 1 << 15
 ORDERS = (2, 3, 4)
-#: Rows of each language that n-gram counts are taken from (in expectation).
-ROWS_PER_LANGUAGE = 1500
 SMOOTH = 0.5
 #: Overlapping n-grams tell the same thing more than once; their log-likelihoods count this much.
 TEMPER = 0.4
@@ -72,11 +70,21 @@ class Model:
         buckets, offsets = grams(vocab)
         return TEMPER * tx.sums(self.table[buckets], offsets)
 
+    def best(self, w: tx.Words) -> np.ndarray:
+        """Per text the index of the one language that its words are likeliest in (the first of several); the number of
+        languages for a text without letters, or where nothing was learnt."""
+        texts = len(w.offsets) - 1
+        if not self.names or not len(w.vocab):
+            return np.full(texts, len(self.names))
+        keep = lettered(w.vocab)
+        likely = tx.sums((self.word_likelihoods(pc.utf8_lower(w.vocab)) * keep[:, None])[w.codes], w.offsets)
+        return np.where(tx.sums(keep[w.codes], w.offsets) > 0, likely.argmax(axis=1), len(self.names))
 
-def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
-    """n-gram likelihoods from about `rows_per_language` rows of each lang: the driver receives a number of counts
-    bounded by languages times BUCKETS. Rows with null text or lang teach nothing."""
-    sample = tx.thin(docs.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang"), ["lang"], "doc_id", rows_per_language)
+
+def train(docs: DataFrame) -> Model:
+    """n-gram likelihoods from all rows with a lang, counted in the tasks: the driver receives a number of counts bounded
+    by languages times BUCKETS. Rows with null text or lang teach nothing; repeated rows count again."""
+    known = docs.where("text is not null and lang is not null").select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -97,7 +105,7 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
             b = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(b), pa.string()), pa.array(b), pa.array(counts[b])], names=["lang", "bucket", "c"])
 
-    counted = sample.mapInArrow(run, "lang string, bucket bigint, c double").groupBy("lang", "bucket").agg(F.sum("c").alias("c")).toArrow()
+    counted = known.mapInArrow(run, "lang string, bucket bigint, c double").groupBy("lang", "bucket").agg(F.sum("c").alias("c")).toArrow()
     names = sorted(set(counted.column("lang").to_pylist()))
     counts = np.zeros((BUCKETS, len(names)))
     place = {x: i for i, x in enumerate(names)}
@@ -105,8 +113,10 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     return Model(names, np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * BUCKETS)))
 
 
-def mixture(likely: np.ndarray, offsets: np.ndarray, allowed: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of the allowed languages of each text, and the log-likelihood: likely has a row for each word."""
+def mixture(likely: np.ndarray, offsets: np.ndarray, allowed: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares of the allowed languages of each text, their log-likelihood, and what no shares can exceed: likely has a row
+    for each word. The bound holds after any number of rounds: the log-likelihood is concave in the shares, and n words
+    gain at most n log(max of the languages' mean likelihood ratios) over shares that are not the best yet."""
     n = np.diff(offsets)
     rows = np.repeat(np.arange(len(n)), n)
     share = allowed / allowed.sum(axis=1, keepdims=True)
@@ -116,15 +126,17 @@ def mixture(likely: np.ndarray, offsets: np.ndarray, allowed: np.ndarray, rounds
         share = tx.sums(part, offsets) / np.maximum(n, 1)[:, None]
         share = np.where(n[:, None] > 0, share, allowed / allowed.sum(axis=1, keepdims=True))
     with np.errstate(divide="ignore"):
-        return share, tx.sums(np.log((likely * share[rows]).sum(axis=1)), offsets)
+        mixed = (likely * share[rows]).sum(axis=1)
+        fit = tx.sums(np.log(mixed), offsets)
+        ratio = tx.sums(likely * allowed[rows] / mixed[:, None], offsets) / np.maximum(n, 1)[:, None]
+        return share, fit, fit + n * np.log(np.maximum(ratio.max(axis=1), 1.0))
 
 
 def shares(log_likely: np.ndarray, offsets: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """Shares of the chosen languages; zero for the others.
 
-    Candidate sets hold the 1, 2, ... languages with the largest shares when all take part. A text whose mixture of all
-    languages gains no more over its best single one than a second language costs is settled without more fits: no other
-    set can gain more."""
+    Candidate sets hold the 1, 2, ... languages with the largest shares when all take part. A text for which no mixture
+    can gain more over its best single language than a second one costs (the bound of `mixture`) is settled at once."""
     likely = np.exp(np.maximum(log_likely - log_likely.max(axis=1, keepdims=True), -60))
     n = np.diff(offsets)
     cost = penalty * 0.5 * np.log(np.maximum(n, 2))
@@ -133,8 +145,8 @@ def shares(log_likely: np.ndarray, offsets: np.ndarray, penalty: float = PENALTY
     out = np.eye(likely.shape[1])[single]
     if likely.shape[1] == 1:
         return out
-    full, gain = mixture(likely, offsets, np.ones((len(n), likely.shape[1])))
-    open_ = np.flatnonzero(gain - best_of_one > cost)
+    full, _, bound = mixture(likely, offsets, np.ones((len(n), likely.shape[1])))
+    open_ = np.flatnonzero(bound - best_of_one > cost)
     if not len(open_):
         return out
     at = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in open_])
@@ -142,7 +154,7 @@ def shares(log_likely: np.ndarray, offsets: np.ndarray, penalty: float = PENALTY
     rank = (-full[open_]).argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
     value, chosen = best_of_one[open_], out[open_]
     for size in range(2, likely.shape[1] + 1):
-        share, fit = mixture(own, own_offsets, (rank < size).astype(float))
+        share, fit, _ = mixture(own, own_offsets, (rank < size).astype(float))
         better = fit - (size - 1) * cost[open_] > value
         value = np.where(better, fit - (size - 1) * cost[open_], value)
         chosen[better] = share[better]
