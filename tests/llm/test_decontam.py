@@ -17,6 +17,7 @@ def grams(ws, k):
 
 
 def brute(docs, items):
+    """Per document and item: the best similarity of any window, and the first of the best aligned windows."""
     out = {}
     for item, text in {(i, t) for i, t in items if i is not None}:
         own = words(text)
@@ -24,12 +25,20 @@ def brute(docs, items):
             continue
         n, k = len(own), min(5, len(own))
         want = grams(own, k)
+        places = {}
+        for j in range(n - k + 1):
+            places.setdefault(tuple(own[j : j + k]), []).append(j)
         for d, t, *_ in docs:
             ws = words(t)
-            best = max(((sum((w & want).values()) / sum((w | want).values()), -s) for s in range(len(ws) - n + 1) for w in [grams(ws[s : s + n], k)]), default=(0, 0))
-            if best[0] >= 0.8:
-                key = (d, item)
-                out[key] = max(out.get(key, (0, 0)), (round(best[0], 9), best[1]))
+            if len(ws) < k:
+                continue
+            last = max(len(ws) - n, 0)
+            alike = lambda s: sum((w & want).values()) / sum((w | want).values()) if (w := grams(ws[s : s + n], k)) else 0
+            best = max(alike(s) for s in range(last + 1))
+            aligned = sorted({min(max(i - j, 0), last) for i in range(len(ws) - k + 1) for j in places.get(tuple(ws[i : i + k]), [])})
+            if best >= 0.8:
+                start = max(aligned, key=alike)
+                out[d, item] = max(out.get((d, item), (0, 0)), (round(best, 9), -start))
     return out
 
 
@@ -61,7 +70,7 @@ def test_matches_brute_force(spark):
     got = decontam.matches(df, bench).collect()
     want = brute(docs, items)
     assert len(got) == len({(g.doc_id, g.item_id) for g in got})
-    assert {(g.doc_id, g.item_id): round(g.similarity, 9) for g in got} == {k: v[0] for k, v in want.items()}
+    assert {(g.doc_id, g.item_id): (round(g.similarity, 9), -g.start) for g in got} == want
     assert 0 < sum(g.similarity < 1 for g in got)
     kept = decontam.clean(df, bench)
     assert kept.columns == ["doc_id", "text", "hash", "n"]
@@ -86,6 +95,41 @@ def test_simhash_bits(spark):
     assert got == sum(1 << b for b in range(64) if 2 * sum((h >> b) & 1 for h in hs) > len(hs))
 
 
+def test_recall_of_edited_copies(spark):
+    """Of copies with a few words changed, put in, left out or moved, against the best of all windows: what is found, and
+    that its similarity is the best one."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([40, 60, 100])]
+    docs = []
+    for d in range(300):
+        copy = items[d % 3][1].split()
+        for _ in range(r.randint(1, 3)):
+            at = r.randrange(len(copy))
+            kind = r.randrange(4)
+            if kind == 0:
+                copy[at] = word()
+            elif kind == 1:
+                copy.insert(at, word())
+            elif kind == 2:
+                del copy[at]
+            else:
+                copy = copy[at:] + copy[:at] if at < 5 else copy
+        docs.append((d, " ".join([word() for _ in range(r.randint(0, 30))] + copy + [word() for _ in range(r.randint(0, 30))])))
+    want = brute(docs, items)
+    found = decontam.matches(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    got = {(g.doc_id, g.item_id): round(g.similarity, 9) for g in found}
+    assert len(want) > 100 and set(got) <= set(want)
+    assert len(got) >= 0.99 * len(want)
+    assert sum(got[k] == want[k][0] for k in got) >= 0.99 * len(got)
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "some text of six whole words", 1, 2, 3, 4), (2, "other", 5, 6, 7, 8)], "doc_id bigint, text string, _d int, _t int, doc_key int, text_hash int")
+    bench = spark.createDataFrame([(1, "some text of six whole words", 0)], "item_id bigint, text string, hash int")
+    assert [tuple(x) for x in decontam.clean(docs, bench).collect()] == [(2, "other", 5, 6, 7, 8)]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "some text of six whole words", 1)], "doc_id bigint, text string, n int")
     bench = spark.createDataFrame([(1, "some text of six whole words")], "item_id bigint, text string")
@@ -110,7 +154,7 @@ def test_documents_shorter_than_an_item_are_compared_whole(spark):
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     want = {d: round(alike(t, item), 9) for d, t, item in rows if alike(t, item) >= 0.8}
     assert 2 in want and 5 not in want
-    assert {g.doc_id: round(g.similarity, 9) for g in decontam.matches(docs, bench, short=True).collect()} == want
+    assert {g.doc_id: round(g.similarity, 9) for g in decontam.matches(docs, bench).collect()} == want
     assert {k.doc_id for k in decontam.clean(docs, bench).collect()} == {d for d, *_ in rows} - set(want)
 
 

@@ -128,20 +128,20 @@ WITH d AS (
   SELECT doc_id, text, ks.k, i, len(ws) AS words, array_to_string(ws[i + 1 : i + ks.k], ' ') AS s
   FROM d, (SELECT DISTINCT k FROM bs) AS ks, range(0, len(ws) - ks.k + 1) AS r(i)
 ), win AS (
-  SELECT DISTINCT doc_id, text, item_id, n, dp.k, least(greatest(dp.i - bp.i, 0), words - n) AS start
-  FROM dp JOIN bp ON dp.s = bp.s AND dp.k = bp.k WHERE words >= n
+  SELECT DISTINCT doc_id, text, item_id, n, dp.k, words, least(greatest(dp.i - bp.i, 0), greatest(words - n, 0)) AS start
+  FROM dp JOIN bp ON dp.s = bp.s AND dp.k = bp.k
 ), a AS (
-  SELECT win.doc_id, win.text, win.item_id, win.start, win.n, dp.s, count(*) AS a
+  SELECT win.doc_id, win.text, win.item_id, win.start, win.n, win.words, dp.s, count(*) AS a
   FROM win JOIN dp ON win.doc_id IS NOT DISTINCT FROM dp.doc_id AND win.text = dp.text AND win.k = dp.k
     AND dp.i BETWEEN win.start AND win.start + win.n - win.k
   GROUP BY ALL
 ), bc AS (
   SELECT item_id, s, count(*) AS b FROM bp GROUP BY ALL
 ), shared AS (
-  SELECT doc_id, text, a.item_id, start, n, sum(least(a, b)) AS common
+  SELECT doc_id, text, a.item_id, start, n, words, sum(least(a, b)) AS common
   FROM a JOIN bc ON a.item_id = bc.item_id AND a.s = bc.s GROUP BY ALL
 ), alike AS (
-  SELECT doc_id, text, item_id, start, n, common / (2 * (n - least(n, 5) + 1) - common) AS similarity FROM shared
+  SELECT doc_id, text, item_id, start, n, common / (n + least(n, words) - 2 * least(n, 5) + 2 - common) AS similarity FROM shared
 ), best AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, text, item_id ORDER BY similarity DESC, start) AS r FROM alike WHERE similarity >= 0.8
 )

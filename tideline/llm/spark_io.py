@@ -1,20 +1,30 @@
-"""Cutting lineage in the folder that the cluster shares."""
+"""Cutting lineage in the folder that the cluster shares, and joins whose small side is checked."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of keys that a join may send to every worker; with more, both sides are shuffled.
+SENT_ROWS = 1 << 18
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder and read from there: later steps neither repeat its work nor need the
-    executors that did it. The folder is spark.checkpoint.dir; a folder of our own serves only where that is unset."""
+    executors that did it. The folder is spark.checkpoint.dir. One of our own serves only on a local master, where driver
+    and tasks share it; elsewhere an unset folder is an error."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tideline-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tideline-"))
     return df.checkpoint(eager=True)
 
 
-def parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def sendable(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """df marked to be sent to every worker if it is checked to have at most `rows` rows (of bounded width); else as it is,
+    to be joined by shuffling. df should be cheap to count: written down or small."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
