@@ -144,6 +144,42 @@ def test_passages_found_without_chunks_go_whole(spark):
     assert {x for x in "\n".join(t for _, t in rows).split("\n") if x} == {x for own in got.values() for x in own if x}
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_what_goes_is_repeated_and_what_is_long_and_repeated_goes(spark, seed):
+    """By comparing lines alone: a line goes only within a run that stands earlier too and has 20 words in several lines
+    or a line of 50; every earlier run of several lines with over 50 words, and every line of 50, goes."""
+    rows = [(d, t) for d, t, *_ in {d: (d, t) for d, t, *_ in make(60, seed)}.values()]
+    lines = {d: t.split("\n") for d, t in rows}
+    may, must = defaultdict(set), stretches(rows)
+    for d, own in lines.items():
+        for other in [x for k, x in lines.items() if k <= d]:
+            for i in range(len(own)):
+                for j in range(len(other) if other is not own else i):
+                    n = 0
+                    while i + n < len(own) and j + n < len(other) and own[i + n] == other[j + n]:
+                        n += 1
+                    words = [len(x.split()) for x in own[i : i + n]]
+                    if n > 1 and sum(words) >= 20 or any(w >= 50 for w in words):
+                        may[d].update(range(i, i + n))
+                    must[d].update(i + k for k, w in enumerate(words) if w >= 50)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    gone = linededup.repeated_runs(docs).collect()
+    went = defaultdict(set)
+    for g in gone:
+        went[g.doc_id].update(range(g.start, g.start + g.lines))
+    assert sum(map(len, went.values())) > 20
+    for d in lines:
+        assert went[d] <= may[d] and {i for i in must[d] if lines[d][i].split()} <= went[d]
+
+
+def test_columns_of_any_name_stay(spark):
+    text = "\n".join(f"word{k} " * 30 for k in range(4))
+    rows = [(k, text, 1, 2, 3, "x") for k in (1, 2)]
+    got = linededup.dedupe(spark.createDataFrame(rows, "doc_id bigint, text string, _d int, _t int, _gone int, _left string"))
+    assert got.columns == ["doc_id", "text", "_d", "_t", "_gone", "_left", "lines_removed"]
+    assert sorted(tuple(x) for x in got.collect()) == [(1, text, 1, 2, 3, "x", 0), (2, "", 1, 2, 3, "x", 4)]
+
+
 def test_every_line_of_a_long_passage_lies_in_a_span_of_it():
     r = random.Random(12)
     for _ in range(300):

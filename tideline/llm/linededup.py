@@ -19,10 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm import text as tx
-from tideline.llm.spark_io import cut
+from tideline.llm.spark_io import cut, sendable
 
-#: A line ends a chunk if the rolling hash up to it is 0 modulo DIVISOR; LONGEST lines end one anyway.
-DIVISOR, LONGEST, WINDOW = 3, 8, 1
+#: A line ends a chunk if the rolling hash of the WINDOW lines up to it is 0 modulo DIVISOR; LONGEST lines end one anyway.
+DIVISOR, LONGEST, WINDOW = 3, 8, 2
 #: Words that a run must have to be removed by itself: one line alone, and several lines together.
 LINE_WORDS, RUN_WORDS = 50, 20
 #: Several lines with more words than these together are removed whatever chunks they lie in.
@@ -131,10 +131,12 @@ def repeated_runs(docs: DataFrame, **how) -> DataFrame:
     claims = island.groupBy(*pair, "island").agg(F.min("line").alias("start"), F.count("*").cast("int").alias("lines"), F.max("strong").alias("strong")).where("strong")
     claims = cut(claims.select("doc_id", "text_hash", "start", "lines", "to_doc", "to_text", (F.col("start") + F.col("shift")).alias("to_start")))
     firsts = claims.select(F.col("to_doc").alias("doc_id"), F.col("to_text").alias("text_hash"), F.col("to_start").alias("start"), "lines", "to_doc", "to_text", "to_start").distinct()
-    per_doc = claims.unionByName(firsts).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "lines", "to_doc", "to_text", "to_start")).alias("own"))
-    whole = _keyed(docs).join(per_doc, ["doc_id", "text_hash"])
-    split = whole.withColumn("split", F.split("text", "\n", -1)).select("doc_id", "text_hash", "split", F.explode("own").alias("x"))
-    texts = split.select("doc_id", "text_hash", "x.*", F.array_join(F.slice("split", F.col("x.start") + 1, F.col("x.lines")), "\n").alias("content"))
+    wanted = claims.unionByName(firsts)
+    # only the texts that have such runs are read again and dealt out, each once however often it is repeated
+    named = _keyed(docs).join(sendable(wanted.select("doc_id", "text_hash").distinct()), ["doc_id", "text_hash"], "left_semi")
+    split = named.select("doc_id", "text_hash", F.split("text", "\n", -1).alias("split")).dropDuplicates(["doc_id", "text_hash"])
+    slices = F.array_join(F.slice("split", F.col("start") + 1, F.col("lines")), "\n")
+    texts = split.join(wanted, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "start", "lines", "to_doc", "to_text", "to_start", slices.alias("content"))
     is_first = "doc_id = to_doc and text_hash = to_text and start = to_start"
     key = ["to_doc", "to_text", "to_start", "lines"]
     heads = texts.where(is_first).select(*key, F.col("content").alias("first_content")).dropDuplicates(key)
@@ -146,14 +148,17 @@ def dedupe(docs: DataFrame, **how) -> DataFrame:
     """docs with repeated passages taken out of `text`, and `lines_removed` (a column of that name is replaced).
 
     A passage stays in the document with the smallest doc_id. Rows with equal doc_id and text are treated alike. Rows
-    with null doc_id or text are left as they are, with lines_removed 0; an empty text has nothing to remove."""
+    with null doc_id or text are left as they are, with lines_removed 0; an empty text has nothing to remove. Texts that
+    nothing is removed from are not shuffled."""
     docs = docs.drop("lines_removed")
-    gone = repeated_runs(docs, **how).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).agg(F.collect_list(F.struct("start", "lines")).alias("_gone"))
-    joined = docs.withColumn("_h", text_hash(F.col("text"))).join(gone, (F.col("doc_id") == F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
+    own = docs.toDF(*[c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)])
+    gone = repeated_runs(own, **how).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).agg(F.collect_list(F.struct("start", "lines")).alias("_gone"))
+    gone = cut(gone)
+    keys = sendable(gone.select("_d", "_t"))
+    same = (F.col("doc_id") == F.col("_d")) & (text_hash(F.col("text")) == F.col("_t"))
+    whole = own.join(keys, same, "left_anti").withColumn("_removed", F.lit(0))
     lines = F.split("text", "\n", -1)
     left = F.filter(lines, lambda x, i: ~F.exists("_gone", lambda g: (i >= g["start"]) & (i < g["start"] + g["lines"])))
-    kept = joined.withColumn("_left", F.when(F.col("_gone").isNotNull(), left))
-    return kept.select(
-        *[F.when(F.col("_left").isNotNull(), F.array_join("_left", "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.when(F.col("_left").isNotNull(), F.size(lines) - F.size("_left")).otherwise(0).alias("lines_removed"),
-    )
+    cut_down = own.join(keys, same, "left_semi").join(gone, same).withColumn("_left", left)
+    changed = cut_down.select(*[F.array_join("_left", "\n").alias("text") if c == "text" else F.col(c) for c in own.columns], (F.size(lines) - F.size("_left")).alias("_removed"))
+    return whole.unionByName(changed).toDF(*docs.columns, "lines_removed")
