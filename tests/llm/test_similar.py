@@ -1,7 +1,9 @@
 import random
 
+import pytest
+
 import corpus_pipeline
-from tideline.llm import similar
+from tideline.llm import neardup, similar
 
 
 def shingles(t):
@@ -52,13 +54,43 @@ def test_the_stage_keeps_one_of_each_similar_group(spark):
         assert kept(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)) == brute(rows)
 
 
-def test_crowded_bands_are_linked_exactly(spark):
+@pytest.mark.parametrize("block", [similar.BLOCK, 1500])
+def test_crowded_bands_are_linked_exactly(spark, block, monkeypatch):
+    monkeypatch.setattr(similar.crowd_links, "__defaults__", (block,))
     rows = texts(3)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     found = similar.cluster(docs, crowd=3)
     assert sorted(r.component_id for r in found.select("component_id").distinct().collect()) == brute(rows)
 
 
+def test_a_crowd_of_chains_is_linked_across_blocks(spark, monkeypatch):
+    """Crowds of texts each like the next but not like those further on, so that no leader joins most of them."""
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    members = []
+    for root in range(3):
+        own = [word() for _ in range(60)]
+        for k in range(40):
+            members.append((root, len(members), sorted(neardup.shingle_hashes(" ".join(own), 5))))
+            own[(k * 7) % 60] = word()
+    df = spark.createDataFrame([(a, b, [h - (1 << 64) if h >> 63 else h for h in own]) for a, b, own in members], "root bigint, fp bigint, own array<bigint>").repartition(4)
+    group = list(range(len(members)))
+
+    def join(pairs):
+        group[:] = range(len(members))
+        for a, b in pairs:
+            old, new = group[a], group[b]
+            group[:] = [new if g == old else g for g in group]
+        return {frozenset(i for i, g in enumerate(group) if g == x) for x in group}
+
+    alike = lambda a, b: len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))
+    want = join([(i, j) for r1, i, a in members for r2, j, b in members[:i] if r1 == r2 and alike(a, b)])
+    assert 3 < len(want) or max(map(len, want)) > 10
+    for block in (similar.BLOCK, 700):
+        got = similar.crowd_links(df, 0.8, block).collect()
+        assert join([(g.a, g.b) for g in got]) == want and len(got) < 12 * len(members)
+
+
 def test_rows_without_id_or_rows(spark):
     rows = [(None, "alone without an id at all"), (None, "Alone without an id at all"), (4, "four words and one more here"), (4, "four words and one more here")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")

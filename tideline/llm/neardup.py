@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import graph
-from tideline.llm.spark_io import cut
+from tideline.llm.spark_io import cut, sendable
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Fingerprints that one bucket compares in a task; a larger bucket is linked by shared midpoints instead.
@@ -272,16 +272,17 @@ def links(fps: DataFrame, partitions: list[tuple[list[int], int]], radius: int =
     found = cut(met.mapInArrow(run, "kind int, a bigint, b bigint").distinct())
     direct = found.where("kind = 0").select("a", "b")
     crowded = found.where("kind = 1").select(F.col("a").alias("fp")).distinct()
+    if crowded.isEmpty():
+        return direct
     return direct.unionByName(midpoint_links(crowded, radius))
 
 
 def midpoint_links(fps: DataFrame, radius: int) -> DataFrame:
     """Links through values halfway: two fingerprints are within an even radius exactly if some value is within half
-    of it of both. Rows grow with the fingerprints, not with their pairs. An odd radius is taken by the next even one
-    and checked."""
-    half = masks(list(range(BITS)), (radius + 1) // 2)
+    of it of both. Rows grow with the fingerprints, not with their pairs."""
     if radius % 2:
-        raise ValueError("crowded buckets need an even radius")
+        raise ValueError(f"a radius of {radius} bits: linking by midpoints needs an even one")
+    half = masks(list(range(BITS)), radius // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,15 +321,18 @@ def labelled(own: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, clusters: Callable[..., DataFrame] = cluster, mark: Callable[[DataFrame], DataFrame] = fingerprints, **how) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest doc_id stays, with all its columns. Of
-    rows that share that doc_id one stays; a component without any doc_id keeps one row of each fingerprint.
+    rows that share that doc_id one stays; a component without any doc_id keeps one row of each fingerprint. Null and empty
+    texts are one group. Rows that stay are not shuffled as long as the ids to drop are few enough to be sent.
 
     clusters and mark give components and fingerprints: those of this module, or of `similar`."""
+    names, docs = docs.columns, docs.toDF(*[c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)])
     found = cut(clusters(docs, **how))
     ids = found.groupBy("doc_id").agg(F.count("*").alias("_n"), F.max(F.col("doc_id") == F.col("component_id")).alias("_first"))
-    once = docs.join(ids.where("_n = 1 and _first").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    ids = cut(ids.where("doc_id is not null and not (_n = 1 and _first)"))
+    once = docs.where("doc_id is not null").join(sendable(ids.select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
     odd = found.join(ids.where("_n > 1").select("doc_id"), "doc_id", "left_semi").unionByName(found.where("doc_id is null"))
     if odd.isEmpty():
-        return once
+        return once.toDF(*names)
     repeated = docs.join(ids.where("_n > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     rest = repeated.unionByName(docs.where("doc_id is null")).withColumn("_h", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit("")))).dropDuplicates(["_h"])
     marks = mark(rest.select(F.col("_h").alias("doc_id"), "text")).select(F.col("doc_id").alias("_h"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
@@ -337,4 +341,4 @@ def keep_one(docs: DataFrame, clusters: Callable[..., DataFrame] = cluster, mark
     heads = heads.select(F.col("doc_id").alias("_head"), F.col("fingerprint").alias("_fp"), F.coalesce(F.col("component_id").cast("string"), "fingerprint").alias("_group"))
     same = F.col("_id").eqNullSafe(F.col("_head")) & (F.col("fingerprint") == F.col("_fp"))
     chosen = own.join(heads, same).groupBy("_group").agg(F.min("_h").alias("_h")).select("_h")
-    return once.unionByName(rest.join(chosen, "_h", "left_semi").select(*docs.columns))
+    return once.unionByName(rest.join(chosen, "_h", "left_semi").select(*docs.columns)).toDF(*names)
