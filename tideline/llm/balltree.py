@@ -31,8 +31,11 @@ def usable(vectors: DataFrame, column: str) -> DataFrame:
 
 
 def quantised(flat: np.ndarray, scale: float = 256.0) -> np.ndarray:
-    """floor(scale * x) in double precision; values beyond 2^53 stay there."""
-    return np.clip(np.floor(scale * flat.astype(np.float64)), -EXACT, EXACT)
+    """floor(scale * x) in double precision; an error where that is beyond 2^53, since it would not be exact."""
+    out = np.floor(scale * flat.astype(np.float64))
+    if len(out) and np.abs(out).max() > EXACT:
+        raise ValueError(f"a component of {flat[np.abs(out).argmax()]} is too large for exact scores")
+    return out
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -169,7 +172,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, column: str = "embed
 
     Rows without vec_id, and vectors that are null or hold null, NaN or infinite components, take no part. Vectors are
     compared with those of their own length. A query row that occurs again with its vec_id counts once for each distinct
-    vector; no row is compared with rows of its own vec_id, and other repeated rows stay. Scores must fit a long."""
+    vector; no row is compared with rows of its own vec_id, and other repeated rows stay. An empty table gives no rows.
+    Components beyond 2^53 / 256 fail the job; scores must fit a long."""
     rows = usable(vectors, column).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col(column).cast("array<double>").alias("v"))
     spark = rows.sparkSession
     queries = rows.where(is_query).distinct()
@@ -178,7 +182,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, column: str = "embed
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     shards, blocks = -(-total // shard), -(-asked // block)
     sample = _arrays(rows.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(SAMPLE).toArrow(), "v")
-    dealt = rows.repartition(shards, F.xxhash64("vec_id"), F.col("vec_id"))
+    # dealt evenly whatever ids repeat; written down if it is read once for each block
+    dealt = rows.repartition(shards)
+    dealt = cut(dealt) if blocks > 1 else dealt
     answers = []
     for n in range(blocks):
         asked_now = _arrays(queries.where(F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(blocks)) == n).toArrow(), "v")
