@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import text as tx
-from tideline.llm.spark_io import cut
+from tideline.llm.spark_io import cut, sendable
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -33,7 +33,7 @@ THRESHOLD = 0.5
 DECLARED = ("lang", "source", "n_chars")
 KINDS = (r"\p{Lu}", r"\p{Ll}", r"\p{N}", r"[#$%&*<>|{}=_/\\]", r"[!?]", r"[.,;:]")
 LAYOUT, DECLARED_BUCKETS = 14, 64
-FEATURES = "doc_id bigint, text_hash bigint, words bigint, bag binary, page binary"
+FEATURES = "doc_id bigint, text_hash bigint, row_hash bigint, words bigint, bag binary, page binary"
 
 
 def word_features(vocab: pa.Array) -> np.ndarray:
@@ -250,6 +250,11 @@ def text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """Hash of all that a score depends on."""
+    return F.xxhash64(text_hash(), F.col("text").isNull(), *[F.col(c).cast("string") for c in DECLARED if c in docs.columns])
+
+
 def features(docs: DataFrame) -> DataFrame:
     """FEATURES of every row, written to the checkpoint folder. A null text counts as empty, a missing or null declared
     column as a value of its own; repeated rows and rows without doc_id stay."""
@@ -260,9 +265,9 @@ def features(docs: DataFrame) -> DataFrame:
                 x = Rows.read(batch)
                 bags = tx.packed(x.cells, x.times, x.starts, BITS)
                 pages = [p.astype("<f4").tobytes() for p in x.page]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(x.words), pa.array(bags, pa.binary()), pa.array(pages, pa.binary())], names=[f.split()[0] for f in FEATURES.split(", ")])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "text_hash", "row_hash")], pa.array(x.words), pa.array(bags, pa.binary()), pa.array(pages, pa.binary())], names=[f.split()[0] for f in FEATURES.split(", ")])
 
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash().alias("text_hash"), "text", *[c for c in DECLARED if c in docs.columns])
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash().alias("text_hash"), row_hash(docs).alias("row_hash"), "text", *[c for c in DECLARED if c in docs.columns])
     return cut(own.mapInArrow(run, FEATURES))
 
 
@@ -341,12 +346,17 @@ def score(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> D
 
 
 def score_features(seen: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id with the columns of `score`, from FEATURES."""
-    return _scored(seen, model, Rows.of, ["doc_id"], threshold)
+    """doc_id and row_hash with the columns of `score`, from FEATURES."""
+    return _scored(seen, model, Rows.of, ["doc_id", "row_hash"], threshold)
 
 
-def keep(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that are not rejected, with all their columns, whatever they are called; null and empty texts are
-    judged like others, and equal rows alike."""
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:
+    """The rows of docs that a classifier learnt from docs and labels does not reject, with all their columns, whatever
+    they are called. Null and empty texts are judged like others, and equal rows alike. Texts are taken apart once; the
+    rejected rows, known by doc_id and a hash of the rest, are taken out by a join."""
     inner = docs.toDF(*[c if c in ("doc_id", "text", *DECLARED) else f"c{i}" for i, c in enumerate(docs.columns)])
-    return score(inner, model, threshold).where("predicted = 1").select(*inner.columns).toDF(*docs.columns)
+    seen = features(inner)
+    out = score_features(seen, learn(seen, labels, **how), threshold).where("predicted = 0")
+    out = cut(out.select(F.col("doc_id").alias("_d"), F.col("row_hash").alias("_h")).distinct())
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_d")) & (row_hash(inner) == F.col("_h"))
+    return inner.join(sendable(out), same, "left_anti").toDF(*docs.columns)
