@@ -95,6 +95,17 @@ def bidirected(constructs: DataFrame, edges: DataFrame) -> DataFrame:
     return reached.withColumnRenamed("node", "a").join(other, "start").where("a < b").select("a", "b").distinct()
 
 
+def projected(constructs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(cause, effect): observed nodes of the unrolled graph joined by a path whose inner nodes are all hidden: the directed
+    edges of the latent projection."""
+    nodes, e = unrolled_nodes(constructs), unroll(constructs, edges)
+    seen, hidden = nodes.where("observed").select("node"), nodes.where("not observed").select(F.col("node").alias("cause"))
+    first = e.join(seen.select(F.col("node").alias("cause")), "cause", "left_semi")
+    through = closure(_keyed(hidden.select(F.col("cause").alias("start"))), _keyed(e.join(hidden, "cause", "left_semi")))
+    far = first.join(through.select(F.col("start").alias("effect"), "node"), "effect").select("cause", F.col("node").alias("effect"))
+    return first.unionByName(far).join(seen.select(F.col("node").alias("effect")), "effect", "left_semi").select("cause", "effect").distinct()
+
+
 def _per_treatment(constructs: DataFrame, edges: DataFrame) -> DataFrame:
     """Every edge once for each treatment, which is `key`: the graph and its treatments are small together."""
     t = treatments(constructs, edges).agg(F.collect_set("treatment")).scalar()

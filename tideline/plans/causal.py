@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tideline.operators import graph
+from tideline.operators import graph, identify
 from tideline.operators.observations import HOURS
 from tideline.session import table
 
@@ -87,6 +87,88 @@ def _on(f, edges=EDGES):
     return lambda spark, _: f(*_graph(spark, edges))
 
 
+#: Textbook graphs: name, edges (> within a time step, >> into the next), hidden and invariant constructs, and what is
+#: known of each treatment's effect on Y: by do-calculus, by an instrument, or not at all for the constructs named.
+TEXTBOOK = [
+    ("chain", "X>M M>Y", "", "", {"X": "do", "M": "do"}),
+    ("back door", "Z>X Z>Y X>Y", "", "", {"X": "do", "Z": "do"}),
+    ("bow", "X>Y U>X U>Y", "U", "", {"X": "U"}),
+    ("front door", "X>M M>Y U>X U>Y", "U", "", {"X": "do", "M": "do"}),
+    ("instrument", "Z>X X>Y U>X U>Y", "U", "", {"X": "iv Z", "Z": "do"}),
+    ("invalid instrument", "Z>X Z>Y X>Y U>X U>Y", "U", "", {"X": "U", "Z": "do"}),
+    ("m", "U>A A>X V>B B>Y X>Y", "U V", "", {"X": "do", "A": "do", "B": "do"}),
+    ("lagged confounder", "X>Y U>>X U>>Y", "U", "", {"X": "U"}),
+    ("staggered confounder", "X>Y U>>X U>Y", "U", "", {"X": "do"}),
+    ("trait", "T>X T>Y X>Y", "T", "T", {"X": "T"}),
+    ("seen trait", "T>X T>Y X>Y", "", "T", {"X": "do", "T": "do"}),
+    ("kite", "X>M M>Y U>X U>M V>M V>Y", "U V", "", {"X": "U", "M": "iv X"}),
+    ("feedback", "X>Y Y>>X", "", "", {"X": "do"}),
+    ("panel with trait", "T>X T>Y X>Y X>>Y Y>>X", "T", "T", {"X": "T"}),
+]
+
+
+def _textbook(spark):
+    nodes, arrows = [], []
+    for key, edges, hidden, fixed, _ in TEXTBOOK:
+        own = [(*e.replace(">>", ">").split(">"), ">>" in e) for e in edges.split()]
+        nodes += [(key, n, n not in hidden.split(), n not in fixed.split(), n == "Y") for n in sorted({x for e in own for x in e[:2]})]
+        arrows += [(key, *e) for e in own]
+    return spark.createDataFrame(nodes, "key string, name string, observed boolean, varying boolean, is_outcome boolean"), spark.createDataFrame(arrows, "key string, cause string, effect string, lagged boolean")
+
+
+def _identified(spark, _):
+    return identify.effects(*_textbook(spark)).select("key", "treatment", "identifiable", "method", F.array_join("instruments", " ").alias("instruments"), F.array_join("blockers", " ").alias("blockers"))
+
+
+def _known_sql() -> str:
+    rows = []
+    for key, *_, known in TEXTBOOK:
+        for t, how in known.items():
+            kind, rest = how.split(" ")[0], how.partition(" ")[2]
+            rows.append((key, t, kind in ("do", "iv"), {"do": identify.DO, "iv": identify.IV}.get(kind), rest if kind == "iv" else "", "" if kind in ("do", "iv") else how))
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_lit, r)) + ')' for r in rows)}) k(key, treatment, identifiable, method, instruments, blockers)"
+
+
+def _roles(spark, _):
+    nodes, arrows = _textbook(spark)
+    return identify.unobserved_roles(nodes, identify.effects(nodes, arrows)).select("key", "construct", "can_marginalize", F.array_join("blocks", " ").alias("blocks"))
+
+
+def _roles_sql() -> str:
+    rows = []
+    for key, _, hidden, _, known in TEXTBOOK:
+        for h in hidden.split():
+            blocked = sorted(t for t, how in known.items() if how.split(" ")[0] not in ("do", "iv") and h in how.split())
+            rows.append((key, h, not blocked, " ".join(blocked)))
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_lit, r)) + ')' for r in rows)}) k(key, construct, can_marginalize, blocks)"
+
+
+def _fix(spark, _):
+    nodes, arrows = _textbook(spark)
+    return identify.to_fix(nodes, identify.effects(nodes, arrows))
+
+
+def _parts(spark, sf_dir):
+    """One graph for each part: what its suppliers' keys modulo 9 lead to is ordered upward, so that there is no cycle; 8 is
+    the outcome and keys that the part's number picks are hidden."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), F.least(F.col("l_suppkey") % 9, F.col("l_orderkey") % 9).alias("a"), F.greatest(F.col("l_suppkey") % 9, F.col("l_orderkey") % 9).alias("b"), (F.col("l_linenumber") > 4).alias("lagged"))
+    arrows = li.where("a < b").groupBy("key", "a", "b").agg(F.min("lagged").alias("lagged")).select("key", F.col("a").cast("string").alias("cause"), F.col("b").cast("string").alias("effect"), "lagged")
+    n = F.explode(F.sequence(F.lit(0), F.lit(8)))
+    nodes = li.select("key").distinct().select("key", n.alias("n"))
+    return nodes.select("key", F.col("n").cast("string").alias("name"), ((F.col("n") == 8) | ((F.col("key") + F.col("n")) % 4 != 0)).alias("observed"), F.lit(True).alias("varying"), (F.col("n") == 8).alias("is_outcome")), arrows
+
+
+def _many(spark, sf_dir):
+    return identify.effects(*_parts(spark, sf_dir)).groupBy("treatment", "method").agg(F.count("*").alias("graphs"), F.sum(F.size("blockers")).alias("blockers"))
+
+
+def _summary(spark, sf_dir):
+    return identify.summary(*_parts(spark, sf_dir))
+
+
+PARTS_SQL = """li AS (SELECT l_partkey AS key, least(l_suppkey % 9, l_orderkey % 9) AS a, greatest(l_suppkey % 9, l_orderkey % 9) AS b, l_linenumber > 4 AS lagged FROM lineitem),
+arrows AS (SELECT key, a, b, min(lagged) AS lagged FROM li WHERE a < b GROUP BY ALL), keys AS (SELECT DISTINCT key FROM li)"""
+
 INDICATORS = [("x1", "X", 1), ("x2", "X", 2), ("y1", "Y", 3), ("m1", "M", 4), ("m2", "M", 5), ("m3", "M", 6)]
 BLOCKING = "SELECT DISTINCT past.x AS treatment, past.a AS confounder FROM past JOIN d ON d.a = past.a AND d.n = past.x WHERE past.n IN (SELECT name FROM outcome) AND past.a IN (SELECT name FROM c WHERE NOT observed AND NOT is_outcome) AND past.a IN (SELECT cause FROM e JOIN c ON effect = name AND observed)"
 
@@ -107,6 +189,12 @@ QUERIES = {
     "loading_mask": lambda spark, _: graph.loading_mask(spark.createDataFrame(INDICATORS, "indicator string, construct string, pos int")),
     "drift_components": _on(graph.components),
     "closure_of_many_graphs": _nation_graphs,
+    "admg_directed": _on(graph.projected),
+    "identify_effects": _identified,
+    "identify_roles": _roles,
+    "identify_to_fix": _fix,
+    "identify_many_graphs": _many,
+    "graph_summary": _summary,
 }
 
 ORACLES = {
@@ -128,4 +216,10 @@ UNION ALL SELECT cause, effect, 'grains differ' FROM e JOIN c p ON cause = p.nam
     "loading_mask": f"WITH i(indicator, construct, pos) AS (VALUES {', '.join(map(str, INDICATORS))}) SELECT indicator, construct, row_number() OVER (PARTITION BY construct ORDER BY pos) > 1 AS free FROM i",
     "drift_components": G + "SELECT name, least(name, min(n)) AS component FROM c LEFT JOIN w ON a = name GROUP BY name",
     "closure_of_many_graphs": "WITH RECURSIVE s AS (SELECT DISTINCT s_nationkey AS key, s_suppkey % 12 AS cause, s_suppkey * 7 % 12 AS effect FROM supplier), d(key, a, n) AS (SELECT key, cause, effect FROM s UNION SELECT d.key, d.a, s.effect FROM d JOIN s ON d.key = s.key AND d.n = s.cause) SELECT key, count(*) AS pairs, count(*) FILTER (WHERE a = n) AS cyclic FROM d GROUP BY key",
+    "admg_directed": G + """, thru(a, n) AS (SELECT cause, effect FROM u WHERE cause IN (SELECT node FROM un WHERE observed) UNION SELECT thru.a, u.effect FROM thru JOIN u ON thru.n = u.cause WHERE thru.n IN (SELECT node FROM un WHERE NOT observed))
+SELECT DISTINCT a AS cause, n AS effect FROM thru WHERE n IN (SELECT node FROM un WHERE observed)""",
+    "identify_effects": _known_sql(),
+    "identify_roles": _roles_sql(),
+    "identify_to_fix": f"SELECT DISTINCT key, construct FROM ({_roles_sql()}) WHERE NOT can_marginalize",
+    "graph_summary": f"WITH {PARTS_SQL} SELECT keys.key::VARCHAR AS key, 9::BIGINT AS constructs, (SELECT count(*) FROM range(0, 9) r(n) WHERE n = 8 OR (keys.key + n) % 4 <> 0) AS observed, 9::BIGINT AS varying, (SELECT count(*) FROM arrows WHERE arrows.key = keys.key) AS edges, (SELECT count(*) FROM arrows WHERE arrows.key = keys.key AND lagged) AS lagged, '8' AS outcome FROM keys",
 }
