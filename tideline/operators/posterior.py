@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import erfc, exp, gamma, sqrt
 
 import numpy as np
 import pandas as pd
@@ -10,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import linear
+from tideline.functions.quantiles import quantiles
 
 #: Thresholds of the checks: fixed values.
+UNIFORM = 0.01
 COVERAGE_LOW, COVERAGE_HIGH, AUTOCORRELATION, VARIANCE_RATIO, SENSITIVE, LOADING = 0.70, 0.98, 0.3, 3.0, 0.05, 0.01
 ALPHA = 0.01
 
@@ -19,7 +22,7 @@ ALPHA = 0.01
 def summary(draws: DataFrame) -> DataFrame:
     """(param, mean, std, p5, p95); std over the draws themselves, percentiles interpolated."""
     v = F.col("value")
-    return draws.groupBy("param").agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.percentile(v, 0.05).alias("p5"), F.percentile(v, 0.95).alias("p95"))
+    return draws.groupBy("param").agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")).join(quantiles(draws, ["param"], "value", {"p5": 0.05, "p95": 0.95}), "param", "left")
 
 
 def steady_2d(a11: Column, a12: Column, a21: Column, a22: Column, c1: Column, c2: Column) -> tuple[Column, Column]:
@@ -53,14 +56,53 @@ def effects(draws: DataFrame, names: list[str], outcome: str) -> DataFrame:
 def rank_effects(effects_: DataFrame) -> DataFrame:
     """(treatment, effect_size, low, high, prob_positive, place), the largest effect first; null counts as none."""
     e = F.col("effect")
-    out = effects_.groupBy("treatment").agg(F.avg(e).alias("effect_size"), F.percentile(e, 0.025).alias("low"), F.percentile(e, 0.975).alias("high"), F.avg((e > 0).cast("double")).alias("prob_positive"))
+    out = effects_.groupBy("treatment").agg(F.avg(e).alias("effect_size"), F.avg((e > 0).cast("double")).alias("prob_positive"))
+    out = out.join(quantiles(effects_, ["treatment"], "effect", {"low": 0.025, "high": 0.975}), "treatment", "left").select("treatment", "effect_size", "low", "high", "prob_positive")
     return out.withColumn("place", F.row_number().over(Window.orderBy(F.abs(F.coalesce("effect_size", F.lit(0.0))).desc(), "treatment")))  # one row a treatment
 
 
+def intervention_table(effects_: DataFrame, asked: DataFrame, known: list[str], verdicts: DataFrame) -> DataFrame:
+    """(treatment, effect_size, low, high, prob_positive, identifiable, warning, place) of every treatment asked for. asked:
+    treatment; known: names of the model's variables; verdicts: treatment, identifiable, blockers. A treatment that the
+    model does not know, or without effects, has none; one without a verdict counts as identifiable."""
+    own = asked.select("treatment").distinct().join(rank_effects(effects_).drop("place"), "treatment", "left")
+    told = own.join(verdicts.select("treatment", "identifiable", "blockers"), "treatment", "left").withColumn("identifiable", F.coalesce("identifiable", F.lit(True)))
+    unknown = ~F.col("treatment").isin(known)
+    blocked = F.when(F.size("blockers") > 0, F.concat(F.lit("not identifiable (blocked by: "), F.array_join("blockers", ", "), F.lit(")"))).otherwise("not identifiable (missing proxies)")
+    told = told.withColumn("warning", F.when(unknown, "not in the model").when(~F.col("identifiable"), blocked))
+    order = Window.orderBy(F.abs(F.coalesce("effect_size", F.lit(0.0))).desc(), "treatment")  # one row a treatment
+    return told.select("treatment", "effect_size", "low", "high", "prob_positive", "identifiable", "warning", F.row_number().over(order).alias("place"))
+
+
+def relevant_channels(loadings: DataFrame, outcome: str) -> DataFrame:
+    """(treatment, channel): channels that load on the treatment or on the outcome. loadings: draw, channel, latent, value;
+    means over draws count from LOADING on."""
+    means = loadings.groupBy("channel", "latent").agg(F.avg("value").alias("m")).where(F.abs("m") >= LOADING)
+    on_outcome = means.where(F.col("latent") == outcome).select("channel")
+    treatments = loadings.where(F.col("latent") != outcome).select(F.col("latent").alias("treatment")).distinct()
+    own = means.where(F.col("latent") != outcome).select(F.col("latent").alias("treatment"), "channel")
+    return own.unionByName(treatments.join(F.broadcast(on_outcome), F.lit(True))).distinct()
+
+
+def attach_warnings(warnings: DataFrame, channels: DataFrame) -> DataFrame:
+    """(treatment, channel, check) of the checks that failed on a channel relevant to a treatment. warnings: variable,
+    check."""
+    return channels.join(warnings.select(F.col("variable").alias("channel"), "check"), "channel").select("treatment", "channel", "check")
+
+
+def thin(draws: DataFrame, keep: int) -> DataFrame:
+    """The draws (draw: 0 to n - 1) at `keep` even places from the first to the last; all of fewer."""
+    n = draws.agg(F.max("draw") + 1).scalar()
+    if keep < 2:
+        return draws.where(F.col("draw") < keep)
+    place = F.ceil(F.col("draw") * F.lit(keep - 1) / (n - 1))
+    return draws.where((n <= keep) | (F.floor(place * (n - 1) / F.lit(keep - 1)) == F.col("draw")))
+
+
 def coverage(obs: DataFrame, sims: DataFrame) -> DataFrame:
     """(variable, n, share, warn): observations within the 95% band of the simulations. obs: variable, t, value; sims:
     also draw."""
-    band = sims.groupBy("variable", "t").agg(F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"))
+    band = quantiles(sims, ["variable", "t"], "value", {"low": 0.025, "high": 0.975})
     inside = F.avg(F.col("value").between(F.col("low"), F.col("high")).cast("double"))
     out = obs.where("value is not null").join(band, ["variable", "t"]).groupBy("variable").agg(F.count("*").alias("n"), inside.alias("share")).where("n >= 2")
     return out.withColumn("warn", (F.col("share") < COVERAGE_LOW) | (F.col("share") > COVERAGE_HIGH))
@@ -128,3 +170,60 @@ def sbc_ranks(rows: DataFrame, bins: int) -> DataFrame:
     rank = F.size(F.filter("draws", lambda x: x < F.col("truth")))
     place = F.floor(rank * F.lit(bins) / (F.size("draws") + 1)).cast("int")
     return rows.select(place.alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+
+
+def sbc_uniformity(counts: DataFrame, bins: int) -> DataFrame:
+    """(n, chi2, dof) of bin counts (bin, n) against equal ones; empty bins need no row."""
+    total = F.sum("n")
+    even = total / F.lit(bins)
+    return counts.agg(total.alias("n"), (F.sum(F.pow("n", F.lit(2))) / even - total).alias("chi2"), F.lit(bins - 1).alias("dof"))
+
+
+def chi_square_tail(x: float, dof: int) -> float:
+    """Chance of a larger chi-square value: the finite sums for whole degrees of freedom."""
+    half = x / 2
+    if dof % 2 == 0:
+        term = total = 1.0
+        for k in range(1, dof // 2):
+            term *= half / k
+            total += term
+        return exp(-half) * total
+    term, total = sqrt(half) / gamma(1.5), 0.0
+    for k in range(1, (dof - 1) // 2 + 1):
+        total += term
+        term *= half / (k + 0.5)
+    return erfc(sqrt(half)) + exp(-half) * total
+
+
+def ranks_are_uniform(rows: DataFrame, bins: int) -> tuple[float, bool]:
+    """The chance of ranks at least as uneven, and whether it exceeds UNIFORM. rows: as of `sbc_ranks`."""
+    found = sbc_uniformity(sbc_ranks(rows, bins), bins).first()
+    p = chi_square_tail(found.chi2, found.dof)
+    return p, p > UNIFORM
+
+
+def pareto_shape(excess: np.ndarray) -> float:
+    """Shape of a generalised Pareto tail of excesses, by the mean over profile weights and a weak prior to 0.5."""
+    x = np.sort(excess)
+    n = len(x)
+    m = 30 + int(np.sqrt(n))
+    theta = 1 / x[-1] + (1 - np.sqrt(m / (np.arange(1, m + 1) - 0.5))) / (3 * x[int(n / 4 + 0.5) - 1])
+    k = np.log1p(-theta[:, None] * x).mean(axis=1)
+    fit = n * (np.log(-theta / k) - k - 1)
+    weight = 1 / np.exp(fit[None, :] - fit[:, None]).sum(axis=1)
+    weight /= weight.sum()
+    shape = np.log1p(-(theta @ weight) * x).mean()
+    return float((n * shape + 10 * 0.5) / (n + 10))
+
+
+def pareto_k(draws: DataFrame, weight: str, alpha: float = ALPHA) -> float | None:
+    """How heavy the tail of the weights exp(alpha * weight) of draws is (one row for each draw): below 0.7 their mean can be
+    trusted. The driver gets the largest 3 sqrt(n) weights, a fifth of few; None for under five, and for equal ones."""
+    n, top = draws.agg(F.count(weight), F.max(weight)).first()
+    tail = int(min(0.2 * n, 3 * n**0.5))
+    if tail < 5:
+        return None
+    rows = draws.where(F.col(weight).isNotNull()).orderBy(F.col(weight).desc()).limit(tail + 1).select(weight).toArrow()
+    w = np.exp(alpha * (rows.column(weight).to_numpy() - top))
+    excess = w[:tail] - w[tail]
+    return pareto_shape(excess[excess > 0]) if (excess > 0).sum() >= 5 else None
