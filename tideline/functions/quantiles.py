@@ -13,6 +13,8 @@ def quantiles(rows: DataFrame, by: list[str], column: str, wanted: dict[str, flo
     """(by, one column for each wanted share): interpolated quantiles of the column's values that are not null, as
     `percentile` gives them. No task holds a group: values are counted below the sketched bounds and ranked between them,
     which is about 2 * MARGIN of a group for each share."""
+    if not by:
+        return quantiles(rows.withColumn("_g", F.lit(0)), ["_g"], column, wanted).drop("_g")
     own = rows.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("_v"))
     ends = [min(max(q + s * MARGIN, 0.0), 1.0) for q in wanted.values() for s in (-1, 1)]
     bounds = own.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_v", ends, ACCURACY).alias("_e"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
@@ -21,7 +23,7 @@ def quantiles(rows: DataFrame, by: list[str], column: str, wanted: dict[str, flo
     # small groups are ranked whole; the outermost values bound what the sketch may miss at the ends
     few = F.col("_n") <= ACCURACY
     looked = looked.withColumn("lo", F.when(few | (F.col("q") <= MARGIN), F.col("_low")).otherwise(F.col("lo"))).withColumn("hi", F.when(few | (F.col("q") >= 1 - MARGIN), F.col("_high")).otherwise(F.col("hi"))).drop("_low", "_high")
-    met = own.join(looked, by) if by else own.crossJoin(F.broadcast(looked))
+    met = own.join(looked, by)
     counted = met.where("_v < lo").groupBy(*by, "name").agg(F.count("*").alias("_below"))
     values = met.where("_v between lo and hi").groupBy(*by, "name", "_n", "q", "_v").agg(F.count("*").alias("_c"))
     ranked = values.join(counted, [*by, "name"], "left").withColumn("_to", F.coalesce("_below", F.lit(0)) + F.sum("_c").over(Window.partitionBy(*by, "name").orderBy("_v")))

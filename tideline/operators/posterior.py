@@ -75,13 +75,12 @@ def intervention_table(effects_: DataFrame, asked: DataFrame, known: list[str],
 
 
 def relevant_channels(loadings: DataFrame, outcome: str) -> DataFrame:
-    """(treatment, channel): channels that load on the treatment or on the outcome. loadings: draw, channel, latent, value;
-    means over draws count from LOADING on."""
-    means = loadings.groupBy("channel", "latent").agg(F.avg("value").alias("m")).where(F.abs("m") >= LOADING)
-    on_outcome = means.where(F.col("latent") == outcome).select("channel")
-    treatments = loadings.where(F.col("latent") != outcome).select(F.col("latent").alias("treatment")).distinct()
-    own = means.where(F.col("latent") != outcome).select(F.col("latent").alias("treatment"), "channel")
-    return own.unionByName(treatments.join(F.broadcast(on_outcome), F.lit(True))).distinct()
+    """(treatment, channel): channels that load on the treatment or on the outcome. loadings: draw, channel, latent, value,
+    with rows for every channel and latent; means over draws count from LOADING on."""
+    means = loadings.groupBy("channel", "latent").agg((F.abs(F.avg("value")) >= LOADING).alias("loads"))
+    on_outcome = means.where((F.col("latent") == outcome) & F.col("loads")).select("channel", F.lit(True).alias("wanted"))
+    own = means.where(F.col("latent") != outcome).join(on_outcome, "channel", "left")
+    return own.where("loads or wanted").select(F.col("latent").alias("treatment"), "channel")
 
 
 def attach_warnings(warnings: DataFrame, channels: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from tideline.functions.aggregates import REGISTRY
 from tideline.operators import observations as ob
 from tideline.operators import reshape
 from tideline.session import table
+from tideline.sources import models
 from tideline.sources.adapters import EVENT_TYPES, OBS_SQL, SHIP_SQL, observations, shipments
 
 #: Decimal places kept of numbers that have few of their own.
@@ -89,7 +90,7 @@ def _mixed(spark, sf_dir):
     return tidy(ob.flatten(observations(spark, sf_dir), dims, sorted({m[2] for m in MIXED})))
 
 
-def _mixed_sql() -> str:
+def _mixed_sql(single=single) -> str:
     parts = []
     for i, grain, name in MIXED:
         if grain == "finest":
@@ -100,6 +101,12 @@ def _mixed_sql() -> str:
     return f"WITH {OBS_SQL}, {PARSED} " + " UNION ALL ".join(reversed(parts))
 
 
+def _overview(spark, sf_dir):
+    dims = ob.indicators(spark, [dict(zip(("indicator", "granularity", "aggregation"), m)) for m in MIXED])
+    out = models.overview(ob.flatten(observations(spark, sf_dir), dims, sorted({m[2] for m in MIXED})))
+    return out.withColumns({c: F.col(c).cast("float").cast("double") for c in ("mean", "std")})
+
+
 def _workers(spark, sf_dir):
     obs = observations(spark, sf_dir)
     dims = ob.indicators(spark, [{"indicator": i, "granularity": "daily", "aggregation": "count"} for i in EVENT_TYPES])
@@ -169,6 +176,7 @@ QUERIES = {f"agg_{name}": _agg(name) for name in REGISTRY} | {
     **{f"bucket_{grain}": _grain(grain) for grain in ob.HOURS},
     "finest_dedup": _finest,
     "mixed_grain_flatten": _mixed,
+    "data_overview": _overview,
     "obs_from_events": _from_events,
     "obs_union_workers": _workers,
     "obs_known_filter": _known,
@@ -186,6 +194,8 @@ ORACLES = {f"agg_{name}": _agg_sql(name) for name in REGISTRY} | {
     **{f"bucket_{grain}": _agg_sql("mean", ob.TRUNC[grain], SHIP_SQL) for grain in ob.HOURS},
     "finest_dedup": f"WITH {OBS_SQL}, {PARSED} SELECT DISTINCT indicator, ts AS time_bucket, v AS value FROM p",
     "mixed_grain_flatten": _mixed_sql(),
+    "data_overview": f"""WITH m AS ({_mixed_sql(lambda sql: sql)}), s AS (SELECT granularity, count(DISTINCT time_bucket) AS times, count(DISTINCT indicator) AS indicators FROM m GROUP BY 1)
+SELECT granularity, times, indicators, indicator, {single('avg(value)')} AS mean, {single('stddev_samp(value)')} AS std FROM m JOIN s USING (granularity) GROUP BY ALL""",
     "obs_from_events": f"WITH {OBS_SQL} SELECT indicator, round(TRY_CAST(value AS DOUBLE), {PLACES}) AS value, timestamp, ingest_seq FROM obs WHERE timestamp = 'bad time' OR TRY_CAST(value AS DOUBLE) IS NULL",
     "obs_union_workers": f"WITH {OBS_SQL}, {PARSED} SELECT indicator, CAST(date_trunc('day', ts) AS TIMESTAMP) AS time_bucket, sum(CASE WHEN seq % 10 = 0 THEN 2 ELSE 1 END)::DOUBLE AS value FROM p GROUP BY 1, 2",
     "obs_known_filter": f"WITH {OBS_SQL} SELECT indicator, count(*) AS n FROM obs WHERE indicator IN ('click', 'view', 'absent') GROUP BY 1",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.session import table
-from tideline.sources import activity
+from tideline.sources import activity, models
 
 LINES, SAMPLED = 4, 5
 
@@ -79,6 +79,28 @@ SPELLED_SQL = rf"""WITH s AS (
 )
 SELECT o_orderkey, strftime(try_strptime(regexp_replace(said, '(T.*)[+-]\d\d:?\d\d$', '\1'), {activity.DATE_FORMATS}), '%A, %B %d, %Y') AS spelled FROM s"""
 
+def _completions(spark, sf_dir):
+    """events as what an extractor says of chunks: one value each, fenced or not, some of them of the wrong kind or unknown."""
+    n = F.col("event_id")
+    value = F.when(n % 7 == 0, F.lit('"many"')).when(n % 7 == 1, F.lit("null")).when(n % 7 == 2, F.lit("2.5")).otherwise((n % 100).cast("string"))
+    item = F.concat(F.lit('{"indicator": "'), F.when(n % 11 == 0, "ghost").otherwise(F.col("event_type")), F.lit('", "value": '), value, F.lit("}"))
+    body = F.when(n % 13 == 0, F.lit('{"other": []}')).otherwise(F.concat(F.lit('{"extractions": ['), item, F.lit("]}")))
+    text = F.when(n % 17 == 0, F.lit("I found nothing.")).when(n % 2 == 0, F.concat(F.lit("Found:\n```json\n"), body, F.lit("\n```"))).otherwise(body)
+    return table(spark, sf_dir, "events").select(n.alias("chunk_id"), text.alias("completion"))
+
+
+COUNTED = [("click", "count"), ("error", "continuous"), ("purchase", "ordinal"), ("signup", "categorical"), ("view", "count")]
+EXTRACTED_SQL = """e AS (SELECT event_id AS chunk_id, CASE WHEN event_id % 11 = 0 THEN 'ghost' ELSE event_type END AS indicator, event_type,
+    CASE event_id % 7 WHEN 0 THEN 'many' WHEN 1 THEN NULL WHEN 2 THEN '2.5' ELSE CAST(event_id % 100 AS VARCHAR) END AS value, event_id % 7 AS k FROM events),
+f AS (SELECT *, CASE WHEN chunk_id % 17 = 0 THEN 'no JSON' WHEN chunk_id % 13 = 0 THEN 'no list of extractions' WHEN indicator = 'ghost' THEN 'ghost: unknown indicator'
+    WHEN k <> 1 AND (indicator IN ('click', 'view') AND k IN (0, 2) OR indicator = 'error' AND k = 0 OR indicator = 'signup' AND k <> 0) THEN indicator || ': value does not fit the dtype' END AS fault FROM e)"""
+
+
+def _extracted(spark, sf_dir, part):
+    measured = spark.createDataFrame(COUNTED, "name string, dtype string")
+    return models.observed(models.extractions(_completions(spark, sf_dir)), measured)[part]
+
+
 LINES_SQL = r"l AS (SELECT doc_id, [x FOR x IN [regexp_replace(y, '^\s+|\s+$', '', 'g') FOR y IN string_split(text, chr(10))] IF x <> ''] AS ls FROM documents)"
 
 QUERIES = {
@@ -91,6 +113,8 @@ QUERIES = {
     "props_json": lambda spark, d: table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k")),
     "json_from_text": _fenced,
     "date_spell_out": _spelled,
+    "extraction_rows": lambda s, d: _extracted(s, d, 0).select("ingest_seq", "indicator", "value"),
+    "extraction_faults": lambda s, d: _extracted(s, d, 1),
 }
 
 ORACLES = {
@@ -102,4 +126,6 @@ ORACLES = {
     "props_json": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "json_from_text": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "date_spell_out": SPELLED_SQL,
+    "extraction_rows": f"WITH {EXTRACTED_SQL} SELECT chunk_id AS ingest_seq, indicator, value FROM f WHERE fault IS NULL",
+    "extraction_faults": f"WITH {EXTRACTED_SQL} SELECT chunk_id, fault FROM f WHERE fault IS NOT NULL",
 }

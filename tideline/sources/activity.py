@@ -38,9 +38,11 @@ DIRECTIVES = {
 OFFSET = r"(?:Z|([+-])(\d\d):?(\d\d))$"
 
 
-def newest(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
-    """(path) of the file of this suffix that was changed last, the larger name of two; only metadata is read."""
+def newest(spark: SparkSession, folder: str, suffix: str, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """(path) of the file of this suffix that was changed last, the larger name of two; only metadata is read. Files whose
+    names are in exclude do not count; null where none is left."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder)
+    files = files.where(~F.element_at(F.split("path", "/"), -1).isin(*exclude)) if exclude else files
     return files.agg(F.max(F.struct("modificationTime", "path")).alias("x")).select("x.path")
 
 

@@ -1 +1 @@
-
+"""Streaming forms of operators."""
