@@ -27,7 +27,7 @@ from tideline.llm import text as tx
 
 #: An end-of-word symbol is its byte's character moved up by this much.
 END = 0x2000
-MAX_WORD_CACHE, MAX_PAIR_CACHE = 200_000, 1_000_000
+MAX_WORD_CACHE, MAX_PAIR_CACHE = 100_000, 200_000
 
 
 class Encoder:
@@ -141,6 +141,10 @@ class Encoder:
             self.known[run] = known
         return known
 
+    def forget(self) -> None:
+        """Gives back the memory of words and pairs at the end of a task: other work follows in the same process."""
+        self.known, self.earlier, self.pairs = {}, {}, {}
+
     def encode(self, content: str | None) -> np.ndarray:
         runs = [self.encode_run(x.decode("utf-8"))[0] for x in (content or "").encode("utf-8").split()]
         return np.concatenate(runs) if runs else np.zeros(0, np.uint32)
@@ -152,7 +156,7 @@ class Encoder:
 
 @lru_cache(1)
 def encoder_of(path: str) -> Encoder:
-    """The encoder of a worker process, which keeps what it has learnt from one task to the next."""
+    """The encoder of a worker process; its tables stay from one task to the next, its words do not (`forget`)."""
     return Encoder(path)
 
 
@@ -169,7 +173,7 @@ def concat(parts: list[np.ndarray], codes: np.ndarray) -> tuple[np.ndarray, np.n
 def encode(docs: DataFrame, path: str, column: str = "text", ids: bool = True, digests: bool = False) -> DataFrame:
     """docs with `token_ids` (ids=True), `n_tokens`, and with digests=True `ids_sha256` and `decoded_sha256`; columns of
     these names in docs are replaced. A null or empty text has no tokens. Rows stay where they are: nothing is shuffled,
-    and each worker keeps at most twice MAX_WORD_CACHE words and a few MB of text."""
+    and each task keeps at most twice MAX_WORD_CACHE words and a few MB of text."""
     new = [*(["token_ids array<int>"] * ids), "n_tokens bigint", *(["ids_sha256 string", "decoded_sha256 string"] * digests)]
     docs = docs.drop(*[x.split()[0] for x in new])
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + new)
@@ -193,6 +197,7 @@ def encode(docs: DataFrame, path: str, column: str = "text", ids: bool = True, d
                         said.append(hashlib.sha256(b" ".join([x for c in w.codes[a:b].tolist() if (x := spelled[c])])).hexdigest())
                     out.append(pa.array(said, pa.string()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, *[x.split()[0] for x in new]])
+        encoder.forget()
 
     return docs.mapInArrow(run, fields)
 

@@ -261,7 +261,7 @@ def features(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in tx.pieces(whole):
+            for batch in tx.pieces(whole, limit=tx.PIECE_BYTES // 3):
                 x = Rows.read(batch)
                 bags = tx.packed(x.cells, x.times, x.starts, BITS)
                 pages = [p.astype("<f4").tobytes() for p in x.page]
