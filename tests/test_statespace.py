@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tideline.functions import linear
 from tideline.operators import inference, statespace
@@ -89,7 +90,37 @@ def test_fits_recover_the_parameters(spark):
     held = statespace.sort_panel(made, "series", "t").cache()
     target = inference.Target(held, inference.one_latent(), "series", "t", ["y"])
     want = {"drift": -0.5, "diffusion_sd": 0.6, "cint": 0.8, "measurement_sd": 0.4}
-    for method, how in (("laplace", {}), ("tempered_smc", {"particles": 64, "moves": 2})):
+    for method, how in (("laplace", {}), ("tempered_smc", {"particles": 64, "moves": 2}), ("hmc", {"chains": 8, "steps": 15})):
         got = inference.fit(target, method, **how).groupBy("param").avg("value").collect()
         assert {r.param: r["avg(value)"] for r in got} == pytest.approx(want, abs=0.15), method
+    profiles = inference.profile(target, points=21)
+    top = profiles.groupBy("param").agg(F.max("log_post").alias("top")).collect()
+    assert max(r.top for r in top) - min(r.top for r in top) < 2 and len(top) == 4
+    assert {r.verdict for r in inference.identified(profiles).collect()} == {"identified"}
     held.unpersist()
+
+
+def test_structural_systems_have_their_entries_in_place():
+    model = inference.structural(["A", "B", "T"], [("A", "B"), ("T", "A")], ["x", "y", "z"], {("x", "A"): 1.0, ("y", "B"): None, ("z", "T"): 2.0}, still=("T",), means=("z",), priors={"effect_B_A": (0.3, 0.1)})
+    assert model.names == ["drift_A", "drift_B", "effect_B_A", "effect_A_T", "diffusion_A", "diffusion_B", "cint_A", "cint_B", "loading_y_B", "mean_z", "noise_x", "noise_y", "noise_z"]
+    assert model.mean[2] == 0.3 and model.sd[2] == 0.1
+    t = np.linspace(-0.6, 0.6, 13)[None]
+    s, n = model.build(t), dict(zip(model.names, model.natural(t)[0]))
+    assert np.allclose(s.a[0], [[n["drift_A"], 0, n["effect_A_T"]], [n["effect_B_A"], n["drift_B"], 0], [0, 0, -inference.STILL]]) and n["drift_A"] < 0
+    assert np.allclose(np.diag(s.q[0]), [n["diffusion_A"] ** 2, n["diffusion_B"] ** 2, inference.STILL**2])
+    assert np.allclose(s.h[0], [[1, 0, 0], [0, n["loading_y_B"], 0], [0, 0, 2]]) and np.allclose(s.d[0], [0, 0, n["mean_z"]]) and np.allclose(s.c[0], [n["cint_A"], n["cint_B"], 0])
+    away = np.zeros((1, 13))
+    away[0, 3], settled = 5.0, model.log_prior(np.zeros((1, 13)))[0]
+    assert model.log_prior(away)[0] < settled and np.isfinite(model.log_prior(np.full((1, 13), 1e6))[0])
+    assert [inference.backend(*x) for x in ((["gaussian"] * 2, True), (["gaussian", "poisson"], False), (["gaussian", "poisson"], True), (["beta"], False))] == ["kalman", "composed", "particle", "particle"]
+
+
+def test_profiles_tell_what_cannot_be_told(spark):
+    """Two loadings and a drift of a variable that nothing measures: only its prior shapes them."""
+    truth = statespace.System.one(a=[[-0.5]], q=[[0.36]], c=[0.8], h=[[1]], d=[0], r=[[0.16]], m0=[0], p0=[[1]])
+    made = statespace.sort_panel(statespace.simulate(spark, truth, 10, 40, 0.5, seed=5), "series", "t").cache()
+    wide = {"drift_B": (-0.7, 50.0), "cint_B": (0.0, 50.0)}
+    model = inference.structural(["A", "B"], [], ["y0"], {("y0", "A"): 1.0}, priors=wide)
+    got = {r.param: r.verdict for r in inference.identified(inference.profile(inference.Target(made, model, "series", "t", ["y0"]), ["drift_A", "cint_B"], points=10, reach=0.5)).collect()}
+    assert got["cint_B"] == "structurally_unidentifiable"
+    made.unpersist()

@@ -14,6 +14,15 @@ from tideline.operators import statespace
 from tideline.operators.statespace import System
 
 
+#: What an unsettled system costs, and how fast it must settle at least; drift and diffusion of a latent
+#: variable that does not change; falls of a profile likelihood that leave a value out at 95 % and 99 %, and the range
+#: below which a profile is flat.
+INSTABILITY, MARGIN, STILL = 1e4, 1e-9, 1e-6
+#: Prior deviations beyond which a parameter has no likelihood.
+FAR = 10.0
+DROPS, FLAT = {0.95: 1.92, 0.99: 3.32}, 0.5
+
+
 @dataclass
 class Model:
     """names: of the unconstrained parameters; mean, sd: their normal prior; build: systems of a batch of them; natural:
@@ -26,8 +35,11 @@ class Model:
     natural: Callable[[np.ndarray], np.ndarray]
 
     def log_prior(self, theta: np.ndarray) -> np.ndarray:
+        """Normal density, less a penalty on systems that do not settle."""
         z = (theta - self.mean) / self.sd
-        return (-0.5 * z**2 - np.log(self.sd) - 0.5 * np.log(2 * np.pi)).sum(axis=1)
+        near = np.clip(theta, self.mean - FAR * self.sd, self.mean + FAR * self.sd)
+        fastest = np.linalg.eigvals(self.build(near).a).real.max(axis=1)
+        return (-0.5 * z**2 - np.log(self.sd) - 0.5 * np.log(2 * np.pi)).sum(axis=1) - INSTABILITY * np.maximum(fastest + MARGIN, 0)
 
 
 def one_latent(m0: float = 0.0, p0: float = 1.0) -> Model:
@@ -45,6 +57,60 @@ def one_latent(m0: float = 0.0, p0: float = 1.0) -> Model:
     return Model(["drift", "diffusion_sd", "cint", "measurement_sd"], np.array([-0.7, -0.7, 0.0, -0.7]), np.array([0.7, 0.7, 1.0, 0.7]), build, natural)
 
 
+#: Prior mean and sd of each kind of parameter, positive ones on the log scale.
+KINDS = {"drift": (-0.7, 0.7), "effect": (0.0, 0.5), "diffusion": (-1.0, 0.7), "cint": (0.0, 1.0), "loading": (0.5, 0.5), "mean": (0.0, 2.0), "noise": (-1.0, 0.7)}
+POSITIVE = ("drift", "diffusion", "noise")
+
+
+def structural(latents: list[str], edges: list[tuple[str, str]], channels: list[str], loadings: dict[tuple[str, str], float | None], still: tuple[str, ...] = (), means: tuple[str, ...] = (), priors: dict[str, tuple[float, float]] | None = None) -> Model:
+    """Several latent variables with the given effects (cause, effect) on each other's drift, measured by channels.
+
+    loadings: (channel, latent) with its value, or None where it is free; others are zero. still: latent variables that do
+    not change over time, whose drift and diffusion are fixed. means: channels with a mean of their own. priors: mean and sd
+    of a parameter by name, or else of its kind. The system starts at rest, a normal of variance one about zero."""
+    n, p = len(latents), len(channels)
+    moving = [x for x in latents if x not in still]
+    slots = [("drift", x, x) for x in moving] + [("effect", e, c) for c, e in edges] + [("diffusion", x, x) for x in moving] + [("cint", x, x) for x in moving]
+    slots += [("loading", ch, x) for (ch, x), v in loadings.items() if v is None] + [("mean", ch, ch) for ch in means] + [("noise", ch, ch) for ch in channels]
+    names = [f"{kind}_{a}" if a == b else f"{kind}_{a}_{b}" for kind, a, b in slots]
+    at = {x: i for i, x in enumerate(latents)} | {("channel", ch): i for i, ch in enumerate(channels)}
+    known = priors or {}
+    mean, sd = (np.array([known.get(name, KINDS[kind])[k] for name, (kind, _, _) in zip(names, slots)]) for k in (0, 1))
+    positive = np.array([kind in POSITIVE for kind, _, _ in slots])
+    down = np.array([kind == "drift" for kind, _, _ in slots])
+
+    def natural(t: np.ndarray) -> np.ndarray:
+        return np.where(positive, np.exp(np.where(positive, t, 0)), t) * np.where(down, -1, 1)
+
+    def build(t: np.ndarray) -> System:
+        k, value = len(t), natural(t)
+        a, g, c = np.zeros((k, n, n)), np.zeros((k, n)), np.zeros((k, n))
+        h, d, r = np.zeros((k, p, n)), np.zeros((k, p)), np.zeros((k, p))
+        for x in still:
+            a[:, at[x], at[x]], g[:, at[x]] = -STILL, STILL
+        for (ch, x), v in loadings.items():
+            h[:, at["channel", ch], at[x]] = 0.0 if v is None else v
+        for j, (kind, one, two) in enumerate(slots):
+            if kind in ("drift", "effect"):
+                a[:, at[one], at[two]] = value[:, j]
+            elif kind == "loading":
+                h[:, at["channel", one], at[two]] = value[:, j]
+            else:
+                target, place = {"diffusion": (g, one), "cint": (c, one), "mean": (d, ("channel", one)), "noise": (r, ("channel", one))}[kind]
+                target[:, at[place]] = value[:, j]
+        eye = lambda v, size: (v**2)[:, :, None] * np.eye(size)
+        return System(a=a, q=eye(g, n), c=c, h=h, d=d, r=eye(r, p), m0=np.zeros((k, n)), p0=np.broadcast_to(np.eye(n), (k, n, n)).copy())
+
+    return Model(names, mean, sd, build, natural)
+
+
+def backend(families: list[str], shared: bool) -> str:
+    """Which likelihood serves channels of these families: the Kalman filter if all are normal; a Kalman filter beside a
+    particle filter if some are and they share no latent variable with the others; else the particle filter."""
+    normal = [f == "gaussian" for f in families]
+    return "kalman" if all(normal) else "composed" if any(normal) and not shared else "particle"
+
+
 class Target:
     """Log-likelihood of batches of parameters over one panel (from sort_panel, best written down before)."""
 
@@ -52,12 +118,14 @@ class Target:
         self.panel, self.model, self.on = panel, model, (key, time, ys)
 
     def __call__(self, theta: np.ndarray) -> np.ndarray:
-        per_series = statespace.loglik(self.panel, self.model.build(theta), *self.on)
+        inside = (np.abs(theta - self.model.mean) <= FAR * self.model.sd).all(axis=1)
+        held = np.where(inside[:, None], theta, self.model.mean)  # nothing is computed for what no prior would give
+        per_series = statespace.loglik(self.panel, self.model.build(held), *self.on)
         rows = per_series.groupBy("system").agg(F.sum("loglik").alias("ll")).collect()  # one row for each particle
         out = np.zeros(len(theta))
         for r in rows:
             out[r.system] = r.ll
-        return np.where(np.isfinite(out), out, -1e30)
+        return np.where(np.isfinite(out) & inside, out, -1e30)
 
 
 def draws(df_of: DataFrame, model: Model, theta: np.ndarray, weights: np.ndarray) -> DataFrame:
@@ -145,7 +213,8 @@ def laplace(target: Target, n: int = 200, seed: int = 0) -> DataFrame:
 
 
 def hmc(target: Target, chains: int = 16, steps: int = 30, leaps: int = 4, seed: int = 0, eps: float = 1e-4) -> DataFrame:
-    """Chains started around the mode, with its curvature as mass; gradients by differences, all chains in one batch."""
+    """Chains started around the mode, with its curvature as mass; gradients by differences, all chains in one batch. During
+    the first third, which is not kept, the step size is tuned by dual averaging to accept four of five."""
     model, rng = target.model, np.random.default_rng(seed)
     centre, curve = mode(target)
     root = np.linalg.cholesky(np.linalg.inv(curve))
@@ -159,8 +228,8 @@ def hmc(target: Target, chains: int = 16, steps: int = 30, leaps: int = 4, seed:
 
     z = rng.standard_normal((chains, dim))
     value, grad = both(z)
-    size, kept = 0.5, []
-    for _ in range(steps):
+    size, kept, warm, error, smooth = 0.5, [], steps // 3, 0.0, np.log(0.5)
+    for n in range(1, steps + 1):
         p = rng.standard_normal(z.shape)
         x, v, g, q = z, value, grad, p
         for _ in range(leaps):
@@ -168,13 +237,71 @@ def hmc(target: Target, chains: int = 16, steps: int = 30, leaps: int = 4, seed:
             x = x + size * q
             v, g = both(x)
             q = q + size / 2 * g
-        taken = np.log(rng.random(chains)) < v - value + 0.5 * ((p**2).sum(axis=1) - (q**2).sum(axis=1))
+        gain = v - value + 0.5 * ((p**2).sum(axis=1) - (q**2).sum(axis=1))
+        taken = np.log(rng.random(chains)) < gain
+        if n <= warm:
+            error += (0.8 - np.exp(np.minimum(gain, 0)).mean() - error) / (n + 10)
+            log_size = np.log(5.0) - np.sqrt(n) / 0.05 * error
+            smooth += n**-0.75 * (log_size - smooth)
+            size = float(np.clip(np.exp(log_size if n < warm else smooth), 0.01, 1.5))
         z, value, grad = np.where(taken[:, None], x, z), np.where(taken, v, value), np.where(taken[:, None], g, grad)
         kept.append(centre + z @ root.T)
-    made = np.concatenate(kept[len(kept) // 3 :])
+    made = np.concatenate(kept[warm:])
     return draws(target.panel, model, made, np.full(len(made), 1 / len(made)))
 
 
+def profile(target: Target, params: list[str] | None = None, points: int = 20, reach: float = 3.0, rounds: int = 4) -> DataFrame:
+    """(param, at, value, log_post): the posterior along each parameter (at: unconstrained, value: on its natural scale),
+    the others set to their best for each point. The grid spans `reach` prior deviations around the mode; all points of all
+    parameters move together, by Newton steps with the mode's curvature, and each step is one batch of differences."""
+    model = target.model
+    chosen = [model.names.index(x) for x in params or model.names]
+    centre, curve = mode(target)
+    dim, eps = len(centre), 1e-3
+    post = lambda t: target(t) + model.log_prior(t)
+    grid = [centre[j] + reach * model.sd[j] * np.linspace(-1, 1, points) for j in chosen]
+    theta = np.repeat(centre[None], len(chosen) * points, axis=0)
+    owner, free = np.repeat(chosen, points), []
+    for k, j in enumerate(chosen):
+        rest = np.delete(np.arange(dim), j)
+        free.append((rest, np.linalg.inv(curve[np.ix_(rest, rest)])))
+        theta[k * points : (k + 1) * points, j] = grid[k]
+        # where the normal approximation has the others, given this one
+        theta[k * points : (k + 1) * points, rest] -= np.outer(grid[k] - centre[j], free[k][1] @ curve[rest, j])
+    value = post(theta)
+    for _ in range(rounds):
+        shifts = np.concatenate([np.eye(dim), -np.eye(dim)]) * eps
+        f = post((theta[:, None] + shifts).reshape(-1, dim)).reshape(len(theta), 2, dim)
+        grad = (f[:, 0] - f[:, 1]) / (2 * eps)
+        step = np.zeros_like(theta)
+        for k in range(len(chosen)):
+            rows, (rest, inverse) = slice(k * points, (k + 1) * points), free[k]
+            step[rows, rest] = np.clip(grad[rows][:, rest] @ inverse.T, -1, 1)
+        sizes = 0.5 ** np.arange(4)
+        tried = theta[:, None] + sizes[:, None] * step[:, None]
+        found = post(tried.reshape(-1, dim)).reshape(len(theta), len(sizes))
+        best = found.argmax(axis=1)
+        better = found.max(axis=1) > value
+        theta = np.where(better[:, None], tried[np.arange(len(theta)), best], theta)
+        value = np.maximum(value, found.max(axis=1))
+        if not better.any():
+            break
+    natural = model.natural(theta)
+    rows = [(model.names[j], float(theta[i, j]), float(natural[i, j]), float(value[i])) for i, j in enumerate(owner)]
+    return target.panel.sparkSession.createDataFrame(rows, "param string, at double, value double, log_post double")
+
+
+def identified(profiles: DataFrame, confidence: float = 0.95) -> DataFrame:
+    """(param, range, verdict): a profile below FLAT in range is structurally unidentifiable; one that falls far enough from
+    its peak on both sides is identified, else it is practically unidentifiable."""
+    drop = DROPS[confidence]
+    peak = profiles.groupBy("param").agg(F.max("log_post").alias("top"), F.min("log_post").alias("low"), F.max_by("at", "log_post").alias("peak"))
+    fallen = F.col("log_post") < F.col("top") - drop
+    sides = profiles.join(peak, "param").groupBy("param", (F.col("top") - F.col("low")).alias("range")).agg(F.max(fallen & (F.col("at") < F.col("peak"))).alias("left"), F.max(fallen & (F.col("at") > F.col("peak"))).alias("right"))
+    verdict = F.when(F.col("range") < FLAT, "structurally_unidentifiable").when(F.col("left") & F.col("right"), "identified").otherwise("practically_unidentifiable")
+    return sides.select("param", "range", verdict.alias("verdict"))
+
+
 METHODS = {"tempered_smc": tempered_smc, "laplace": laplace, "hmc": hmc}
 
 

@@ -8,7 +8,7 @@ from tideline.functions import emissions
 from tideline.lineage import cut
 from tideline.operators import inference, statespace
 from tideline.session import table
-from tideline.sources.adapters import DRAWS_SQL, draws
+from tideline.sources.adapters import DRAWS_SQL, EVENT_TYPES, draws
 
 #: Drift, diffusion variance, intercept, measurement variance, and the initial mean and variance of the one-latent system.
 A, Q, C, R, M0, P0 = -0.3, 0.5, 0.6, 0.8, 2.0, 1.5
@@ -79,6 +79,19 @@ def _fit(method, **how):
     return lambda spark, d: inference.fit(_target(spark, d), method, **how)
 
 
+def _pair_target(spark, d):
+    """Daily means of all five event types of a user: two latent variables, the first of which drives the second."""
+    ev = table(spark, d, "events").groupBy("user_id", F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01")).cast("double").alias("t")).pivot("event_type", EVENT_TYPES).agg((F.avg("value") - 60) / SCALE)
+    ys = [c for c in ev.columns if c not in ("user_id", "t")]
+    loads = {(ys[0], "A"): 1.0, (ys[1], "A"): None, (ys[2], "B"): 1.0, (ys[3], "B"): None, (ys[4], "B"): None}
+    model = inference.structural(["A", "B"], [("A", "B")], ys, loads)
+    return inference.Target(cut(statespace.sort_panel(ev, "user_id", "t")), model, "user_id", "t", ys)
+
+
+def _profiles(spark, d):
+    return inference.identified(inference.profile(_target(spark, d), points=12))
+
+
 #: Observed value and predictor of each family, from two entries of a draw.
 Y = {"gaussian": "x", "student_t": "x", "poisson": "k", "neg_binomial": "k", "gamma": "g", "bernoulli": "b", "beta": "u"}
 
@@ -103,6 +116,9 @@ QUERIES = {
     **{f"emission_{f}": _emission(f) for f in emissions.FAMILIES},
     "fit_tempered_smc": _fit("tempered_smc", particles=PARTICLES, moves=1),
     "fit_laplace": _fit("laplace", n=DRAWS),
+    "fit_hmc": _fit("hmc", chains=8, steps=12, leaps=3),
+    "fit_two_latents": lambda spark, d: inference.fit(_pair_target(spark, d), "laplace", n=DRAWS),
+    "profile_likelihood": _profiles,
 }
 
 _PI = "0.5 * ln(2 * pi())"
