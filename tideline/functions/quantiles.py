@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 ACCURACY, MARGIN = 10_000, 3e-4
 
 
-def quantiles(rows: DataFrame, by: list[str], column: str, wanted: dict[str, float]) -> DataFrame:
+def quantiles(rows: DataFrame, by: list[str], column: str, wanted: dict[str, float], nearest: bool = False) -> DataFrame:
     """(by, one column for each wanted share): interpolated quantiles of the column's values that are not null, as
-    `percentile` gives them. No task holds a group: values are counted below the sketched bounds and ranked between them,
+    `percentile` gives them; with nearest the values at the nearest ranks, halves upward. No task holds a group: values are counted below the sketched bounds and ranked between them,
     which is about 2 * MARGIN of a group for each share."""
     if not by:
-        return quantiles(rows.withColumn("_g", F.lit(0)), ["_g"], column, wanted).drop("_g")
+        return quantiles(rows.withColumn("_g", F.lit(0)), ["_g"], column, wanted, nearest).drop("_g")
     own = rows.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("_v"))
     ends = [min(max(q + s * MARGIN, 0.0), 1.0) for q in wanted.values() for s in (-1, 1)]
     bounds = own.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_v", ends, ACCURACY).alias("_e"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
@@ -28,7 +28,7 @@ def quantiles(rows: DataFrame, by: list[str], column: str, wanted: dict[str, flo
     values = met.where("_v between lo and hi").groupBy(*by, "name", "_n", "q", "_v").agg(F.count("*").alias("_c"))
     ranked = values.join(counted, [*by, "name"], "left").withColumn("_to", F.coalesce("_below", F.lit(0)) + F.sum("_c").over(Window.partitionBy(*by, "name").orderBy("_v")))
     place = F.col("q") * (F.col("_n") - 1)
-    low, high = F.floor(place), F.ceil(place)
+    low, high = (F.round(place), F.round(place)) if nearest else (F.floor(place), F.ceil(place))
     at = lambda rank: F.max(F.when((rank >= F.col("_to") - F.col("_c")) & (rank < F.col("_to")), F.col("_v")))
     found = ranked.groupBy(*by, "name").agg(at(low).alias("a"), at(high).alias("b"), F.max(place - low).alias("f"))
     value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") * (1 - F.col("f")) + F.col("b") * F.col("f"))

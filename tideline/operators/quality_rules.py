@@ -11,12 +11,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.functions.quantiles import quantiles
+from tideline.lineage import cut
 from tideline.operators import observations as ob
 from tideline.operators.reshape import micros
 
 #: Thresholds of the rules: fixed values.
 MIN_OBSERVATIONS, MIN_PERIODS, GAP_PERIODS, IQR_FACTOR, MIN_ALIGNED, DUPLICATE_SHARE = 10, 10, 5, 3.0, 10, 0.5
 MIN_ARITHMETIC, BAD_TIMES = 5, 0.5
+#: Parts that an indicator's values are sorted in.
+CELLS = 4096
 
 ISSUE = ["indicator", "rule", "issue_type", "severity", "metric"]
 
@@ -26,6 +30,16 @@ def _issues(rows: DataFrame, rule: str, kind: str, severity: Column | str, metri
     return rows.select("indicator", F.lit(rule).alias("rule"), F.lit(kind).alias("issue_type"), severity.alias("severity"), metric.cast("double").alias("metric"))
 
 
+def consecutive(rows: DataFrame) -> DataFrame:
+    """(indicator, n, least, most): how many values x each indicator has, and the least and most that neighbours in order
+    differ by. cell: any number that does not fall as x grows. Values are sorted within cells, and only the cells' ends
+    within an indicator, so that no task has to sort an indicator."""
+    step = F.col("x") - F.lag("x").over(Window.partitionBy("indicator", "cell").orderBy("x"))
+    cells = rows.withColumn("step", step).groupBy("indicator", "cell").agg(F.count("*").alias("n"), F.min("x").alias("first"), F.max("x").alias("last"), F.min("step").alias("least"), F.max("step").alias("most"))
+    cells = cells.withColumn("between", F.col("first") - F.lag("last").over(Window.partitionBy("indicator").orderBy("cell")))
+    return cells.groupBy("indicator").agg(F.sum("n").alias("n"), F.least(F.min("least"), F.min("between")).alias("least"), F.greatest(F.max("most"), F.max("between")).alias("most"))
+
+
 class Report:
     """obs: raw observations; dims: indicator, construct, dtype (null: not declared), granularity (null: none)."""
 
@@ -48,7 +62,7 @@ class Report:
         return _issues(empty, "V1", "no_data", "error", F.col("n"))
 
     def missing(self) -> DataFrame:
-        return _issues(self.dims.join(self.obs, "indicator", "left_anti"), "V2", "missing", "warning", F.lit(0))
+        return _issues(self.dims.join(self.profile.select("indicator"), "indicator", "left_anti"), "V2", "missing", "warning", F.lit(0))
 
     def no_numeric(self) -> DataFrame:
         return _issues(self.profile.where("n = 0"), "V3", "no_numeric", "error", F.col("rows"))
@@ -75,9 +89,8 @@ class Report:
 
     def outliers(self) -> DataFrame:
         own = self.numeric.where("dtype = 'continuous'")
-        ranked = own.withColumn("k", F.row_number().over(Window.partitionBy("indicator").orderBy("v")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("indicator")))
-        at = lambda q: F.max(F.when(F.col("k") == F.round((F.col("n") - 1) * F.lit(q)), F.col("v")))
-        quartiles = ranked.groupBy("indicator").agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.count("*").alias("n")).where(f"n >= {MIN_OBSERVATIONS} and q3 > q1")
+        sizes = self.judged.select("indicator", "n")
+        quartiles = quantiles(own, ["indicator"], "v", {"q1": 0.25, "q3": 0.75}, nearest=True).join(sizes, "indicator").where(f"n >= {MIN_OBSERVATIONS} and q3 > q1")
         reach = IQR_FACTOR * (F.col("q3") - F.col("q1"))
         far = own.join(quartiles, "indicator").where((F.col("v") < F.col("q1") - reach) | (F.col("v") > F.col("q3") + reach))
         return _issues(far.groupBy("indicator").agg(F.count("*").alias("far")), "V11", "dtype_violation", "warning", F.col("far"))
@@ -88,8 +101,9 @@ class Report:
 
     def gaps(self) -> DataFrame:
         timed = self.rows.join(self.judged.select("indicator"), "indicator", "left_semi").where("ts is not null")
-        step = (micros(F.col("ts")) - F.lag(micros(F.col("ts"))).over(Window.partitionBy("indicator").orderBy("ts"))) / 3.6e9
-        widest = timed.withColumn("step", step).groupBy("indicator", "granularity").agg(F.count("*").alias("n"), F.max("step").alias("widest"))
+        hours = micros(F.col("ts")) / 3.6e9
+        steps = consecutive(timed.select("indicator", micros(F.col("ts")).alias("x"), F.floor(hours).alias("cell")))
+        widest = steps.join(self.dims.select("indicator", "granularity"), "indicator").withColumn("widest", F.col("most") / 3.6e9)
         return _issues(widest.where((F.col("n") >= 3) & (F.col("widest") > GAP_PERIODS * self.hours)), "V13", "large_timestamp_gap", "warning", F.col("widest"))
 
     def duplicates(self) -> DataFrame:
@@ -99,8 +113,9 @@ class Report:
         return _issues(top.where((F.col("n") >= 2) & (F.col("values") > 1) & (F.col("share") > DUPLICATE_SHARE)), "V14", "suspicious_pattern", "warning", F.col("share"))
 
     def arithmetic(self) -> DataFrame:
-        step = F.col("v") - F.lag("v").over(Window.partitionBy("indicator").orderBy("v"))
-        steps = self.numeric.withColumn("step", step).groupBy("indicator").agg(F.count("*").alias("n"), F.min("step").alias("least"), F.max("step").alias("most"))
+        ends = self.judged.select("indicator", "low", "high")
+        cell = F.coalesce(F.floor((F.col("v") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * CELLS), F.lit(0))
+        steps = consecutive(self.numeric.join(ends, "indicator").select("indicator", F.col("v").alias("x"), cell.alias("cell")))
         return _issues(steps.where((F.col("n") >= MIN_ARITHMETIC) & (F.col("least") == F.col("most")) & (F.col("least") != 0)), "V15", "suspicious_pattern", "warning", F.col("least"))
 
     def construct_correlation(self) -> DataFrame:
@@ -115,7 +130,15 @@ class Report:
     def rules(self) -> list[DataFrame]:
         return [self.no_data(), self.missing(), self.no_numeric(), self.low_n(), self.no_variance(), self.bad_times(), self.dtype(), self.outliers(), self.coverage(), self.gaps(), self.duplicates(), self.arithmetic(), self.construct_correlation()]
 
+    def held(self) -> Report:
+        """The report with its rows and its profile written down, so that the rules do not read the source one by one."""
+        self.rows = cut(self.rows)
+        self.profile = cut(self.profile)
+        self.judged, self.numeric = self.profile.where("n > 0"), self.rows.where("v is not null")
+        return self
+
     def issues(self) -> DataFrame:
+        self.held()
         return reduce(DataFrame.unionByName, self.rules())
 
     def verdict(self) -> DataFrame:
