@@ -112,9 +112,15 @@ def test_quality_layout_matches_counting_characters():
     for t, row in zip(texts, got):
         t = t or ""
         n, ws, ls = max(len(t), 1), t.split(), t.split("\n")
-        kinds = [sum(c.isupper() for c in t), sum(c.islower() for c in t), sum(c.isnumeric() for c in t), sum(c in "#$%&*<>|{}=_/\\" for c in t), sum(c in "!?" for c in t), sum(c in ".,;:" for c in t)]
+        kinds = [
+            sum(c.isupper() for c in t), sum(c.islower() for c in t), sum(c.isnumeric() for c in t), sum(c in "#$%&*<>|{}=_/\\" for c in t),
+            sum(c in "!?" for c in t), sum(c in ".,;:" for c in t)
+        ]
         ws = [w for w in t.encode().split()]
-        want = [np.log(n), np.log(len(ls)), np.log(max(len(ws), 1)), n / max(len(ws), 1) / 10, max(len(ws), 1) / len(ls) / 50, len(set(ws)) / max(len(ws), 1), 1 - len(set(ls)) / len(ls), not ws, *[k / n for k in kinds]]
+        want = [
+            np.log(n), np.log(len(ls)), np.log(max(len(ws), 1)), n / max(len(ws), 1) / 10, max(len(ws), 1) / len(ls) / 50,
+            len(set(ws)) / max(len(ws), 1), 1 - len(set(ls)) / len(ls), not ws, *[k / n for k in kinds]
+        ]
         assert np.allclose(row[: quality.LAYOUT], want, atol=1e-6)
 
 

@@ -65,7 +65,11 @@ def check(spark, rows):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_matches_brute_force(spark, seed):
     rows = make(80, seed)
-    rows += [rows[3], rows[3], (900, None, "x", 1), (901, "", "x", 1), (None, rows[0][1], "x", 1), (902, "\n\n\n", None, 1), (903, rows[5][1] + "\n" + rows[5][1], "x", 1), (904, "w " * 40000 + "\n" + "v " * 60, "", 0), (905, "u\n" + "v " * 60, "", 0), (rows[7][0], "same id\nother text " * 30, "", 0)]
+    rows += [
+        rows[3], rows[3], (900, None, "x", 1), (901, "", "x", 1), (None, rows[0][1], "x", 1), (902, "\n\n\n", None, 1),
+        (903, rows[5][1] + "\n" + rows[5][1], "x", 1), (904, "w " * 40000 + "\n" + "v " * 60, "", 0), (905, "u\n" + "v " * 60, "", 0),
+        (rows[7][0], "same id\nother text " * 30, "", 0)
+    ]
     check(spark, rows)
 
 

@@ -75,7 +75,9 @@ def multi_index(items: DataFrame, radius: int = RADIUS) -> DataFrame:
     changes = F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit((1 << width) - 1).cast("bigint")), lambda x: F.bit_count(x) <= most)
     own = items.select("item_id", "item_words", "n", "k", simhash(F.col("hashes")).alias("item_fp"))
     blocks = F.explode(F.array(*[F.struct(F.lit(b).alias("block"), _block(F.col("item_fp"), b).alias("own")) for b in range(BLOCKS)]))
-    return own.withColumn("x", blocks).withColumn("change", F.explode(changes)).select("item_id", "item_words", "item_fp", "n", "k", F.col("x.block").alias("block"), F.col("x.own").bitwiseXOR(F.col("change")).alias("value"))
+    return own.withColumn("x", blocks).withColumn("change", F.explode(changes)).select(
+        "item_id", "item_words", "item_fp", "n", "k", F.col("x.block").alias("block"), F.col("x.own").bitwiseXOR(F.col("change")).alias("value")
+    )
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:

@@ -247,7 +247,9 @@ def closed(probed: DataFrame, model: Model) -> DataFrame | None:
     """(id, held_out, doc_id, cell) of each open token, its bigram looked up; None if there are none by design."""
     if model.rare is None:
         return None
-    tokens = probed.select("id", "held_out", "doc_id", F.explode(F.arrays_zip("open", "open_cells")).alias("x")).select("id", "held_out", "doc_id", F.col("x.open").alias("key"), F.col("x.open_cells").alias("cell"))
+    tokens = probed.select("id", "held_out", "doc_id", F.explode(F.arrays_zip("open", "open_cells")).alias("x")).select(
+        "id", "held_out", "doc_id", F.col("x.open").alias("key"), F.col("x.open_cells").alias("cell")
+    )
     own, before = (F.col("cell") / CLASSES).cast("int") % CLASSES, (F.col("cell") / CLASSES**2).cast("int")
     found = F.least(F.coalesce("level", F.lit(0)), own, before)
     return tokens.join(model.rare, "key", "left").select("id", "held_out", "doc_id", (F.col("cell") + found).alias("cell"))

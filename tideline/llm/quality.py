@@ -265,7 +265,10 @@ def features(docs: DataFrame) -> DataFrame:
                 x = Rows.read(batch)
                 bags = tx.packed(x.cells, x.times, x.starts, BITS)
                 pages = [p.astype("<f4").tobytes() for p in x.page]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "text_hash", "row_hash")], pa.array(x.words), pa.array(bags, pa.binary()), pa.array(pages, pa.binary())], names=[f.split()[0] for f in FEATURES.split(", ")])
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c) for c in ("doc_id", "text_hash", "row_hash")], pa.array(x.words), pa.array(bags, pa.binary()), pa.array(pages, pa.binary())],
+                    names=[f.split()[0] for f in FEATURES.split(", ")]
+                )
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash().alias("text_hash"), row_hash(docs).alias("row_hash"), "text", *[c for c in DECLARED if c in docs.columns])
     return cut(own.mapInArrow(run, FEATURES))
