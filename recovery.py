@@ -42,7 +42,11 @@ def main(method: str = "laplace", times: int = 80, **how) -> None:
     got = np.array([own[k].mean() for k in truth])
     inside = sum(own[k].quantile(0.05) <= v <= own[k].quantile(0.95) for k, v in truth.items())
     want = np.array(list(truth.values()))
-    out = {"method": method, "times": times, "parameters": len(model.names), "seconds": round(took, 1), "rmse": round(float(np.sqrt(((got - want) ** 2).mean())), 3), "corr": round(float(np.corrcoef(got, want)[0, 1]), 3), "covered": f"{inside}/{len(want)}"}
+    out = {
+        "method": method, "times": times, "parameters": len(model.names), "seconds": round(took, 1),
+        "rmse": round(float(np.sqrt(((got - want) ** 2).mean())), 3), "corr": round(float(np.corrcoef(got, want)[0, 1]), 3),
+        "covered": f"{inside}/{len(want)}"
+    }
     print(json.dumps(out))
     spark.stop()
 

@@ -20,7 +20,9 @@ def tables(spark, rows):
         for n in sorted({x for e in edges for x in e[:2]} | observed):
             nodes.append((key, n, n in observed, n not in fixed, n == outcome))
         arrows += [(key, *e) for e in edges]
-    return spark.createDataFrame(nodes, "key string, name string, observed boolean, varying boolean, is_outcome boolean"), spark.createDataFrame(arrows, "key string, cause string, effect string, lagged boolean")
+    return spark.createDataFrame(
+        nodes, "key string, name string, observed boolean, varying boolean, is_outcome boolean"
+    ), spark.createDataFrame(arrows, "key string, cause string, effect string, lagged boolean")
 
 
 def test_verdicts_match_known_graphs(spark):

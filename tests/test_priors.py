@@ -20,7 +20,10 @@ def test_mixture_pooling_finds_two_opinions(spark):
 
 def test_spread_of_a_coupled_system(spark):
     """Against the closed form of two independent states, turned into two channels each of which sees both."""
-    draws = spark.createDataFrame([(1, [-1.0, 0.0, 0.0, -2.0], [1.0, 0.0, 0.0, 2.0], [1.0, 1.0, 0.0, 3.0], [0.5, 0.0]), (2, [0.1, 0.0, 0.0, -1.0], [1.0, 0.0, 0.0, 1.0], [1.0, 0.0, 0.0, 1.0], [0.0, 0.0])], "draw bigint, drift array<double>, diffusion array<double>, loading array<double>, noise array<double>")
+    draws = spark.createDataFrame(
+        [(1, [-1.0, 0.0, 0.0, -2.0], [1.0, 0.0, 0.0, 2.0], [1.0, 1.0, 0.0, 3.0], [0.5, 0.0]), (2, [0.1, 0.0, 0.0, -1.0], [1.0, 0.0, 0.0, 1.0], [1.0, 0.0, 0.0, 1.0], [0.0, 0.0])],
+        "draw bigint, drift array<double>, diffusion array<double>, loading array<double>, noise array<double>"
+    )
     got = {(x.draw, x.channel): x for x in priors.implied(draws, ["u", "v"]).collect()}
     assert np.isclose(got[1, "u"].std, sqrt(0.5 + 1.0 + 0.5)) and np.isclose(got[1, "v"].std, 3.0) and not got[2, None].stable
     checks = priors.scale_checks(priors.implied(draws, ["u", "v"]), spark.createDataFrame([("u", 1e-3), ("v", 3.0)], "channel string, std double")).collect()

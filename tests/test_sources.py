@@ -49,7 +49,11 @@ def test_dates_by_the_first_format_that_takes_them(spark):
 
 MODEL = {
     "latent": {
-        "constructs": [{"name": "X", "role": "endogenous", "causal_granularity": "daily"}, {"name": "Y", "role": "endogenous", "causal_granularity": "daily", "is_outcome": True}, {"name": "U", "role": "exogenous", "temporal_status": "time_invariant"}],
+        "constructs": [
+            {"name": "X", "role": "endogenous", "causal_granularity": "daily"},
+            {"name": "Y", "role": "endogenous", "causal_granularity": "daily", "is_outcome": True},
+            {"name": "U", "role": "exogenous", "temporal_status": "time_invariant"}
+        ],
         "edges": [{"cause": "X", "effect": "Y"}, {"cause": "U", "effect": "Y", "lagged": False}],
     },
     "measurement": {"indicators": [{"name": "x1", "construct": "X", "measurement_dtype": "count"}, {"name": "y1", "construct_name": "Y", "how_to_measure": "ask"}]},
@@ -67,7 +71,10 @@ def test_models_from_files(spark, tmp_path):
     assert sorted(tuple(r) for r in measured.select("name", "construct", "granularity", "dtype").collect()) == [("x1", "X", "finest", "count"), ("y1", "Y", "finest", "continuous")]
     verdicts = identify.effects(models.graph_tables(models.constructs(good), measured), models.edges(good)).collect()
     assert [(v.treatment, v.identifiable) for v in verdicts] == [("X", True)]
-    proxies = spark.createDataFrame([("good.json", "U", "often seen with", "u1", None, None, None, None), ("good.json", "U", "why", "u2", "daily", "binary", "max", "count it")], "key string, construct string, justification string, name string, granularity string, dtype string, aggregation string, how_to_measure string")
+    proxies = spark.createDataFrame(
+        [("good.json", "U", "often seen with", "u1", None, None, None, None), ("good.json", "U", "why", "u2", "daily", "binary", "max", "count it")],
+        "key string, construct string, justification string, name string, granularity string, dtype string, aggregation string, how_to_measure string"
+    )
     wide = models.with_proxies(measured, proxies)
     assert {r.name: (r.dtype, r.how_to_measure) for r in wide.where("construct = 'U'").collect()} == {"u1": ("continuous", "Proxy for U: often seen with"), "u2": ("binary", "Proxy for U: count it")}
     assert {(r.kind, r.value): r.n for r in models.counts(wide).collect()}["granularity", "finest"] == 3
@@ -98,5 +105,9 @@ def test_a_stream_gives_what_a_batch_gives(spark, tmp_path):
     got = {(r.indicator, r.time_bucket): r for r in spark.table("buckets").collect()}
     want = {(r.indicator, r.time_bucket): r for r in stream.bucketed(spark.createDataFrame(rows, ob.RAW), dims).collect()}
     assert len(got) >= 4 and all(got[k] == want[k] for k in got)
-    batch = ob.aggregate(spark.createDataFrame(rows, ob.RAW), ob.indicators(spark, [{"indicator": "a", "granularity": "daily", "aggregation": "mean"}, {"indicator": "b", "granularity": "weekly", "aggregation": "mean"}]), ["mean"])
+    batch = ob.aggregate(
+        spark.createDataFrame(rows, ob.RAW),
+        ob.indicators(spark, [{"indicator": "a", "granularity": "daily", "aggregation": "mean"}, {"indicator": "b", "granularity": "weekly", "aggregation": "mean"}]),
+        ["mean"]
+    )
     assert {(r.indicator, r.time_bucket): round(r.value, 9) for r in batch.collect()} == {k: round(r.mean, 9) for k, r in want.items()}

@@ -4,7 +4,10 @@ import pytest
 
 from tideline.operators import identify, specs
 
-CONSTRUCTS = [("Stress", "exogenous", "time_varying", "daily", False), ("Fatigue", "endogenous", "time_varying", "daily", False), ("Trait", "exogenous", "time_invariant", None, False), ("Focus", "endogenous", "time_varying", "hourly", True)]
+CONSTRUCTS = [
+    ("Stress", "exogenous", "time_varying", "daily", False), ("Fatigue", "endogenous", "time_varying", "daily", False),
+    ("Trait", "exogenous", "time_invariant", None, False), ("Focus", "endogenous", "time_varying", "hourly", True)
+]
 EDGES = [("Stress", "Fatigue", False), ("Fatigue", "Focus", True), ("Trait", "Focus", False), ("Focus", "Fatigue", True)]
 INDICATORS = [("s1", "Stress", "daily", "continuous", "mean", "short"), ("s2", "Stress", "hourly", "count", "sum", "x" * 51), ("f1", "Focus", "finest", "binary", "last", None)]
 
@@ -66,14 +69,23 @@ def test_faults_of_edges_and_names(spark):
 
 
 def test_faults_of_indicators(spark):
-    rows = [("a", "Stress", "weekly", "continuous", "mean", ""), ("b", "Nobody", "daily", "continuous", "mean", ""), ("c", "Focus", "daily", "text", "mode", ""), ("d", "Trait", "yearly", "count", "sum", ""), ("d", "Trait", "monthly", "count", "sum", "")]
+    rows = [
+        ("a", "Stress", "weekly", "continuous", "mean", ""), ("b", "Nobody", "daily", "continuous", "mean", ""),
+        ("c", "Focus", "daily", "text", "mode", ""), ("d", "Trait", "yearly", "count", "sum", ""), ("d", "Trait", "monthly", "count", "sum", "")
+    ]
     got = [g[:2] for g in found(specs.measurement_issues(indicators(spark, rows), constructs(spark)))]
     assert got == [("a", "coarser than its construct"), ("b", "unknown construct"), ("c", "unknown aggregation"), ("c", "unknown dtype"), ("d", "duplicate name")]
 
 
 def test_faults_of_models(spark):
-    likelihoods = spark.createDataFrame([("a", "s1", "gaussian", "identity"), ("a", "s2", "gaussian", "log"), ("a", "s2", "cauchy", "cloglog")], "key string, variable string, distribution string, link string")
-    parameters = spark.createDataFrame([("a", "rho", "ar_coefficient", "none"), ("a", "rho", "loading", "positive"), ("a", "x", "odd", "loose")], "key string, name string, role string, constraint string")
+    likelihoods = spark.createDataFrame(
+        [("a", "s1", "gaussian", "identity"), ("a", "s2", "gaussian", "log"), ("a", "s2", "cauchy", "cloglog")],
+        "key string, variable string, distribution string, link string"
+    )
+    parameters = spark.createDataFrame(
+        [("a", "rho", "ar_coefficient", "none"), ("a", "rho", "loading", "positive"), ("a", "x", "odd", "loose")],
+        "key string, name string, role string, constraint string"
+    )
     got = found(specs.model_issues(likelihoods, parameters, indicators(spark)))
     assert got == [
         ("f1", "no likelihood", "warning"), ("rho", "duplicate name", "error"), ("rho", "unexpected constraint", "warning"), ("s2", "distribution does not fit the dtype", "error"), ("s2", "duplicate name", "error"),
@@ -82,7 +94,10 @@ def test_faults_of_models(spark):
 
 
 def test_extractions(spark):
-    rows = [("a", "s1", "2.5", "number"), ("a", "s2", "-1", "number"), ("a", "s2", "3", "integer"), ("a", "f1", "yes", "string"), ("a", "f1", None, None), ("a", "ghost", "1", "integer"), ("b", "s1", "1", "integer")]
+    rows = [
+        ("a", "s1", "2.5", "number"), ("a", "s2", "-1", "number"), ("a", "s2", "3", "integer"), ("a", "f1", "yes", "string"), ("a", "f1", None, None),
+        ("a", "ghost", "1", "integer"), ("b", "s1", "1", "integer")
+    ]
     x = spark.createDataFrame(rows, "key string, indicator string, value string, kind string")
     known = indicators(spark).unionByName(indicators(spark, key="b"))
     assert [g[:2] for g in found(specs.extraction_issues(x, known))] == [("f1", "value does not fit the dtype"), ("ghost", "unknown indicator"), ("s2", "value does not fit the dtype")]

@@ -101,7 +101,10 @@ def test_fits_recover_the_parameters(spark):
 
 
 def test_structural_systems_have_their_entries_in_place():
-    model = inference.structural(["A", "B", "T"], [("A", "B"), ("T", "A")], ["x", "y", "z"], {("x", "A"): 1.0, ("y", "B"): None, ("z", "T"): 2.0}, still=("T",), means=("z",), priors={"effect_B_A": (0.3, 0.1)})
+    model = inference.structural(
+        ["A", "B", "T"], [("A", "B"), ("T", "A")], ["x", "y", "z"], {("x", "A"): 1.0, ("y", "B"): None, ("z", "T"): 2.0}, still=("T",), means=("z",),
+        priors={"effect_B_A": (0.3, 0.1)}
+    )
     assert model.names == ["drift_A", "drift_B", "effect_B_A", "effect_A_T", "diffusion_A", "diffusion_B", "cint_A", "cint_B", "loading_y_B", "mean_z", "noise_x", "noise_y", "noise_z"]
     assert model.mean[2] == 0.3 and model.sd[2] == 0.1
     t = np.linspace(-0.6, 0.6, 13)[None]
@@ -112,7 +115,9 @@ def test_structural_systems_have_their_entries_in_place():
     away = np.zeros((1, 13))
     away[0, 3], settled = 5.0, model.log_prior(np.zeros((1, 13)))[0]
     assert model.log_prior(away)[0] < settled and np.isfinite(model.log_prior(np.full((1, 13), 1e6))[0])
-    assert [inference.backend(*x) for x in ((["gaussian"] * 2, True), (["gaussian", "poisson"], False), (["gaussian", "poisson"], True), (["beta"], False))] == ["kalman", "composed", "particle", "particle"]
+    assert [inference.backend(*x) for x in (
+        (["gaussian"] * 2, True), (["gaussian", "poisson"], False), (["gaussian", "poisson"], True), (["beta"], False)
+    )] == ["kalman", "composed", "particle", "particle"]
 
 
 def test_profiles_tell_what_cannot_be_told(spark):

@@ -18,11 +18,16 @@ def quantiles(rows: DataFrame, by: list[str], column: str, wanted: dict[str, flo
     own = rows.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("_v"))
     ends = [min(max(q + s * MARGIN, 0.0), 1.0) for q in wanted.values() for s in (-1, 1)]
     bounds = own.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_v", ends, ACCURACY).alias("_e"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    share = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q"), F.col("_e")[2 * i].alias("lo"), F.col("_e")[2 * i + 1].alias("hi")) for i, (name, q) in enumerate(wanted.items())]))
+    share = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q"), F.col("_e")[2 * i].alias("lo"), F.col("_e")[2 * i + 1].alias("hi"))
+        for i, (name, q) in enumerate(wanted.items())
+    ]))
     looked = bounds.select(*by, "_n", "_low", "_high", share.alias("x")).select(*by, "_n", "x.*", "_low", "_high")
     # small groups are ranked whole; the outermost values bound what the sketch may miss at the ends
     few = F.col("_n") <= ACCURACY
-    looked = looked.withColumn("lo", F.when(few | (F.col("q") <= MARGIN), F.col("_low")).otherwise(F.col("lo"))).withColumn("hi", F.when(few | (F.col("q") >= 1 - MARGIN), F.col("_high")).otherwise(F.col("hi"))).drop("_low", "_high")
+    looked = looked.withColumn("lo", F.when(few | (F.col("q") <= MARGIN), F.col("_low")).otherwise(F.col("lo"))).withColumn(
+        "hi", F.when(few | (F.col("q") >= 1 - MARGIN), F.col("_high")).otherwise(F.col("hi"))
+    ).drop("_low", "_high")
     met = own.join(looked, by)
     counted = met.where("_v < lo").groupBy(*by, "name").agg(F.count("*").alias("_below"))
     values = met.where("_v between lo and hi").groupBy(*by, "name", "_n", "q", "_v").agg(F.count("*").alias("_c"))

@@ -144,7 +144,9 @@ def edge_problems(constructs: DataFrame, edges: DataFrame, hours: dict[str, int]
     """(cause, effect, problem): unknown ends, exogenous effects, contemporaneous edges between different grains.
     constructs also has role and granularity."""
     own = constructs.select("name", "role", "granularity", "varying")
-    wide = edges.join(own.select(*[F.col(c).alias(f"c_{c}") for c in own.columns]), F.col("cause") == F.col("c_name"), "left").join(own.select(*[F.col(c).alias(f"e_{c}") for c in own.columns]), F.col("effect") == F.col("e_name"), "left")
+    wide = edges.join(own.select(*[F.col(c).alias(f"c_{c}") for c in own.columns]), F.col("cause") == F.col("c_name"), "left").join(
+        own.select(*[F.col(c).alias(f"e_{c}") for c in own.columns]), F.col("effect") == F.col("e_name"), "left"
+    )
     found = F.array_compact(
         F.array(
             F.when(F.col("c_name").isNull(), F.lit("unknown cause")),

@@ -62,7 +62,10 @@ KINDS = {"drift": (-0.7, 0.7), "effect": (0.0, 0.5), "diffusion": (-1.0, 0.7), "
 POSITIVE = ("drift", "diffusion", "noise")
 
 
-def structural(latents: list[str], edges: list[tuple[str, str]], channels: list[str], loadings: dict[tuple[str, str], float | None], still: tuple[str, ...] = (), means: tuple[str, ...] = (), priors: dict[str, tuple[float, float]] | None = None) -> Model:
+def structural(
+    latents: list[str], edges: list[tuple[str, str]], channels: list[str], loadings: dict[tuple[str, str], float | None], still: tuple[str, ...] = (),
+    means: tuple[str, ...] = (), priors: dict[str, tuple[float, float]] | None = None
+) -> Model:
     """Several latent variables with the given effects (cause, effect) on each other's drift, measured by channels.
 
     loadings: (channel, latent) with its value, or None where it is free; others are zero. still: latent variables that do
@@ -297,7 +300,9 @@ def identified(profiles: DataFrame, confidence: float = 0.95) -> DataFrame:
     drop = DROPS[confidence]
     peak = profiles.groupBy("param").agg(F.max("log_post").alias("top"), F.min("log_post").alias("low"), F.max_by("at", "log_post").alias("peak"))
     fallen = F.col("log_post") < F.col("top") - drop
-    sides = profiles.join(peak, "param").groupBy("param", (F.col("top") - F.col("low")).alias("range")).agg(F.max(fallen & (F.col("at") < F.col("peak"))).alias("left"), F.max(fallen & (F.col("at") > F.col("peak"))).alias("right"))
+    sides = profiles.join(peak, "param").groupBy("param", (F.col("top") - F.col("low")).alias("range")).agg(
+        F.max(fallen & (F.col("at") < F.col("peak"))).alias("left"), F.max(fallen & (F.col("at") > F.col("peak"))).alias("right")
+    )
     verdict = F.when(F.col("range") < FLAT, "structurally_unidentifiable").when(F.col("left") & F.col("right"), "identified").otherwise("practically_unidentifiable")
     return sides.select("param", "range", verdict.alias("verdict"))
 

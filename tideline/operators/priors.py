@@ -108,7 +108,10 @@ def value_checks(draws: DataFrame, positive: list[str]) -> DataFrame:
     v, n = F.col("value"), F.count("*")
     bad = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     out = draws.groupBy("param").agg((F.count_if(bad) / n).alias("bad"), (F.count_if(v < 0) / n).alias("low"), (F.count_if((F.abs(v) > EXTREME) & ~F.isnan(v)) / n).alias("far"))
-    found = [("not finite", F.col("bad"), F.col("bad") > 0), ("negative", F.col("low"), F.col("param").isin(positive) & (F.col("low") > NEGATIVE_SHARE)), ("extreme", F.col("far"), F.col("far") > EXTREME_SHARE)]
+    found = [
+        ("not finite", F.col("bad"), F.col("bad") > 0), ("negative", F.col("low"), F.col("param").isin(positive) & (F.col("low") > NEGATIVE_SHARE)),
+        ("extreme", F.col("far"), F.col("far") > EXTREME_SHARE)
+    ]
     rows = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(name).alias("issue"), share.alias("share"))) for name, share, c in found]))
     return out.select("param", F.explode(rows).alias("x")).select("param", "x.*")
 
@@ -142,4 +145,6 @@ def scale_checks(implied_: DataFrame, data: DataFrame) -> DataFrame:
     stable = implied_.select("draw", "stable").distinct().agg(F.avg((~F.col("stable")).cast("double")).alias("share")).where(F.col("share") > UNSTABLE_SHARE)
     ratio = implied_.where("stable").groupBy("channel").agg(F.median("std").alias("m")).join(data.where("std > 0"), "channel").select("channel", (F.col("m") / F.col("std")).alias("share"))
     odd = ratio.where((F.col("share") > SCALE_RATIO) | (F.col("share") < 1 / SCALE_RATIO))
-    return stable.select(F.lit("dynamics").alias("param"), F.lit("unstable").alias("issue"), "share").unionByName(odd.select(F.concat(F.lit("scale_"), "channel").alias("param"), F.lit("scale").alias("issue"), "share"))
+    return stable.select(F.lit("dynamics").alias("param"), F.lit("unstable").alias("issue"), "share").unionByName(odd.select(
+        F.concat(F.lit("scale_"), "channel").alias("param"), F.lit("scale").alias("issue"), "share"
+    ))

@@ -35,7 +35,9 @@ def consecutive(rows: DataFrame) -> DataFrame:
     differ by. cell: any number that does not fall as x grows. Values are sorted within cells, and only the cells' ends
     within an indicator, so that no task has to sort an indicator."""
     step = F.col("x") - F.lag("x").over(Window.partitionBy("indicator", "cell").orderBy("x"))
-    cells = rows.withColumn("step", step).groupBy("indicator", "cell").agg(F.count("*").alias("n"), F.min("x").alias("first"), F.max("x").alias("last"), F.min("step").alias("least"), F.max("step").alias("most"))
+    cells = rows.withColumn("step", step).groupBy("indicator", "cell").agg(
+        F.count("*").alias("n"), F.min("x").alias("first"), F.max("x").alias("last"), F.min("step").alias("least"), F.max("step").alias("most")
+    )
     cells = cells.withColumn("between", F.col("first") - F.lag("last").over(Window.partitionBy("indicator").orderBy("cell")))
     return cells.groupBy("indicator").agg(F.sum("n").alias("n"), F.least(F.min("least"), F.min("between")).alias("least"), F.greatest(F.max("most"), F.max("between")).alias("most"))
 
@@ -128,7 +130,10 @@ class Report:
         return _issues(r.withColumn("indicator", F.col("construct")), "V16", "low_construct_correlation", "warning", F.col("r"))
 
     def rules(self) -> list[DataFrame]:
-        return [self.no_data(), self.missing(), self.no_numeric(), self.low_n(), self.no_variance(), self.bad_times(), self.dtype(), self.outliers(), self.coverage(), self.gaps(), self.duplicates(), self.arithmetic(), self.construct_correlation()]
+        return [
+            self.no_data(), self.missing(), self.no_numeric(), self.low_n(), self.no_variance(), self.bad_times(), self.dtype(), self.outliers(),
+            self.coverage(), self.gaps(), self.duplicates(), self.arithmetic(), self.construct_correlation()
+        ]
 
     def held(self) -> Report:
         """The report with its rows and its profile written down, so that the rules do not read the source one by one."""

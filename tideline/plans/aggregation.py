@@ -110,7 +110,9 @@ def _overview(spark, sf_dir):
 def _workers(spark, sf_dir):
     obs = observations(spark, sf_dir)
     dims = ob.indicators(spark, [{"indicator": i, "granularity": "daily", "aggregation": "count"} for i in EVENT_TYPES])
-    return ob.aggregate(ob.union([obs.where("ingest_seq % 2 = 0"), None, obs.where("ingest_seq % 2 = 1"), obs.where("ingest_seq % 10 = 0")], spark), dims, ["count"]).select("indicator", "time_bucket", "value")
+    return ob.aggregate(
+        ob.union([obs.where("ingest_seq % 2 = 0"), None, obs.where("ingest_seq % 2 = 1"), obs.where("ingest_seq % 10 = 0")], spark), dims, ["count"]
+    ).select("indicator", "time_bucket", "value")
 
 
 def _known(spark, sf_dir):
@@ -130,7 +132,10 @@ def _drop(spark, sf_dir):
 
 
 def _orders(spark, sf_dir, dtype, column, levels=None):
-    raw = table(spark, sf_dir, "orders").select(F.lit("x").alias("indicator"), F.col(column).cast("string").alias("value"), F.col("o_orderdate").cast("string").alias("timestamp"), F.col("o_orderkey").alias("ingest_seq"))
+    raw = table(spark, sf_dir, "orders").select(
+        F.lit("x").alias("indicator"), F.col(column).cast("string").alias("value"), F.col("o_orderdate").cast("string").alias("timestamp"),
+        F.col("o_orderkey").alias("ingest_seq")
+    )
     dims = ob.indicators(spark, [{"indicator": "x", "dtype": dtype, "levels": levels}])
     return ob.encode(raw, dims).select(F.col("ingest_seq").alias("o_orderkey"), F.col("v").alias("code"))
 
@@ -141,7 +146,10 @@ LEVEL_SQL = "CASE lower(trim(o_orderpriority)) " + " ".join(f"WHEN '{x.strip().l
 
 def _binary(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
-    raw = labels.select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.when(F.col("toxic") == 1, "YES").otherwise("No")).when(F.col("doc_id") % 4 == 1, F.col("toxic").cast("double").cast("string")).when(F.col("doc_id") % 4 == 2, F.col("toxic").cast("string")).otherwise("maybe").alias("value"))
+    raw = labels.select(
+        "doc_id",
+        F.when(F.col("doc_id") % 4 == 0, F.when(F.col("toxic") == 1, "YES").otherwise("No")).when(F.col("doc_id") % 4 == 1, F.col("toxic").cast("double").cast("string")).when(F.col("doc_id") % 4 == 2, F.col("toxic").cast("string")).otherwise("maybe").alias("value")
+    )
     return raw.select("doc_id", ob.encode_binary(F.col("value")).alias("code"))
 
 

@@ -113,11 +113,16 @@ def _textbook(spark):
         own = [(*e.replace(">>", ">").split(">"), ">>" in e) for e in edges.split()]
         nodes += [(key, n, n not in hidden.split(), n not in fixed.split(), n == "Y") for n in sorted({x for e in own for x in e[:2]})]
         arrows += [(key, *e) for e in own]
-    return spark.createDataFrame(nodes, "key string, name string, observed boolean, varying boolean, is_outcome boolean"), spark.createDataFrame(arrows, "key string, cause string, effect string, lagged boolean")
+    return spark.createDataFrame(
+        nodes, "key string, name string, observed boolean, varying boolean, is_outcome boolean"
+    ), spark.createDataFrame(arrows, "key string, cause string, effect string, lagged boolean")
 
 
 def _identified(spark, _):
-    return identify.effects(*_textbook(spark)).select("key", "treatment", "identifiable", "method", F.array_join("instruments", " ").alias("instruments"), F.array_join("blockers", " ").alias("blockers"))
+    return identify.effects(*_textbook(spark)).select(
+        "key", "treatment", "identifiable", "method", F.array_join("instruments", " ").alias("instruments"),
+        F.array_join("blockers", " ").alias("blockers")
+    )
 
 
 def _known_sql() -> str:
@@ -151,11 +156,19 @@ def _fix(spark, _):
 def _parts(spark, sf_dir):
     """One graph for each part: what its suppliers' keys modulo 9 lead to is ordered upward, so that there is no cycle; 8 is
     the outcome and keys that the part's number picks are hidden."""
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), F.least(F.col("l_suppkey") % 9, F.col("l_orderkey") % 9).alias("a"), F.greatest(F.col("l_suppkey") % 9, F.col("l_orderkey") % 9).alias("b"), (F.col("l_linenumber") > 4).alias("lagged"))
-    arrows = li.where("a < b").groupBy("key", "a", "b").agg(F.min("lagged").alias("lagged")).select("key", F.col("a").cast("string").alias("cause"), F.col("b").cast("string").alias("effect"), "lagged")
+    li = table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("key"), F.least(F.col("l_suppkey") % 9, F.col("l_orderkey") % 9).alias("a"),
+        F.greatest(F.col("l_suppkey") % 9, F.col("l_orderkey") % 9).alias("b"), (F.col("l_linenumber") > 4).alias("lagged")
+    )
+    arrows = li.where("a < b").groupBy("key", "a", "b").agg(F.min("lagged").alias("lagged")).select(
+        "key", F.col("a").cast("string").alias("cause"), F.col("b").cast("string").alias("effect"), "lagged"
+    )
     n = F.explode(F.sequence(F.lit(0), F.lit(8)))
     nodes = li.select("key").distinct().select("key", n.alias("n"))
-    return nodes.select("key", F.col("n").cast("string").alias("name"), ((F.col("n") == 8) | ((F.col("key") + F.col("n")) % 4 != 0)).alias("observed"), F.lit(True).alias("varying"), (F.col("n") == 8).alias("is_outcome")), arrows
+    return nodes.select(
+        "key", F.col("n").cast("string").alias("name"), ((F.col("n") == 8) | ((F.col("key") + F.col("n")) % 4 != 0)).alias("observed"),
+        F.lit(True).alias("varying"), (F.col("n") == 8).alias("is_outcome")
+    ), arrows
 
 
 def _many(spark, sf_dir):

@@ -40,7 +40,9 @@ def _effects(spark, d):
 
 def _sims(spark, d):
     """(obs, sims): a label is a variable; the first vector of each is observed, the others are simulated."""
-    own = table(spark, d, "embeddings").select(F.col("label").alias("variable"), F.col("vec_id").alias("draw"), F.posexplode("embedding").alias("t", "value")).withColumn("value", F.col("value").cast("double"))
+    own = table(spark, d, "embeddings").select(
+        F.col("label").alias("variable"), F.col("vec_id").alias("draw"), F.posexplode("embedding").alias("t", "value")
+    ).withColumn("value", F.col("value").cast("double"))
     first = table(spark, d, "embeddings").groupBy(F.col("label").alias("variable")).agg(F.min("vec_id").alias("draw"))
     return own.join(first, ["variable", "draw"], "left_semi").drop("draw"), own.join(first, ["variable", "draw"], "left_anti")
 
@@ -80,7 +82,10 @@ def _table(spark, d):
 def _loadings(spark, d):
     """Draws of the loadings of three channels on three latent variables, some of them small on average."""
     own = table(spark, d, "embeddings").select(F.col("vec_id").alias("draw"), F.posexplode(F.slice("embedding", 1, 9)).alias("k", "value"))
-    return own.select("draw", F.concat(F.lit("m"), (F.col("k") % 3).cast("string")).alias("channel"), F.concat(F.lit("l"), F.floor(F.col("k") / 3).cast("string")).alias("latent"), F.col("value").cast("double").alias("value"))
+    return own.select(
+        "draw", F.concat(F.lit("m"), (F.col("k") % 3).cast("string")).alias("channel"),
+        F.concat(F.lit("l"), F.floor(F.col("k") / 3).cast("string")).alias("latent"), F.col("value").cast("double").alias("value")
+    )
 
 
 def _warned(spark, d):
@@ -112,7 +117,10 @@ def _defaults(spark, d):
 def _compounds(spark, d):
     """Names of one to three tokens joined in pairs; the known ones are those whose number is not divisible by 5."""
     n = F.col("p_partkey")
-    name = lambda x: F.concat(F.lit("a"), (x % 4).cast("string"), F.when(x % 3 > 0, F.concat(F.lit("_b"), (x % 2).cast("string"))).otherwise(""), F.when(x % 3 > 1, F.lit("_c")).otherwise(""))
+    name = lambda x: F.concat(
+        F.lit("a"), (x % 4).cast("string"), F.when(x % 3 > 0, F.concat(F.lit("_b"), (x % 2).cast("string"))).otherwise(""),
+        F.when(x % 3 > 1, F.lit("_c")).otherwise("")
+    )
     own = table(spark, d, "part").select((n % 10).alias("key"), n)
     known = own.where(n % 5 > 0).select("key", name(n).alias("name"))
     made = own.select("key", F.concat(name(n), F.lit("_"), name(n + 10)).alias("compound")).distinct()
@@ -134,7 +142,10 @@ def _prior_values(spark, d):
 
 def _prior_scales(spark, d):
     """One state, two channels: its spread is q / sqrt(2 a) where a is positive."""
-    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("draw"), F.array(-_e(1) - 0.05).alias("drift"), F.array(F.abs(_e(2)) + 0.1).alias("diffusion"), F.array(F.lit(1.0), F.lit(300.0)).alias("loading"), F.array(F.lit(0.01), F.lit(0.0)).alias("noise"))
+    own = table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("draw"), F.array(-_e(1) - 0.05).alias("drift"), F.array(F.abs(_e(2)) + 0.1).alias("diffusion"),
+        F.array(F.lit(1.0), F.lit(300.0)).alias("loading"), F.array(F.lit(0.01), F.lit(0.0)).alias("noise")
+    )
     data = spark.createDataFrame([("small", 0.5), ("large", 0.5), ("still", 0.0)], "channel string, std double")
     return _rounded(pr.scale_checks(pr.implied(own, ["small", "large"]), data), "share")
 

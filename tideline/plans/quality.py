@@ -80,12 +80,22 @@ RULES = {
         _select(rule, "dtype_violation", "'error'", "count(*)", f"FROM r WHERE dtype = '{dtype}' AND {bad} GROUP BY indicator")
         for rule, dtype, bad in (("V8", "binary", "v NOT IN (0, 1)"), ("V9", "count", "v < 0"), ("V10", "count", "v % 1 <> 0"))
     ),
-    "outliers": _select("V11", "dtype_violation", "'warning'", "count(*)", "FROM r JOIN quart USING (indicator) WHERE n >= 10 AND q3 > q1 AND (v < q1 - 3 * (q3 - q1) OR v > q3 + 3 * (q3 - q1)) GROUP BY indicator"),
+    "outliers": _select(
+        "V11", "dtype_violation", "'warning'", "count(*)",
+        "FROM r JOIN quart USING (indicator) WHERE n >= 10 AND q3 > q1 AND (v < q1 - 3 * (q3 - q1) OR v > q3 + 3 * (q3 - q1)) GROUP BY indicator"
+    ),
     "coverage": _select("V12", "insufficient_coverage", "'warning'", "span / 3.6e9", "FROM j WHERE timed >= 2 AND span / 3.6e9 < 10 * hours"),
     "gaps": _select("V13", "large_timestamp_gap", "'warning'", "max(step)", "FROM t GROUP BY indicator HAVING count(*) >= 3 AND max(step) > 5 * any_value(hours)"),
-    "duplicates": _select("V14", "suspicious_pattern", "'warning'", "max(k) / sum(k)", "FROM (SELECT indicator, v, count(*) AS k FROM r WHERE v IS NOT NULL AND coalesce(dtype, 'continuous') NOT IN ('binary', 'count') GROUP BY ALL) GROUP BY indicator HAVING sum(k) >= 2 AND count(*) > 1 AND max(k) / sum(k) > 0.5"),
+    "duplicates": _select(
+        "V14", "suspicious_pattern", "'warning'", "max(k) / sum(k)",
+        "FROM (SELECT indicator, v, count(*) AS k FROM r WHERE v IS NOT NULL AND coalesce(dtype, 'continuous') NOT IN ('binary', 'count') GROUP BY ALL) GROUP BY indicator HAVING sum(k) >= 2 AND count(*) > 1 AND max(k) / sum(k) > 0.5"
+    ),
     "arithmetic": _select("V15", "suspicious_pattern", "'warning'", "min(step)", "FROM q GROUP BY indicator HAVING count(*) >= 5 AND count(DISTINCT step) = 1 AND min(step) <> 0"),
-    "construct_correlation": _select("V16", "low_construct_correlation", "'warning'", "corr(a.v, b.v)", "FROM day a JOIN day b ON a.construct = b.construct AND a.d = b.d AND a.indicator < b.indicator GROUP BY a.construct, a.indicator, b.indicator HAVING count(*) >= 10 AND corr(a.v, b.v) < 0", "a.construct"),
+    "construct_correlation": _select(
+        "V16", "low_construct_correlation", "'warning'", "corr(a.v, b.v)",
+        "FROM day a JOIN day b ON a.construct = b.construct AND a.d = b.d AND a.indicator < b.indicator GROUP BY a.construct, a.indicator, b.indicator HAVING count(*) >= 10 AND corr(a.v, b.v) < 0",
+        "a.construct"
+    ),
 }
 
 QUERIES = {f"rule_{name}": (lambda spark, d, name=name: _rounded(getattr(report(spark, d), name)())) for name in RULES} | {
@@ -93,7 +103,13 @@ QUERIES = {f"rule_{name}": (lambda spark, d, name=name: _rounded(getattr(report(
     "quality_issues": lambda spark, d: _rounded(report(spark, d).issues()),
     "quality_report": lambda spark, d: report(spark, d).verdict(),
     "indicator_profile": lambda spark, d: ob.profile(observations(spark, d)).select("indicator", "rows", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "low", "high")]),
-    "data_summary": lambda spark, d: ob.profile(observations(spark, d)).select("indicator", F.format_string("n=%d, mean=%s, std=%s", "n", F.coalesce(F.round("mean", 2).cast("decimal(20,2)").cast("string"), F.lit("N/A")), F.coalesce(F.round("std", 2).cast("decimal(20,2)").cast("string"), F.lit("N/A"))).alias("summary")),
+    "data_summary": lambda spark, d: ob.profile(observations(spark, d)).select(
+        "indicator",
+        F.format_string(
+            "n=%d, mean=%s, std=%s", "n", F.coalesce(F.round("mean", 2).cast("decimal(20,2)").cast("string"), F.lit("N/A")),
+            F.coalesce(F.round("std", 2).cast("decimal(20,2)").cast("string"), F.lit("N/A"))
+        ).alias("summary")
+    ),
     "indicator_count": lambda spark, d: observations(spark, d).agg(F.countDistinct("indicator").alias("indicators")),
     "value_mode": lambda spark, d: observations(spark, d).where("value is not null").groupBy("indicator", "value").agg(F.count("*").alias("k")).groupBy("indicator").agg(F.max("k").alias("most"), F.round(F.max("k") / F.sum("k"), 9).alias("share")),
 }

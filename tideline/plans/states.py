@@ -68,7 +68,10 @@ def _particles(spark, d):
 
 def _discretize(spark, d):
     a, dt = F.col("a11"), F.lit(0.5)
-    return draws(spark, d).select("draw", F.round(F.exp(a * dt), 6).alias("step"), F.round((F.exp(2 * a * dt) - 1) / (2 * a), 6).alias("noise"), F.round(F.col("c1") * (F.exp(a * dt) - 1) / a, 6).alias("shift"))
+    return draws(spark, d).select(
+        "draw", F.round(F.exp(a * dt), 6).alias("step"), F.round((F.exp(2 * a * dt) - 1) / (2 * a), 6).alias("noise"),
+        F.round(F.col("c1") * (F.exp(a * dt) - 1) / a, 6).alias("shift")
+    )
 
 
 def _target(spark, d):
@@ -81,7 +84,9 @@ def _fit(method, **how):
 
 def _pair_target(spark, d):
     """Daily means of all five event types of a user: two latent variables, the first of which drives the second."""
-    ev = table(spark, d, "events").groupBy("user_id", F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01")).cast("double").alias("t")).pivot("event_type", EVENT_TYPES).agg((F.avg("value") - 60) / SCALE)
+    ev = table(spark, d, "events").groupBy(
+        "user_id", F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01")).cast("double").alias("t")
+    ).pivot("event_type", EVENT_TYPES).agg((F.avg("value") - 60) / SCALE)
     ys = [c for c in ev.columns if c not in ("user_id", "t")]
     loads = {(ys[0], "A"): 1.0, (ys[1], "A"): None, (ys[2], "B"): 1.0, (ys[3], "B"): None, (ys[4], "B"): None}
     model = inference.structural(["A", "B"], [("A", "B")], ys, loads)
@@ -98,7 +103,10 @@ Y = {"gaussian": "x", "student_t": "x", "poisson": "k", "neg_binomial": "k", "ga
 
 def _emission(family):
     def query(spark, d):
-        x = draws(spark, d).select("draw", F.col("a12").alias("x"), F.pmod("draw", F.lit(7)).cast("double").alias("k"), (-F.col("a11")).alias("g"), F.pmod("draw", F.lit(2)).cast("double").alias("b"), (1 / (1 - F.col("a22"))).alias("u"), F.col("a21").alias("eta"))
+        x = draws(spark, d).select(
+            "draw", F.col("a12").alias("x"), F.pmod("draw", F.lit(7)).cast("double").alias("k"), (-F.col("a11")).alias("g"),
+            F.pmod("draw", F.lit(2)).cast("double").alias("b"), (1 / (1 - F.col("a22"))).alias("u"), F.col("a21").alias("eta")
+        )
         return x.select("draw", F.round(emissions.log_density(family, F.col(Y[family]), F.col("eta")), 6).alias("ll"))
 
     return query

@@ -14,7 +14,10 @@ def _records(spark, sf_dir):
     """events as records of an activity export."""
     n = F.col("event_id")
     title = F.when(n % 5 == 0, F.concat(F.lit("Searched for "), "props")).when(n % 5 == 1, F.concat(F.lit("Visited "), "event_type")).when(n % 5 == 2, F.concat(F.lit("Viewed "), "event_type")).when(n % 35 == 3, F.lit("")).otherwise(F.col("event_type"))
-    url = F.when(n % 4 == 0, F.concat(F.lit("https://maps.example/?center="), (n % 90).cast("string"), F.lit(".5,-"), (n % 180).cast("string"), F.lit(".25&z=1"))).when(n % 4 == 1, F.lit("https://example.org/"))
+    url = F.when(
+        n % 4 == 0,
+        F.concat(F.lit("https://maps.example/?center="), (n % 90).cast("string"), F.lit(".5,-"), (n % 180).cast("string"), F.lit(".25&z=1"))
+    ).when(n % 4 == 1, F.lit("https://example.org/"))
     ev = table(spark, sf_dir, "events")
     said = F.when(n % 3 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(n % 3 == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
     said = said.otherwise(F.concat(F.date_format(F.expr("ts - INTERVAL 210 MINUTES"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("-03:30")))
@@ -51,7 +54,9 @@ def _sample(spark, sf_dir):
 
 
 def _fenced(spark, sf_dir):
-    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n```\nend"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("```\n"), "props", F.lit("```"))).otherwise(F.col("props"))
+    text = F.when(
+        F.col("event_id") % 3 == 0, F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n```\nend"))
+    ).when(F.col("event_id") % 3 == 1, F.concat(F.lit("```\n"), "props", F.lit("```"))).otherwise(F.col("props"))
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object(activity.json_text(text), "$.k").cast("bigint").alias("k"))
 
 

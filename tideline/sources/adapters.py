@@ -29,7 +29,10 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as observations over several years: quantity and discount by return flag."""
     li = table(spark, sf_dir, "lineitem")
     seq = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    part = lambda kind, column: li.select(F.concat(F.lit(kind), F.col("l_returnflag")).alias("indicator"), F.col(column).cast("string").alias("value"), F.col("l_shipdate").cast("string").alias("timestamp"), seq.alias("ingest_seq"))
+    part = lambda kind, column: li.select(
+        F.concat(F.lit(kind), F.col("l_returnflag")).alias("indicator"), F.col(column).cast("string").alias("value"),
+        F.col("l_shipdate").cast("string").alias("timestamp"), seq.alias("ingest_seq")
+    )
     return part("qty_", "l_quantity").unionByName(part("disc_", "l_discount"))
 
 

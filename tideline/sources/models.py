@@ -29,7 +29,10 @@ def parsed(models: DataFrame) -> DataFrame:
 def constructs(own: DataFrame) -> DataFrame:
     """(key, name, role, temporal_status, granularity, is_outcome); a construct varies over time unless it says otherwise."""
     x = own.select("key", F.explode("latent.constructs").alias("c"))
-    return x.select("key", "c.name", "c.role", F.coalesce("c.temporal_status", F.lit("time_varying")).alias("temporal_status"), F.col("c.causal_granularity").alias("granularity"), F.coalesce("c.is_outcome", F.lit(False)).alias("is_outcome"))
+    return x.select(
+        "key", "c.name", "c.role", F.coalesce("c.temporal_status", F.lit("time_varying")).alias("temporal_status"),
+        F.col("c.causal_granularity").alias("granularity"), F.coalesce("c.is_outcome", F.lit(False)).alias("is_outcome")
+    )
 
 
 def edges(own: DataFrame) -> DataFrame:
@@ -55,14 +58,20 @@ def faults(own: DataFrame) -> DataFrame:
 def graph_tables(nodes: DataFrame, measured: DataFrame) -> DataFrame:
     """(key, name, observed, varying, is_outcome) for `identify.effects`: a construct is observed if an indicator names it."""
     seen = measured.where("coalesce(construct, '') <> ''").select("key", F.col("construct").alias("name"), F.lit(True).alias("observed")).distinct()
-    return nodes.join(seen, ["key", "name"], "left").select("key", "name", F.coalesce("observed", F.lit(False)).alias("observed"), (F.col("temporal_status") != "time_invariant").alias("varying"), "is_outcome")
+    return nodes.join(seen, ["key", "name"], "left").select(
+        "key", "name", F.coalesce("observed", F.lit(False)).alias("observed"), (F.col("temporal_status") != "time_invariant").alias("varying"),
+        "is_outcome"
+    )
 
 
 def with_proxies(measured: DataFrame, proxies: DataFrame) -> DataFrame:
     """measured (indicators) and proxies for constructs (key, construct, justification, name, and of granularity, dtype,
     aggregation and how_to_measure what is known): rows with nothing but a name say what they stand for."""
     bare = F.col("how_to_measure").isNull()
-    text = F.when(bare | (F.coalesce("justification", F.lit("")) != ""), F.concat(F.lit("Proxy for "), "construct", F.lit(": "), F.when(bare, F.coalesce("justification", F.lit(""))).otherwise(F.col("how_to_measure")))).otherwise(F.col("how_to_measure"))
+    text = F.when(
+        bare | (F.coalesce("justification", F.lit("")) != ""),
+        F.concat(F.lit("Proxy for "), "construct", F.lit(": "), F.when(bare, F.coalesce("justification", F.lit(""))).otherwise(F.col("how_to_measure")))
+    ).otherwise(F.col("how_to_measure"))
     more = proxies.select("key", "name", "construct", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in DEFAULTS.items()], text.alias("how_to_measure"))
     return measured.unionByName(more)
 
@@ -101,7 +110,10 @@ def extractions(completions: DataFrame) -> DataFrame:
     get = lambda path, kind: F.try_variant_get("x", path, kind)
     schema = F.schema_of_variant(get("$.value", "variant"))
     kind = F.when(schema == "BIGINT", "integer").when(schema == "BOOLEAN", "boolean").when(schema == "STRING", "string").when(schema.startswith("DECIMAL") | schema.isin("DOUBLE", "FLOAT"), "number").otherwise("other")
-    return each.select("chunk_id", get("$.indicator", "string").alias("indicator"), get("$.value", "string").alias("value"), kind.alias("kind"), get("$.timestamp", "string").alias("timestamp"), "fault")
+    return each.select(
+        "chunk_id", get("$.indicator", "string").alias("indicator"), get("$.value", "string").alias("value"), kind.alias("kind"),
+        get("$.timestamp", "string").alias("timestamp"), "fault"
+    )
 
 
 def observed(said: DataFrame, measured: DataFrame) -> tuple[DataFrame, DataFrame]:
