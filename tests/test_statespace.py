@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.functions import linear
+from tideline.functions import sampling
 from tideline.operators import inference, statespace
 from tideline.plans import states
 from tideline.plans.states import one, two
@@ -129,3 +130,28 @@ def test_profiles_tell_what_cannot_be_told(spark):
     got = {r.param: r.verdict for r in inference.identified(inference.profile(inference.Target(made, model, "series", "t", ["y0"]), ["drift_A", "cint_B"], points=10, reach=0.5)).collect()}
     assert got["cint_B"] == "structurally_unidentifiable"
     made.unpersist()
+
+
+def test_replicates_have_the_moments_of_their_families(spark):
+    """A state at rest: every channel's predictor is the same at all times. Then a moving one, against the closed form."""
+    families = list(sampling.FAMILIES)
+    loc = 0.7
+    rest = [(k, [-1.0], [0.0], [1.0] * 7, [loc], [0.0] * 7, [0.5] * 7, [loc], [0.0]) for k in range(1500)]
+    schema = "draw bigint, " + ", ".join(f"{c} array<double>" for c in statespace.PARAMETERS)
+    got = statespace.predictive(spark.createDataFrame(rest, schema), [0.0, 1.0, 1.0, 2.5], families, families).groupBy("variable").agg(F.avg("value").alias("m"), F.var_pop("value").alias("v")).collect()
+    mean, share = np.exp(loc), 1 / (1 + np.exp(-loc))
+    want = {
+        "gaussian": (loc, 0.25), "student_t": (loc, 0.25 * 5 / 3), "poisson": (mean, mean), "gamma": (mean, mean**2 / 2), "bernoulli": (share, share * (1 - share)),
+        "neg_binomial": (mean, mean + mean**2 / 5), "beta": (share, share * (1 - share) / 11),
+    }
+    assert len(got) == 7
+    for r in got:
+        assert r.m == pytest.approx(want[r.variable][0], rel=0.05) and r.v == pytest.approx(want[r.variable][1], rel=0.15), r.variable
+    moving = [(k, [-0.5], [0.8], [2.0], [0.3], [1.0], [0.1], [0.0], [1.0]) for k in range(4000)]
+    df = spark.createDataFrame(moving, schema)
+    rows = {r.t: r for r in statespace.predictive(df, [0.0, 3.0], ["y"], ["gaussian"]).groupBy("t").agg(F.avg("value").alias("m"), F.var_pop("value").alias("v")).collect()}
+    step = np.exp(-1.5)
+    assert rows[0.0].m == pytest.approx(1.0, abs=0.12) and rows[0.0].v == pytest.approx(4.01, rel=0.1)
+    assert rows[3.0].m == pytest.approx(1 + 2 * 0.6 * (1 - step), abs=0.1) and rows[3.0].v == pytest.approx(4 * (step**2 + 0.64 * (1 - step**2)) + 0.01, rel=0.1)
+    again = [statespace.predictive(df.limit(5), [0.0, 3.0], ["y"], ["gaussian"]).orderBy("draw", "t").collect() for _ in range(2)]
+    assert again[0] == again[1]

@@ -97,6 +97,16 @@ def _profiles(spark, d):
     return inference.identified(inference.profile(_target(spark, d), points=12))
 
 
+def _replicates(spark, d):
+    """Replicates of three channels of different families from the embeddings as draws of one latent variable."""
+    e = lambda k: F.element_at("embedding", k).cast("double")
+    own = table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("draw"), F.array(-0.5 - F.abs(e(1))).alias("drift"), F.array(F.abs(e(2)) + 0.1).alias("diffusion"), F.array(F.lit(1.0), F.lit(0.5), e(3)).alias("loading"),
+        F.array(e(4)).alias("cint"), F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0)).alias("mean"), F.array(*[F.lit(0.3)] * 3).alias("noise"), F.array(F.lit(0.0)).alias("start"), F.array(F.lit(1.0)).alias("start_sd"),
+    )
+    return statespace.predictive(own, [0.5 * k for k in range(12)], ["level", "tally", "flag"], ["gaussian", "poisson", "bernoulli"])
+
+
 #: Observed value and predictor of each family, from two entries of a draw.
 Y = {"gaussian": "x", "student_t": "x", "poisson": "k", "neg_binomial": "k", "gamma": "g", "bernoulli": "b", "beta": "u"}
 
@@ -127,6 +137,7 @@ QUERIES = {
     "fit_hmc": _fit("hmc", chains=8, steps=12, leaps=3),
     "fit_two_latents": lambda spark, d: inference.fit(_pair_target(spark, d), "laplace", n=DRAWS),
     "profile_likelihood": _profiles,
+    "ppc_simulate": _replicates,
 }
 
 _PI = "0.5 * ln(2 * pi())"
