@@ -2,15 +2,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.functions import linear
-from tideline.functions import sampling
+from tideline.functions import linear, sampling
 from tideline.operators import inference, statespace
 from tideline.plans import states
 from tideline.plans.states import one, two
 
 
-def brute(s, rows):
-    """Log-likelihood of one series as a single normal distribution over all its observations."""
+def joint(s, rows):
+    """Mean and covariance of all states of one series, the map from them to all observations, its offset and noise."""
     a, q, c = s.a[0], s.q[0], s.c[0]
     n, means, covs, steps = a.shape[0], [s.m0[0]], [s.p0[0]], []
     for (t0, _), (t1, _) in zip(rows, rows[1:]):
@@ -27,10 +26,14 @@ def brute(s, rows):
             cross = steps[j - 1] @ cross
             big[j * n : (j + 1) * n, i * n : (i + 1) * n] = cross
             big[i * n : (i + 1) * n, j * n : (j + 1) * n] = cross.T
-    h = np.kron(np.eye(k), s.h[0])
-    mu = h @ np.concatenate(means) + np.tile(s.d[0], k)
-    cov = h @ big @ h.T + np.kron(np.eye(k), s.r[0])
-    y = np.concatenate([r[1] for r in rows])
+    return np.concatenate(means), big, np.kron(np.eye(k), s.h[0]), np.tile(s.d[0], k), np.kron(np.eye(k), s.r[0])
+
+
+def brute(s, rows):
+    """Log-likelihood of one series as a single normal distribution over all its observations."""
+    mean, big, h, d, r = joint(s, rows)
+    mu, cov = h @ mean + d, h @ big @ h.T + r
+    y = np.concatenate([x[1] for x in rows])
     seen = np.isfinite(y)
     v, cov = (y - mu)[seen], cov[np.ix_(seen, seen)]
     return -0.5 * (seen.sum() * np.log(2 * np.pi) + np.linalg.slogdet(cov)[1] + v @ np.linalg.solve(cov, v))
@@ -59,6 +62,20 @@ def test_smoother_ends_where_the_filter_ends_and_is_tighter(panel):
     assert all(s[k].cov[0] <= f[k].cov[0] + 1e-12 for k in s)
 
 
+def test_smoother_is_the_states_given_all_observations(panel):
+    got = statespace.smoothed(panel, two(), "series", "t", ["y0", "y1"]).where("series = 1").orderBy("t").collect()
+    rows = [(t, np.array(y) + 1) for t, y in ROWS]
+    mean, big, h, d, r = joint(two(), rows)
+    y = np.concatenate([x[1] for x in rows])
+    seen = np.isfinite(y)
+    h, d, r = h[seen], d[seen], r[np.ix_(seen, seen)]
+    gain = big @ h.T @ np.linalg.inv(h @ big @ h.T + r)
+    want, cov = mean + gain @ (y[seen] - h @ mean - d), big - gain @ h @ big
+    for i, row in enumerate(got):
+        assert np.allclose(row.mean, want[2 * i : 2 * i + 2], atol=1e-8)
+        assert np.allclose(np.reshape(row.cov, (2, 2)), cov[2 * i : 2 * i + 2, 2 * i : 2 * i + 2], atol=1e-8)
+
+
 def test_linear_identities():
     a, q, c = two().a, two().q, two().c
     x = linear.lyapunov(a, q)

@@ -13,7 +13,7 @@ from tideline.sources.adapters import DRAWS_SQL, EVENT_TYPES, draws
 #: Drift, diffusion variance, intercept, measurement variance, and the initial mean and variance of the one-latent system.
 A, Q, C, R, M0, P0 = -0.3, 0.5, 0.6, 0.8, 2.0, 1.5
 SCALE = 100.0
-PARTICLES, DRAWS = 48, 200
+DRAWS = 200
 
 
 def panel(spark, sf_dir):
@@ -32,11 +32,13 @@ def two() -> statespace.System:
 
 
 def two_channels(spark, sf_dir):
-    """(user_id, t, clicks, views): daily means of two event types; null where there is none."""
-    ev = table(spark, sf_dir, "events").where("event_type in ('click', 'view')")
+    """(user_id, t, looks, acts): daily means of events that only look and of those that do something; null where there is
+    none."""
+    ev = table(spark, sf_dir, "events")
     day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("double")
-    mean = lambda k: (F.avg(F.when(F.col("event_type") == k, F.col("value"))) / SCALE)
-    return ev.groupBy("user_id", day.alias("t")).agg(mean("click").alias("clicks"), mean("view").alias("views"))
+    looks = F.col("event_type").isin("view", "click")
+    mean = lambda which: F.avg(F.when(which, F.col("value"))) / SCALE
+    return ev.groupBy("user_id", day.alias("t")).agg(mean(looks).alias("looks"), mean(~looks).alias("acts"))
 
 
 def _sorted(spark, sf_dir):
@@ -49,7 +51,7 @@ def _kalman(spark, d):
 
 def _kalman_nd(spark, d):
     p = statespace.sort_panel(two_channels(spark, d), "user_id", "t")
-    return statespace.loglik(p, two(), "user_id", "t", ["clicks", "views"]).select("user_id", "n", F.round("loglik", 6).alias("loglik"))
+    return statespace.loglik(p, two(), "user_id", "t", ["looks", "acts"]).select("user_id", "n", F.round("loglik", 6).alias("loglik"))
 
 
 def _smooth(spark, d):
@@ -132,7 +134,7 @@ QUERIES = {
     "pf_loglik": _particles,
     "simulate_ssm": lambda spark, d: statespace.simulate(spark, two(), 50, 40, 0.5),
     **{f"emission_{f}": _emission(f) for f in emissions.FAMILIES},
-    "fit_tempered_smc": _fit("tempered_smc", particles=PARTICLES, moves=1),
+    "fit_tempered_smc": _fit("tempered_smc"),
     "fit_laplace": _fit("laplace", n=DRAWS),
     "fit_hmc": _fit("hmc", chains=8, steps=12, leaps=3),
     "fit_two_latents": lambda spark, d: inference.fit(_pair_target(spark, d), "laplace", n=DRAWS),
