@@ -111,3 +111,17 @@ def test_a_stream_gives_what_a_batch_gives(spark, tmp_path):
         ["mean"]
     )
     assert {(r.indicator, r.time_bucket): round(r.value, 9) for r in batch.collect()} == {k: round(r.mean, 9) for k, r in want.items()}
+
+
+def test_samples_take_one_item_of_each_segment(spark):
+    rows = [(k, [f"c{i}" for i in range(n)]) for k, n in enumerate([0, 3, 5, 7, 12, 100])]
+    df = spark.createDataFrame(rows, "k bigint, items array<string>")
+    pick = lambda seed: {r.k: r.s for r in df.select("k", activity.sample(F.col("items"), 5, F.col("k"), seed).alias("s")).collect()}
+    got = pick(0)
+    for k, items in rows:
+        if len(items) <= 5:
+            assert got[k] == items
+            continue
+        ends = [s * len(items) // 5 for s in range(6)]
+        assert len(got[k]) == 5 and all(a <= items.index(x) < b for x, a, b in zip(got[k], ends, ends[1:]))
+    assert got == pick(0) and got[5] != pick(1)[5]
