@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import balltree, bpe, chat, decontam, langid, linededup, lm, neardup, quality, toxicity
+from tideline.llm import balltree, bpe, chat, decontam, fim, langid, linededup, lm, neardup, quality, tokencount, toxicity, vectorcode
 from tideline.llm import text as tx
 
 #: The pattern that splits text before the merges of the rank files: a fixed value of those files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -81,6 +82,22 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.cluster(table(spark, sf_dir, "documents"))
 
 
+def op11_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES).drop("text")
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_vectorcode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcode.digest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -93,6 +110,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": op8_chat,
         "op9_neardup": op9_neardup,
         "op10_linededup": op10_linededup,
+        "op11_tokencount": op11_tokencount,
+        "op12_fim": op12_fim,
+        "op13_vectorcode": op13_vectorcode,
     }
 
 
@@ -149,5 +169,57 @@ SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, CAST(n AS INTEGER) AS n
 """
 
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), r AS (
+  SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+    CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS i, greatest(h1 % (n + 1), h2 % (n + 1)) AS j,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+      WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM r
+), p AS (
+  SELECT *, array_to_string(u[1:i], '') AS prefix, array_to_string(u[i + 1:j], '') AS middle, array_to_string(u[j + 1:], '') AS suffix FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def op13_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """Every distance of every round, computed."""
+    steps = [f"""v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, e) AS id, vec_id, label, e, len(e) // {parts} AS w FROM (
+    SELECT vec_id, label, [CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)
+), x AS MATERIALIZED (
+  SELECT id, p, CAST(e[p * w + 1 : (p + 1) * w] AS DOUBLE[]) AS x FROM v, range(0, {parts}) AS r(p)
+), c0 AS MATERIALIZED (SELECT p, id - 1 AS k, x AS c FROM x WHERE id <= {entries})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (
+  SELECT x.id, x.p, any_value(x.x) AS x, min(CAST(list_sum([(q[1] - q[2]) * (q[1] - q[2]) FOR q IN list_zip(x.x, c.c)]) AS HUGEINT) * {entries} + c.k) AS best
+  FROM x JOIN c{n} AS c USING (p) GROUP BY x.id, x.p)""")
+        if n < rounds:
+            steps.append(f"""m{n} AS MATERIALIZED (
+  SELECT p, k, list(CAST(f AS DOUBLE) ORDER BY i) AS c FROM (
+    SELECT p, best % {entries} AS k, i, floor(sum(x[i]) / count(*)) AS f FROM a{n}, range(1, 1 + (SELECT max(w) FROM v)) AS r(i) GROUP BY ALL) GROUP BY ALL
+), c{n + 1} AS MATERIALIZED (SELECT c.p, c.k, coalesce(m.c, c.c) AS c FROM c{n} AS c LEFT JOIN m{n} AS m ON c.p = m.p AND c.k = m.k)""")
+    joined = ",\n".join(steps)
+    return f"""WITH {joined}, coded AS (
+  SELECT id, string_agg(format('{{:02x}}', CAST(best % {entries} AS BIGINT)), '' ORDER BY p) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY id
+), books AS (
+  SELECT sha256(string_agg(array_to_string([CAST(CAST(f AS BIGINT) AS VARCHAR) FOR f IN c], ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM c{rounds}
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN coded USING (id), books"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op2_balltree": OP2_SQL, "op3_decontam": OP3_SQL}
+    return {"op2_balltree": OP2_SQL, "op3_decontam": OP3_SQL, "op12_fim": OP12_SQL, "op13_vectorcode": op13_sql()}

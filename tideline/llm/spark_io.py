@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of keys that a join may send to every worker; with more, both sides are shuffled.
@@ -15,13 +19,49 @@ def cut(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder and read from there: later steps neither repeat its work nor need the
     executors that did it. The folder is spark.checkpoint.dir. One of our own serves only on a local master, where driver
     and tasks share it; elsewhere an unset folder is an error."""
-    sc = df.sparkSession.sparkContext
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, set as the session's own where that was not done yet."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and sc.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tideline-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+@dataclass
+class Folder:
+    """Tables written below one path of the shared folder, for steps that read few of their columns again."""
+
+    spark: SparkSession
+    path: str
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table that later steps read; nothing of what made it is run again."""
+        df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def drop(self, name: str = "") -> None:
+        """Takes a table, or all of them, away once no later step reads it."""
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def shared_folder(spark: SparkSession) -> Iterator[Folder]:
+    """A new folder for tables; what is in it goes if the work fails."""
+    folder = Folder(spark, f"{checkpoint_folder(spark)}/{uuid.uuid4()}")
+    try:
+        yield folder
+    except BaseException:
+        folder.drop()
+        raise
 
 
 def sendable(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
