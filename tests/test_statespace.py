@@ -91,7 +91,7 @@ def test_linear_identities():
 def test_particle_filter_is_near_the_kalman_filter(spark):
     p = statespace.sort_panel(states.panel(spark, "/root/testdata/sf0.001").where("user_id <= 5"), "user_id", "t")
     exact = {r.user_id: r.loglik for r in statespace.loglik(p, one(), "user_id", "t", ["y"]).collect()}
-    near = {r.user_id: r.loglik for r in statespace.particle_loglik(p, one(), ["gaussian"], "user_id", "t", ["y"], 3000).collect()}
+    near = {r.user_id: r.loglik for r in mixed.particle_loglik(p, one(), ["gaussian"], "user_id", "t", ["y"], 3000).collect()}
     assert exact.keys() == near.keys()
     assert all(abs(exact[k] - near[k]) < 0.5 for k in exact)
 

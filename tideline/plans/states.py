@@ -65,7 +65,7 @@ def _filter(spark, d):
 
 
 def _particles(spark, d):
-    return statespace.particle_loglik(_sorted(spark, d), one(), ["gaussian"], "user_id", "t", ["y"], 200)
+    return mixed.particle_loglik(_sorted(spark, d), one(), ["gaussian"], "user_id", "t", ["y"], 200)
 
 
 def _discretize(spark, d):
