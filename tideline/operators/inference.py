@@ -304,17 +304,21 @@ def _curvature(target: Target, theta: np.ndarray, eps: float = 1e-3) -> tuple[fl
 
 
 def mode(target: Target, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior mode and the negative Hessian there, by Newton steps; the step lengths that are tried are one batch."""
+    """Posterior mode and the negative Hessian there, by Newton steps. Where it is flat or not concave yet, a step goes too far
+    in some directions: steps with several amounts of damping are tried in one batch."""
     model = target.model
     theta = model.mean.copy()
     for n in range(rounds):
         value, grad, hess = _curvature(target, theta)
         values, vectors = np.linalg.eigh(-hess)
-        curve = (vectors * np.maximum(np.abs(values), 1e-3)) @ vectors.T
-        step = np.linalg.solve(curve, grad)
-        if np.abs(step).max() < 2e-3 or n == rounds - 1:
+        sizes = np.maximum(np.abs(values), 1e-3)
+        curve = (vectors * sizes) @ vectors.T
+        along = vectors.T @ grad
+        if np.abs(vectors @ (along / sizes)).max() < 2e-3 or n == rounds - 1:
             break
-        tried = theta + np.outer(0.5 ** np.arange(8), np.clip(step, -2, 2))
+        damped = [0.0, *(sizes.max() * 10.0 ** np.arange(-4, 3))]
+        steps = np.array([vectors @ (along / (sizes + x)) for x in damped])
+        tried = theta + np.concatenate([np.clip(steps, -1, 1), np.clip(steps / 4, -1, 1)])
         best = target(tried) + model.log_prior(tried)
         if best.max() <= value:
             break
@@ -372,7 +376,7 @@ def nuts_chains(density: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]],
     """Hamiltonian chains without a set length: each doubles its path, forwards or backwards, until its ends come towards each
     other, and draws one of the states on it by weight. All chains grow level by level, so that each leap of all of them is
     one call of `density` (values and slopes of a batch). Returns (steps, chains, dim) after `warm` steps in which the step
-    size is tuned, and counts: the mean depth, and the share of paths that diverged."""
+    size is tuned, and counts: the mean depth, the share of kept steps whose path diverged, and the step size."""
     rng = np.random.default_rng(seed)
     chains, dim = z.shape
     value, slope = density(z)
@@ -409,7 +413,7 @@ def nuts_chains(density: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]],
                 accepted[live[act]] += np.exp(np.minimum(w, 0))
                 counted[live[act]] += 1
                 fine[act[w < -1000]] = False
-                lost += int((w < -1000).sum())
+                lost += int((w < -1000).sum()) if n >= warm else 0
                 both = np.logaddexp(sub_w[act], w)
                 pick = np.log(rng.random(len(act))) < w - both
                 sub_w[act] = both
@@ -450,7 +454,7 @@ def nuts_chains(density: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]],
         if n >= warm:
             kept.append(z)
             depths.append(reached.mean())
-    return np.array(kept), {"depth": float(np.mean(depths)), "diverged": lost / max(1, (warm + steps) * chains), "size": step.size}
+    return np.array(kept), {"depth": float(np.mean(depths)), "diverged": lost / max(1, steps * chains), "size": step.size}
 
 
 def nuts(target: Target, chains: int = 8, steps: int = 60, warm: int = 40, depth: int = 7, seed: int = 0) -> DataFrame:
@@ -471,7 +475,7 @@ def nuts(target: Target, chains: int = 8, steps: int = 60, warm: int = 40, depth
 def svi(target: Target, guide: str = "mvn", steps: int = 150, batch: int = 8, parts: int = 1, rate: float = 0.05, n: int = 200, seed: int = 0) -> DataFrame:
     """Draws from a normal guide that is fitted by Adam to make the bound on the evidence greatest. Each step takes `batch`
     points of the guide and, with parts > 1, the series whose key hashes into one of that many parts, for all of them. guide:
-    mvn (any covariance), normal (none) or delta (the mode alone). The mean of the last half of the steps is used."""
+    mvn (any covariance), normal (none) or delta (the mode alone). The mean of the last quarter of the steps is used."""
     if guide not in ("mvn", "normal", "delta"):
         raise ValueError(f"unknown guide: {guide}")
     model, rng = target.model, np.random.default_rng(seed)
@@ -501,7 +505,7 @@ def svi(target: Target, guide: str = "mvn", steps: int = 150, batch: int = 8, pa
         moment = [0.9 * moment[0] + 0.1 * down, 0.99 * moment[1] + 0.01 * down**2]
         now = rate * min(1.0, 3 * (1 - (k - 1) / steps))
         flat = flat - now * (moment[0] / (1 - 0.9**k)) / (np.sqrt(moment[1] / (1 - 0.99**k)) + 1e-8)
-        if k > steps // 2:
+        if k > 3 * steps // 4:
             late.append(flat)
     flat = np.mean(late, axis=0)
     mean, spread, low = flat[:dim], flat[dim : 2 * dim], np.tril(flat[2 * dim :].reshape(dim, dim), -1)
