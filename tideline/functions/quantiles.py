@@ -35,6 +35,9 @@ def quantiles(rows: DataFrame, by: list[str], column: str, wanted: dict[str, flo
     place = F.col("q") * (F.col("_n") - 1)
     low, high = (F.round(place), F.round(place)) if nearest else (F.floor(place), F.ceil(place))
     at = lambda rank: F.max(F.when((rank >= F.col("_to") - F.col("_c")) & (rank < F.col("_to")), F.col("_v")))
-    found = ranked.groupBy(*by, "name").agg(at(low).alias("a"), at(high).alias("b"), F.max(place - low).alias("f"))
+    # between the bounds lie the ranks from the number of values below them to that up to them
+    met_rank = (F.min(F.coalesce("_below", F.lit(0))) <= F.max(low)) & (F.max("_to") > F.max(high))
+    checked = F.when(met_rank, at(low)).otherwise(F.raise_error(F.lit("a sketch was off by more than its accuracy allows")).cast("double"))
+    found = ranked.groupBy(*by, "name").agg(checked.alias("a"), at(high).alias("b"), F.max(place - low).alias("f"))
     value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") * (1 - F.col("f")) + F.col("b") * F.col("f"))
     return found.groupBy(*by).agg(*[F.max(F.when(F.col("name") == name, value)).alias(name) for name in wanted])

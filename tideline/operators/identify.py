@@ -105,7 +105,7 @@ def judge(key, constructs: pd.DataFrame, edges: pd.DataFrame) -> list[tuple]:
     names, observed, varying = set(constructs.name), set(constructs.name[constructs.observed]), set(constructs.name[constructs.varying])
     outcomes = constructs.name[constructs.is_outcome].tolist()
     if len(outcomes) != 1:
-        raise ValueError(f"graph {key}: {len(outcomes)} outcomes")
+        return [(key, None, False, None, [], [], [], f"{len(outcomes)} outcomes")]
     outcome, arrows = outcomes[0], list(zip(edges.cause, edges.effect, edges.lagged))
     plain, back = turned((a, b) for a, b, _ in arrows), turned(((a, b) for a, b, _ in arrows), back=True)
     treatments = sorted((reach([outcome], back) - {outcome}) & observed)
@@ -142,8 +142,9 @@ def judge(key, constructs: pd.DataFrame, edges: pd.DataFrame) -> list[tuple]:
 def effects(constructs: DataFrame, edges: DataFrame) -> DataFrame:
     """VERDICT: a row for each observed construct that leads to its graph's outcome. Do-calculus is tried first, then
     instruments (sound if effects are linear), else the hidden constructs that block are named. A hidden outcome or a cycle
-    within a time step leaves nothing identifiable; edges between unknown constructs count for paths only. A graph must
-    have one outcome; one without edges gives no rows. Null flags count as false."""
+    within a time step leaves nothing identifiable; edges between unknown constructs count for paths only. A graph with
+    none or several outcomes gives one row, without treatment, that says so; one without edges gives no rows. Null flags
+    count as false."""
     nodes = constructs.select(F.col("key").cast("string").alias("key"), "name", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("observed", "varying", "is_outcome")]).where("name is not null")
     arrows = edges.select(F.col("key").cast("string").alias("key"), "cause", "effect", F.coalesce("lagged", F.lit(False)).alias("lagged")).where("cause is not null and effect is not null")
 

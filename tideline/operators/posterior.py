@@ -209,7 +209,7 @@ def pareto_shape(excess: np.ndarray) -> float:
     theta = 1 / x[-1] + (1 - np.sqrt(m / (np.arange(1, m + 1) - 0.5))) / (3 * x[int(n / 4 + 0.5) - 1])
     k = np.log1p(-theta[:, None] * x).mean(axis=1)
     fit = n * (np.log(-theta / k) - k - 1)
-    weight = 1 / np.exp(fit[None, :] - fit[:, None]).sum(axis=1)
+    weight = np.exp(fit - fit.max())
     weight /= weight.sum()
     shape = np.log1p(-(theta @ weight) * x).mean()
     return float((n * shape + 10 * 0.5) / (n + 10))

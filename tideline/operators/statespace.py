@@ -201,12 +201,15 @@ def simulate(spark: SparkSession, system: System, series: int, times: int, dt: f
 def predictive(draws: DataFrame, times: list[float], channels: list[str], families: list[str], seed: int = 0) -> DataFrame:
     """(draw, variable, t, value): one replicate of the observations for each draw of the parameters, each channel by its own
     family. draws: draw, and as arrays drift, diffusion (a root of the noise), loading (all row by row), cint, mean, noise (sd
-    of each channel), start and start_sd (of the state at the first time). A draw gives the same replicate on every run; one
-    whose system cannot be discretised gives null values."""
+    of each channel), start and start_sd (of the state at the first time), and if need be shapes (of each channel's family, null
+    where it has none). A draw gives the same replicate on every run; one whose system cannot be discretised gives null
+    values."""
+    shaped = "shapes" in draws.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for draw, *arrays in zip(f["draw"].tolist(), *(f[c] for c in PARAMETERS)):
+            own = f["shapes"] if shaped else [[None] * len(channels)] * len(f)
+            for draw, shape, *arrays in zip(f["draw"].tolist(), own, *(f[c] for c in PARAMETERS)):
                 a, g, h, c, d, sd, x, spread = (np.asarray(v, float) for v in arrays)
                 n = len(c)
                 a, g, h = a.reshape(n, n), g.reshape(n, n), h.reshape(-1, n)
@@ -218,12 +221,12 @@ def predictive(draws: DataFrame, times: list[float], channels: list[str], famili
                             ad, qd, cd = (z[0] for z in linear.discretize(a[None], (g @ g.T)[None], c[None], t - times[i - 1]))
                             x = ad @ x + cd + np.linalg.cholesky(qd + 1e-12 * np.eye(n)) @ rng.standard_normal(n)
                         loc = h @ x + d
-                        out[i] = [sampling.draw(rng, family, loc[j : j + 1], sd[j])[0] for j, family in enumerate(families)]
+                        out[i] = [sampling.draw(rng, family, loc[j : j + 1], sd[j], shape[j])[0] for j, family in enumerate(families)]
                 except np.linalg.LinAlgError:
                     out[:] = np.nan
                 yield pd.DataFrame({"draw": draw, "variable": np.tile(channels, len(times)), "t": np.repeat(np.asarray(times, float), len(channels)), "value": out.ravel()})
 
-    made = draws.select("draw", *PARAMETERS).mapInPandas(run, "draw long, variable string, t double, value double")
+    made = draws.select("draw", *PARAMETERS, *(["shapes"] if shaped else [])).mapInPandas(run, "draw long, variable string, t double, value double")
     return made.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
 
 

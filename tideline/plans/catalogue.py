@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.plans import aggregation, causal, posterior, quality, specs, states, text
+from tideline.plans import aggregation, causal, fits, posterior, quality, specs, states, text
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [aggregation, quality, text, causal, specs, states, posterior]
+MODULES = [aggregation, quality, text, causal, specs, states, fits, posterior]
 
 
 def queries() -> dict[str, Query]:

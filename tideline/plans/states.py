@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import emissions
 from tideline.lineage import cut
-from tideline.operators import inference, statespace
+from tideline.operators import inference, mixed, statespace
 from tideline.session import table
 from tideline.sources.adapters import DRAWS_SQL, EVENT_TYPES, draws
 
@@ -65,7 +65,7 @@ def _filter(spark, d):
 
 
 def _particles(spark, d):
-    return mixed.particle_loglik(_sorted(spark, d), one(), ["gaussian"], "user_id", "t", ["y"], 200)
+    return mixed.particle_loglik(_sorted(spark, d), one(), ["gaussian"], "user_id", "t", ["y"], 200).drop("system")
 
 
 def _discretize(spark, d):
@@ -136,7 +136,7 @@ QUERIES = {
     **{f"emission_{f}": _emission(f) for f in emissions.FAMILIES},
     "fit_tempered_smc": _fit("tempered_smc"),
     "fit_laplace": _fit("laplace", n=DRAWS),
-    "fit_hmc": _fit("hmc", chains=8, steps=12, leaps=3),
+    "fit_hmc": _fit("hmc", chains=16, steps=36, leaps=4),
     "fit_two_latents": lambda spark, d: inference.fit(_pair_target(spark, d), "laplace", n=DRAWS),
     "profile_likelihood": _profiles,
     "ppc_simulate": _replicates,
