@@ -6,7 +6,7 @@ The same seven families as `emissions`, which gives densities as columns, and `s
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from math import log, pi
+from math import lgamma, log, pi
 
 import numpy as np
 
@@ -15,6 +15,8 @@ DEFAULTS = {"df": 5.0, "shape": 1.0, "r": 5.0, "phi": 10.0}
 FAMILIES = ("gaussian", "student_t", "poisson", "gamma", "bernoulli", "neg_binomial", "beta")
 #: Predictors are held below this where a link takes their exponential.
 FAR = 50.0
+#: Up to this many numbers are faster one by one than as an array.
+FEW = 256
 
 
 def gammas(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -34,6 +36,12 @@ def gammas(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low, first, second
 
 
+def log_gamma(x) -> np.ndarray:
+    """Of x > 0; few numbers one by one."""
+    x = np.asarray(x, float)
+    return np.array([lgamma(v) for v in x.ravel().tolist()]).reshape(x.shape) if x.size <= FEW else gammas(x)[0]
+
+
 def scores(family: str, y: float, eta: np.ndarray, sd=1.0, df=5.0, shape=1.0, r=5.0, phi=10.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(log-density, slope, curvature, information) of one observation at many predictors. Curvature is minus the second
     derivative and may be negative; information is its mean over observations. An observation that a family cannot give
@@ -47,7 +55,7 @@ def scores(family: str, y: float, eta: np.ndarray, sd=1.0, df=5.0, shape=1.0, r=
     if family == "student_t":
         z, s2 = y - eta, np.square(sd) * one
         q = df * s2 + z**2
-        dens = gammas((df + 1) / 2)[0] - gammas(df / 2)[0] - 0.5 * np.log(df * pi * s2) - (df + 1) / 2 * np.log1p(z**2 / (df * s2))
+        dens = log_gamma((np.asarray(df) + 1) / 2) - log_gamma(np.asarray(df) / 2) - 0.5 * np.log(df * pi * s2) - (df + 1) / 2 * np.log1p(z**2 / (df * s2))
         return dens, (df + 1) * z / q, (df + 1) * (df * s2 - z**2) / q**2, (df + 1) / ((df + 3) * s2)
     if family == "bernoulli":
         p = 1 / (1 + np.exp(-np.clip(eta, -FAR, FAR)))
@@ -62,21 +70,21 @@ def scores(family: str, y: float, eta: np.ndarray, sd=1.0, df=5.0, shape=1.0, r=
         if not 0 < y < 1:
             return -np.inf * one, 0 * one, 0 * one, info
         pull = log(y / (1 - y)) - da + db
-        dens = gammas(phi)[0] - la - lb + (a - 1) * log(y) + (b - 1) * log(1 - y)
+        dens = log_gamma(phi) - la - lb + (a - 1) * log(y) + (b - 1) * log(1 - y)
         return dens, slope * pull, info - slope * (1 - 2 * p) * pull, info
     mu = np.exp(near)
     if family == "poisson":
-        dens = y * eta - mu - gammas(y + 1.0)[0] if y >= 0 else -np.inf * one
+        dens = y * eta - mu - log_gamma(y + 1.0) if y >= 0 else -np.inf * one
         return dens, y - mu, mu, mu
     if family == "gamma":
         ratio = y * np.exp(-np.maximum(eta, -FAR))
         own = (shape - 1) * (log(y) if y > 0 else -np.inf) if y > 0 or np.any(np.asarray(shape) != 1) else 0.0
         none = y < 0 or (y == 0 and np.any(np.asarray(shape) != 1))
-        dens = -np.inf * one if none else shape * (np.log(shape) - eta) - gammas(shape)[0] + own - shape * ratio
+        dens = -np.inf * one if none else shape * (np.log(shape) - eta) - log_gamma(shape) + own - shape * ratio
         return dens, shape * (ratio - 1), shape * ratio, shape * one
     if family == "neg_binomial":
         part = mu / (r + mu)
-        dens = gammas(y + r)[0] - gammas(r)[0] - gammas(y + 1.0)[0] - r * np.log1p(mu / r) + y * np.log(part + 1e-10) if y >= 0 else -np.inf * one
+        dens = log_gamma(y + r) - log_gamma(r) - log_gamma(y + 1.0) - r * np.log1p(mu / r) + y * np.log(part + 1e-10) if y >= 0 else -np.inf * one
         return dens, r * (y - mu) / (r + mu), (y + r) * r * mu / (r + mu) ** 2, r * part
     raise ValueError(f"unknown family: {family}; there are {', '.join(FAMILIES)}")
 

@@ -23,8 +23,8 @@ from tideline.operators.statespace import System
 INSTABILITY, MARGIN, STILL = 1e4, 1e-9, 1e-6
 #: Prior deviations beyond which a parameter has no likelihood.
 FAR = 10.0
-#: Of differences in parameters.
-EPS = 1e-4
+#: Of differences in parameters; and the gain in log-density below which a search for the mode ends.
+EPS, LITTLE = 1e-4, 1e-3
 DROPS, FLAT = {0.95: 1.92, 0.99: 3.32}, 0.5
 
 
@@ -296,11 +296,23 @@ def tempered_smc(target: Target, particles: int = 128, moves: int = 4, leaps: in
 
 
 def _curvature(target: Target, theta: np.ndarray, eps: float = 1e-3) -> tuple[float, np.ndarray, np.ndarray]:
-    """(log-density, slope, second derivatives) of the posterior at one point; slopes of the points around it are one batch."""
-    dim = len(theta)
-    _, f, g = _posterior(target, theta + np.concatenate([np.zeros((1, dim)), np.eye(dim), -np.eye(dim)]) * eps)
-    hess = (g[1 : dim + 1] - g[dim + 1 :]) / (2 * eps)
-    return f[0], g[0], (hess + hess.T) / 2
+    """(log-density, slope, second derivatives) of the posterior at one point, from one batch: of slopes around it where they
+    come with the density, else of densities."""
+    dim, eye = len(theta), np.eye(len(theta)) * eps
+    if target.likelihood == "kalman":
+        _, f, g = _posterior(target, theta + np.concatenate([np.zeros((1, dim)), eye, -eye]))
+        hess = (g[1 : dim + 1] - g[dim + 1 :]) / (2 * eps)
+        return f[0], g[0], (hess + hess.T) / 2
+    pairs = [(i, j) for i in range(dim) for j in range(i)]
+    both = [sign * (eye[i] + eye[j]) for i, j in pairs for sign in (1, -1)]
+    points = theta + np.concatenate([np.zeros((1, dim)), eye, -eye, np.array(both).reshape(-1, dim)])
+    f = target(points) + target.model.log_prior(points)
+    up, down, mid = f[1 : dim + 1], f[dim + 1 : 2 * dim + 1], f[0]
+    hess = np.diag((up - 2 * mid + down) / eps**2)
+    for k, (i, j) in enumerate(pairs):
+        two = f[2 * dim + 1 + 2 * k] + f[2 * dim + 2 + 2 * k]
+        hess[i, j] = hess[j, i] = (two - up[i] - down[i] - up[j] - down[j] + 2 * mid) / (2 * eps**2)
+    return mid, (up - down) / (2 * eps), hess
 
 
 def mode(target: Target, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
@@ -323,6 +335,8 @@ def mode(target: Target, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
         if best.max() <= value:
             break
         theta = tried[int(best.argmax())]
+        if best.max() < value + LITTLE:
+            break
     return theta, curve
 
 

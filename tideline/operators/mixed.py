@@ -25,9 +25,10 @@ from tideline.functions import quadrature
 from tideline.functions.families import Emissions
 from tideline.operators.statespace import System, predict, update, walk
 
-#: Newton steps to the peak, step lengths tried in each, and the share of draws that come from before the observation,
-#: which bounds their weights.
-STEPS, LENGTHS, DEFENSIVE = 12, (1.0, 0.5, 0.2, 0.05), 0.1
+#: Newton steps to the peak, shorter lengths tried where a whole step leads down, how near to the peak is near enough (the
+#: rule around it corrects for the rest), and the share of draws that come from before the observation, which bounds their
+#: weights.
+STEPS, SHORTER, NEAR, DEFENSIVE = 15, (0.4, 0.1, 0.02), 1e-6, 0.1
 #: Added to what is inverted, relative to its size; least degrees of freedom of noise.
 JITTER, LEAST_DF = 1e-12, 2.1
 
@@ -161,17 +162,23 @@ class Mixed:
         height = lambda z: self.scored(channels, y, there(z))[0] - 0.5 * (z**2).sum(axis=-1)
         z = np.zeros_like(eta)
         best = height(z)
+        lt = np.swapaxes(l, -1, -2)
         for _ in range(STEPS):
             _, slope, curve = self.scored(channels, y, there(z))
-            g = (np.swapaxes(l, -1, -2) @ slope[..., None])[..., 0] - z
-            step = np.linalg.solve(np.eye(c) + np.swapaxes(l, -1, -2) @ (curve[..., None] * l), g[..., None])[..., 0]
-            tried = [z + a * step for a in LENGTHS]
-            found = np.stack([height(t) for t in tried])
-            pick = np.nan_to_num(found, nan=-np.inf).argmax(axis=0)
-            better = np.take_along_axis(found, pick[None], 0)[0] > best
-            z = np.where(better[..., None], np.take_along_axis(np.stack(tried), pick[None, ..., None], 0)[0], z)
-            best = np.maximum(best, np.where(better, np.take_along_axis(found, pick[None], 0)[0], best))
-            if not better.any() or np.abs(step).max() < 1e-9:
+            g = (lt @ slope[..., None])[..., 0] - z
+            step = np.linalg.solve(np.eye(c) + lt @ (curve[..., None] * l), g[..., None])[..., 0]
+            tried = z + step
+            found = height(tried)
+            for length in SHORTER:
+                down = ~(found >= best)
+                if not down.any():
+                    break
+                other = z + length * step
+                tried = np.where(down[..., None], other, tried)
+                found = np.where(down, height(other), found)
+            up = found >= best
+            z, best = np.where(up[..., None], tried, z), np.where(up, found, best)
+            if np.abs(step).max() < NEAR or not up.any():
                 break
         _, _, curve = self.scored(channels, y, there(z))
         wide = root(np.linalg.inv(np.eye(c) + np.swapaxes(l, -1, -2) @ (curve[..., None] * l)))

@@ -64,9 +64,9 @@ def _modes(spark, d):
     return rows.select("user_id", "t", F.round(F.col("mean")[0], 6).alias("mode"), F.round(F.col("cov")[0], 6).alias("var"))
 
 
-def _count_target(spark, d, likelihood=None):
+def _count_target(spark, d):
     model = inference.structural(["A"], [], ["n"], {("n", "A"): 1.0}, families=["neg_binomial"])
-    return inference.Target(cut(counts(spark, d)), model, "user_id", "t", ["n"], likelihood)
+    return inference.Target(cut(counts(spark, d)), model, "user_id", "t", ["n"])
 
 
 def _both_target(spark, d):
@@ -101,11 +101,10 @@ QUERIES = {
     "laplace_loglik_normal": _laplace_normal,
     "mode_states": _modes,
     "fit_counts": lambda s, d: inference.laplace(_count_target(s, d), n=states.DRAWS),
-    "fit_counts_at_modes": lambda s, d: inference.laplace(_count_target(s, d, "laplace"), n=states.DRAWS),
     "fit_composed": lambda s, d: inference.laplace(_both_target(s, d), n=states.DRAWS),
-    "fit_nuts": lambda s, d: inference.nuts(states._target(s, d), chains=8, steps=20, warm=15, depth=5),
-    "fit_svi": lambda s, d: inference.svi(states._target(s, d), steps=100, parts=2, rate=0.1),
-    "fit_pgas": lambda s, d: gibbs.pgas(states._target(s, d), chains=4, particles=20, rounds=12, moves=1, leaps=4),
+    "fit_nuts": lambda s, d: inference.nuts(states._target(s, d), chains=12, steps=6, warm=6, depth=3),
+    "fit_svi": lambda s, d: inference.svi(states._target(s, d), steps=60, parts=2, rate=0.15),
+    "fit_pgas": lambda s, d: gibbs.pgas(states._target(s, d), chains=6, particles=20, rounds=9, moves=1, leaps=3),
     "prior_draws": _prior_draws,
     "prior_predictive": _prior_predictive,
 }

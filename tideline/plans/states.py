@@ -136,7 +136,7 @@ QUERIES = {
     **{f"emission_{f}": _emission(f) for f in emissions.FAMILIES},
     "fit_tempered_smc": _fit("tempered_smc"),
     "fit_laplace": _fit("laplace", n=DRAWS),
-    "fit_hmc": _fit("hmc", chains=16, steps=36, leaps=4),
+    "fit_hmc": _fit("hmc", chains=16, steps=18, leaps=4),
     "fit_two_latents": lambda spark, d: inference.fit(_pair_target(spark, d), "laplace", n=DRAWS),
     "profile_likelihood": _profiles,
     "ppc_simulate": _replicates,
