@@ -69,3 +69,11 @@ def test_methods_and_instruments(spark):
 def test_projection_keeps_directed_paths_through_hidden_nodes():
     direct, both = identify.project({("a", "h"), ("h", "b"), ("h", "c"), ("k", "h"), ("b", "d")}, {"a", "b", "c", "d"})
     assert direct == {("a", "b"), ("a", "c"), ("b", "d")} and both == {("b", "c")}
+
+
+def test_a_bad_graph_is_a_row_and_not_an_error(spark):
+    nodes = [("none", "A", True, True, False), ("two", "A", True, True, True), ("two", "B", True, True, True), ("good", "A", True, True, False), ("good", "B", True, True, True)]
+    constructs = spark.createDataFrame(nodes, "key string, name string, observed boolean, varying boolean, is_outcome boolean")
+    edges = spark.createDataFrame([(k, "A", "B", True) for k in ("none", "two", "good")], "key string, cause string, effect string, lagged boolean")
+    got = {(r.key, r.treatment): (r.identifiable, r.note) for r in identify.effects(constructs, edges).collect()}
+    assert got == {("none", None): (False, "0 outcomes"), ("two", None): (False, "2 outcomes"), ("good", "A"): (True, None)}
