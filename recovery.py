@@ -24,7 +24,7 @@ START, DT = 0.5, 0.5
 
 SETTINGS = {
     "laplace": {}, "hmc": {"chains": 16, "steps": 90, "leaps": 6}, "nuts": {"chains": 12, "steps": 25, "warm": 20, "depth": 4},
-    "tempered_smc": {"particles": 128, "moves": 8, "leaps": 3, "rounds": 8, "share": 0.5}, "svi": {"steps": 300, "batch": 16}, "pgas": {"chains": 4, "particles": 40, "rounds": 60, "moves": 1, "leaps": 6},
+    "tempered_smc": {"particles": 128, "moves": 8, "leaps": 3, "rounds": 8, "share": 0.5}, "svi": {"steps": 300, "batch": 16}, "hess_mc2": {"particles": 48, "steps": 6}, "pgas": {"chains": 4, "particles": 40, "rounds": 60, "moves": 1, "leaps": 6},
 }
 
 

@@ -129,3 +129,20 @@ def test_parts_of_a_batch_are_the_batch(known):
     far = np.concatenate([theta[:1], theta[:1] + 1e3])
     assert target(far)[1] == -1e30 and target.value_and_slope(far)[0][1] == -1e30
     assert mixed.backend(["gaussian"], target.split) == target.likelihood == "kalman"
+
+
+@pytest.mark.parametrize("kind", ["hessian", "mala", "rw"])
+def test_weights_of_proposals_without_rejection(known, kind):
+    """Few dimensions: weighted draws have the posterior's mean, and second derivatives keep more of the particles."""
+    target, centre, sd = known
+    size = {"hessian": 0.9, "mala": 0.04, "rw": 0.2}[kind]
+    rows = inference.fit(target, "hess_mc2", kind=kind, particles=96, steps=8, size=size).toPandas()
+    assert rows.groupby("param").weight.sum().to_numpy() == pytest.approx(1)
+    natural = target.model.natural(centre[None])[0]
+    slope = np.abs(target.model.natural((centre + 1e-4)[None])[0] - natural) / 1e-4
+    mean = rows.assign(x=rows.value * rows.weight).groupby("param").x.sum()[target.model.names].to_numpy()
+    assert (np.abs(mean - natural) < (1.5 if kind == "hessian" else 3) * sd * slope).all()
+    if kind == "hessian":
+        assert np.mean([ess for _, _, ess in inference.hess_steps(target, kind, 96, 8, size)[4:]]) > 25
+    with pytest.raises(ValueError, match="proposal"):
+        inference.hess_steps(target, "newton")

@@ -528,6 +528,65 @@ def svi(target: Target, guide: str = "mvn", steps: int = 150, batch: int = 8, pa
     return draws(target.panel, model, made, np.full(n, 1 / n))
 
 
+def _metric(target: Target, theta: np.ndarray, kind: str, eps: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log-density, where the next proposal is centred over half its squared size, root of its covariance) of each particle.
+    hessian: the inverse of minus the second derivatives, from slopes around each particle; mala: the prior's spread and the
+    slope; rw: the prior's spread alone."""
+    b, dim = theta.shape
+    if kind != "hessian":
+        _, value, slope = _posterior(target, theta)
+        low = np.broadcast_to(np.diag(target.model.sd), (b, dim, dim))
+        return value, slope * target.model.sd**2 if kind == "mala" else np.zeros_like(theta), low
+    around = np.concatenate([np.zeros((1, dim)), np.eye(dim), -np.eye(dim)]) * eps
+    _, value, slope = (x.reshape(b, 2 * dim + 1, *x.shape[1:]) for x in _posterior(target, (theta[:, None] + around).reshape(-1, dim)))
+    hess = (slope[:, dim + 1 :] - slope[:, 1 : dim + 1]) / (2 * eps)
+    values, vectors = np.linalg.eigh((hess + np.swapaxes(hess, 1, 2)) / 2)
+    values = np.maximum(np.abs(values), 1 / (FAR * target.model.sd.max()) ** 2)
+    cov = (vectors / values[:, None]) @ np.swapaxes(vectors, 1, 2)
+    return value[:, 0], (cov @ slope[:, 0, :, None])[..., 0], np.linalg.cholesky(cov + 1e-12 * np.eye(dim))
+
+
+def hess_steps(target: Target, kind: str = "hessian", particles: int = 64, steps: int = 10, size: float = 0.9, seed: int = 0) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """[(particles, normed weights, effective number)] of a sampler of fixed length that starts at the prior and proposes by
+    slopes and second derivatives; nothing is rejected. The backward kernel is the proposal from the new place, so weights
+    change by the ratio of both; particles are drawn anew when fewer than half count. In many dimensions all weight comes
+    to lie on few of them, which the effective numbers show."""
+    if kind not in ("hessian", "mala", "rw"):
+        raise ValueError(f"unknown proposal: {kind}")
+    model, rng = target.model, np.random.default_rng(seed)
+    theta = model.mean + model.sd * rng.standard_normal((particles, len(model.names)))
+    start = (-0.5 * ((theta - model.mean) / model.sd) ** 2 - np.log(model.sd) - 0.5 * np.log(2 * np.pi)).sum(axis=1)
+    value, centre, low = _metric(target, theta, kind)
+    logw, out = value - start, []
+
+    def density(to, at, centre, low):
+        z = np.linalg.solve(low, (to - at - size**2 / 2 * centre)[..., None])[..., 0] / size
+        return -0.5 * (z**2).sum(axis=1) - np.log(np.diagonal(low, axis1=1, axis2=2)).sum(axis=1)
+
+    for n in range(steps + 1):
+        w = np.exp(logw - logw.max())
+        w /= w.sum()
+        ess = float(1 / (w**2).sum())
+        out.append((theta, w, ess))
+        if n == steps:
+            return out
+        if ess < particles / 2:
+            take = np.minimum(np.searchsorted(np.cumsum(w), (rng.random() + np.arange(particles)) / particles), particles - 1)
+            theta, value, centre, low, logw = theta[take], value[take], centre[take], low[take], np.zeros(particles)
+        made = theta + size**2 / 2 * centre + size * (low @ rng.standard_normal(theta.shape)[..., None])[..., 0]
+        value1, centre1, low1 = _metric(target, made, kind)
+        logw = logw + value1 - value + density(theta, made, centre1, low1) - density(made, theta, centre, low)
+        logw = np.nan_to_num(logw, nan=-np.inf)
+        theta, value, centre, low = made, value1, centre1, low1
+
+
+def hess_mc2(target: Target, kind: str = "hessian", particles: int = 64, steps: int = 10, size: float = 0.9, seed: int = 0) -> DataFrame:
+    """Draws of all steps of `hess_steps` but the first half, each step weighed by its effective number."""
+    found = hess_steps(target, kind, particles, steps, size, seed)[steps // 2 :]
+    whole = sum(ess for _, _, ess in found)
+    return draws(target.panel, target.model, np.concatenate([t for t, _, _ in found]), np.concatenate([w * ess / whole for _, w, ess in found]))
+
+
 def profile(target: Target, params: list[str] | None = None, points: int = 20, reach: float = 3.0, rounds: int = 4) -> DataFrame:
     """(param, at, value, log_post): the posterior along each parameter (at: unconstrained, value: on its natural scale),
     the others set to their best for each point. The grid spans `reach` prior deviations around the mode; all points of all
@@ -580,7 +639,7 @@ def identified(profiles: DataFrame, confidence: float = 0.95) -> DataFrame:
     return sides.select("param", "range", verdict.alias("verdict"))
 
 
-METHODS = {"tempered_smc": tempered_smc, "laplace": laplace, "hmc": hmc, "nuts": nuts, "svi": svi}
+METHODS = {"tempered_smc": tempered_smc, "laplace": laplace, "hmc": hmc, "nuts": nuts, "svi": svi, "hess_mc2": hess_mc2}
 
 
 def fit(target: Target, method: str = "tempered_smc", **how) -> DataFrame:

@@ -104,6 +104,7 @@ QUERIES = {
     "fit_composed": lambda s, d: inference.laplace(_both_target(s, d), n=states.DRAWS),
     "fit_nuts": lambda s, d: inference.nuts(states._target(s, d), chains=12, steps=6, warm=6, depth=3),
     "fit_svi": lambda s, d: inference.svi(states._target(s, d), steps=60, parts=2, rate=0.15),
+    "fit_hess_mc2": lambda s, d: inference.hess_mc2(states._target(s, d), particles=48, steps=6),
     "fit_pgas": lambda s, d: gibbs.pgas(states._target(s, d), chains=6, particles=20, rounds=9, moves=1, leaps=3),
     "prior_draws": _prior_draws,
     "prior_predictive": _prior_predictive,
