@@ -102,3 +102,15 @@ def test_extractions(spark):
     known = indicators(spark).unionByName(indicators(spark, key="b"))
     assert [g[:2] for g in found(specs.extraction_issues(x, known))] == [("f1", "value does not fit the dtype"), ("ghost", "unknown indicator"), ("s2", "value does not fit the dtype")]
     assert {r.key: r.score for r in specs.extraction_score(x, known).collect()} == {"a": 0, "b": 11}
+
+
+def test_functional_score(spark):
+    constructs = spark.createDataFrame([("a", "cognitive focus", "endogenous", "time_varying"), ("a", "mood", "endogenous", "time_varying"), ("a", "age", "exogenous", "time_invariant"), ("b", "x", "endogenous", "time_varying")], "key string, name string, role string, temporal_status string")
+    edges = spark.createDataFrame([("a", "age", "mood"), ("a", "age", "mood"), ("a", "mood", "cognitive focus")], "key string, cause string, effect string")
+    indicators = spark.createDataFrame([("a", "steps", "count"), ("a", "tone", None), ("a", "flag", "binary")], "key string, name string, dtype string")
+    likelihoods = spark.createDataFrame([("a", "steps", "poisson", "identity"), ("a", "tone", "gaussian", "identity"), ("a", "flag", "gaussian", "identity"), ("b", "y", "gamma", "log")], "key string, variable string, distribution string, link string")
+    params = spark.createDataFrame([("a", "ar_cog", "ar_coefficient", "unit_interval"), ("a", "beta_mood_age", "fixed_effect", "positive"), ("a", "beta_mood_cog", "fixed_effect", "none"), ("a", "odd", "unheard", None)], "key string, name string, role string, constraint string")
+    got = {r.key: tuple(r)[1:] for r in specs.functional_score(constructs, edges, indicators, likelihoods, params).collect()}
+    assert got["a"] == (4, 1, 3, 3, 8, 19, 27, pytest.approx(19 / 27))
+    assert got["b"] == (0, 0, 0, 0, 5, 5, 11, pytest.approx(5 / 11))
+    assert specs.functional_score(*[x.where("key = 'c'") for x in (constructs, edges, indicators, likelihoods, params)]).count() == 0

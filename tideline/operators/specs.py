@@ -45,6 +45,10 @@ CONSTRAINTS = ["none", "positive", "unit_interval", "correlation"]
 #: Points: a valid extraction, the least length of a telling description, and what identifiability is worth.
 EXTRACTION_POINTS, LONG_TEXT = 10, 50
 ALL_FROM_START, ALL_AFTER_PROXIES, SOME_AFTER_PROXIES = 10, 15, 5
+#: Points of a functional specification: a fitting distribution, its link, an own lag, a constraint; all indicators covered, all
+#: edges covered. Words of a parameter's name that name no construct.
+FITTING, LINKED, LAGGED, CONSTRAINED, ALL_INDICATORS, ALL_EDGES = 2, 1, 3, 1, 5, 3
+NOT_NAMES = ["ar", "beta", "sigma", "rho", "sd", "loading"]
 
 
 def _pairs(spark: SparkSession, table: dict[str, list[str]], names: str) -> DataFrame:
@@ -233,3 +237,51 @@ def measurement_score(indicators: DataFrame, constructs: DataFrame, before: Data
     rows = points.join(more, "key", "left").join(left[0], "key", "left").join(left[1], "key", "left").join(faults, "key", "left").na.fill(0, ["more", "first", "last"])
     bonus = F.when(F.col("last") == 0, F.when(F.col("first") > 0, ALL_AFTER_PROXIES).otherwise(ALL_FROM_START)).when(F.col("first") > F.col("last"), SOME_AFTER_PROXIES).otherwise(0)
     return rows.select("key", F.when(F.col("wrong"), 0).otherwise(F.col("points") + F.col("more") + bonus).cast("bigint").alias("score"))
+
+
+def _words(name: Column) -> Column:
+    return F.filter(F.split(F.lower(name), r"\s+"), lambda w: w != "")
+
+
+def names_construct(construct: Column, parameter: Column) -> Column:
+    """Whether a parameter's name speaks of a construct: it holds the construct's name, or at least half of the construct's
+    words begin with a word of it or the other way round."""
+    low, held = F.lower(construct), F.lower(parameter)
+    own, said = _words(construct), F.filter(_words(F.translate(parameter, "_", " ")), lambda w: ~w.isin(NOT_NAMES))
+    met = F.size(F.filter(own, lambda a: F.exists(said, lambda b: F.startswith(a, b) | F.startswith(b, a))))
+    return F.contains(held, F.translate(low, " ", "_")) | F.contains(held, low) | ((F.size(own) > 0) & (2 * met >= F.size(own)))
+
+
+def functional_score(constructs: DataFrame, edges: DataFrame, indicators: DataFrame, likelihoods: DataFrame, parameters: DataFrame) -> DataFrame:
+    """(key, likelihood, link, own_lag, constraint, bonus, score, most, share) of how a model specification serves a causal
+    one. likelihood: indicators whose distribution fits their dtype (continuous if null). link: those with a link that fits as
+    well. own_lag: constructs that vary and are endogenous of which an ar_coefficient speaks. constraint: parameters with the
+    constraint of their role; one of an unknown role has it. bonus: every indicator has a likelihood; there are edges, and
+    for each a parameter that speaks of both ends. A variable with several likelihoods has the greatest pair of
+    distribution and link. Repeated indicators, constructs and parameters count each, repeated edges once."""
+    spark = constructs.sparkSession
+    fits = _pairs(spark, DISTRIBUTIONS_OF_DTYPE, "dtype string, distribution string").withColumn("fits", F.lit(1))
+    links = _pairs(spark, LINKS_OF_DISTRIBUTION, "distribution string, link string").withColumn("linked", F.lit(1))
+    chosen = likelihoods.groupBy("key", F.col("variable").alias("name")).agg(F.max(F.struct("distribution", "link")).alias("l")).select("key", "name", "l.*", F.lit(1).alias("there"))
+    held = indicators.select("key", "name", F.coalesce("dtype", F.lit("continuous")).alias("dtype")).join(chosen, ["key", "name"], "left").join(fits, ["dtype", "distribution"], "left").join(links, ["distribution", "link"], "left")
+    of_indicators = held.groupBy("key").agg(
+        F.count("*").alias("n_i"), F.count("fits").alias("fit"), F.count(F.when(F.col("fits") == 1, F.col("linked"))).alias("linked"), (F.count("there") == F.count("*")).alias("covered")
+    )
+    expected = F.create_map(*[F.lit(x) for pair in CONSTRAINT_OF_ROLE.items() for x in pair])[F.coalesce("role", F.lit(""))]
+    of_parameters = parameters.groupBy("key").agg(
+        F.count("*").alias("n_p"), F.count_if(expected.isNull() | F.coalesce(F.col("constraint") == expected, F.lit(False))).alias("constrained"),
+        F.collect_set(F.when(F.col("role") == "ar_coefficient", F.col("name"))).alias("lags"), F.collect_set("name").alias("names"),
+    )
+    varying = constructs.where("temporal_status = 'time_varying' and role = 'endogenous'").join(of_parameters.select("key", "lags"), "key", "left")
+    of_constructs = varying.groupBy("key").agg(F.count("*").alias("n_c"), F.count_if(F.exists("lags", lambda p: names_construct(F.col("name"), p))).alias("lagged"))
+    between = edges.select("key", "cause", "effect").where("cause is not null and effect is not null").distinct().join(of_parameters.select("key", "names"), "key", "left")
+    spoken = F.coalesce(F.exists("names", lambda p: names_construct(F.col("cause"), p) & names_construct(F.col("effect"), p)), F.lit(False))
+    of_edges = between.groupBy("key").agg((F.count_if(spoken) == F.count("*")).alias("spoken"))
+    keys = reduce(DataFrame.unionByName, [x.select("key") for x in (constructs, indicators, parameters)]).distinct()
+    rows = reduce(lambda a, b: a.join(b, "key", "left"), [of_indicators, of_parameters, of_constructs, of_edges], keys)
+    rows = rows.na.fill(0, ["n_i", "n_p", "n_c", "fit", "linked", "lagged", "constrained"]).na.fill({"covered": True, "spoken": False})
+    bonus = F.when(F.col("covered"), ALL_INDICATORS).otherwise(0) + F.when(F.col("spoken"), ALL_EDGES).otherwise(0)
+    parts = {"likelihood": FITTING * F.col("fit"), "link": LINKED * F.col("linked"), "own_lag": LAGGED * F.col("lagged"), "constraint": CONSTRAINED * F.col("constrained"), "bonus": bonus}
+    most = (FITTING + LINKED) * F.col("n_i") + LAGGED * F.col("n_c") + CONSTRAINED * F.col("n_p") + ALL_INDICATORS + ALL_EDGES
+    score = reduce(lambda a, b: a + b, parts.values())
+    return rows.select("key", *[c.cast("bigint").alias(n) for n, c in parts.items()], score.cast("bigint").alias("score"), most.cast("bigint").alias("most"), (score / most).alias("share"))

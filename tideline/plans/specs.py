@@ -125,6 +125,20 @@ def _score_inputs(spark, sf_dir):
     return two, keys.where("key % 4 = 0").select("key", F.lit(False).alias("identifiable"))
 
 
+#: Names for constructs by the digit of theirs, and how parameters shorten them.
+SAID = ["deep sleep", "stress", "work load", "mood", "cognitive focus", "activity", "caffeine", "pain"]
+SHORT = ["sleep", "str", "work", "mood", "cog", "act", "caf", "pa"]
+_said = lambda column: "CASE " + " ".join(f"WHEN {column} = 'c{i}' THEN '{w}'" for i, w in enumerate(SAID)) + " ELSE 'other' END"
+_PARAM = f"concat({_pick('p_partkey % 3', ['ar_', 'beta_'], 'sigma_')}, {_pick('p_partkey * 7 % 8', SHORT, '')}, '_', {_pick('p_partkey * 3 % 8', [w.replace(' ', '_') for w in SAID], '')})"
+
+
+def _functional(spark, sf_dir):
+    named = lambda df, *cs: df.withColumns({c: F.expr(_said(c)) for c in cs})
+    params = table(spark, sf_dir, "part").selectExpr(f"{KEY} AS key", f"{_PARAM} AS name", f"{PARAMETERS['role']} AS role", f"{PARAMETERS['constraint']} AS constraint")
+    edges = part(spark, sf_dir, "edges").where("cause in ('c0', 'c3') and effect <> 'c9'")
+    return specs.functional_score(named(part(spark, sf_dir, "constructs"), "name"), named(edges, "cause", "effect"), part(spark, sf_dir, "indicators"), part(spark, sf_dir, "likelihoods"), params)
+
+
 QUERIES = {
     "spec_constructs": lambda s, d: specs.construct_issues(part(s, d, "constructs")),
     "spec_latent": lambda s, d: specs.latent_issues(part(s, d, "constructs"), part(s, d, "edges")),
@@ -134,6 +148,7 @@ QUERIES = {
     "spec_extractions": lambda s, d: specs.extraction_issues(part(s, d, "extractions"), part(s, d, "indicators")),
     "score_extractions": lambda s, d: specs.extraction_score(part(s, d, "extractions"), part(s, d, "indicators")),
     "score_latent": lambda s, d: specs.latent_score(part(s, d, "constructs"), part(s, d, "edges")),
+    "score_functional": _functional,
     "score_measurement": lambda s, d: specs.measurement_score(part(s, d, "indicators"), part(s, d, "constructs"), *_score_inputs(s, d)),
 }
 
@@ -156,3 +171,20 @@ m AS (SELECT key, sum(more) AS more FROM (SELECT key, 2 * (count(*) - 1) AS more
 SELECT key, CAST(CASE WHEN key IN (SELECT key FROM measured WHERE issue IN ('unknown aggregation', 'unknown granularity', 'duplicate name')) THEN 0
   ELSE points + coalesce(more, 0) + CASE WHEN key % 4 <> 0 THEN CASE WHEN key % 3 = 0 THEN 15 ELSE 10 END WHEN key % 3 = 0 THEN 5 ELSE 0 END END AS BIGINT) AS score FROM p LEFT JOIN m USING (key)""",
 }
+
+_WORDS = lambda x: f"[w FOR w IN string_split_regex(lower({x}), '\\s+') IF w <> '']"
+_NAMES = lambda c, p: f"""(contains(lower({p}), replace(lower({c}), ' ', '_')) OR contains(lower({p}), lower({c})) OR len({_WORDS(c)}) > 0 AND 2 * len([a FOR a IN {_WORDS(c)}
+  IF len([b FOR b IN {_WORDS(f"replace({p}, '_', ' ')")} IF b NOT IN {_in(specs.NOT_NAMES)} AND (starts_with(a, b) OR starts_with(b, a))]) > 0]) >= len({_WORDS(c)}))"""
+ORACLES["score_functional"] = HEAD + f""", pr AS (SELECT {KEY} AS key, {_PARAM} AS name, {PARAMETERS['role']} AS role, {PARAMETERS['constraint']} AS "constraint" FROM part),
+cs AS (SELECT key, {_said("name")} AS name, role, temporal_status FROM constructs), es AS (SELECT DISTINCT key, {_said("cause")} AS cause, {_said("effect")} AS effect FROM edges WHERE cause IN ('c0', 'c3') AND effect <> 'c9'),
+ch AS (SELECT key, variable AS name, max((distribution, link)) AS l FROM likelihoods GROUP BY key, variable),
+hi AS (SELECT i.key, ch.key IS NOT NULL AS there, coalesce((coalesce(dtype, 'continuous'), l[1]) IN (SELECT * FROM {_rows(specs.DISTRIBUTIONS_OF_DTYPE)}), false) AS fits, coalesce((l[1], l[2]) IN (SELECT * FROM {_rows(specs.LINKS_OF_DISTRIBUTION)}), false) AS linked
+  FROM indicators i LEFT JOIN ch ON i.key = ch.key AND i.name = ch.name),
+gi AS (SELECT key, count(*) AS n, count_if(fits) AS fit, count_if(fits AND linked) AS linked, bool_and(there) AS covered FROM hi GROUP BY key),
+gp AS (SELECT key, count(*) AS n, count_if(role NOT IN {_in(specs.CONSTRAINT_OF_ROLE)} OR (role, "constraint") IN (SELECT * FROM {_rows({k: [v] for k, v in specs.CONSTRAINT_OF_ROLE.items()})})) AS held FROM pr GROUP BY key),
+gc AS (SELECT key, count(*) AS n, count_if(EXISTS (SELECT 1 FROM pr WHERE pr.key = cs.key AND pr.role = 'ar_coefficient' AND {_NAMES("cs.name", "pr.name")})) AS lagged FROM cs WHERE temporal_status = 'time_varying' AND role = 'endogenous' GROUP BY key),
+ge AS (SELECT key, bool_and(EXISTS (SELECT 1 FROM pr WHERE pr.key = es.key AND {_NAMES("cause", "pr.name")} AND {_NAMES("effect", "pr.name")})) AS spoken FROM es GROUP BY key),
+t AS (SELECT gi.key, 2 * fit AS likelihood, linked AS link, 3 * coalesce(lagged, 0) AS own_lag, held AS "constraint", CASE WHEN covered THEN 5 ELSE 0 END + CASE WHEN coalesce(spoken, false) THEN 3 ELSE 0 END AS bonus, 3 * gi.n + 3 * coalesce(gc.n, 0) + gp.n + 8 AS most
+  FROM gi JOIN gp ON gi.key = gp.key LEFT JOIN gc ON gi.key = gc.key LEFT JOIN ge ON gi.key = ge.key)
+SELECT key, CAST(likelihood AS BIGINT) AS likelihood, CAST(link AS BIGINT) AS link, CAST(own_lag AS BIGINT) AS own_lag, CAST("constraint" AS BIGINT) AS "constraint", CAST(bonus AS BIGINT) AS bonus,
+  CAST(likelihood + link + own_lag + "constraint" + bonus AS BIGINT) AS score, CAST(most AS BIGINT) AS most, CAST(likelihood + link + own_lag + "constraint" + bonus AS DOUBLE) / CAST(most AS DOUBLE) AS share FROM t"""
