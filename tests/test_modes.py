@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tests.test_mixed import one, series, three, two
+from tests.test_mixed import grid_loglik, one, series, three, two
 from tideline.functions import families, linear
 from tideline.functions.families import Emissions
 from tideline.operators import modes, statespace
@@ -110,3 +110,23 @@ def test_far_starts_and_no_rows(spark):
     assert modes.laplace_loglik(panel.where("k > 5"), one(), e, "k", "t", ["y"]).count() == 0
     unseen = modes.laplace_loglik(panel.where("k = 1"), one(), e, "k", "t", ["y"]).collect()
     assert [(r.n, r.loglik) for r in unseen] == [(2, 0.0)]
+
+
+def test_bound_is_below_the_integral_and_grows(spark):
+    for family in ("poisson", "bernoulli", "gamma"):
+        groups = {k: series(family, 8, seed=k) for k in range(3)}
+        panel, e = frame(spark, groups, ["y"]), Emissions([family])
+        exact = {k: grid_loglik(family, g) for k, g in groups.items()}
+        first, last = ({r.k: r.loglik for r in modes.bound_loglik(panel, one(), e, "k", "t", ["y"], n).collect()} for n in (1, 12))
+        for k in groups:
+            assert first[k] <= exact[k] + 1e-6 and first[k] - 1e-6 <= last[k] <= exact[k] + 1e-6
+            assert last[k] > exact[k] - 0.1
+
+
+def test_bound_is_exact_for_normal_channels(spark):
+    rng = np.random.default_rng(2)
+    groups = {k: [(0.8 if i else 0.0, np.where(rng.random(3) < 0.2, np.nan, rng.normal(0.5, 1, 3))) for i in range(6)] for k in range(3)}
+    panel, ys = frame(spark, groups, ["a", "b", "c"]), ["a", "b", "c"]
+    got = {r.k: r.loglik for r in modes.bound_loglik(panel, two(), Emissions(["gaussian"] * 3), "k", "t", ys, 1).collect()}
+    want = {r.k: r.loglik for r in statespace.loglik(panel, two(), "k", "t", ys).collect()}
+    assert all(abs(got[k] - want[k]) < 1e-8 for k in want)

@@ -147,7 +147,7 @@ def structural(
 class Target:
     """Log-likelihood of batches of parameters over one panel (from sort_panel, best written down before).
 
-    likelihood: kalman, composed, mixed (see `mixed`) or laplace (see `modes`); if not given, the first of them that serves the
+    likelihood: kalman, composed, mixed (see `mixed`), laplace or bound (see `modes`); if not given, the first of them that serves the
     model's channels. how: settings of the mixed filter. spread: in how many parts a batch is dealt out, each with a pass of
     its own over the panel, side by side; of use where there are fewer series than cores."""
 
@@ -157,7 +157,7 @@ class Target:
         near = model.build(model.mean + 0.3 * model.sd * np.random.default_rng(0).standard_normal((3, len(model.names))))
         self.split = mixed.blocks(((near.a != 0) | (near.q != 0) | (near.p0 != 0)).any(axis=0), (near.h != 0).any(axis=0), emissions.families, self.how.df)
         self.likelihood = likelihood or mixed.backend(emissions.families, self.split, self.how.df)
-        if self.likelihood not in ("kalman", "composed", "mixed", "laplace"):
+        if self.likelihood not in ("kalman", "composed", "mixed", "laplace", "bound"):
             raise ValueError(f"unknown likelihood: {self.likelihood}")
         if self.likelihood == "kalman" and not emissions.normal.all():
             raise ValueError("the Kalman filter serves normal channels only")
@@ -172,7 +172,8 @@ class Target:
             return mixed.composed_loglik(self.panel, system, emissions, self.split, *self.on, self.how)
         if self.likelihood == "mixed":
             return mixed.rb_loglik(self.panel, system, emissions, *self.on, self.how)
-        return modes.laplace_loglik(self.panel, system, emissions, *self.on)
+        total = modes.laplace_loglik if self.likelihood == "laplace" else modes.bound_loglik
+        return total(self.panel, system, emissions, *self.on)
 
     def dealt(self, theta: np.ndarray, one: Callable[[np.ndarray], DataFrame]) -> DataFrame:
         """What `one` gives for a batch, or for the parts of it, with numbers of systems in the whole batch."""

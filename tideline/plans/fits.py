@@ -59,6 +59,10 @@ def _laplace_normal(spark, d):
     return _rounded(modes.laplace_loglik(states._sorted(spark, d), states.one(), Emissions(["gaussian"]), "user_id", "t", ["y"]))
 
 
+def _bound(spark, d):
+    return _rounded(modes.bound_loglik(counts(spark, d), statespace.System.one(**COUNTED), Emissions(["poisson"]), "user_id", "t", ["n"]))
+
+
 def _modes(spark, d):
     rows = modes.smoothed(counts(spark, d), statespace.System.one(**COUNTED), Emissions(["poisson"]), "user_id", "t", ["n"])
     return rows.select("user_id", "t", F.round(F.col("mean")[0], 6).alias("mode"), F.round(F.col("cov")[0], 6).alias("var"))
@@ -99,6 +103,7 @@ QUERIES = {
     "composed_loglik": _composed,
     "laplace_loglik": _laplace,
     "laplace_loglik_normal": _laplace_normal,
+    "bound_loglik": _bound,
     "mode_states": _modes,
     "fit_counts": lambda s, d: inference.laplace(_count_target(s, d), n=states.DRAWS),
     "fit_composed": lambda s, d: inference.laplace(_both_target(s, d), n=states.DRAWS),
