@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from tideline.llm import text as tx
+from tideline.llm.spark_io import tidied
 
 #: An end-of-word symbol is its byte's character moved up by this much.
 END = 0x2000
@@ -199,7 +200,7 @@ def encode(docs: DataFrame, path: str, column: str = "text", ids: bool = True, d
                 yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, *[x.split()[0] for x in new]])
         encoder.forget()
 
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(tidied(run), fields)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -213,7 +214,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [None if x is None else encoder.decode(x) for x in batch.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, fields)
+    return encoded.mapInArrow(tidied(run), fields)
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm import text as tx
-from tideline.llm.spark_io import cut, sendable
+from tideline.llm.spark_io import cut, sendable, tidied
 
 #: A line ends a chunk if the rolling hash of the WINDOW lines up to it is 0 modulo DIVISOR; LONGEST lines end one anyway.
 DIVISOR, LONGEST, WINDOW = 3, 8, 2
@@ -107,7 +107,7 @@ def find_runs(docs: DataFrame, **how) -> DataFrame:
                     names=["hash", "doc_id", "text_hash", "start", "lines", "strong"],
                 )
 
-    return _keyed(docs).mapInArrow(run, RUNS)
+    return _keyed(docs).mapInArrow(tidied(run), RUNS)
 
 
 def repeated_runs(docs: DataFrame, **how) -> DataFrame:

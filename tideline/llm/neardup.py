@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import graph
-from tideline.llm.spark_io import cut, sendable
+from tideline.llm.spark_io import cut, sendable, tidied
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Fingerprints that one bucket compares in a task; a larger bucket is linked by shared midpoints instead.
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             fp = np.concatenate(fps) if fps else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id bigint, fp bigint")
 
 
 def bit_moments(fps: DataFrame) -> tuple[float, np.ndarray]:
@@ -102,7 +102,7 @@ def bit_moments(fps: DataFrame) -> tuple[float, np.ndarray]:
             [pa.array(np.append(i, -1)), pa.array(np.append(j, -1)), pa.array(np.append(both[i, j], float(n)))], names=["i", "j", "c"]
         )
 
-    rows = fps.select("fp").mapInArrow(run, "i bigint, j bigint, c double").groupBy("i", "j").agg(F.sum("c").alias("c")).collect()
+    rows = fps.select("fp").mapInArrow(tidied(run), "i bigint, j bigint, c double").groupBy("i", "j").agg(F.sum("c").alias("c")).collect()
     both, n = np.zeros((BITS, BITS)), 0.0
     for r in rows:
         if r.i < 0:
@@ -191,7 +191,7 @@ def lookups(fps: DataFrame, partitions: list[tuple[list[int], int]]) -> DataFram
                         names=["part", "value", "fp"],
                     )
 
-    return fps.select("fp").mapInArrow(run, "part int, value bigint, fp bigint")
+    return fps.select("fp").mapInArrow(tidied(run), "part int, value bigint, fp bigint")
 
 
 def forest(nodes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -269,7 +269,7 @@ def links(fps: DataFrame, partitions: list[tuple[list[int], int]], radius: int =
         if not over and len(kept) > 1:
             yield out(*forest(np.unique(kept), radius), 0)
 
-    found = cut(met.mapInArrow(run, "kind int, a bigint, b bigint").distinct())
+    found = cut(met.mapInArrow(tidied(run), "kind int, a bigint, b bigint").distinct())
     direct = found.where("kind = 0").select("a", "b")
     crowded = found.where("kind = 1").select(F.col("a").alias("fp")).distinct()
     if crowded.isEmpty():
@@ -292,7 +292,7 @@ def midpoint_links(fps: DataFrame, radius: int) -> DataFrame:
                 value = (some[:, None] ^ half[None, :]).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.repeat(some, len(half)).view(np.int64))], names=["value", "fp"])
 
-    near = fps.mapInArrow(run, "value bigint, fp bigint")
+    near = fps.mapInArrow(tidied(run), "value bigint, fp bigint")
     low = near.groupBy("value").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
     return near.join(low, "value").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
 

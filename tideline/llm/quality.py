@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import text as tx
-from tideline.llm.spark_io import cut, sendable
+from tideline.llm.spark_io import cut, sendable, tidied
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -271,7 +271,7 @@ def features(docs: DataFrame) -> DataFrame:
                 )
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash().alias("text_hash"), row_hash(docs).alias("row_hash"), "text", *[c for c in DECLARED if c in docs.columns])
-    return cut(own.mapInArrow(run, FEATURES))
+    return cut(own.mapInArrow(tidied(run), FEATURES))
 
 
 def picker(seen: DataFrame, known: DataFrame) -> Callable[[Content, Page, int, int], Picked]:
@@ -287,7 +287,7 @@ def picker(seen: DataFrame, known: DataFrame) -> Callable[[Content, Page, int, i
                 x = Rows.of(batch)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *[pa.array(v.logits(x)) for v in sent.value]], names=["doc_id", "text_hash", "v0", "v1"])
 
-        scored = seen.where("doc_id is not null").mapInArrow(run, "doc_id bigint, text_hash bigint, v0 double, v1 double").join(known.select("doc_id"), "doc_id", "left_anti")
+        scored = seen.where("doc_id is not null").mapInArrow(tidied(run), "doc_id bigint, text_hash bigint, v0 double, v1 double").join(known.select("doc_id"), "doc_id", "left_anti")
         pool = cut(scored.groupBy("text_hash").agg(F.min(F.struct("doc_id", "v0", "v1")).alias("x")).where(~F.col("text_hash").isin(*used)).select("text_hash", "x.*"))
         chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for teacher in (0, 1):
@@ -337,7 +337,7 @@ def _scored(df: DataFrame, model: Classifier, read: Callable[[pa.RecordBatch], R
                 s = sent.value.scores(read(batch))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *map(pa.array, s), pa.array((s[0] >= threshold).astype(np.int32))], names=[*keep, *SCORES, "predicted"])
 
-    return df.mapInArrow(run, fields + ", score double, content_score double, metadata_score double, predicted int")
+    return df.mapInArrow(tidied(run), fields + ", score double, content_score double, metadata_score double, predicted int")
 
 
 def score(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:

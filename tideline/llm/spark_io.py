@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +70,16 @@ def sendable(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
     """df marked to be sent to every worker if it is checked to have at most `rows` rows (of bounded width); else as it is,
     to be joined by shuffling. df should be cheap to count: written down or small."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with the worker's free memory given back at the end of each task: a worker that has been through one large batch
+    would keep it while other stages run beside it."""
+
+    def and_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return and_back
