@@ -109,14 +109,14 @@ def test_spark_hash_agrees(spark):
     assert spark.range(1).select(F.xxhash64(F.lit(s))).first()[0] & (2**64 - 1) == xxhash.xxh64_intdigest(s.encode(), 42)
 
 
-@pytest.mark.parametrize("few", [1 << 18, 0])
-def test_components_in_one_task_and_in_rounds(spark, few):
+@pytest.mark.parametrize("part_edges", [1 << 18, 40])
+def test_components_in_one_part_and_in_several(spark, part_edges):
     r = random.Random(17)
     edges = [(r.randrange(-150, 150), r.randrange(-150, 150)) for _ in range(120)] + [(k, k + 1) for k in range(1000, 1060)] + [(5000, k) for k in range(5001, 5100)] + [(7, 7)]
     group = {x: x for e in edges for x in e}
     for _ in range(70):
         for a, b in edges:
             group[a] = group[b] = min(group[a], group[b])
-    got = graph.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(3), few=few).collect()
+    got = graph.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(3), part_edges=part_edges).collect()
     assert {x.node: x.root for x in got} == {k: g for k, g in group.items() if k != g} and len(got) == len({x.node for x in got})
-    assert graph.components(spark.createDataFrame([], "a bigint, b bigint"), few=few).count() == 0
+    assert graph.components(spark.createDataFrame([], "a bigint, b bigint"), part_edges=part_edges).count() == 0

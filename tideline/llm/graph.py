@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.spark_io import cut
 
-#: Edges that one task joins (16 bytes each); more are joined in rounds over the cluster.
-FEW = 1 << 18
+#: Edges (16 bytes each) to a part of what a round reads, so that the files of a round grow with its edges and not with
+#: the parts that the edges came in.
+PART_EDGES = 1 << 18
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -20,41 +17,21 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(h % (1 << 31)), F.sum(F.shiftrightunsigned(h, 33))).first())
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, root) of all rows of a task, by union-find that keeps the smaller root."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        top = x
-        while parent.setdefault(top, top) != top:
-            top = parent[top]
-        while parent[x] != top:
-            parent[x], x = top, parent[x]
-        return top
-
-    for batch in batches:
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-            x, y = find(a), find(b)
-            parent[max(x, y)] = min(x, y)
-    nodes = np.array([n for n in parent if find(n) != n], np.int64)
-    roots = np.array([find(n) for n in nodes.tolist()], np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["node", "root"])
-
-
-def components(edges: DataFrame, max_rounds: int = 60, few: int = FEW) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, part_edges: int = PART_EDGES) -> DataFrame:
     """(node, root) for every node of `edges` (columns a, b: longs, in any order, repeats and loops allowed), where root
     is the smallest node of its component; a node that is itself the root has no row.
 
-    Edges that are checked to be at most `few` are joined by one task, which spares the rounds. Of more, each round links every node's larger neighbours to its smallest neighbour, then every node's smaller neighbours to
+    Each round links every node's larger neighbours to its smallest neighbour, then every node's smaller neighbours to
     the smallest of them; the number of rounds grows with the logarithm of the longest path. A round is two
-    pre-aggregated minima and two joins, so a hub with any number of neighbours is one row on the joined side."""
+    pre-aggregated minima and two joins, so a hub with any number of neighbours is one row on the joined side. It reads
+    its edges in parts of about `part_edges`."""
+    sized = lambda e, n: e.coalesce(max(1, -(-n // part_edges)))
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(e)
-    if 0 < state[0] <= few:
-        return e.coalesce(1).mapInArrow(_joined, "node bigint, root bigint")
     for _ in range(max_rounds):
         if not state[0]:
             break
+        e = sized(e, state[0])
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
