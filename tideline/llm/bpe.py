@@ -28,7 +28,7 @@ from tideline.llm.spark_io import tidied
 
 #: An end-of-word symbol is its byte's character moved up by this much.
 END = 0x2000
-MAX_WORD_CACHE, MAX_PAIR_CACHE = 100_000, 200_000
+MAX_WORD_CACHE, MAX_PAIR_CACHE = 40_000, 100_000
 
 
 class Encoder:
@@ -59,8 +59,8 @@ class Encoder:
             self.rank[vocab[a], vocab[b]] = r
             self.parts[vocab[a + b]] = (r, vocab[a], vocab[b])
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, tuple[np.ndarray, bytes]] = {}
-        self.earlier: dict[str, tuple[np.ndarray, bytes]] = {}
+        self.known: dict[str, np.ndarray] = {}
+        self.earlier: dict[str, np.ndarray] = {}
 
     def spine(self, token: int, side: int) -> list[tuple[int, int, float]]:
         """The pieces of a token at its right (2) or left (1) edge: (piece, rank that makes it, rank that uses it up)."""
@@ -123,8 +123,8 @@ class Encoder:
                     return False
         return True
 
-    def encode_run(self, run: str) -> tuple[np.ndarray, bytes]:
-        """Ids of a run without ASCII white space, and its tokens' texts joined by blanks."""
+    def encode_run(self, run: str) -> np.ndarray:
+        """Ids of a run without ASCII white space."""
         if (known := self.known.get(run)) is None:
             if len(self.known) >= MAX_WORD_CACHE:
                 self.known, self.earlier = {}, self.known  # runs that are met again move over
@@ -138,8 +138,7 @@ class Encoder:
                     continue
                 for s, _ in self.split.pre_tokenize_str(self.normal.normalize_str(part)):
                     ids += self.encode_word(s[:-1] + chr(ord(s[-1]) + END))
-            known = np.array(ids, np.uint32), self.decode(ids).encode("utf-8")
-            self.known[run] = known
+            known = self.known[run] = np.array(ids, np.uint32)
         return known
 
     def forget(self) -> None:
@@ -147,7 +146,7 @@ class Encoder:
         self.known, self.earlier, self.pairs = {}, {}, {}
 
     def encode(self, content: str | None) -> np.ndarray:
-        runs = [self.encode_run(x.decode("utf-8"))[0] for x in (content or "").encode("utf-8").split()]
+        runs = [self.encode_run(x.decode("utf-8")) for x in (content or "").encode("utf-8").split()]
         return np.concatenate(runs) if runs else np.zeros(0, np.uint32)
 
     def decode(self, ids) -> str:
@@ -182,16 +181,16 @@ def encode(docs: DataFrame, path: str, column: str = "text", ids: bool = True, d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
         for whole in batches:
-            for batch in tx.pieces(whole, column):
+            for batch in tx.pieces(whole, column, tx.PIECE_BYTES // 2):
                 w = tx.words(batch.column(column), lower=False)
                 found = [encoder.encode_run(x) for x in w.vocab.to_pylist()]
-                flat, n = concat([f[0] for f in found], w.codes)
+                flat, n = concat(found, w.codes)
                 ends = np.concatenate([[0], np.cumsum(n)])[w.offsets]
                 out = [pa.array(np.diff(ends))]
                 if ids:
                     out.insert(0, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32))))
                 if digests:
-                    raw, spelled = flat.astype("<u4").tobytes(), [f[1] for f in found]
+                    raw, spelled = flat.astype("<u4").tobytes(), [encoder.decode(f).encode("utf-8") for f in found]
                     out.append(pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]))
                     said = []
                     for a, b in zip(w.offsets[:-1].tolist(), w.offsets[1:].tolist()):
