@@ -1,4 +1,4 @@
-"""Queries over a causal graph, and over one graph per nation for many graphs at once."""
+"""Queries over many causal graphs at once: one for every three orders, for each nation, for each part."""
 
 from __future__ import annotations
 
@@ -8,73 +8,75 @@ from tideline.operators import graph, identify
 from tideline.operators.observations import HOURS
 from tideline.session import table
 
-#: name, observed, varying, is_outcome, role, granularity.
-CONSTRUCTS = [
-    ("Y", True, True, True, "endogenous", "daily"), ("X", True, True, False, "endogenous", "daily"), ("M", True, True, False, "endogenous", "daily"), ("Z", True, True, False, "exogenous", "daily"),
-    ("U", False, True, False, "exogenous", "daily"), ("W", True, True, False, "endogenous", "weekly"), ("C", True, True, False, "exogenous", "daily"), ("Trait", False, False, False, "exogenous", None),
-    ("H", False, True, False, "endogenous", "hourly"), ("A", True, True, False, "endogenous", "daily"), ("B", True, True, False, "endogenous", "daily"), ("V", True, True, False, "endogenous", "daily"), ("Lone", True, True, False, "exogenous", "daily"),
-]
-EDGES = [
-    ("Z", "X", False), ("X", "M", False), ("M", "Y", False), ("U", "X", False), ("U", "Y", False), ("W", "X", True), ("C", "X", False), ("C", "Y", False), ("Trait", "W", False), ("Trait", "A", False),
-    ("H", "A", False), ("H", "B", False), ("A", "Y", True), ("B", "A", False), ("V", "B", True), ("Y", "V", False), ("X", "Trait", False), ("U", "Z", True), ("V", "C", False), ("B", "Ghost", False),
-]
-
-
-#: The same graph without what makes it cyclic.
-ACYCLIC = [e for e in EDGES if e[:2] not in {("X", "Trait"), ("V", "C"), ("Y", "V"), ("B", "Ghost")}]
-
-
-def _graph(spark, edges=EDGES):
-    c = spark.createDataFrame(CONSTRUCTS, "name string, observed boolean, varying boolean, is_outcome boolean, role string, granularity string")
-    return c, spark.createDataFrame(edges, "cause string, effect string, lagged boolean")
-
-
-def _lit(x) -> str:
-    return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower()
-
-
-_SQL = f"""WITH RECURSIVE c(name, observed, varying, is_outcome, role, granularity) AS (VALUES {', '.join('(' + ', '.join(map(_lit, r)) + ')' for r in CONSTRUCTS)}),
-e(cause, effect, lagged) AS (VALUES EDGE_ROWS),
-d(a, n) AS (SELECT cause, effect FROM e UNION SELECT d.a, e.effect FROM d JOIN e ON d.n = e.cause),
-outcome AS (SELECT name FROM c WHERE is_outcome),
-t AS (SELECT DISTINCT a AS x FROM d WHERE n IN (SELECT name FROM outcome) AND a NOT IN (SELECT name FROM outcome) AND a IN (SELECT name FROM c)),
+#: The graphs: one for every three orders, over nine constructs c0 to c8. A line of an order is an arrow from its part's
+#: construct to its supplier's; c9 is in no graph. c8 is the outcome; the graph's number picks what is hidden, invariant
+#: or exogenous.
+NODE = {
+    "observed": "n = 8 OR (key + n) % 4 <> 0", "varying": "n = 8 OR (key + 2 * n) % 5 <> 0", "is_outcome": "n = 8",
+    "role": "CASE WHEN n <> 8 AND (key + n) % 6 = 0 THEN 'exogenous' ELSE 'endogenous' END",
+    "granularity": "CASE WHEN NOT (n = 8 OR (key + 2 * n) % 5 <> 0) THEN NULL WHEN n % 3 = 0 THEN 'hourly' WHEN n % 3 = 1 THEN 'daily' ELSE 'weekly' END",
+}
+#: Ends of the arrows: as they come, or ordered upward so that there is no cycle.
+ANY, UPWARD = ("l_partkey % 9", "l_suppkey % 10"), ("least(l_partkey % 9, l_suppkey % 9)", "greatest(l_partkey % 9, l_suppkey % 9)")
+
+
+def _graphs(spark, sf_dir, ends=ANY):
+    li = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey div 3 AS key", f"{ends[0]} AS a", f"{ends[1]} AS b", "l_linenumber > 4 AS lagged")
+    arrows = li.where("a <> b").groupBy("key", "a", "b").agg(F.min("lagged").alias("lagged")).selectExpr("key", "concat('c', a) AS cause", "concat('c', b) AS effect", "lagged")
+    nodes = li.select("key").distinct().selectExpr("key", "explode(sequence(0, 8)) AS n")
+    return nodes.selectExpr("key", "concat('c', n) AS name", *[f"{rule} AS {c}" for c, rule in NODE.items()]), arrows
+
+
+def _graphs_sql(ends) -> str:
+    return f"""li AS (SELECT l_orderkey // 3 AS key, {ends[0]} AS a, {ends[1]} AS b, l_linenumber > 4 AS lagged FROM lineitem),
+c AS (SELECT key, 'c' || n AS name, {', '.join(f'{rule} AS {k}' for k, rule in NODE.items())} FROM (SELECT DISTINCT key FROM li), range(0, 9) r(n)),
+e AS (SELECT key, 'c' || a AS cause, 'c' || b AS effect, min(lagged) AS lagged FROM li WHERE a <> b GROUP BY ALL)"""
+
+
+_SQL = """WITH RECURSIVE GRAPHS,
+d(key, a, n) AS (SELECT key, cause, effect FROM e UNION SELECT d.key, d.a, e.effect FROM d JOIN e ON d.key = e.key AND d.n = e.cause),
+outcome AS (SELECT key, name FROM c WHERE is_outcome),
+t AS (SELECT DISTINCT d.key, a AS x FROM d JOIN outcome o ON d.key = o.key AND n = o.name AND a <> o.name JOIN c ON c.key = d.key AND a = c.name),
+ends AS (SELECT e.key, cause, effect, lagged, p.varying AS cv, q.varying AS ev, p.granularity AS cg, q.granularity AS eg FROM e JOIN c p ON e.key = p.key AND cause = p.name JOIN c q ON e.key = q.key AND effect = q.name),
+steps(s) AS (VALUES ('_t'), ('_{t-1}')),
 u AS (
-  SELECT cause, effect FROM e JOIN c cc ON cause = cc.name JOIN c ee ON effect = ee.name WHERE NOT cc.varying AND NOT ee.varying
-  UNION SELECT cause, effect || s FROM e JOIN c cc ON cause = cc.name JOIN c ee ON effect = ee.name, (VALUES ('_t'), ('_{{t-1}}')) k(s) WHERE NOT cc.varying AND ee.varying
-  UNION SELECT cause || '_{{t-1}}', effect || '_t' FROM e JOIN c cc ON cause = cc.name JOIN c ee ON effect = ee.name WHERE cc.varying AND ee.varying AND lagged
-  UNION SELECT cause || s, effect || s FROM e JOIN c cc ON cause = cc.name JOIN c ee ON effect = ee.name, (VALUES ('_t'), ('_{{t-1}}')) k(s) WHERE cc.varying AND ee.varying AND NOT lagged
-  UNION SELECT name || '_{{t-1}}', name || '_t' FROM c WHERE varying AND observed
+  SELECT key, cause, effect FROM ends WHERE NOT cv AND NOT ev
+  UNION SELECT key, cause, effect || s FROM ends, steps WHERE NOT cv AND ev
+  UNION SELECT key, cause || '_{t-1}', effect || '_t' FROM ends WHERE cv AND ev AND lagged
+  UNION SELECT key, cause || s, effect || s FROM ends, steps WHERE cv AND ev AND NOT lagged
+  UNION SELECT key, name || '_{t-1}', name || '_t' FROM c WHERE varying AND observed
 ),
-un AS (SELECT name || s AS node, name, observed FROM c, (VALUES ('_t'), ('_{{t-1}}')) k(s) WHERE varying UNION SELECT name, name, observed FROM c WHERE NOT varying),
-hr(a, n) AS (SELECT cause, effect FROM u WHERE cause IN (SELECT node FROM un WHERE NOT observed) UNION SELECT hr.a, u.effect FROM hr JOIN u ON hr.n = u.cause WHERE u.cause IN (SELECT node FROM un WHERE NOT observed)),
-past(x, a, n) AS (SELECT x, cause, effect FROM t, e WHERE cause <> x AND effect <> x UNION SELECT past.x, past.a, e.effect FROM past JOIN e ON past.n = e.cause WHERE e.effect <> past.x),
-cut(x, a, n) AS (SELECT x, cause, effect FROM t, e WHERE effect <> x UNION SELECT cut.x, cut.a, e.effect FROM cut JOIN e ON cut.n = e.cause WHERE e.effect <> cut.x),
-causes AS (SELECT DISTINCT x, a FROM cut WHERE n IN (SELECT name FROM outcome)),
-barred AS (SELECT x, a FROM causes UNION SELECT cut.x, cut.n FROM cut JOIN causes ON cut.x = causes.x AND cut.a = causes.a),
-now(a, n) AS (SELECT cause, effect FROM e WHERE NOT lagged UNION SELECT now.a, e.effect FROM now JOIN e ON now.n = e.cause WHERE NOT lagged),
-both_ways AS (SELECT cause, effect FROM e UNION SELECT effect, cause FROM e),
-w(a, n) AS (SELECT cause, effect FROM both_ways UNION SELECT w.a, b.effect FROM w JOIN both_ways b ON w.n = b.cause)
+un AS (SELECT key, name || s AS node, name, observed FROM c, steps WHERE varying UNION SELECT key, name, name, observed FROM c WHERE NOT varying),
+hid AS (SELECT u.* FROM u JOIN un ON u.key = un.key AND cause = node AND NOT observed),
+hr(key, a, n) AS (SELECT key, cause, effect FROM hid UNION SELECT hr.key, hr.a, hid.effect FROM hr JOIN hid ON hr.key = hid.key AND hr.n = hid.cause),
+past(key, x, a, n) AS (SELECT key, x, cause, effect FROM t JOIN e USING (key) WHERE cause <> x AND effect <> x
+  UNION SELECT past.key, x, a, e.effect FROM past JOIN e ON past.key = e.key AND past.n = e.cause WHERE e.effect <> x),
+cut(key, x, a, n) AS (SELECT key, x, cause, effect FROM t JOIN e USING (key) WHERE effect <> x UNION SELECT cut.key, x, a, e.effect FROM cut JOIN e ON cut.key = e.key AND cut.n = e.cause WHERE e.effect <> x),
+causes AS (SELECT DISTINCT cut.key, x, a FROM cut JOIN outcome o ON cut.key = o.key AND n = o.name),
+barred AS (SELECT key, x, a FROM causes UNION SELECT key, x, n FROM cut JOIN causes USING (key, x, a)),
+now(key, a, n) AS (SELECT key, cause, effect FROM e WHERE NOT lagged UNION SELECT now.key, now.a, e.effect FROM now JOIN e ON now.key = e.key AND now.n = e.cause WHERE NOT lagged),
+both_ways AS (SELECT key, cause, effect FROM e UNION SELECT key, effect, cause FROM e),
+w(key, a, n) AS (SELECT key, cause, effect FROM both_ways UNION SELECT w.key, w.a, b.effect FROM w JOIN both_ways b ON w.key = b.key AND w.n = b.cause)
 """
+G, DAG = _SQL.replace("GRAPHS", _graphs_sql(ANY)), _SQL.replace("GRAPHS", _graphs_sql(UPWARD))
+H_SQL = lambda c: "CASE " + c + " " + " ".join(f"WHEN '{k}' THEN {h}" for k, h in HOURS.items()) + " ELSE 0 END"
 
 
-def _with(edges) -> str:
-    return _SQL.replace("EDGE_ROWS", ", ".join("(" + ", ".join(map(_lit, r)) + ")" for r in edges))
-
-
-G, DAG = _with(EDGES), _with(ACYCLIC)
-H_SQL = lambda c: "CASE " + c + " " + " ".join(f"WHEN '{k}' THEN {h}" for k, h in HOURS.items()) + " ELSE 0 END"
+def _problems(spark, sf_dir):
+    return graph.edge_problems(*_graphs(spark, sf_dir), HOURS)
 
 
-def _problems(spark, _):
-    c, e = _graph(spark)
-    return graph.edge_problems(c, e, HOURS)
+def _lags(spark, sf_dir):
+    c, e = _graphs(spark, sf_dir)
+    end = lambda side, grain: c.select("key", F.col("name").alias(side), F.col("granularity").alias(grain))
+    wide = e.join(end("cause", "cg"), ["key", "cause"]).join(end("effect", "eg"), ["key", "effect"])
+    return wide.select("key", "cause", "effect", graph.lag_hours(F.col("cg"), F.col("eg"), F.col("lagged"), HOURS).alias("lag_hours"))
 
 
-def _lags(spark, _):
-    c, e = _graph(spark)
-    g = c.select("name", "granularity")
-    wide = e.join(g.select(F.col("name").alias("cause"), F.col("granularity").alias("cg")), "cause").join(g.select(F.col("name").alias("effect"), F.col("granularity").alias("eg")), "effect")
-    return wide.select("cause", "effect", graph.lag_hours(F.col("cg"), F.col("eg"), F.col("lagged"), HOURS).alias("lag_hours"))
+def _loadings(spark, sf_dir):
+    """A part is an indicator of its construct in the graph of its orders; the smallest part key comes first."""
+    own = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey div 3 AS key", "concat('i', l_partkey) AS indicator", "concat('c', l_partkey % 9) AS construct", "l_partkey AS pos").distinct()
+    return graph.loading_mask(own)
 
 
 def _nation_graphs(spark, sf_dir):
@@ -83,73 +85,24 @@ def _nation_graphs(spark, sf_dir):
     return graph.closure(s.select("key", F.col("cause").alias("start")).distinct(), s).groupBy("key").agg(F.count("*").alias("pairs"), F.count_if(F.col("start") == F.col("node")).alias("cyclic"))
 
 
-def _on(f, edges=EDGES):
-    return lambda spark, _: f(*_graph(spark, edges))
-
-
-#: Textbook graphs: name, edges (> within a time step, >> into the next), hidden and invariant constructs, and what is
-#: known of each treatment's effect on Y: by do-calculus, by an instrument, or not at all for the constructs named.
-TEXTBOOK = [
-    ("chain", "X>M M>Y", "", "", {"X": "do", "M": "do"}),
-    ("back door", "Z>X Z>Y X>Y", "", "", {"X": "do", "Z": "do"}),
-    ("bow", "X>Y U>X U>Y", "U", "", {"X": "U"}),
-    ("front door", "X>M M>Y U>X U>Y", "U", "", {"X": "do", "M": "do"}),
-    ("instrument", "Z>X X>Y U>X U>Y", "U", "", {"X": "iv Z", "Z": "do"}),
-    ("invalid instrument", "Z>X Z>Y X>Y U>X U>Y", "U", "", {"X": "U", "Z": "do"}),
-    ("m", "U>A A>X V>B B>Y X>Y", "U V", "", {"X": "do", "A": "do", "B": "do"}),
-    ("lagged confounder", "X>Y U>>X U>>Y", "U", "", {"X": "U"}),
-    ("staggered confounder", "X>Y U>>X U>Y", "U", "", {"X": "do"}),
-    ("trait", "T>X T>Y X>Y", "T", "T", {"X": "T"}),
-    ("seen trait", "T>X T>Y X>Y", "", "T", {"X": "do", "T": "do"}),
-    ("kite", "X>M M>Y U>X U>M V>M V>Y", "U V", "", {"X": "U", "M": "iv X"}),
-    ("feedback", "X>Y Y>>X", "", "", {"X": "do"}),
-    ("panel with trait", "T>X T>Y X>Y X>>Y Y>>X", "T", "T", {"X": "T"}),
-]
-
-
-def _textbook(spark):
-    nodes, arrows = [], []
-    for key, edges, hidden, fixed, _ in TEXTBOOK:
-        own = [(*e.replace(">>", ">").split(">"), ">>" in e) for e in edges.split()]
-        nodes += [(key, n, n not in hidden.split(), n not in fixed.split(), n == "Y") for n in sorted({x for e in own for x in e[:2]})]
-        arrows += [(key, *e) for e in own]
-    return spark.createDataFrame(
-        nodes, "key string, name string, observed boolean, varying boolean, is_outcome boolean"
-    ), spark.createDataFrame(arrows, "key string, cause string, effect string, lagged boolean")
-
-
-def _identified(spark, _):
-    return identify.effects(*_textbook(spark)).select(
+def _on(f, ends=ANY):
+    return lambda spark, sf_dir: f(*_graphs(spark, sf_dir, ends))
+
+
+def _identified(spark, sf_dir):
+    return identify.effects(*_parts(spark, sf_dir)).select(
         "key", "treatment", "identifiable", "method", F.array_join("instruments", " ").alias("instruments"),
         F.array_join("blockers", " ").alias("blockers")
     )
 
 
-def _known_sql() -> str:
-    rows = []
-    for key, *_, known in TEXTBOOK:
-        for t, how in known.items():
-            kind, rest = how.split(" ")[0], how.partition(" ")[2]
-            rows.append((key, t, kind in ("do", "iv"), {"do": identify.DO, "iv": identify.IV}.get(kind), rest if kind == "iv" else "", "" if kind in ("do", "iv") else how))
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_lit, r)) + ')' for r in rows)}) k(key, treatment, identifiable, method, instruments, blockers)"
-
-
-def _roles(spark, _):
-    nodes, arrows = _textbook(spark)
+def _roles(spark, sf_dir):
+    nodes, arrows = _parts(spark, sf_dir)
     return identify.unobserved_roles(nodes, identify.effects(nodes, arrows)).select("key", "construct", "can_marginalize", F.array_join("blocks", " ").alias("blocks"))
 
 
-def _roles_sql() -> str:
-    rows = []
-    for key, _, hidden, _, known in TEXTBOOK:
-        for h in hidden.split():
-            blocked = sorted(t for t, how in known.items() if how.split(" ")[0] not in ("do", "iv") and h in how.split())
-            rows.append((key, h, not blocked, " ".join(blocked)))
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_lit, r)) + ')' for r in rows)}) k(key, construct, can_marginalize, blocks)"
-
-
-def _fix(spark, _):
-    nodes, arrows = _textbook(spark)
+def _fix(spark, sf_dir):
+    nodes, arrows = _parts(spark, sf_dir)
     return identify.to_fix(nodes, identify.effects(nodes, arrows))
 
 
@@ -182,8 +135,9 @@ def _summary(spark, sf_dir):
 PARTS_SQL = """li AS (SELECT l_partkey AS key, least(l_suppkey % 9, l_orderkey % 9) AS a, greatest(l_suppkey % 9, l_orderkey % 9) AS b, l_linenumber > 4 AS lagged FROM lineitem),
 arrows AS (SELECT key, a, b, min(lagged) AS lagged FROM li WHERE a < b GROUP BY ALL), keys AS (SELECT DISTINCT key FROM li)"""
 
-INDICATORS = [("x1", "X", 1), ("x2", "X", 2), ("y1", "Y", 3), ("m1", "M", 4), ("m2", "M", 5), ("m3", "M", 6)]
-BLOCKING = "SELECT DISTINCT past.x AS treatment, past.a AS confounder FROM past JOIN d ON d.a = past.a AND d.n = past.x WHERE past.n IN (SELECT name FROM outcome) AND past.a IN (SELECT name FROM c WHERE NOT observed AND NOT is_outcome) AND past.a IN (SELECT cause FROM e JOIN c ON effect = name AND observed)"
+BLOCKING = """SELECT DISTINCT past.key, past.x AS treatment, past.a AS confounder FROM past JOIN d ON d.key = past.key AND d.a = past.a AND d.n = past.x JOIN outcome o ON past.key = o.key AND past.n = o.name
+JOIN c h ON past.key = h.key AND past.a = h.name AND NOT h.observed AND NOT h.is_outcome
+JOIN (SELECT e.key, cause FROM e JOIN c ON e.key = c.key AND effect = name AND observed) k ON past.key = k.key AND past.a = k.cause"""
 
 QUERIES = {
     "treatments": _on(graph.treatments),
@@ -192,14 +146,14 @@ QUERIES = {
     "confounders_hidden": _on(graph.hidden_confounders),
     "admg_bidirected": _on(graph.bidirected),
     "blocking_confounders": _on(graph.blocking_confounders),
-    "blocking_confounders_acyclic": _on(graph.blocking_confounders, ACYCLIC),
-    "treatments_acyclic": _on(graph.treatments, ACYCLIC),
-    "instruments": _on(graph.instruments, ACYCLIC),
+    "blocking_confounders_acyclic": _on(graph.blocking_confounders, UPWARD),
+    "treatments_acyclic": _on(graph.treatments, UPWARD),
+    "instruments": _on(graph.instruments, UPWARD),
     "lag_hours": _lags,
     "contemporaneous_cycles": _on(graph.cycles),
     "edge_validation": _problems,
     "drift_mask": _on(graph.drift_mask),
-    "loading_mask": lambda spark, _: graph.loading_mask(spark.createDataFrame(INDICATORS, "indicator string, construct string, pos int")),
+    "loading_mask": _loadings,
     "drift_components": _on(graph.components),
     "closure_of_many_graphs": _nation_graphs,
     "admg_directed": _on(graph.projected),
@@ -211,28 +165,26 @@ QUERIES = {
 }
 
 ORACLES = {
-    "treatments": G + "SELECT x AS treatment FROM t",
-    "ancestors": G + "SELECT a AS ancestor, n AS node FROM d WHERE a IN (SELECT name FROM c)",
-    "unroll_dag": G + "SELECT cause, effect FROM u",
-    "confounders_hidden": G + "SELECT cause AS node, h.name AS construct, count(DISTINCT effect) AS children FROM u JOIN un h ON cause = h.node AND NOT h.observed JOIN un s ON effect = s.node AND s.observed GROUP BY 1, 2 HAVING count(DISTINCT effect) >= 2",
-    "admg_bidirected": G + "SELECT DISTINCT x.n AS a, y.n AS b FROM hr x JOIN hr y ON x.a = y.a AND x.n < y.n WHERE x.n IN (SELECT node FROM un WHERE observed) AND y.n IN (SELECT node FROM un WHERE observed)",
+    "treatments": G + "SELECT key, x AS treatment FROM t",
+    "ancestors": G + "SELECT d.key, a AS ancestor, n AS node FROM d JOIN c ON d.key = c.key AND a = name",
+    "unroll_dag": G + "SELECT key, cause, effect FROM u",
+    "confounders_hidden": G + "SELECT u.key, cause AS node, h.name AS construct, count(DISTINCT effect) AS children FROM u JOIN un h ON u.key = h.key AND cause = h.node AND NOT h.observed JOIN un s ON u.key = s.key AND effect = s.node AND s.observed GROUP BY ALL HAVING count(DISTINCT effect) >= 2",
+    "admg_bidirected": G + "SELECT DISTINCT x.key, x.n AS a, y.n AS b FROM hr x JOIN hr y ON x.key = y.key AND x.a = y.a AND x.n < y.n JOIN un p ON x.key = p.key AND x.n = p.node AND p.observed JOIN un q ON y.key = q.key AND y.n = q.node AND q.observed",
     "blocking_confounders": G + BLOCKING,
     "blocking_confounders_acyclic": DAG + BLOCKING,
-    "treatments_acyclic": DAG + "SELECT x AS treatment FROM t",
-    "instruments": DAG + "SELECT DISTINCT x AS treatment, cause AS instrument FROM t JOIN e ON effect = x WHERE cause IN (SELECT name FROM c WHERE observed) AND (x, cause) NOT IN (SELECT x, a FROM barred)",
-    "lag_hours": G + f"SELECT cause, effect, CASE WHEN p.granularity IS DISTINCT FROM q.granularity OR lagged THEN greatest({H_SQL('p.granularity')}, {H_SQL('q.granularity')}) ELSE 0 END AS lag_hours FROM e JOIN c p ON cause = p.name JOIN c q ON effect = q.name",
-    "contemporaneous_cycles": G + "SELECT a AS node FROM now WHERE a = n",
-    "edge_validation": G + """SELECT cause, effect, 'unknown cause' AS problem FROM e WHERE cause NOT IN (SELECT name FROM c) UNION ALL SELECT cause, effect, 'unknown effect' FROM e WHERE effect NOT IN (SELECT name FROM c)
-UNION ALL SELECT cause, effect, 'exogenous effect' FROM e JOIN c ON effect = name WHERE role = 'exogenous'
-UNION ALL SELECT cause, effect, 'grains differ' FROM e JOIN c p ON cause = p.name JOIN c q ON effect = q.name WHERE NOT lagged AND p.varying AND q.varying AND p.granularity IS DISTINCT FROM q.granularity""",
-    "drift_mask": G + "SELECT effect, cause FROM e UNION SELECT name, name FROM c",
-    "loading_mask": f"WITH i(indicator, construct, pos) AS (VALUES {', '.join(map(str, INDICATORS))}) SELECT indicator, construct, row_number() OVER (PARTITION BY construct ORDER BY pos) > 1 AS free FROM i",
-    "drift_components": G + "SELECT name, least(name, min(n)) AS component FROM c LEFT JOIN w ON a = name GROUP BY name",
+    "treatments_acyclic": DAG + "SELECT key, x AS treatment FROM t",
+    "instruments": DAG + "SELECT DISTINCT t.key, x AS treatment, cause AS instrument FROM t JOIN e ON t.key = e.key AND effect = x JOIN c ON e.key = c.key AND cause = name AND observed WHERE NOT EXISTS (SELECT 1 FROM barred b WHERE b.key = t.key AND b.x = t.x AND b.a = cause)",
+    "lag_hours": G + f"SELECT key, cause, effect, CASE WHEN cg IS DISTINCT FROM eg OR lagged THEN greatest({H_SQL('cg')}, {H_SQL('eg')}) ELSE 0 END AS lag_hours FROM ends",
+    "contemporaneous_cycles": G + "SELECT now.key, a AS node FROM now JOIN c ON now.key = c.key AND a = name WHERE a = n",
+    "edge_validation": G + """SELECT e.key, cause, effect, 'unknown cause' AS problem FROM e LEFT JOIN c ON e.key = c.key AND cause = name WHERE name IS NULL
+UNION ALL SELECT e.key, cause, effect, 'unknown effect' FROM e LEFT JOIN c ON e.key = c.key AND effect = name WHERE name IS NULL
+UNION ALL SELECT e.key, cause, effect, 'exogenous effect' FROM e JOIN c ON e.key = c.key AND effect = name WHERE role = 'exogenous'
+UNION ALL SELECT key, cause, effect, 'grains differ' FROM ends WHERE NOT lagged AND cv AND ev AND cg IS DISTINCT FROM eg""",
+    "drift_mask": G + "SELECT key, effect, cause FROM e UNION SELECT key, name, name FROM c",
+    "loading_mask": "SELECT key, indicator, construct, row_number() OVER (PARTITION BY key, construct ORDER BY pos) > 1 AS free FROM (SELECT DISTINCT l_orderkey // 3 AS key, 'i' || l_partkey AS indicator, 'c' || (l_partkey % 9) AS construct, l_partkey AS pos FROM lineitem)",
+    "drift_components": G + "SELECT c.key, name, least(name, min(n)) AS component FROM c LEFT JOIN w ON w.key = c.key AND a = name GROUP BY c.key, name",
     "closure_of_many_graphs": "WITH RECURSIVE s AS (SELECT DISTINCT s_nationkey AS key, s_suppkey % 12 AS cause, s_suppkey * 7 % 12 AS effect FROM supplier), d(key, a, n) AS (SELECT key, cause, effect FROM s UNION SELECT d.key, d.a, s.effect FROM d JOIN s ON d.key = s.key AND d.n = s.cause) SELECT key, count(*) AS pairs, count(*) FILTER (WHERE a = n) AS cyclic FROM d GROUP BY key",
-    "admg_directed": G + """, thru(a, n) AS (SELECT cause, effect FROM u WHERE cause IN (SELECT node FROM un WHERE observed) UNION SELECT thru.a, u.effect FROM thru JOIN u ON thru.n = u.cause WHERE thru.n IN (SELECT node FROM un WHERE NOT observed))
-SELECT DISTINCT a AS cause, n AS effect FROM thru WHERE n IN (SELECT node FROM un WHERE observed)""",
-    "identify_effects": _known_sql(),
-    "identify_roles": _roles_sql(),
-    "identify_to_fix": f"SELECT DISTINCT key, construct FROM ({_roles_sql()}) WHERE NOT can_marginalize",
+    "admg_directed": G + """, thru(key, a, n) AS (SELECT u.key, cause, effect FROM u JOIN un ON u.key = un.key AND cause = node AND observed UNION SELECT thru.key, thru.a, hid.effect FROM thru JOIN hid ON thru.key = hid.key AND thru.n = hid.cause)
+SELECT DISTINCT thru.key, a AS cause, n AS effect FROM thru JOIN un ON thru.key = un.key AND n = node AND observed""",
     "graph_summary": f"WITH {PARTS_SQL} SELECT keys.key::VARCHAR AS key, 9::BIGINT AS constructs, (SELECT count(*) FROM range(0, 9) r(n) WHERE n = 8 OR (keys.key + n) % 4 <> 0) AS observed, 9::BIGINT AS varying, (SELECT count(*) FROM arrows WHERE arrows.key = keys.key) AS edges, (SELECT count(*) FROM arrows WHERE arrows.key = keys.key AND lagged) AS lagged, '8' AS outcome FROM keys",
 }
