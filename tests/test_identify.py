@@ -77,3 +77,41 @@ def test_a_bad_graph_is_a_row_and_not_an_error(spark):
     edges = spark.createDataFrame([(k, "A", "B", True) for k in ("none", "two", "good")], "key string, cause string, effect string, lagged boolean")
     got = {(r.key, r.treatment): (r.identifiable, r.note) for r in identify.effects(constructs, edges).collect()}
     assert got == {("none", None): (False, "0 outcomes"), ("two", None): (False, "2 outcomes"), ("good", "A"): (True, None)}
+
+
+#: Textbook graphs: name, edges (> within a time step, >> into the next), hidden and invariant constructs, and what is
+#: known of each treatment's effect on Y: by do-calculus, by an instrument, or not at all for the constructs named.
+TEXTBOOK = [
+    ("chain", "X>M M>Y", "", "", {"X": "do", "M": "do"}),
+    ("back door", "Z>X Z>Y X>Y", "", "", {"X": "do", "Z": "do"}),
+    ("bow", "X>Y U>X U>Y", "U", "", {"X": "U"}),
+    ("front door", "X>M M>Y U>X U>Y", "U", "", {"X": "do", "M": "do"}),
+    ("instrument", "Z>X X>Y U>X U>Y", "U", "", {"X": "iv Z", "Z": "do"}),
+    ("invalid instrument", "Z>X Z>Y X>Y U>X U>Y", "U", "", {"X": "U", "Z": "do"}),
+    ("m", "U>A A>X V>B B>Y X>Y", "U V", "", {"X": "do", "A": "do", "B": "do"}),
+    ("lagged confounder", "X>Y U>>X U>>Y", "U", "", {"X": "U"}),
+    ("staggered confounder", "X>Y U>>X U>Y", "U", "", {"X": "do"}),
+    ("trait", "T>X T>Y X>Y", "T", "T", {"X": "T"}),
+    ("seen trait", "T>X T>Y X>Y", "", "T", {"X": "do", "T": "do"}),
+    ("kite", "X>M M>Y U>X U>M V>M V>Y", "U V", "", {"X": "U", "M": "iv X"}),
+    ("feedback", "X>Y Y>>X", "", "", {"X": "do"}),
+    ("panel with trait", "T>X T>Y X>Y X>>Y Y>>X", "T", "T", {"X": "T"}),
+]
+
+
+def test_textbook_graphs(spark):
+    rows = []
+    for key, edges, hidden, fixed, _ in TEXTBOOK:
+        own = [(*e.replace(">>", ">").split(">"), ">>" in e) for e in edges.split()]
+        names = {x for e in own for x in e[:2]}
+        rows.append((key, "Y", own, names - set(hidden.split()), set(fixed.split()), None))
+    nodes, arrows = tables(spark, rows)
+    verdicts = identify.effects(nodes, arrows)
+    got = {(r.key, r.treatment): (r.method, r.instruments, r.blockers) for r in verdicts.collect()}
+    known = {(key, t): how.split() for key, *_, of in TEXTBOOK for t, how in of.items()}
+    method = {"do": identify.DO, "iv": identify.IV}
+    assert got == {k: (method.get(how[0]), how[1:] if how[0] == "iv" else [], [] if how[0] in method else how) for k, how in known.items()}
+    blocks = {(key, h): sorted(t for (k, t), how in known.items() if k == key and how[0] not in method and h in how) for key, _, hidden, _, _ in TEXTBOOK for h in hidden.split()}
+    roles = {(r.key, r.construct): (r.can_marginalize, r.blocks) for r in identify.unobserved_roles(nodes, verdicts).collect()}
+    assert roles == {k: (not b, b) for k, b in blocks.items()}
+    assert {(r.key, r.construct) for r in identify.to_fix(nodes, verdicts).collect()} == {k for k, b in blocks.items() if b}
