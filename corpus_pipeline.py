@@ -30,8 +30,9 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: texts linked by a similarity of 0.8 of their 5-word shingles. Texts
-    without words are one group; of several rows of one doc_id one stays."""
+    """One document of each group of near-duplicates: texts linked by a similarity of 0.8 of their 5-word shingles, found by
+    SimHash fingerprints and, where these differ in more bits, by minimum hashes. Texts without words are one group; of
+    several rows of one doc_id one stays."""
     return neardup.keep_one(docs, similar.cluster, similar.marks)
 
 

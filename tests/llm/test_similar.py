@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tideline.llm import neardup, similar
@@ -54,6 +56,25 @@ def test_the_stage_keeps_one_of_each_similar_group(spark):
         assert kept(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)) == brute(rows)
 
 
+def test_fingerprints_join_what_no_band_shows(spark, monkeypatch):
+    """Links by SimHash are the stage's own: without any band, texts within its radius and of the similarity are joined."""
+    none = lambda classes, *_: classes.select(F.lit(0).alias("kind"), F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
+    monkeypatch.setattr(similar, "candidates", none)
+    rows = texts(5)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    sets = [similar.shingle_set(t) for _, t in rows]
+    bits = neardup.majority(np.concatenate(sets), np.array([len(s) for s in sets]))
+    group = list(range(len(rows)))
+    close = lambda i, j: 0 < len(sets[j]) and similar.shared(sets[i], sets[j]) >= 0.8 and (bits[i] ^ bits[j]).bit_count() <= neardup.RADIUS
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i]) and close(i, j)]
+    assert sum(set(sets[i]) != set(sets[j]) for i, j in linked) > 10
+    for i, j in linked:
+        group = [group[j] if g == group[i] else g for g in group]
+    lowest = {g: min(d for (d, _), x in zip(rows, group) if x == g) for g in group}
+    got = {r.doc_id: r.component_id for r in similar.cluster(docs).collect()}
+    assert got == {d: lowest[g] for (d, t), g in zip(rows, group) if d < 2000} | {2000: 2000, 2001: 2000}
+
+
 @pytest.mark.parametrize("block", [similar.BLOCK, 1500])
 def test_crowded_bands_are_linked_exactly(spark, block, monkeypatch):
     monkeypatch.setattr(similar.crowd_links, "__defaults__", (block,))

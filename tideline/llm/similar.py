@@ -1,9 +1,10 @@
-"""Near-duplicates by exact similarity of word shingles.
+"""Near-duplicates by SimHash fingerprints and exact similarity of word shingles.
 
 Two texts are linked if the sets of their SHINGLE-word shingles have at least SIMILARITY of their union in common. Texts
-with equal sets form a class, and classes are compared. Candidates share a band of ROWS minimum hashes: of BANDS bands a
-pair at similarity 0.8 shares none with chance (1 - 0.8^5)^30 = 7 in a million, a closer one with less. Every candidate
-of sizes that allow the similarity is then checked on the shingles themselves.
+with equal sets form a class, and classes are compared. First come those whose SimHash fingerprints meet by the generalised
+pigeonhole principle (`neardup.links`); what passes the check on the shingles is joined. Pairs that this does not join are
+found by bands of ROWS minimum hashes: of BANDS bands a pair at similarity 0.8 shares none with chance (1 - 0.8^5)^30 = 7 in
+a million, a closer one with less. They too are checked on the shingles themselves.
 
 A crowded band does not pair its members. Those joined by crowded bands are a crowd, however large: its members are
 compared with LEADERS of them, wherever they lie, and those that leaders join are left to themselves; only the others are
@@ -36,7 +37,7 @@ SKETCH = 0.55
 _draw = np.random.default_rng(SEED)
 FACTORS = _draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 BAND_FACTORS = _draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-MARKS = "doc_id bigint, text_hash bigint, fp bigint, n int, bands array<bigint>"
+MARKS = "doc_id bigint, text_hash bigint, fp bigint, n int, simhash bigint, bands array<bigint>"
 
 
 def shingle_set(content: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -61,7 +62,8 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def marks(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """MARKS of every row: fp is the class, n its shingles; a text without words has no bands."""
+    """MARKS of every row: fp is the class, n its shingles; a text without words has no bands. simhash: the bits set in over
+    half of the distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -72,12 +74,13 @@ def marks(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 keys = band_keys(signatures(full)).ravel() if full else np.zeros(0, np.uint64)
                 offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
                 fp = np.array([class_key(s) for s in sets], np.uint64)
+                simhash = neardup.majority(np.concatenate(sets), n.astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"), batch.column("text_hash"), pa.array(fp.view(np.int64)), pa.array(n),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64))),
+                        pa.array(simhash.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64))),
                     ],
-                    names=["doc_id", "text_hash", "fp", "n", "bands"],
+                    names=["doc_id", "text_hash", "fp", "n", "simhash", "bands"],
                 )
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash().alias("text_hash"), "text").mapInArrow(tidied(run), MARKS)
@@ -87,6 +90,20 @@ def text_hash():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def near(classes: DataFrame, radius: int = neardup.RADIUS) -> DataFrame:
+    """(a, b): classes whose fingerprints differ in at most `radius` bits, by partitions with thresholds as in `neardup`. Of
+    classes with one fingerprint the first stands for all and is linked to each."""
+    own = classes.where("n > 0").select("simhash", "fp")
+    firsts = cut(own.groupBy("simhash").agg(F.min("fp").alias("first")))
+    marked = firsts.select(F.col("simhash").alias("fp"))
+    found = neardup.links(marked, neardup.plan(*neardup.bit_moments(marked), radius), radius)
+    ends = [firsts.select(F.col("simhash").alias(x), F.col("first").alias(f"_{x}")) for x in "ab"]
+    apart = found.join(ends[0], "a").join(ends[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    equal = own.join(firsts, "simhash").where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    both = apart.unionByName(equal)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def candidates(classes: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
     """(kind, a, b): kind 0, two classes of one band whose sizes allow the similarity; kind 1, a class of a crowded band
     and the first of that band."""
@@ -211,13 +228,25 @@ def crowd_links(members: DataFrame, similarity: float, block: int = BLOCK) -> Da
     return met.where("near and fp <> leader").select(F.col("fp").alias("a"), F.col("leader").alias("b")).unionByName(apart)
 
 
+def rooted(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of edges, roots included."""
+    roots = graph.components(edges)
+    return cut(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct())
+
+
+def across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs that do not lie within one of the groups (node, root)."""
+    apart = groups.select(F.col("node").alias("a"), F.col("root").alias("_r")), groups.select(F.col("node").alias("b"), F.col("root").alias("_s"))
+    return pairs.join(apart[0], "a", "left").join(apart[1], "b", "left").where("_r is null or _s is null or _r <> _s").select("a", "b")
+
+
 def links(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
     """(a, b): checked links that connect whatever is similar."""
+    close = cut(near(classes))
     found = cut(candidates(classes, similarity, crowd))
     pairs = found.where("kind = 0").select("a", "b")
-    crowds = graph.components(found.where("kind = 1").select("a", "b"))
-    crowds = cut(crowds.unionByName(crowds.select(F.col("root").alias("node"), "root")).distinct())
-    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(crowds.select("node")).distinct()
+    crowds = rooted(found.where("kind = 1").select("a", "b"))
+    ends = close.unionByName(pairs).select(F.explode(F.array("a", "b")).alias("fp")).union(crowds.select("node")).distinct()
     wanted = classes.join(ends, "fp", "left_semi").select("fp", "text_hash")
     texts = docs.select(text_hash().alias("text_hash"), "text").join(wanted, "text_hash").dropDuplicates(["fp"])
 
@@ -235,9 +264,9 @@ def links(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY, s
             yield batch.select(["a", "b"]).filter(pa.array([shared(x, y) >= similarity for x, y in zip(a, b)], pa.bool_()))
 
     left, right = sets.select(F.col("fp").alias("a"), F.col("own").alias("own_a")), sets.select(F.col("fp").alias("b"), F.col("own").alias("own_b"))
-    apart = crowds.select(F.col("node").alias("a"), F.col("root").alias("_r")), crowds.select(F.col("node").alias("b"), F.col("root").alias("_s"))
-    outside = pairs.join(apart[0], "a", "left").join(apart[1], "b", "left").where("_r is null or _s is null or _r <> _s").select("a", "b")
-    direct = outside.join(left, "a").join(right, "b").select("a", "b", "own_a", "own_b").mapInArrow(tidied(checked), "a bigint, b bigint")
+    alike = lambda some: some.join(left, "a").join(right, "b").select("a", "b", "own_a", "own_b").mapInArrow(tidied(checked), "a bigint, b bigint")
+    first = cut(alike(close))
+    direct = first.unionByName(alike(across(across(pairs, rooted(first)), crowds)))
     if crowds.isEmpty():
         return direct
     return direct.unionByName(crowd_links(cut(sets.join(crowds, sets.fp == crowds.node).select("root", "fp", "own")), similarity))
@@ -254,7 +283,7 @@ def cluster(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
     doc_id reachable over links of at least the similarity. Texts without words form one class."""
     own = cut(marks(docs, shingle))
     lows = own.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("text_hash").alias("text_hash"))
-    details = own.select("fp", F.col("text_hash").alias("_t"), "n", "bands")
-    classes = cut(lows.join(details, (lows.fp == details.fp) & (lows.text_hash == details._t)).select(lows.fp, "low", "text_hash", "n", "bands").dropDuplicates(["fp"]))
+    details = own.select("fp", F.col("text_hash").alias("_t"), "n", "simhash", "bands")
+    classes = cut(lows.join(details, (lows.fp == details.fp) & (lows.text_hash == details._t)).select(lows.fp, "low", "text_hash", "n", "simhash", "bands").dropDuplicates(["fp"]))
     roots = graph.components(links(docs, classes, similarity, shingle, crowd))
     return neardup.labelled(own, classes, roots)
