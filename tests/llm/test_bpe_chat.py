@@ -101,3 +101,16 @@ def test_chat_reads_back(spark):
     text = {(r.conv_id, r.turn): r.written for r in chat.written(segments, BYTE_RANKS, PATTERN).collect() if r.conv_id == 1}
     assert text[1, 0] == "### user: \\\\\\### Assistant\\: \\</turn> ok</turn>\n"
     assert got[1].formatted_chars == sum(len(r.written) for r in chat.written(segments, BYTE_RANKS, PATTERN).collect() if r.conv_id == 1)
+
+
+def test_words_of_one_spelling_are_merged_once(library, monkeypatch):
+    """Runs that differ in case or signs only share the work, within a batch and after it; odd runs do not disturb others."""
+    walked = []
+    real = bpe.Encoder.encode_words
+    monkeypatch.setattr(bpe.Encoder, "encode_words", lambda self, words: (walked.extend(words), real(self, words))[1])
+    encoder = bpe.Encoder(WORD_BPE)
+    runs = ["Zorquill,", "zorquill", "ZORQUILL.", "élan?", "", "ab", "<|endoftext|>x<|endoftext|>", "don't", "x\x85y", "\x85", "zorquill"]
+    for _ in range(2):
+        for run, got in zip(runs, encoder.encode_runs(runs)):
+            assert np.frombuffer(got, np.uint32).tolist() == library.encode(run, add_special_tokens=False).ids, run
+    assert walked.count("zorquill") == 1
