@@ -3,7 +3,9 @@ import random
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
 from tideline.llm import bpe, chat
@@ -114,3 +116,27 @@ def test_words_of_one_spelling_are_merged_once(library, monkeypatch):
         for run, got in zip(runs, encoder.encode_runs(runs)):
             assert np.frombuffer(got, np.uint32).tolist() == library.encode(run, add_special_tokens=False).ids, run
     assert walked.count("zorquill") == 1
+
+
+class Captured:
+    """Takes the place of documents, to get hold of the function that a task runs."""
+
+    schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType())])
+
+    def drop(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_a_batch_is_taken_in_small_parts(library):
+    """What a task unpacks of a batch at a time holds under 1 MB of text, or one document: its memory stays small."""
+    r = random.Random(4)
+    texts = [" ".join("".join(r.choice("aeiourstln") for _ in range(r.randint(4, 9))) for _ in range(6000)) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(bpe.encode(Captured(), WORD_BPE)(iter([batch])))
+    assert sum(p.num_rows for p in parts) == 40
+    assert max(sum(map(len, p.column("text").to_pylist())) for p in parts) < 1 << 20
+    got = [ids for p in parts for ids in p.column("token_ids").to_pylist()]
+    assert got == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]

@@ -283,7 +283,7 @@ def encode(docs: DataFrame, path: str, column: str = "text", ids: bool = True, d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
         for whole in batches:
-            for batch in tx.pieces(whole, column, tx.PIECE_BYTES // (2 if ids else 1)):
+            for batch in tx.pieces(whole, column, tx.PIECE_BYTES // (8 if ids else 1)):
                 w = tx.words(batch.column(column), lower=False)
                 found = encoder.encode_runs(w.vocab.to_pylist(), np.bincount(w.codes, minlength=len(w.vocab)))
                 flat, n = concat(found, w.codes)
