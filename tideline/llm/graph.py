@@ -24,7 +24,7 @@ def components(edges: DataFrame, max_rounds: int = 60, part_edges: int = PART_ED
     Each round links every node's larger neighbours to its smallest neighbour, then every node's smaller neighbours to
     the smallest of them; the number of rounds grows with the logarithm of the longest path. A round is two
     pre-aggregated minima and two joins, so a hub with any number of neighbours is one row on the joined side. It reads
-    its edges in parts of about `part_edges`."""
+    its edges in parts of about `part_edges`, and so do its later steps."""
     sized = lambda e, n: e.coalesce(max(1, -(-n // part_edges)))
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(e)
@@ -34,10 +34,10 @@ def components(edges: DataFrame, max_rounds: int = 60, part_edges: int = PART_ED
         e = sized(e, state[0])
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = sized(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), state[0]).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         near = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut(near.unionByName(low.withColumnRenamed("m", "b")).distinct())
+        e = cut(sized(near.unionByName(low.withColumnRenamed("m", "b")), state[0]).distinct())
         before, state = state, _state(e)
         if state == before:
             break
