@@ -132,3 +132,21 @@ def test_held_out_score_beats_base(spark):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert op5_lm(spark, str(tmp_path)).count() == 0
+
+
+def test_bigrams_take_little_memory_beside_their_batch(spark, stored, monkeypatch):
+    """One batch of 10 MB of text, as a task's function sees it: what numpy and Python take beyond it at the most."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    docs, taken = spark.read.parquet(f"{stored}/documents.parquet"), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema, *a: taken.append(run))
+    lm.bigram_parts(docs, 8)
+    r = np.random.default_rng(3)
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(map(str, r.integers(0, 20000, 400).tolist())) for _ in range(4400)]})
+    tracemalloc.start()
+    keys = sum(len(bloom.from_planes(k)) for out in taken[0](iter([batch])) for k in out.column(1).to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert keys > 1_000_000 and peak < 80e6

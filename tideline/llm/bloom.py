@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tideline.llm.spark_io import tidied
+
 SEGMENTS = 256
 HASHES = 4
 GOLDEN, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -108,7 +110,7 @@ def planes(x: np.ndarray) -> bytes:
     return x.view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def from_planes(raw: bytes) -> np.ndarray:
+def from_planes(raw: bytes | pa.Buffer) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
@@ -116,12 +118,12 @@ def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
     """Each bucket of sorted PACKED rows with its keys and their summed counts."""
     now, held = None, []
     for batch in batches:
-        for bucket, k, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for bucket, k, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
             if bucket != now:
                 if held:
                     yield now, *_joined(held)
                 now, held = bucket, []
-            held.append((from_planes(k), from_planes(c).astype(np.int64)))
+            held.append((from_planes(k.as_buffer()), from_planes(c.as_buffer()).view(np.int64)))
             if len(held) >= 64:
                 held = [_joined(held)]
     if held:
@@ -146,7 +148,7 @@ def below(parts: DataFrame, least: int) -> DataFrame:
                 k, c = keys[a : a + (1 << 18)][few], counts[a : a + (1 << 18)][few]
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(levels(c).astype(np.int32))], names=["key", "level"])
 
-    return dealt(parts).mapInArrow(run, "key bigint, level int")
+    return dealt(parts).mapInArrow(tidied(run), "key bigint, level int")
 
 
 def build(parts: DataFrame, bucket_bits: int, size: int, least: int) -> np.ndarray:
@@ -172,18 +174,18 @@ def build(parts: DataFrame, bucket_bits: int, size: int, least: int) -> np.ndarr
         now, bits = None, None
         row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["segment", "bits"])
         for batch in batches:
-            for segment, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for segment, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if segment != now:
                     if now is not None:
                         yield row()
                     now, bits = segment, np.zeros(segment_bytes, np.uint8)
-                bits |= np.frombuffer(raw, np.uint8)
+                bits |= np.frombuffer(raw.as_buffer(), np.uint8)
         if now is not None:
             yield row()
 
-    filled = dealt(parts).mapInArrow(fill, "segment int, bits binary")
+    filled = dealt(parts).mapInArrow(tidied(fill), "segment int, bits binary")
     if shift:
-        filled = filled.repartition("segment").sortWithinPartitions("segment").mapInArrow(union, "segment int, bits binary")
+        filled = filled.repartition("segment").sortWithinPartitions("segment").mapInArrow(tidied(union), "segment int, bits binary")
     raw = np.zeros(segment_bytes * SEGMENTS, np.uint8)
     for segment, bits in zip(*(filled.toArrow().column(i) for i in range(2))):
         at = segment.as_py() * segment_bytes

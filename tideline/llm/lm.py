@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm import bloom
 from tideline.llm import text as tx
-from tideline.llm.spark_io import cut
+from tideline.llm.spark_io import cut, tidied
 
 START, STOP = np.uint64(0x5354415254), np.uint64(0x53544F50)
 UNIGRAM = np.uint64(0x554E4947)
@@ -36,6 +36,8 @@ BITS_PER_ENTRY = 7
 #: Words whose exact counts every worker holds; the counts of all others are joined.
 FREQUENT = 1 << 18
 FLUSH = 2_000_000
+#: Bytes of text whose bigrams a task takes at a time.
+PIECE_BYTES = 1 << 20
 #: Levels of a count: a cell's number is (level of the word before * CLASSES + level of the word) * CLASSES + level of both.
 CLASSES = 64
 #: Bits of a packed cell that hold its number; the rest hold how often it occurs, over several entries if need be.
@@ -91,26 +93,34 @@ def word_counts(docs: DataFrame, sample_bits: int = SAMPLE_BITS) -> DataFrame:
         if total:
             yield rows()
 
-    return docs.select("text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(tidied(run), "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def counted(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each of the keys once, sorted, and how often it occurs; held is emptied."""
+    keys = np.concatenate(held)
+    held.clear()
+    keys.sort()
+    ends = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
+    keys = keys[ends[:-1]]
+    return keys, np.diff(ends)
 
 
 def bigram_parts(docs: DataFrame, bucket_bits: int) -> DataFrame:
     """Bigrams of all texts as bloom.PACKED rows, counted within each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
         for whole in batches:
-            for batch in tx.pieces(whole):
+            for batch in tx.pieces(whole, limit=PIECE_BYTES):
                 now, before, _ = token_hashes(tx.words(batch.column("text")))
-                new = pair_keys(before, now)
-                keys, counts = np.concatenate([keys, new]), np.concatenate([counts, np.ones(len(new), np.int64)])
-                if len(keys) > FLUSH:
-                    yield bloom.packed(*bloom.merged(keys, counts), bucket_bits)
-                    keys, counts = keys[:0], counts[:0]
-        if len(keys):
-            yield bloom.packed(*bloom.merged(keys, counts), bucket_bits)
+                held.append(pair_keys(before, now))
+                if sum(map(len, held)) > FLUSH:
+                    yield bloom.packed(*counted(held), bucket_bits)
+        if held:
+            yield bloom.packed(*counted(held), bucket_bits)
 
-    return docs.select("text").mapInArrow(run, bloom.PACKED)
+    return docs.select("text").mapInArrow(tidied(run), bloom.PACKED)
 
 
 def word_parts(counts: DataFrame, bucket_bits: int) -> DataFrame:
@@ -121,7 +131,7 @@ def word_parts(counts: DataFrame, bucket_bits: int) -> DataFrame:
             h = np.array([xxhash.xxh64_intdigest(w) if w else int(STOP) for w in batch.column("word").to_pylist()], np.uint64)
             yield bloom.packed(*bloom.merged(bloom.mix(h ^ UNIGRAM), batch.column("c").to_numpy(zero_copy_only=False)), bucket_bits)
 
-    return counts.mapInArrow(run, bloom.PACKED)
+    return counts.mapInArrow(tidied(run), bloom.PACKED)
 
 
 class Model:
@@ -240,7 +250,7 @@ def probe(docs: DataFrame, model: Model, counts: DataFrame, held_out: Column, fr
                 row += rows
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out.alias("held_out"), "text")
-    return cut(own.mapInArrow(run, PROBED))
+    return cut(own.mapInArrow(tidied(run), PROBED))
 
 
 def closed(probed: DataFrame, model: Model) -> DataFrame | None:
@@ -267,7 +277,7 @@ def fit(model: Model, probed: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
 
     learnt = "not held_out and doc_id is not null"
-    cells, rest = probed.where(learnt).select("cells").mapInArrow(run, "cell int, n bigint"), closed(probed.where(learnt), model)
+    cells, rest = probed.where(learnt).select("cells").mapInArrow(tidied(run), "cell int, n bigint"), closed(probed.where(learnt), model)
     if rest is not None:
         cells = cells.unionByName(rest.groupBy("cell").agg(F.count("*").alias("n")))
     table = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
@@ -289,7 +299,7 @@ def score(probed: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sent.value[batch.column("cell").to_numpy()])], names=["id", "more"])
 
-    rows = probed.drop("rare", "times", "open", "open_cells").mapInArrow(run, "id bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double")
+    rows = probed.drop("rare", "times", "open", "open_cells").mapInArrow(tidied(run), "id bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double")
     words = probed.select("id", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("id", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     more = words.join(counts, "word").groupBy("id").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("weight"), F.lit(0.0).alias("more"))
     rest = closed(probed, model)
