@@ -150,3 +150,56 @@ def test_bigrams_take_little_memory_beside_their_batch(spark, stored, monkeypatc
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert keys > 1_000_000 and peak < 80e6
+
+
+def test_all_bits_of_a_key_lie_in_one_block():
+    keys, bits = bloom.mix(np.arange(3000, dtype=np.uint64)), 16 * bloom.BLOCK_BITS
+    at = np.array([s for j in range(1, 21) for s in bloom.spots(keys, j, bits)]).astype(np.int64)
+    block = at // bloom.BLOCK_BITS
+    assert (block == block[0]).all() and set(block[0]) == set(range(16))
+    assert np.mean([len(np.unique(x)) for x in at.T]) > 75  # of 80
+
+
+def test_word_hashes_are_those_of_the_bytes():
+    """Whatever words lie before and behind, whether or not the array is a slice, and for words of any length."""
+    import pyarrow as pa
+
+    vocab = sorted({"x" * k + y for k in (0, 1, 6, 7, 8, 9, 15, 16, 17, 62, 63, 64, 65, 500) for y in ("a", "b", "é", "\x00", "\x00\x00")})
+    alone = [int(lm.word_hashes(pa.array([x]))[0]) for x in vocab]
+    assert len(set(alone)) == len(vocab)
+    assert lm.word_hashes(pa.array(vocab)).tolist() == alone
+    assert lm.word_hashes(pa.array(["zz", *vocab, "y" * 90]).slice(1, len(vocab))).tolist() == alone
+    assert lm.word_hashes(pa.array([x.encode() for x in vocab], pa.binary())).tolist() == alone
+    assert len(lm.word_hashes(pa.array([], pa.string()))) == 0
+
+
+def test_hashing_and_reading_counts_cost_little_beside_taking_words_apart():
+    """CPU time for the words and the bigrams of a batch, in units of what splitting its texts takes."""
+    import time
+
+    import pyarrow as pa
+
+    def took(f):
+        def once():
+            began = time.process_time()
+            f()
+            return time.process_time() - began
+
+        return min(once() for _ in range(4))
+
+    r = np.random.default_rng(3)
+    texts = pa.array([" ".join(f"word{x}" for x in row) for row in (150_000 * r.random((1000, 400)) ** 3).astype(int).tolist()])
+    w = tx.words(texts)
+    keys = bloom.mix(np.arange(len(w.codes), dtype=np.uint64))
+    deep = r.geometric(0.25, len(keys))
+    raw = np.zeros(64 * len(keys) // 8 // (1 << 16) * (1 << 16), np.uint8)
+    bits = np.uint64(len(raw) // bloom.SEGMENTS * 8)
+    for j in range(1, deep.max() + 1):
+        some = keys[deep >= j]
+        for spot in bloom.spots(some, j, int(bits)):
+            at = (some >> np.uint64(56)) * bits + spot
+            np.bitwise_or.at(raw, (at >> np.uint64(3)).astype(int), (1 << (at & np.uint64(7))).astype(np.uint8))
+    f = bloom.Filter(raw)
+    assert (f.level(keys) >= deep).all() and (f.level(keys) == deep).mean() > 0.97
+    unit = took(lambda: tx.words(texts))
+    assert took(lambda: lm.word_hashes(w.vocab)) + took(lambda: f.level(keys)) < 4.5 * unit

@@ -2,7 +2,9 @@
 
 A key with count c is in at levels 1 to 1 + floor(log2 c); its count is read by probing level after level until one is
 missing. The bits lie in SEGMENTS equal segments chosen by a key's top bits, so that segments can be filled by separate
-tasks and their union is the filter.
+tasks and their union is the filter. All bits of a key, at every level, lie in one block of BLOCK_BITS, so that reading a
+count touches few lines of the processor's cache. Smaller blocks are filled less evenly: at 7 bits an entry a key that is
+not in is taken for one that is in 5.0 % of cases with 512 bits, 4.8 % with 2048 and 4.7 % without blocks.
 """
 
 from __future__ import annotations
@@ -13,10 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tideline.llm.spark_io import tidied
+from tideline.llm.spark_io import cut, tidied
 
 SEGMENTS = 256
 HASHES = 4
+BLOCK_LOG2 = 11
+BLOCK_BITS = 1 << BLOCK_LOG2
+#: Bytes of a filter come in multiples of this: whole blocks in every segment.
+UNIT = SEGMENTS * BLOCK_BITS // 8
+#: Keys looked up at a time, so that what is held of them stays in the processor's cache.
+CHUNK = 1 << 14
 GOLDEN, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -37,40 +45,54 @@ def levels(counts: np.ndarray) -> np.ndarray:
 MIDDLE = np.array([0.0] + [(2.0 ** (j - 1) + 2.0**j - 1) / 2 for j in range(1, 64)])
 
 
+def places(keys: np.ndarray, segment_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First bit of each key's block within the segment, and the hashes that give its bits: start + level * step."""
+    a = mix(keys)
+    with np.errstate(over="ignore"):
+        block = (a >> np.uint64(32)) * np.uint64(segment_bits // BLOCK_BITS) >> np.uint64(32)
+        return block * np.uint64(BLOCK_BITS), mix(a), a * MIX2 | np.uint64(1)
+
+
+def in_block(x: np.ndarray) -> Iterator[np.ndarray]:
+    """HASHES bit numbers within a block from the upper bits of x."""
+    for k in range(HASHES):
+        yield x >> np.uint64(64 - BLOCK_LOG2 * (k + 1)) & np.uint64(BLOCK_BITS - 1)
+
+
 def spots(keys: np.ndarray, level: int, segment_bits: int) -> Iterator[np.ndarray]:
     """Bit numbers within the segment, one array for each hash function."""
+    first, start, step = places(keys, segment_bits)
     with np.errstate(over="ignore"):
-        a = mix(keys + np.uint64(level) * MIX1)
-        b = mix(a) | np.uint64(1)
-        for k in range(HASHES):
-            yield (a + np.uint64(k) * b) % np.uint64(segment_bits)
+        for bit in in_block(start + np.uint64(level) * step):
+            yield first + bit
 
 
 class Filter:
     def __init__(self, raw: np.ndarray):
-        """raw: uint8, SEGMENTS equal parts."""
-        self.raw = raw
+        """raw: uint8, SEGMENTS equal parts of whole blocks."""
+        self.words = raw.view("<u8")
         self.segment_bits = len(raw) // SEGMENTS * 8
 
-    def has(self, keys: np.ndarray, level: int) -> np.ndarray:
-        """Indices of the keys that are in at a level."""
-        live = np.arange(len(keys))
-        base = (keys >> np.uint64(56)) * np.uint64(self.segment_bits)
-        for spot in spots(keys, level, self.segment_bits):
-            at = base[live] + spot[live]
-            live = live[(self.raw[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0]
-        return live
-
     def level(self, keys: np.ndarray) -> np.ndarray:
         """The last level in an unbroken row of levels from 1; 0 if the key is not in."""
         out = np.zeros(len(keys), np.int64)
+        for a in range(0, len(keys), CHUNK):
+            self._levels(keys[a : a + CHUNK], out[a : a + CHUNK])
+        return out
+
+    def _levels(self, keys: np.ndarray, out: np.ndarray) -> None:
+        first, x, step = places(keys, self.segment_bits)
+        word = ((first + (keys >> np.uint64(56)) * np.uint64(self.segment_bits)) >> np.uint64(6)).view(np.int64)
         live = np.arange(len(keys))
         for j in range(1, 63):
-            live = live[self.has(keys[live], j)]
-            if not len(live):
+            with np.errstate(over="ignore"):
+                x = x + step
+            bits = [self.words[word + (b >> np.uint64(6)).view(np.int64)] >> (b & np.uint64(63)) for b in in_block(x)]
+            found = np.flatnonzero(np.bitwise_and.reduce(bits) & np.uint64(1))
+            if not len(found):
                 break
+            live, word, x, step = live[found], word[found], x[found], step[found]
             out[live] = j
-        return out
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         return MIDDLE[self.level(keys)]
@@ -155,7 +177,8 @@ def build(parts: DataFrame, bucket_bits: int, size: int, least: int) -> np.ndarr
     """The filter of `size` bytes over PACKED rows, with the keys whose summed counts reach `least`.
 
     Rows of a bucket meet in one task, one bucket at a time; there are at least as many buckets as segments, and more
-    buckets keep a task's memory down however much there is to merge. The driver receives `size` bytes in all."""
+    buckets keep a task's memory down however much there is to merge. The driver receives `size` bytes in all. `size` is a
+    multiple of UNIT."""
     segment_bytes = size // SEGMENTS
     shift = bucket_bits - 8
 
@@ -187,7 +210,8 @@ def build(parts: DataFrame, bucket_bits: int, size: int, least: int) -> np.ndarr
     if shift:
         filled = filled.repartition("segment").sortWithinPartitions("segment").mapInArrow(tidied(union), "segment int, bits binary")
     raw = np.zeros(segment_bytes * SEGMENTS, np.uint8)
-    for segment, bits in zip(*(filled.toArrow().column(i) for i in range(2))):
+    filled = cut(filled).toArrow()  # the shuffled keys go before the next step
+    for segment, bits in zip(*(filled.column(i) for i in range(2))):
         at = segment.as_py() * segment_bytes
         raw[at : at + segment_bytes] = np.frombuffer(bits.as_buffer(), np.uint8)
     return raw

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -36,6 +37,10 @@ BITS_PER_ENTRY = 7
 #: Words whose exact counts every worker holds; the counts of all others are joined.
 FREQUENT = 1 << 18
 FLUSH = 2_000_000
+#: Bytes of words that a task holds before it adds up their counts.
+HELD_BYTES = 24 << 20
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 #: Bytes of text whose bigrams a task takes at a time.
 PIECE_BYTES = 1 << 20
 #: Levels of a count: a cell's number is (level of the word before * CLASSES + level of the word) * CLASSES + level of both.
@@ -45,15 +50,35 @@ CELL_BITS = 18
 
 
 def word_hashes(vocab: pa.Array) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w) for w in vocab.cast(pa.binary()).to_pylist()], np.uint64)
-
-
-def token_hashes(w: tx.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per token (each text's words and its end) its hash and that of the token before, and where texts begin."""
+    """64-bit hash of each word: its length, then its bytes, eight at a time (long words: XXH64 of the bytes)."""
+    vocab = vocab.cast(pa.binary())
+    _, offsets, data = vocab.buffers()
+    ends = np.frombuffer(offsets, np.int32)[vocab.offset : vocab.offset + len(vocab) + 1].astype(np.int64)
+    held = np.zeros(ends[-1] - ends[0] + 8, np.uint8)
+    if data is not None:
+        held[:-8] = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+    eights = np.ndarray(len(held) - 7, "<u8", held, strides=(1,))  # the eight bytes from each byte on
+    at, left = ends[:-1] - ends[0], np.diff(ends)
+    out, live = bloom.mix(left.astype(np.uint64)), np.flatnonzero((left > 0) & (left <= LONG_WORD))
+    while len(live):
+        some = left[live]
+        cut_off = np.uint64(8) * np.maximum(8 - some, 0).astype(np.uint64)
+        out[live] = bloom.mix(out[live] ^ (eights[at[live]] << cut_off))
+        at[live] += 8
+        left[live] -= 8
+        live = live[some > 8]
+    for k in np.flatnonzero(left > LONG_WORD).tolist():
+        out[k] = xxhash.xxh64_intdigest(vocab[k].as_py())
+    return out
+
+
+def token_hashes(w: tx.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per token (each text's words and its end) its hash and that of the token before, and where texts begin. hashes:
+    those of w's vocab."""
     n, docs = len(w.codes), len(w.offsets) - 1
     now = np.full(n + docs, STOP)
     if n:
-        now[np.arange(n) + w.rows()] = word_hashes(w.vocab)[w.codes]
+        now[np.arange(n) + w.rows()] = hashes[w.codes]
     offsets = w.offsets + np.arange(docs + 1)
     before = np.empty_like(now)
     before[1:] = now[:-1]
@@ -71,27 +96,25 @@ def word_counts(docs: DataFrame, sample_bits: int = SAMPLE_BITS) -> DataFrame:
     blank and eight bytes). Counted within each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[bytes, int] = {}
+        held: list[pa.Table] = []
 
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "c"])
+        def rows() -> list[pa.RecordBatch]:
+            total = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")])
+            held.clear()
+            return pa.table({"word": total["word"], "c": total["c_sum"]}).to_batches(max_chunksize=1 << 16)
 
         for whole in batches:
             for batch in tx.pieces(whole):
                 w = tx.words(batch.column("text"))
-                for x, c in zip(w.vocab.cast(pa.binary()).to_pylist(), np.bincount(w.codes, minlength=len(w.vocab)).tolist()):
-                    total[x] = total.get(x, 0) + c
-                total[b""] = total.get(b"", 0) + batch.num_rows
-                now, before, _ = token_hashes(w)
+                now, before, _ = token_hashes(w, word_hashes(w.vocab))
                 keys = pair_keys(before, now)
-                for k in keys[keys & np.uint64((1 << sample_bits) - 1) == 0].tolist():
-                    x = b" " + k.to_bytes(8, "little")
-                    total[x] = total.get(x, 0) + 1
-                if len(total) > FLUSH // 6:
-                    yield rows()
-                    total.clear()
-        if total:
-            yield rows()
+                sampled = [b" " + k.to_bytes(8, "little") for k in keys[keys & np.uint64((1 << sample_bits) - 1) == 0].tolist()]
+                held.append(pa.table({"word": w.vocab.cast(pa.binary()), "c": np.bincount(w.codes, minlength=len(w.vocab))}))
+                held.append(pa.table({"word": pa.array([b"", *sampled], pa.binary()), "c": np.array([batch.num_rows] + [1] * len(sampled))}))
+                if sum(x.nbytes for x in held) > HELD_BYTES:
+                    yield from rows()
+        if held:
+            yield from rows()
 
     return docs.select("text").mapInArrow(tidied(run), "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -113,7 +136,8 @@ def bigram_parts(docs: DataFrame, bucket_bits: int) -> DataFrame:
         held: list[np.ndarray] = []
         for whole in batches:
             for batch in tx.pieces(whole, limit=PIECE_BYTES):
-                now, before, _ = token_hashes(tx.words(batch.column("text")))
+                w = tx.words(batch.column("text"))
+                now, before, _ = token_hashes(w, word_hashes(w.vocab))
                 held.append(pair_keys(before, now))
                 if sum(map(len, held)) > FLUSH:
                     yield bloom.packed(*counted(held), bucket_bits)
@@ -128,7 +152,8 @@ def word_parts(counts: DataFrame, bucket_bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = np.array([xxhash.xxh64_intdigest(w) if w else int(STOP) for w in batch.column("word").to_pylist()], np.uint64)
+            words = batch.column("word")
+            h = np.where(pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False), STOP, word_hashes(words))
             yield bloom.packed(*bloom.merged(bloom.mix(h ^ UNIGRAM), batch.column("c").to_numpy(zero_copy_only=False)), bucket_bits)
 
     return counts.mapInArrow(tidied(run), bloom.PACKED)
@@ -181,8 +206,7 @@ def count(docs: DataFrame, max_bytes: int = MAX_BYTES, bits_per_entry: int = BIT
     pairs_in = lambda j: (1 << sample_bits) * sum((k + 1) * c for k, c in sampled.items() if k >= j)
     while pairs_in(j) > room:
         j += 1
-    unit = 8 * bloom.SEGMENTS
-    size = max(1 << 16, int((words_in + pairs_in(j)) * bits_per_entry / 8)) // unit * unit
+    size = -(-max(1 << 16, int((words_in + pairs_in(j)) * bits_per_entry / 8)) // bloom.UNIT) * bloom.UNIT
     bucket_bits = max(8, int(np.ceil(np.log2(max(n, 1) / (1 << 19)))))
     parts = bigram_parts(docs, bucket_bits)
     raw = bloom.build(parts, bucket_bits, size, 1 << j)
@@ -203,19 +227,35 @@ def probe(docs: DataFrame, model: Model, counts: DataFrame, held_out: Column, fr
     powers = counts.groupBy(F.floor(F.log2("c")).cast("int").alias("j")).agg(F.count("*").alias("k")).collect()
     floor = next((1 << j for j in range(63) if sum(r.k for r in powers if r.j >= j) <= frequent), 1 << 62)
     held = counts.where((F.col("c") >= floor) | (F.length("word") == 0)).toArrow()
-    common = spark.sparkContext.broadcast(dict(zip(held.column("word").to_pylist(), held.column("c").to_pylist())))
+    held_words = held.column("word").combine_chunks()
+    held_hashes = word_hashes(held_words)
+    order = np.argsort(held_hashes)
+    common = spark.sparkContext.broadcast((held_hashes[order], held_words.take(pa.array(order)), held.column("c").to_numpy()[order]))
     raw, unit, least = spark.sparkContext.broadcast(model.raw), float(np.log10(model.n + model.v + 1)), model.least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, top = bloom.Filter(raw.value), common.value
+        kept, (frequent_hashes, frequent_words, times_seen) = bloom.Filter(raw.value), common.value
+
+        def exact(words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+            """Counts of the words that are among the frequent ones, -1 for others. The words themselves are compared: one
+            that shares its hash counts as one of the others, whose counts are joined."""
+            if not len(times_seen):
+                return np.full(len(words), -1)
+            at = np.minimum(np.searchsorted(frequent_hashes, hashes), len(times_seen) - 1)
+            same = pc.equal(frequent_words.take(pa.array(at)), words)
+            return np.where(same.to_numpy(zero_copy_only=False), times_seen[at], -1)
+
+        end_word = pa.array([b""])
+        end = max(int(exact(end_word, word_hashes(end_word))[0]), 0)
         row = TaskContext.get().partitionId() << 40
         for whole in batches:
             for batch in tx.pieces(whole, limit=tx.PIECE_BYTES // 2):
                 w = tx.words(batch.column("text"))
                 vocab, rows = w.vocab.cast(pa.binary()), batch.num_rows
-                now, before, offsets = token_hashes(w)
+                hashes = word_hashes(vocab)
+                now, before, offsets = token_hashes(w, hashes)
                 of = np.repeat(np.arange(rows), np.diff(offsets))
-                words_level = kept.level(bloom.mix(np.append(word_hashes(w.vocab), STOP) ^ UNIGRAM))
+                words_level = kept.level(bloom.mix(np.append(hashes, STOP) ^ UNIGRAM))
                 own = np.full(len(now), words_level[-1])
                 if len(w.codes):
                     own[np.arange(len(w.codes)) + w.rows()] = words_level[w.codes]
@@ -224,16 +264,17 @@ def probe(docs: DataFrame, model: Model, counts: DataFrame, held_out: Column, fr
                 context[offsets[:-1]] = words_level[-1]  # a text begins as often as one ends
                 key = pair_keys(before, now)
                 both = np.zeros_like(own)
-                both[context > 0] = kept.level(key[context > 0])
+                # each bigram once, in the order of the filter's segments: often repeated ones have the most levels to read
+                once, of_once = np.unique(key[context > 0], return_inverse=True)
+                both[context > 0] = kept.level(once)[of_once]
                 both = np.minimum(both, np.minimum(context, own))
                 cell = (context * CLASSES + own) * CLASSES + both
                 is_open = (both == 0) & (context > 0) & (own > 0) if least > 1 else np.zeros(len(key), bool)
                 open_starts = np.append(0, np.cumsum(is_open))[offsets].astype(np.int32)
 
-                c = np.array([top.get(x, -1) for x in vocab.to_pylist()] or [0], np.int64)
-                per = c[w.codes] if len(w.codes) else np.zeros(0, np.int64)
-                end = top.get(b"", 0)
-                base = tx.sums(np.log10(np.maximum(per, 0) + 1), w.offsets) + np.log10(end + 1) - unit * (w.counts + 1)
+                c = exact(vocab, hashes)
+                per = c[w.codes]
+                base = tx.sums(np.log10(np.maximum(c, 0) + 1)[w.codes], w.offsets) + np.log10(end + 1) - unit * (w.counts + 1)
                 known = tx.sums((per > 0).astype(float), w.offsets).astype(np.int64) + (end > 0)
                 word, times, starts = tx.grouped(w.rows()[per < 0], w.codes[per < 0], rows)
                 starts = pa.array(starts.astype(np.int32))
