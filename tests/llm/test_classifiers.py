@@ -232,6 +232,34 @@ def test_toxicity_thresholds_match_trying_all():
     assert net.shift[:2].tolist() == [0.5, 5.5]
 
 
+def test_toxicity_thresholds_of_many_rows_match_those_at_hand(spark):
+    """Dealt out over parts, with equal logits, several best gaps and a language of one row."""
+    r = np.random.default_rng(11)
+    for size, grid in ((300, 8), (300, 200), (40, 3)):
+        language, y = r.integers(0, 3, size), r.integers(0, 2, size)
+        x = np.round(y + r.normal(0, 1.0, size) + language, 9) if grid == 200 else r.integers(0, grid, size) / 2.0
+        language[0], language[1:] = 3, np.minimum(language[1:], 2)
+        rows = spark.createDataFrame([(int(a), float(b), int(c)) for a, b, c in zip(language, x, y)], "language int, logit double, y int")
+        got = toxicity.thresholds(rows)
+        for k in (None, 0, 1, 2):
+            at = np.full(size, True) if k is None else language == k
+            assert got[k][:2] == (y[at].sum(), (1 - y[at]).sum()) and got[k][2] == pytest.approx(toxicity.threshold(x[at], y[at]))
+    assert toxicity.thresholds(rows.where("y > 5")) == {}
+
+
+def test_toxicity_thresholds_come_from_all_rows_held_back(spark):
+    """However few rows are learned from: with 30 of each class learned, all of 1,000 rows held back set the threshold."""
+    r = random.Random(4)
+    docs = [(k, " ".join(r.choice("one two three four five six".split()) for _ in range(8)) + (" bad" if k % 3 == 0 and r.random() < 0.8 else ""), "en") for k in range(4000)]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(4000)], "doc_id bigint, toxic int")
+    net = toxicity.train(docs, labels, rows_per_class=30)
+    known = labels.withColumnRenamed("toxic", "_y").where(toxicity.held_back(F.col("doc_id")))
+    held = toxicity.sample(docs, known, net.languages)
+    want = toxicity.threshold(held.logits(net), held.labels)
+    assert 900 < len(held.labels) < 1100 and net.shift[0] == pytest.approx(want, abs=1e-9)
+
+
 def by_hand(docs, text):
     """Language and shares of a text: counts of n-grams of lower-cased words, expectation-maximisation over its words for
     each set of the languages with the largest shares, the set by penalised likelihood."""
