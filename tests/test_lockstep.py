@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import lockstep, slopes, statespace
+from tideline.functions.families import Emissions
+from tideline.operators import lockstep, mixed, slopes, statespace
 from tideline.operators.statespace import System
 
 YS = ["a", "b", "c"]
@@ -106,6 +107,37 @@ def test_a_packed_panel_is_the_panel(spark, monkeypatch):
     assert lockstep.packed(panel.where("k > 100"), "k", "t", YS).count() == 0
 
 
+HOWS = [
+    (["gaussian", "poisson", "neg_binomial"], mixed.Settings()),
+    (["poisson", "gaussian", "bernoulli"], mixed.Settings(particles=7, exact=True)),
+    (["gaussian", "poisson", "gamma"], mixed.Settings(particles=9, sampled=[1], df=[None, 4.0], points=5)),
+    (["student_t", "poisson", "beta"], mixed.Settings(particles=5, sampled=[0, 1], points=1)),
+]
+
+
+@pytest.mark.parametrize(("families", "how"), HOWS)
+@pytest.mark.parametrize("points", [200, 1 << 20])
+def test_mixed_filters_side_by_side(families, how, points, monkeypatch):
+    """The same numbers, drawn ones included, as one series after another, one row at a time."""
+    monkeypatch.setattr(mixed, "POINTS", points)
+    s, df = batch(), rows()
+    for j, family in enumerate(families):
+        own = df[YS[j]].to_numpy()
+        made = {"bernoulli": own > 0.5, "beta": 1 / (1 + np.exp(-own)), "gaussian": own, "student_t": own, "gamma": np.exp(own)}.get(family, np.floor(np.abs(2 * own)))
+        df[YS[j]] = np.where(np.isnan(own), np.nan, made)
+    e = Emissions(families, {"r": np.array([[3.0], [4.0], [9.0]]) * np.ones(3)} if "neg_binomial" in families else {})
+    got = pd.concat(mixed._walk(SimpleNamespace(value=(s, e, how)), mixed.Mixed, how, s.size, "k", "t", YS)(frames(df, 9)))
+    assert len(got) == 3 * df.k.nunique()
+    for k, own in df.groupby("k"):
+        f = mixed.Mixed(s, e, how)
+        f.start(k)
+        for dt, y in zip(own.t.diff().fillna(0), own[YS].to_numpy()):
+            if dt > 0:
+                f.move(dt)
+            f.see(y)
+        assert np.allclose(got[got.k == k].sort_values("system").loglik, f.total, rtol=1e-9, atol=1e-9)
+
+
 def test_noise_in_common_is_not_taken_side_by_side():
     s = batch()
     s.r = s.r + 0.05
