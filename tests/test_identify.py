@@ -1,5 +1,6 @@
 """Verdicts over graphs whose answers are known (section C of FIXTURES.md)."""
 
+import random
 import re
 from pathlib import Path
 
@@ -115,3 +116,38 @@ def test_textbook_graphs(spark):
     roles = {(r.key, r.construct): (r.can_marginalize, r.blocks) for r in identify.unobserved_roles(nodes, verdicts).collect()}
     assert roles == {k: (not b, b) for k, b in blocks.items()}
     assert {(r.key, r.construct) for r in identify.to_fix(nodes, verdicts).collect()} == {k for k, b in blocks.items() if b}
+
+
+def test_sets_as_bits_match_sets():
+    """Projection, districts and identification of random graphs, with hidden, invariant and unknown constructs."""
+    r = random.Random(5)
+    for _ in range(300):
+        names = [f"x{i}" for i in range(r.randint(2, 6))]
+        observed, varying = [r.random() < 0.6 for _ in names], [r.random() < 0.7 for _ in names]
+        arrows = [(*sorted(r.sample([*names, "y1", "a"], 2), reverse=r.random() < 0.1), r.random() < 0.4) for _ in range(r.randint(1, 10))]
+        seen_names, moving = ({n for n, x in zip(names, flags) if x} for flags in (observed, varying))
+        edges, seen, _ = identify.two_steps(moving, seen_names, arrows, set(names))
+        g = identify.Bits(names, observed, varying, arrows)
+        node = lambda i: names[i // 2] + (("_t", "_{t-1}")[i % 2] if names[i // 2] in moving else "")
+        assert {(node(a), node(b)) for a, x in enumerate(g.steps) for b in identify.bits(x)} == edges
+        assert {node(i) for i in identify.bits(g.seen)} == seen
+        following = identify.turned(edges)
+        assert g.cyclic() == any(n in identify.reach(following.get(n, ()), following) for n in following)
+        if g.cyclic():
+            continue
+        direct, both = identify.project(edges, seen)
+        g.project()
+        assert {(node(a), node(b)) for b, x in enumerate(g.causes) for a in identify.bits(x)} == direct
+        assert {tuple(sorted((node(a), node(b)))) for b, x in enumerate(g.joined) for a in identify.bits(x)} == both
+        nodes = list(identify.bits(g.seen))
+        for a in nodes:
+            for b in nodes:
+                assert a == b or g.identified(a, b) == identify.identified(node(a), node(b), direct, both, seen)
+
+
+def test_graphs_are_dealt_out_by_name(spark):
+    """Small tables can be much work: verdicts are made in as many parts as the session names, not in one."""
+    nodes = spark.range(200).selectExpr("id AS key", "explode(array('a', 'b')) AS name").selectExpr("*", "true AS observed", "true AS varying", "name = 'b' AS is_outcome")
+    arrows = spark.range(200).selectExpr("id AS key", "'a' AS cause", "'b' AS effect", "false AS lagged")
+    made = identify.effects(nodes, arrows)
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and made.count() == 200
