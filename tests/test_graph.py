@@ -47,3 +47,18 @@ def test_graphs_of_one_table_do_not_mix(spark):
     assert ("bow", "X", "Z") in rows(graph.instruments(c, e)) and not [r for r in rows(graph.instruments(c, e)) if r[0] == "open" and r[1] == "X"]
     assert {r for r in rows(graph.bidirected(c, e)) if r[1].endswith("_t") and r[2].endswith("_t")} == {("bow", "X_t", "Y_t")}
     assert rows(graph.components(c, e)) >= {("bow", "X", "U"), ("open", "X", "X"), ("open", "U", "U")}
+
+
+def test_blocking_confounders_within_rows_and_by_joins(spark):
+    """Random graphs with cycles, unknown constructs, several outcomes and flags that are null."""
+    r, nodes, edges = random.Random(8), [], []
+    for k in range(400):
+        names = [f"n{i}" for i in range(r.randint(1, 7))]
+        nodes += [(k, n, r.choice([True, False, False, False, None]), i == 0 or r.random() < 0.1) for i, n in enumerate(names)]
+        edges += [(k, r.choice([*names, "other"]), r.choice([*names, "other"]), False) for _ in range(r.randint(0, 14))]
+    nodes = spark.createDataFrame(nodes, "key long, name string, observed boolean, is_outcome boolean")
+    edges = spark.createDataFrame(edges, "key long, cause string, effect string, lagged boolean")
+    want = {tuple(x) for x in graph._blocking_by_joins(nodes, edges).collect()}
+    for most in (graph.MAX_EDGES, 8):
+        got = [tuple(x) for x in graph.blocking_confounders(nodes, edges, most).select("key", "treatment", "confounder").collect()]
+        assert len(want) > 20 and len(got) == len(set(got)) and set(got) == want

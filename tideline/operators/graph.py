@@ -1,11 +1,14 @@
 """Causal graphs as two tables: constructs (key, name, observed, varying, is_outcome) and edges (key, cause, effect, lagged).
 
 Many graphs lie side by side under `key`, which is null for none; every result carries it. A graph written by a person
-fits a row and is walked by array functions; one of more edges than that is walked by joins.
+fits a row and is walked by array functions, or as bits of whole numbers; one of more edges than that is walked by joins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,27 @@ MAX_EDGES = 20_000
 NOW, BEFORE = "_t", "_{t-1}"
 
 
+def bits(x: int) -> list[int]:
+    out = []
+    while x:
+        out.append((x & -x).bit_length() - 1)
+        x &= x - 1
+    return out
+
+
+def closed(todo: int, next_of: list[int], among: int = -1) -> int:
+    """Everything that a set of nodes, as bits, leads to, itself included; among: the nodes that a step may start from and end at."""
+    found = 0
+    while todo:
+        found |= todo
+        left, new = todo & among, 0
+        while left:
+            new |= next_of[(left & -left).bit_length() - 1]
+            left &= left - 1
+        todo = new & among & ~found
+    return found
+
+
 def closure(starts: DataFrame, edges: DataFrame, key: str = "key", max_edges: int = MAX_EDGES) -> DataFrame:
     """(key, start, node): every node that start reaches over one edge or more in the graph of its key, whether or not
     the graph has cycles. starts: (key, start); edges: (key, cause, effect); repeats count once. A graph of over `max_edges`
@@ -134,9 +158,66 @@ def _per_treatment(constructs: DataFrame, edges: DataFrame) -> DataFrame:
     return own.select(F.struct("key", "treatment").alias("pair"), "key", "treatment", "cause", "effect")
 
 
-def blocking_confounders(constructs: DataFrame, edges: DataFrame) -> DataFrame:
+def blocking_confounders(constructs: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
     """(key, treatment, confounder): hidden constructs with an observed child that lead to the treatment and, past it, to
-    the outcome."""
+    the outcome. A graph is walked within its row, or by joins if it has more than `max_edges` edges."""
+    large = edges.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > max_edges).select("key")
+    if large.isEmpty():
+        return _blocking_in_rows(constructs, edges)
+    small = _blocking_in_rows(constructs.join(large, "key", "left_anti"), edges.join(large, "key", "left_anti"))
+    return small.unionByName(_blocking_by_joins(constructs.join(large, "key", "left_semi"), edges.join(large, "key", "left_semi")))
+
+
+def _blocking_in_rows(constructs: DataFrame, edges: DataFrame) -> DataFrame:
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    nodes = constructs.where("key is not null and name is not null").select(
+        "key", "name", flag("observed").alias("observed"), F.coalesce(~F.col("observed") & ~F.col("is_outcome"), F.lit(False)).alias("hidden"), flag("is_outcome").alias("is_outcome")
+    )
+    arrows = edges.where("key is not null and cause is not null and effect is not null").select("key", "cause", "effect")
+    both = nodes.unionByName(arrows, allowMissingColumns=True)
+    # the number of parts is named, since few bytes can be much work
+    parts = int(constructs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = ("name", "observed", "hidden", "is_outcome", "cause", "effect")
+    graphs = both.repartition(parts, "key").groupBy("key").agg(*[F.collect_list(c).alias(c) for c in columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, treatments, confounders = [], [], []
+            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in columns))):
+                for t, c in blocking(*row):
+                    keys.append(i)
+                    treatments.append(t)
+                    confounders.append(c)
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(keys, pa.int64())), pa.array(treatments, pa.string()), pa.array(confounders, pa.string())], names=["key", "treatment", "confounder"])
+
+    return graphs.mapInArrow(run, f"key {dict(constructs.dtypes)['key']}, treatment string, confounder string")
+
+
+def blocking(names: list[str], observed: list[bool], hidden: list[bool], is_outcome: list[bool], causes: list[str], effects: list[str]) -> list[tuple[str, str]]:
+    """(treatment, confounder) pairs of one graph."""
+    place = {n: i for i, n in enumerate(dict.fromkeys([*names, *causes, *effects]))}
+    label, after, before = list(place), [0] * len(place), [0] * len(place)
+    for a, b in zip(causes, effects):
+        after[place[a]] |= 1 << place[b]
+        before[place[b]] |= 1 << place[a]
+    seen = unseen = ends = known = 0
+    for n, s, h, e in zip(names, observed, hidden, is_outcome):
+        own = 1 << place[n]
+        known, seen, unseen, ends = known | own, seen | (own if s else 0), unseen | (own if h else 0), ends | (own if e else 0)
+    starts = [u for u in bits(unseen) if after[u] & seen]
+    led = {u: closed(after[u], after) for u in starts}
+    out = []
+    for t in bits(closed(ends, before) & known & ~ends):
+        own = 1 << t
+        # what leads to an outcome, over one edge or more, without passing the treatment
+        ways = closed(ends & ~own, [x & ~own for x in before], ~own)
+        for u in starts:
+            if u != t and led[u] & own and after[u] & ways:
+                out.append((label[t], label[u]))
+    return out
+
+
+def _blocking_by_joins(constructs: DataFrame, edges: DataFrame) -> DataFrame:
     outcome = constructs.where("is_outcome").select("key", F.col("name").alias("node"))
     seen = constructs.where("observed").select("key", F.col("name").alias("effect"))
     parents = edges.join(seen, ["key", "effect"], "left_semi").select("key", F.col("cause").alias("name"))
